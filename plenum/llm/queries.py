@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, decontaminate
+from plenum.llm import chat, decontaminate, simhash
 from plenum.llm.common import table
 
 
@@ -75,5 +75,9 @@ select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit
 from d left join cov on d.doc_id is not distinct from cov.doc_id left join its on d.doc_id is not distinct from its.doc_id
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
