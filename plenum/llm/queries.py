@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, decontaminate, simhash
+from plenum.llm import chat, decontaminate, gif, simhash
 from plenum.llm.common import table
 
 
@@ -79,5 +79,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
+def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
