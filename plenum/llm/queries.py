@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, decontaminate, gif, simhash
+from plenum.llm import chat, decontaminate, gif, pieces, simhash
 from plenum.llm.common import table
 
 
+#: Where the public tokenizers' files lie; only the driver reads there.
+TOKENIZERS = os.environ.get("PLENUM_TOKENIZERS", "/opt/tokenizers")
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -83,5 +89,21 @@ def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blob = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), blob)
+    back = pieces.decode(coded, blob)
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    return back.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.sha2(F.coalesce(listed, F.lit("")), 256).alias("ids_sha256"),
+        F.length("decoded").cast("long").alias("decoded_chars"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+        "ids",
+    )
+
+
+QUERIES = {"op6_pieces": op6_pieces, "op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
