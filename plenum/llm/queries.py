@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, decontaminate, gif, pieces, simhash
+from plenum.llm import chat, decontaminate, gif, html, pieces, simhash
 from plenum.llm.common import table
 
 
@@ -105,5 +105,9 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_pieces": op6_pieces, "op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op5_html": op5_html, "op6_pieces": op6_pieces, "op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
