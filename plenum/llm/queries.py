@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, decontaminate, gif, html, pieces, simhash
+from plenum.llm import chat, decontaminate, gif, html, pieces, simhash, toxicity
 from plenum.llm.common import table
 
 
@@ -109,5 +109,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op5_html": op5_html, "op6_pieces": op6_pieces, "op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op10_toxicity": op10_toxicity, "op5_html": op5_html, "op6_pieces": op6_pieces, "op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
