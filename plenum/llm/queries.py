@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, decontaminate, gif, html, pieces, pii, simhash, toxicity
+from plenum.llm import chat, decontaminate, gif, html, pieces, pii, quality, simhash, toxicity
 from plenum.llm.common import table
 
 
@@ -118,5 +118,9 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op7_pii": op7_pii, "op10_toxicity": op10_toxicity, "op5_html": op5_html, "op6_pieces": op6_pieces, "op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op3_quality": op3_quality, "op7_pii": op7_pii, "op10_toxicity": op10_toxicity, "op5_html": op5_html, "op6_pieces": op6_pieces, "op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
 ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
