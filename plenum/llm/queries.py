@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, decontaminate, gif, html, pieces, pii, quality, simhash, toxicity
+from plenum.llm import chat, decontaminate, gif, html, lm, pieces, pii, quality, simhash, toxicity
 from plenum.llm.common import table
 
 
@@ -122,5 +122,40 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_quality": op3_quality, "op7_pii": op7_pii, "op10_toxicity": op10_toxicity, "op5_html": op5_html, "op6_pieces": op6_pieces, "op8_gif": op8_gif, "op2_simhash": op2_simhash, "op1_chat_format": op1_chat_format, "op4_decontaminate": op4_decontaminate}
-ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL}
+def op9_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+with d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
+t as (select r, unnest(generate_series(1, len(ws))) as i, unnest(ws) as w from d),
+g as (select r, i, w, lag(w) over (partition by r order by i) as v, lag(w, 2) over (partition by r order by i) as u from t),
+c1 as (select w, count(*) as c from t group by w),
+c2 as (select v, w, count(*) as c from g where i > 1 group by v, w),
+c3 as (select u, v, w, count(*) as c from g where i > 2 group by u, v, w),
+s as (
+  select g.r, g.i,
+    case when i > 2 and c3.c >= 2 then ln(c3.c / uv.c) when i > 2 then ln(0.4) + case when c2.c >= 2 then ln(c2.c / cv.c) else ln(0.4) + ln(c1.c / n.n) end
+      when i = 2 then case when c2.c >= 2 then ln(c2.c / cv.c) else ln(0.4) + ln(c1.c / n.n) end
+      else ln(c1.c / n.n) end as value,
+    case when i > 2 then (c3.c < 2)::int when i = 2 then (c2.c < 2)::int else 0 end as back
+  from g cross join (select count(*) as n from t) n join c1 on g.w = c1.w left join c1 cv on g.v = cv.w left join c2 on g.v = c2.v and g.w = c2.w
+    left join c2 uv on g.u = uv.v and g.v = uv.w left join c3 on g.u = c3.u and g.v = c3.v and g.w = c3.w)
+select doc_id, len(ws)::bigint as n_words, coalesce(sum(back), 0)::bigint as n_backoff, round(coalesce(sum(value), 0), 4) as log_score,
+  case when len(ws) > 0 then round(sum(value) / len(ws), 4) end as mean_log
+from d left join s on d.r = s.r group by d.r, doc_id, ws
+"""
+
+QUERIES = {
+    "op1_chat_format": op1_chat_format,
+    "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_html": op5_html,
+    "op6_pieces": op6_pieces,
+    "op7_pii": op7_pii,
+    "op8_gif": op8_gif,
+    "op9_backoff": op9_backoff,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op9_backoff": OP9_SQL}
