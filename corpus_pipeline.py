@@ -1,5 +1,72 @@
-"""placeholder"""
-STAGES = []
+"""A training corpus from raw documents, in five stages over all that the stage before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's result to the shared scratch folder and reads
+it again as the next one's docs. All but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plenum.llm import decontaminate, pieces, pii, simhash, toxicity
+from plenum.llm.common import settle, table
+from plenum.llm.queries import TOKENIZERS
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain, fitted on the labelled ones among docs, doesn't reject. Null texts stay."""
+    chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return docs.where(toxicity.probabilities(F.col("text"), chain)[chain.categories[-1]] < 0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of linked fingerprints; rows of one id are one document."""
+    groups = simhash.near_duplicates(docs).select(F.col("doc_id").alias("__id"), "component_id").distinct()
+    first = groups.where(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id")
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])  # which would move the texts once more
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark's windows don't contaminate."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with surrogates for personal data, and n_chars of the new text."""
+    done = pii.pseudonymise(docs).drop("n_entities")
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their piece ids, the number of ids, and whether decoding gives the text back."""
+    blob = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(docs, blob), blob)
+    return (
+        coded.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
+        .withColumn("round_trip", F.col("decoded") == F.col("text"))
+        .drop("decoded")
+    )
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("personal_data", replace_personal_data),
+    ("tokenise", tokenise),
+]
+
+#: SQL has neither the chain's training, nor XXH64 with a seed, nor surrogates, nor piece ids.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = settle(stage(spark, docs, sf_dir))
+    return docs
