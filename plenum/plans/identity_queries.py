@@ -200,9 +200,9 @@ def surname_resolve(spark, sf_dir):
     return D.resolve_unique(a, known, ["k"], "state", "member")
 
 
-@query("select l_partkey as surname, min(l_suppkey) as id from lineitem group by 1 having count(distinct l_suppkey) = 1")
+@query("select l_orderkey as surname, min(l_suppkey) as id from lineitem group by 1 having count(distinct l_suppkey) = 1")
 def unambiguous_index(spark, sf_dir):
-    li = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("surname")).agg(F.count_distinct("l_suppkey").alias("n"), F.min("l_suppkey").alias("id"))
+    li = V.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("surname")).agg(F.count_distinct("l_suppkey").alias("n"), F.min("l_suppkey").alias("id"))
     return li.where("n = 1").select("surname", "id")
 
 

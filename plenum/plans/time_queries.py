@@ -124,13 +124,13 @@ def chapter_ends(spark, sf_dir):
     )
 
 
-@query("""with s as (select l_orderkey as grp, l_linenumber * 1000000 + l_partkey as ordinal, l_partkey % 50 as s, l_suppkey % 50 as e from lineitem)
+@query("""with s as (select l_orderkey as grp, l_linenumber::bigint * 1000000000000 + l_partkey * 1000000 + l_suppkey as ordinal, l_partkey % 50 as s, l_suppkey % 50 as e from lineitem)
 select grp as "group", ordinal, s as start, greatest(s, e) as "end", row_number() over (partition by grp order by s, greatest(s, e), ordinal) as position, e < s as clamped,
   row_number() over (partition by grp order by s, greatest(s, e), ordinal) <> row_number() over (partition by grp order by ordinal) as moved from s""")
 def normalise_sections(spark, sf_dir):
     return S.normalise_sections(
         V.table(spark, sf_dir, "lineitem").select(
-            F.col("l_orderkey").alias("group"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("ordinal"), (F.col("l_partkey") % 50).alias("start"), (F.col("l_suppkey") % 50).alias("end")
+            F.col("l_orderkey").alias("group"), (F.col("l_linenumber").cast("long") * 1000000000000 + F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("ordinal"), (F.col("l_partkey") % 50).alias("start"), (F.col("l_suppkey") % 50).alias("end")
         )
     )
 
