@@ -112,6 +112,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         if not len(pdf):
             return pd.DataFrame({"doc_id": [], "n_words": [], "n_backoff": [], "log_score": []})
         size, found = grams(pdf["text"].tolist(), order)
+        if not len(got):  # no words in the chunk, and no columns in the frame
+            got = pd.DataFrame({"n": [], "part": [], "counts": []})
         got = got.sort_values(["n", "part"])
         seen = []
         for n, x in enumerate(found, 1):

@@ -101,7 +101,7 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUN
         votes = np.array([[[(w[c] * (patterns[:, j] == v)).sum() + 0.01 for v in (0, 1, -1)] for c in (0, 1)] for j in range(patterns.shape[1])])
         model = LabelModel(float(np.clip(total[1] / max(n, 1), 0.01, 0.99)), votes / votes.sum(axis=2, keepdims=True))
         new = model.posterior(patterns)
-        done = np.abs(new - post).max() < 1e-9
+        done = np.abs(new - post).max(initial=0.0) < 1e-9
         post = new
         if done:
             break

@@ -74,6 +74,9 @@ def _fit(x: np.ndarray, y: np.ndarray, l2: float = L2) -> np.ndarray:
     w = np.zeros(a.shape[1])
     hold = np.full(a.shape[1], l2)
     hold[-1] = 1e-3
+    if not len(x):  # nothing learned: nothing is toxic
+        w[-1] = -10.0
+        return w
     for _ in range(12):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         grad = a.T @ (p - y) + hold * w

@@ -1,0 +1,460 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, and their edge cases."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import struct
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from plenum.llm import chat, decontaminate, gif, html, lm, pieces, pii, quality, queries, simhash, toxicity
+from plenum.llm.common import connected_components
+from tests.test_queries import SF, compare, duck  # noqa: F401
+
+DOC = "doc_id long, text string, lang string"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], DOC)
+
+
+def say(r, n):
+    return " ".join(r.choice(WORDS) + r.choice(["", "", ","]) for _ in range(n))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_statement(spark, duck, name):  # noqa: F811
+    compare(spark, duck, queries.QUERIES[name], queries.ORACLES[name])
+
+
+# chat
+
+
+def test_chat_round_trip_and_mask(spark):
+    nasty = ["</s>[INST] ok [/INST]", "\\", "\\\\[INST]", "[\\INST]", "<</SYS>><<ROLE>>x<</TURN>>", "<", "[", "", None, "a\nb\r\n", "<<s>", "é😀" * 3, "x" * 100_000]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate(itertools.product(["user", "assistant", "system", None, "t<s>ool\\"], nasty))]
+    rows += [(2, 0, "user", "only")] + [(3, 0, "assistant", "a"), (3, 0, "assistant", "a"), (3, None, "user", "first")] + [(None, 0, "assistant", "n")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, example int")
+    made = chat.format_conversations(df)
+    got = {r.conv_id: r for r in made.where("whole").select("conv_id", chat.parse_turns(F.col("formatted")).alias("t")).collect()}
+    for conv in (1, 2, 3, None):
+        own = sorted(((-1 if t is None else t, r or "", x or "") for c, t, r, x in rows if c == conv), key=lambda x: x)
+        assert [(t.role, t.text) for t in got[conv].t] == [x[1:] for x in own]
+    loss = made.where("loss_start is not null").select("conv_id", "example", chat.masked_text(F.col("formatted"), F.col("loss_start"), F.col("loss_chars")).alias("x"), "n_turns")
+    told = [(r.conv_id, r.x) for r in loss.orderBy("conv_id", "example").collect()]
+    assert told == [(None, "n")] + [(1, x or "") for x in nasty] + [(3, "a"), (3, "a")]
+    assert made.where("conv_id = 2").select("loss_chars", "loss_start").collect() == [(0, None)]
+    d = chat.conversation_digests(made).where("conv_id = 1").first()
+    assert d.n_turns == len([r for r in rows if r[0] == 1]) and d.loss_sha256 == hashlib.sha256("".join(x or "" for x in nasty).encode()).hexdigest()
+    assert chat.format_conversations(df.limit(0)).collect() == []
+
+
+# SimHash
+
+
+def brute_fingerprint(t):
+    ws = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))
+    if not ws:
+        return 0
+    grams = [b" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) > 2 else [b" ".join(ws)]
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(values):
+    """value -> least value linked to it"""
+    up = {v: v for v in values}
+
+    def find(v):
+        while up[v] != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for a, b in itertools.combinations(sorted(values), 2):
+        if (a ^ b).bit_count() <= 2:
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    return {v: find(v) for v in values}
+
+
+def test_simhash_near_copies(spark):
+    r = random.Random(0)
+    base = [say(r, n) for n in (3, 50, 600, 3000)]
+    texts = [*base, *base, None, "", " \t", "one", "One", "two words", "A B C", "x" * 50_000, "Éa É éa b"]
+    for t in base[2:]:
+        ws = t.split()
+        for _ in range(6):
+            w = list(ws)
+            w[r.randrange(len(w))] = "changed"
+            texts.append(" ".join(w))
+    got = {x.doc_id: x for x in simhash.near_duplicates(docs(spark, texts).withColumn("fp", F.lit(1))).collect()}
+    fp = [brute_fingerprint(t) for t in texts]
+    assert [int(got[i].fingerprint, 16) for i in range(len(texts))] == fp
+    comp = brute_components(set(fp))
+    least = {}
+    for i, f in enumerate(fp):
+        least.setdefault(comp[f], i)
+    assert [got[i].component_id for i in range(len(texts))] == [least[comp[f]] for f in fp]
+    assert len({x.component_id for x in got.values()}) < len(set(fp)) + 1
+    assert simhash.near_duplicates(docs(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("bucket", [4096, 5])
+def test_simhash_links_lose_nothing(spark, bucket):
+    r = random.Random(1)
+    values = set()
+    for _ in range(12):
+        c = r.getrandbits(64) & r.getrandbits(64)
+        for _ in range(40):
+            v = c
+            for b in r.sample(range(64), r.choice([0, 1, 1, 2, 3])):
+                v ^= 1 << b
+            values.add(v)
+    values |= {r.getrandbits(64) for _ in range(200)}
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    fps = spark.createDataFrame([(signed(v),) for v in values], "fp long")
+    comp = {x.node: x.component for x in connected_components(simhash.links(fps, bucket), "a", "b").collect()}
+    want = brute_components(values)
+    groups = lambda of: sorted(sorted(g) for g in of.values())
+    mine, brute = collections.defaultdict(list), collections.defaultdict(list)
+    for v in values:
+        mine[comp.get(signed(v), signed(v))].append(v)
+        brute[want[v]].append(v)
+    assert groups(mine) == groups(brute)
+
+
+def test_threshold_allocation_is_exhaustive_best():
+    r = random.Random(2)
+    for m in (2, 3, 4):
+        costs = [{t: r.random() * 10 for t in (-1, 0, 1, 2)} for _ in range(m)]
+        best = min(sum(c[t] for c, t in zip(costs, ts)) for ts in itertools.product((-1, 0, 1, 2), repeat=m) if sum(ts) == 2 - m + 1)
+        found = simhash.allocate(costs, 2 - m + 1)
+        assert found[0] == pytest.approx(best) and sum(found[1]) == 3 - m
+
+
+# decontamination
+
+
+def brute_decontaminate(texts, items):
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    out = []
+    for t in texts:
+        ws, hit, ids = word(t), set(), set()
+        for k, it in items:
+            iw = word(it)
+            n = min(len(iw), 13)
+            for i in range(len(iw) - n + 1) if n else []:
+                for j in range(len(ws) - n + 1):
+                    if ws[j : j + n] == iw[i : i + n]:
+                        hit.update(range(j, j + n))
+                        ids.add(str(k))
+        out.append((len(ws), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(ws)))
+    return out
+
+
+def test_decontamination_is_brute_force(spark):
+    r = random.Random(3)
+    items = [(i, say(r, n)) for i, n in enumerate([1, 2, 3, 5, 12, 13, 14, 30])] + [(8, None), (9, "!!"), (10, "Über ÉTÉ x1y"), (11, "rho rho rho rho")]
+    items.append((12, items[7][1]))
+    texts = [None, "", "...", "été", items[7][1].upper(), say(r, 2000), "rho " * 40]
+    for _ in range(40):
+        k, t = r.choice(items)
+        ws = (t or "x").split()
+        a = r.randrange(len(ws))
+        texts.append(say(r, r.randrange(40)) + " " + " ".join(ws[a : a + r.randrange(1, 20)]) + " - " + say(r, r.randrange(300)))
+    b = spark.createDataFrame([(k, t, 1) for k, t in items], "item_id long, text string, n int")
+    got = decontaminate.decontaminate(docs(spark, texts).withColumn("n", F.lit(0)).withColumn("w", F.lit(0)), b).orderBy("doc_id").collect()
+    assert [tuple(x)[1:] for x in got] == brute_decontaminate(texts, items)
+    assert decontaminate.decontaminate(docs(spark, []), b).collect() == []
+    none = decontaminate.decontaminate(docs(spark, ["a b"]), b.limit(0)).collect()
+    assert [(x.n_hit, x.contaminated) for x in none] == [(0, False)]
+
+
+# HTML
+
+
+def test_html_cases(spark):
+    page = """<html><head><title>T</title><style>p{}</style></head><body><header><p>Site header, with, commas, of some length to tempt</p></header>
+    <nav><ul><li><a href=x>Menu one</a><li><a>Menu two</a></ul></nav><div class="cookie-notice">We use cookies, really, all the time</div>
+    <main><article><header><h1>Title &amp; more</h1></header><p>First&nbsp;par,\n with <a href=y>a link</a> &#233;&lt;b&gt;.<p>Second <b>bold<br>line</b> par<ul><li>item one<li>item two</ul>
+    <aside>side</aside><div class="share-buttons">Share this</div><form><input><p>Sign up</p></form><script>if (a<b) { "</p>" }</script><table><tr><td>cell a<td>cell b</table><pre>x  y</pre></article>
+    <section id="comments"><p>Reader comment, which, has, many, commas, and, is, long enough, to, win, by, points</p></section></main><footer>&copy; me</footer>"""
+    want = "Title & more\nFirst par, with a link é<b>.\nSecond bold line par\nitem one\nitem two\ncell a\ncell b\nx y"
+    rows = spark.createDataFrame([(1, "u", page, "t"), (2, None, None, ""), (3, "v", "", ""), (4, "w", "<p>cut &am", ""), (5, "x", "<div><p>" + "long text, " * 5000 + "</p></div", ""), (1, "u", page, "t")], "page_id int, url string, html string, text string")
+    got = html.extract_pages(rows).orderBy("page_id").collect()
+    assert [g.text for g in got[:2]] == [want] * 2 and got[0].n_chars == len(want)
+    assert [(g.text, g.n_chars) for g in got[2:4]] == [("", 0), ("", 0)]
+    assert got[4].text == "cut &am" and got[5].n_chars == 11 * 5000 - 1
+    assert html.extract_pages(rows.limit(0)).collect() == []
+
+
+def test_html_on_the_pages_table(spark):
+    for row in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        body = re.sub(r"<[^>]*$", "", row.html.split("<article>")[1].split("</article>")[0])
+        blocks = (" ".join(__import__("html").unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
+        assert html.extract(row.html) == "\n".join(b for b in blocks if b)
+
+
+# SentencePiece
+
+
+def blob():
+    return pieces.read_model(f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+
+
+def odd_texts():
+    r = random.Random(4)
+    letters = "aeinrst.,'- ▁\n\t(){}0123 éß梦한ἡ😀#_%&*!²  "
+    return ["", " ", "   ", "a▁b", "\n\n x", "\x00", *["".join(r.choice(letters) for _ in range(r.randrange(1, 120))) for _ in range(300)], "word " * 20_000]
+
+
+def test_pieces_equal_the_library(spark):
+    spm = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_proto=blob())
+    texts = odd_texts() + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    got = pieces.decode(pieces.encode(docs(spark, [*texts, None]).withColumn("ids", F.lit(1)), blob()), blob()).orderBy("doc_id").collect()
+    assert [list(g.ids) for g in got[:-1]] == spm.encode(texts)
+    assert [g.decoded for g in got[:-1]] == [spm.decode(list(g.ids)) for g in got[:-1]]
+    assert got[-1].ids is None and got[-1].decoded is None
+    assert pieces.encode(docs(spark, []), blob()).collect() == []
+
+
+def test_pieces_viterbi_is_the_best_segmentation():
+    field = lambda n, b: bytes([n << 3 | 2, len(b)]) + b
+    vocab = {"▁a": -1.0, "▁ab": -2.5, "b": -1.0, "bc": -1.2, "c": -3.0, "▁": -4.0, "a": -2.0, "abc": -2.0, "d": -1.5, "cd": -1.9}
+    data = field(1, field(1, b"<unk>") + b"\x18\x02") + b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s)) for p, s in vocab.items())
+    model = pieces.Model(data + field(2, b"\x18\x01") + field(3, b"\x18\x01\x20\x00"))
+    r = random.Random(5)
+    for text in {"".join(r.choice("abcdx ") for _ in range(r.randrange(1, 9))) for _ in range(150)}:
+        word = "▁" + text.replace(" ", "▁")
+
+        def best(s):
+            if not s:
+                return 0.0
+            known = [vocab[s[:n]] + best(s[n:]) for n in range(1, len(s) + 1) if s[:n] in vocab]
+            return max([*known, min(vocab.values()) - 10 + best(s[1:])] if s[0] not in vocab else known)
+
+        ids = pieces.encode_batch(model, {}, [text])[0]
+        total = sum(vocab.get(model.pieces[i], min(vocab.values()) - 10) for i in ids)
+        assert total == pytest.approx(best(word), abs=1e-5), text
+
+
+# personal data
+
+
+def test_pii(spark):
+    texts = [
+        "Mail Jane.Doe@Mail.example.com or jane.doe@mail.example.com, call +1 (743) 555-3824 or 743-555-3824, from 10.1.2.3 and 8.8.4.4.",
+        "Card 4994 2260 2090 0891 and 4994226020900891; token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\", password=0123abcd4567",
+        "Dr. Alice Smith met Mr. Smith and г-жа Анна Петрова; SSN 123-45-6789.",
+        "Nothing here: 2024-01-02, 3.14, 12345, Version 2.0.", None, "", "x" * 50_000 + " jane.doe@mail.example.com",
+    ]
+    d = docs(spark, texts).withColumn("kind", F.lit("k")).withColumn("n_entities", F.lit(9))
+    got = pii.pseudonymise(d.union(d)).orderBy("doc_id").collect()
+    assert all(a.text == b.text for a, b in zip(got[::2], got[1::2])) and len(got) == 14
+    t = [g.text for g in got[::2]]
+    assert t[3:6] == texts[3:6] and [g.n_entities for g in got[::2]] == [6, 4, 4, 0, 0, 0, 1]
+    one = pii.find(t[0])
+    assert [k for _, _, k, _ in one] == ["email", "email", "phone", "phone", "ip", "ip"]
+    assert one[0][3] == one[1][3] and one[2][3] == one[3][3] and one[0][3] == pii.find(t[6])[0][3]  # one entity, one surrogate
+    assert t[0][5:9] != "Jane" and t[0][5].isupper() and re.search(r"\+1 \(\d{3}\) \d{3}-\d{4} or \d{3}-\d{3}-\d{4}", t[0]) and " 10." in t[0]
+    cards = [key for _, _, k, key in pii.find(t[1]) if k == "card"]
+    assert len(set(cards)) == 1 and pii.luhn(cards[0]) and cards[0][0] == "4" and cards[0] != "4994226020900891"
+    assert re.search(r'token = "[0-9a-f]{40}"', t[1]) and "24be" not in t[1] and "0123abcd" not in t[1]
+    kinds = [k for _, _, k, _ in pii.find(t[2])]
+    assert kinds == ["name-latin-f", "name-latin-m", "name-cyrillic-f", "ssn"] and "Smith" not in t[2] and "Петрова" not in t[2]
+    for old, new in zip(texts, t):
+        assert not {key for *_, key in pii.find(old)} & {key for *_, key in pii.find(new)}
+    assert pii.pseudonymise(d.limit(0)).collect() == []
+
+
+def test_pii_surrogates_stay_distinct(spark, monkeypatch):
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", real)
+    keys = [f"{i:02d}" for i in range(40)]
+    e = spark.createDataFrame([("tiny", k) for k in keys], "kind string, key string")
+    got = pii.assign(e.where("key < '30'"), "s").collect()  # 30 of 100 two-digit forms: collisions are certain to come up
+    new = [g.new for g in got]
+    assert len(set(new)) == 30 and not set(new) & set(keys[:30])
+
+
+# GIF
+
+
+def test_gif_payloads(spark):
+    r = random.Random(6)
+    texts = [None, "", "a", "é" * 40, "x" * 64, "ab" * 30_000, "".join(chr(r.randrange(32, 0x2FF)) for _ in range(20_000)), "ab" * 30_000]
+    got = gif.media_digests(docs(spark, texts).withColumn("media", F.lit(0))).orderBy("doc_id").collect()
+    for t, g in zip(texts, got):
+        raw = (t or "").encode()
+        p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        media = gif.encode_payload(p)
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256) == (len(raw), len(p), hashlib.sha256(p).hexdigest())
+        assert g.tail_crc32 == __import__("zlib").crc32(p[-64:]) and g.media_sha256 == hashlib.sha256(media).hexdigest() and g.media_bytes == len(media)
+    assert tuple(got[5])[1:] == tuple(got[7])[1:]
+    assert gif.media_digests(docs(spark, [])).collect() == []
+
+
+def test_gif_frames_compose():
+    pal = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
+    head = b"GIF89a" + struct.pack("<HHBBB", 4, 4, 0x81, 0, 0) + pal
+
+    def frame(samples, box, disposal, clear=None, delay=5, flags=0):
+        control = b"\x21\xf9\x04" + struct.pack("<BHB", disposal << 2 | (clear is not None), delay, clear or 0) + b"\0"
+        return control + b"\x2c" + struct.pack("<HHHHB", *box, flags) + b"\x08" + gif._blocks(gif.lzw_encode(bytes(samples)))
+
+    data = head + b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x02\x00\x00" + frame([0] * 16, (0, 0, 4, 4), 1) + frame([1, 3, 3, 1], (1, 1, 2, 2), 3, clear=3) + frame([2] * 4, (0, 0, 2, 2), 2) + frame([0, 1, 2, 3], (3, 0, 1, 4), 1, flags=0x40) + b"\x3b"
+    out = gif.decode(data)
+    assert out["error"] is None and (out["width"], out["height"], out["loops"], len(out["frames"])) == (4, 4, 2, 4)
+    view = [np.frombuffer(f["rgb"], np.uint8).reshape(4, 4, 3) for f in out["frames"]]
+    red, green, blue = [255, 0, 0], [0, 255, 0], [0, 0, 255]
+    assert view[1][1, 1].tolist() == green and view[1][1, 2].tolist() == red  # transparent
+    assert view[2][1, 2].tolist() == red and view[2][2, 2].tolist() == red and view[2][0, 0].tolist() == blue  # undone
+    assert view[3][0, 0].tolist() == red  # disposed to the background
+    assert [view[3][i, 3].tolist() for i in range(4)] == [red, blue, green, [9, 9, 9]]  # interlaced
+    assert sum(out["frames"][1]["histogram"]) == 2 and out["frames"][0]["delay_ms"] == 50
+    assert gif.decode(b"no")["error"] and gif.decode(data[:-20])["error"] and len(gif.decode(data[:-20])["frames"]) == 3
+
+
+def test_lzw_round_trip_and_small_codes():
+    r = random.Random(7)
+    for n, k in itertools.product((0, 1, 63, 5000, 70_000), (1, 2, 40, 256)):
+        d = bytes(r.randrange(k) for _ in range(n))
+        assert gif.lzw_decode(gif.lzw_encode(d), 8) == d
+    assert gif.lzw_decode(bytes([0x44, 0x01, 0x05]) if False else bytes([0x8C, 0x2D, 0x99, 0x87, 0x2A, 0x1C, 0xDC, 0x33, 0xA0, 0x02, 0x75, 0xEC, 0x95, 0xFA, 0xA8, 0xDE, 0x60, 0x8C, 0x04, 0x91, 0x4C, 0x01]), 2) == bytes.fromhex("01010101010202020202" "01010101010202020202" "01010101010202020202" "01010100000000020202" "01010100000000020202" "02020200000000010101" "02020200000000010101" "02020202020101010101" "02020202020101010101" "02020202020101010101")
+
+
+# language model
+
+
+def test_backoff_is_brute_force(spark):
+    r = random.Random(8)
+    texts = [None, "", " ", "one", "one", *[" ".join(r.choice("a b c d e A".split()) for _ in range(r.randrange(1, 60))) for _ in range(30)], "z " * 3000]
+    ws = [(t or "").split() for t in texts]
+    c = [collections.Counter(tuple(w[i : i + n]) for w in ws for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
+    total = sum(c[0].values())
+
+    def value(w, i, n):
+        if n == 1:
+            return math.log(c[0][w[i],] / total), 0
+        g = tuple(w[i - n + 1 : i + 1])
+        if c[n - 1][g] >= 2:
+            return math.log(c[n - 1][g] / c[n - 2][g[:-1]]), 0
+        return math.log(0.4) + value(w, i, n - 1)[0], 1
+
+    got = lm.score(docs(spark, texts).withColumn("chunk", F.lit(1))).orderBy("doc_id").collect()
+    for w, g in zip(ws, got):
+        each = [value(w, i, min(i + 1, 3)) for i in range(len(w))]
+        assert (g.n_words, g.n_backoff) == (len(w), sum(b for _, b in each))
+        assert g.log_score == pytest.approx(sum(v for v, _ in each), abs=1e-3)
+        assert (g.mean_log is None) == (not w)
+    assert lm.score(docs(spark, [])).collect() == []
+    assert [x.n_words for x in lm.score(docs(spark, [None, ""])).collect()] == [0, 0]
+
+
+def test_backoff_parts_do_not_matter(spark, monkeypatch):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = sorted(map(tuple, lm.score(d).collect()))
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 40_000)
+    monkeypatch.setattr(lm, "PART_GRAMS", 9_000)
+    for a, b in zip(whole, sorted(map(tuple, lm.score(d).collect()))):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=2e-4)
+
+
+# classifiers
+
+
+def split(spark):
+    d, y = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    return d, y
+
+
+def test_toxicity_held_out(spark):
+    d, y = split(spark)
+    chain = toxicity.train(d, y.where("doc_id % 3 > 0"))
+    scored = toxicity.score(d, chain).join(y.where("doc_id % 3 = 0"), "doc_id").collect()
+    right = sum(r.toxic_doc == bool(r.toxic) for r in scored)
+    assert right / len(scored) >= 0.93
+    assert sum(r.toxic_doc and not r.toxic for r in scored) <= 0.01 * len(scored)
+    odd = toxicity.score(docs(spark, [None, "", "idiot " * 5000]), chain).orderBy("doc_id").collect()
+    assert [r.toxic_doc for r in odd] == [False, False, True] and toxicity.score(docs(spark, []), chain).collect() == []
+    none = toxicity.train(d.limit(0), y)
+    assert [r.toxic_doc for r in toxicity.score(docs(spark, ["idiot"]), none).collect()] == [False]
+
+
+def test_chain_uses_earlier_categories():
+    r = np.random.default_rng(0)
+    x = (r.random((600, 2)) < 0.5).astype(float)
+    first = x[:, 0]
+    second = np.logical_xor(x[:, 0], x[:, 1]).astype(float)
+    y = np.stack([first, second, second], axis=1)
+    chain = toxicity.fit_chain(x, y, np.arange(600) % 5.0, [1, 2], ["a", "b", "c"])
+    assert [len(w) for w in chain.weights] == [3, 4, 5]
+    assert ((chain.predict(x)[:, 0] >= 0.5) == first).all()
+
+
+def test_quality_held_out(spark):
+    d, y = split(spark)
+    got = quality.judge(d).join(y, "doc_id").collect()
+    bad = [r for r in got if r.quality == 0]
+    good = [r for r in got if r.quality == 1]
+    assert sum(not r.keep for r in bad) / len(bad) >= 0.95 and sum(r.keep for r in good) / len(good) >= 0.99
+    odd = quality.judge(d.select("doc_id", "text").union(docs(spark, [None, "", "!" * 60_000]).selectExpr("doc_id + 5000", "text"))).where("doc_id >= 5000").orderBy("doc_id").collect()
+    assert [r.posterior < 0.5 for r in odd] == [True, True, True]
+    assert quality.judge(docs(spark, [])).collect() == []
+
+
+def test_label_model_finds_accuracies():
+    r = np.random.default_rng(1)
+    y = r.random(20_000) < 0.7
+    acc = [0.95, 0.8, 0.7]
+    votes = np.stack([np.where(r.random(len(y)) < a, y, ~y).astype(int) for a in acc], axis=1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    m = quality.fit_label_model(patterns, counts.astype(float))
+    assert m.good == pytest.approx(0.7, abs=0.03) and m.accuracies() == pytest.approx(acc, abs=0.03)
+
+
+# pipeline
+
+
+def test_pipeline_stage_by_stage(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    held = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = held.limit(3).withColumn("doc_id", F.col("doc_id") + 100_000).union(held.limit(1).select(F.lit(200_000).cast("long"), F.lit(None).cast("string"), F.lit("en"), F.lit("s"), F.lit(0).cast("long")))
+    held = corpus_pipeline.settle(held.union(extra))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r for r in held.collect()}
+        now = corpus_pipeline.settle(stage(spark, held, sf))
+        after = {r.doc_id: r for r in now.collect()}
+        if name != "tokenise":
+            assert now.columns == held.columns
+        if name == "toxicity":
+            assert all(i in after or re.search(r"idiot|moron|stupid|clown|trash|scum|worthless|pathetic|loser|disgust", r.text.lower()) for i, r in before.items())
+        elif name == "near_duplicates":
+            fp = {i: brute_fingerprint(r.text) for i, r in before.items()}
+            comp = brute_components(set(fp.values()))
+            least = {}
+            for i in sorted(fp):
+                least.setdefault(comp[fp[i]], i)
+            assert set(after) == set(least.values())
+        elif name == "decontamination":
+            ids = sorted(before)
+            told = brute_decontaminate([before[i].text for i in ids], items)
+            assert set(after) == {i for i, t in zip(ids, told) if not t[4]}
+        elif name == "personal_data":
+            assert set(after) == set(before)
+            assert all((after[i].text == r.text) == (not pii.find(r.text)) for i, r in before.items())
+        else:
+            assert set(after) == set(before) and all(r.round_trip or r.text is None or "▁" in r.text for r in after.values())
+        held = now
+    assert duckdb
