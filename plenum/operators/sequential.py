@@ -104,12 +104,13 @@ def align(left: DataFrame, right: DataFrame, least: float = 0.1) -> DataFrame:
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"grp": [], "left_ordinal": [], "right_ordinal": [], "overlap": []})
-        a, b = a.sort_values("ordinal"), b.sort_values("ordinal")
-        found = align_sets([set(x) for x in a["words"]], [set(x) for x in b["words"]], least)
-        o, p = a["ordinal"].tolist(), b["ordinal"].tolist()
+        a, b = a.sort_values("ordinal"), b.sort_values("place")
+        found = align_sets([set(x) for x in a["words"]], [set(x) for x in b["said"]], least)
+        o, p = a["ordinal"].tolist(), b["place"].tolist()
         return pd.DataFrame([(a["grp"].iloc[0], o[i], p[j], round(s, 4)) for i, j, s in found], columns=["grp", "left_ordinal", "right_ordinal", "overlap"])
 
-    return left.groupBy("grp").cogroup(right.groupBy("grp")).applyInPandas(pair, "grp long, left_ordinal long, right_ordinal long, overlap double")
+    other = right.select(F.col("grp").alias("g"), F.col("ordinal").alias("place"), F.col("words").alias("said"))
+    return left.groupBy("grp").cogroup(other.groupBy("g")).applyInPandas(pair, "grp long, left_ordinal long, right_ordinal long, overlap double")
 
 
 def stitch(chunks: DataFrame, threshold: float = 0.75, least_speech: float = 3.0) -> DataFrame:
