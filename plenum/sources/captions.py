@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _TIME = r"^\s*(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})\s*-->\s*(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})"
@@ -23,8 +23,6 @@ def cues(docs: DataFrame, key: str, vtt: str) -> DataFrame:
     part = lambda g: F.coalesce(F.nullif(F.regexp_extract(time, _TIME, g), F.lit("")).cast("double"), F.lit(0.0))
     seconds = lambda g: part(g) * 3600 + part(g + 1) * 60 + part(g + 2) + part(g + 3) / 1000
     fine = F.regexp_like(time, F.lit(_TIME))
-    from pyspark.sql import Window
-
     order = F.row_number().over(Window.partitionBy(key).orderBy("n")) - 1
     return each.where(fine).select(
         key, order.cast("long").alias("cue"), F.round(seconds(1), 3).alias("start"), F.round(seconds(5), 3).alias("end"),
