@@ -8,47 +8,57 @@ which scores whole texts.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from itertools import chain, repeat
+from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.common import settle
 
-#: Documents that the scorer is fitted on, those of the smallest hashes of their texts; the bound of the training sample.
-SAMPLE = 8_000
+#: Distinct texts that the scorer is fitted on, those of the smallest hashes; the bound of the training sample.
+SAMPLE = 3_000
 #: Buckets of hashed features.
 BUCKETS = 1 << 16
 ROUNDS = 200
 
 
-def statistics(text: Column) -> Column:
-    """Counts over a whole text that the labellers look at."""
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    ws = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    return F.struct(
-        F.length(t).alias("chars"),
-        F.size(ws).alias("words"),
-        F.regexp_count(t, F.lit(r"\p{Lu}")).alias("upper"),
-        F.regexp_count(t, F.lit(r"\p{Ll}")).alias("lower"),
-        F.regexp_count(t, F.lit(r"[#$%&*|~^<>{}\\_=+]")).alias("symbols"),
-        F.regexp_count(t, F.lit("!")).alias("shouts"),
-        F.regexp_count(t, F.lit(r"[.?!](?=\s|\z)")).alias("ends"),
-        F.size(F.array_distinct(ws)).alias("distinct"),
-        F.size(F.filter(F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)).alias("twins"),
-    )
+_SYMBOLS = list(rb"#$%&*|~^<>{}\_=+")
+_END = re.compile(rb"[.?!](?=\s|\Z)")
+_RUNS = re.compile(rb"(\S)\1+")
+#: Capitals, small letters and digits as A, a and 0; bytes of other than ASCII characters count as small letters.
+_SHAPE = bytes(65 if 65 <= i <= 90 else 97 if 97 <= i <= 122 or i >= 128 else 48 if 48 <= i <= 57 else i for i in range(256))
+STATISTICS = ["chars", "words", "upper", "lower", "symbols", "shouts", "ends", "distinct", "twins"]
+
+
+def statistics(texts: pd.Series) -> dict[str, np.ndarray]:
+    """Counts over whole texts that the labellers look at."""
+    rows = np.zeros((len(texts), len(STATISTICS)), np.int64)
+    for i, t in enumerate(texts):
+        b = (t or "").encode("utf-8", "surrogatepass")
+        ws = b.split()
+        h = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
+        others = h[0xC2:].sum()  # first bytes of other than ASCII characters
+        rows[i] = (
+            len(t or ""), len(ws), h[65:91].sum(), h[97:123].sum() + others, h[_SYMBOLS].sum(), h[33],
+            sum(1 for _ in _END.finditer(b)), len(set(ws)), sum(map(eq, ws, ws[1:])),
+        )
+    return dict(zip(STATISTICS, rows.T))
 
 
-def labellers(s: Column) -> dict[str, Column]:
+def labellers(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """Overlapping heuristics: each votes 1 (good) or 0 (bad), or abstains (-1).
 
     Bad texts are bad in one way or another, so most labellers know one fault and abstain without it.
     """
     n, letters = s["words"], s["upper"] + s["lower"]
-    bad = lambda x: F.when(x, 0).otherwise(-1)
-    good = lambda x: F.when(x, 1).otherwise(-1)
+    bad = lambda x: np.where(x, 0, -1)
+    good = lambda x: np.where(x, 1, -1)
     enough = n >= 5
     tidy = (letters > 0) & (s["symbols"] * 50 <= n) & (s["shouts"] * 50 <= n) & (s["upper"] * 5 <= letters)
     return {
@@ -67,6 +77,11 @@ def labellers(s: Column) -> dict[str, Column]:
     }
 
 
+def votes(texts: pd.Series) -> np.ndarray:
+    """A row of votes for each text, in the labellers' order."""
+    return np.stack(list(labellers(statistics(texts)).values()), axis=1)
+
+
 @dataclass
 class LabelModel:
     """The share of good documents, and each labeller's chances to vote 0, 1 or -1 on bad and on good ones."""
@@ -108,16 +123,13 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUN
     return model
 
 
-def features(text: Column) -> Column:
+def features(text: str | None) -> np.ndarray:
     """Buckets of a text's words and of their shapes, repeats included, and one for each word that follows itself."""
-    ws = F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+")
-    shape = lambda w: F.regexp_replace(
-        F.regexp_replace(F.regexp_replace(F.regexp_replace(w, r"\p{Lu}+", "A"), r"\p{Ll}+", "a"), r"[0-9]+", "0"), r"(\W)\1+", "$1$1"
-    )
-    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int")
-    pairs = F.zip_with(F.slice(ws, 2, F.size(ws)), ws, lambda b, a: F.when(a == b, bucket(F.lit("twin"))))
-    twins = F.filter(pairs, lambda x: x.isNotNull())
-    return F.concat(twins, F.transform(ws, bucket), F.transform(ws, lambda w: bucket(F.concat(F.lit("shape "), shape(w)))))
+    b = (text or "").encode("utf-8", "surrogatepass")
+    ws = b.split()
+    shapes = _RUNS.sub(rb"\1", b.translate(_SHAPE)).split()
+    x = np.fromiter(chain(map(crc32, ws), map(crc32, shapes, repeat(1))), np.uint32) % BUCKETS
+    return np.concatenate([x, np.full(sum(map(eq, ws, ws[1:])), crc32(b"twin", 2) % BUCKETS)]).astype(np.int32)
 
 
 def _mean(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
@@ -133,14 +145,14 @@ def _mean(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
 def fit_scorer(rows: list[np.ndarray], y: np.ndarray, passes: int = 60, rate: float = 20.0, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on mean-pooled features with soft labels y: gradient steps with each weight's own rate."""
     size = np.maximum([len(r) for r in rows], 1)
-    flat, of = np.concatenate(rows) if rows else np.zeros(0, int), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    scale = 1 / size[of]
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    of = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     w, b = np.zeros(BUCKETS), 0.0
     seen, seen_b = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(passes):
         p = 1 / (1 + np.exp(-np.clip(_mean(w, rows) + b, -30, 30)))
         err = (p - y) / max(len(rows), 1)
-        g = np.bincount(flat, err[of] * scale, minlength=BUCKETS) + l2 * w
+        g = np.bincount(flat, (err / size)[of], minlength=BUCKETS) + l2 * w
         seen += g * g
         seen_b += err.sum() ** 2
         w -= rate / passes**0.5 * g / np.sqrt(seen)
@@ -152,38 +164,44 @@ def judge(docs: DataFrame, sample: int = SAMPLE, keep: float = 0.5) -> DataFrame
     """One row per document: doc_id, votes (in the order of labellers()), posterior, score (the linear model's), keep.
 
     The posterior is the label model's, from all documents' votes; score is the linear model's estimate of it, fitted on
-    `sample` documents at most; keep says that the score reaches `keep`. Both are rounded to 6 places.
+    `sample` distinct texts at most; keep says that the score reaches `keep`. Both are rounded to 6 places.
 
     A null text is empty; an empty text gets the empty labeller's vote. Texts are read whole; null ids and
     repeated rows stay; other columns are ignored; an empty table gives no rows.
     """
-    names = list(labellers(F.struct(*[F.lit(0).alias(c) for c in ("chars", "words", "upper", "lower", "symbols", "shouts", "ends", "distinct", "twins")])))
-    cast = docs.select("doc_id", "text", statistics(F.col("text")).alias("s")).select(
-        "doc_id", "text", F.array(*labellers(F.col("s")).values()).cast("array<int>").alias("votes")
-    )
-    counted = cast.groupBy("votes").agg(F.count("*").alias("n")).collect()  # 3 to the power of the labellers at most
-    patterns = np.array([r.votes for r in counted], np.int64).reshape(len(counted), len(names))
-    order = np.lexsort(patterns.T[::-1]) if len(counted) else np.zeros(0, int)
-    patterns, counts = patterns[order], np.array([r.n for r in counted], float)[order]
-    model = fit_label_model(patterns, counts)
-    posterior = dict(zip(map(tuple, patterns.tolist()), model.posterior(patterns).tolist()))
+    told = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
-    few = settle(
-        cast.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "votes", "text").orderBy("h", "votes").limit(sample)
-        .select("h", "votes", features(F.col("text")).alias("f"))
-    ).toPandas()
-    few = few.sort_values("h", kind="stable").drop_duplicates("h")
-    w, b = fit_scorer([np.asarray(f, np.int64) for f in few["f"]], np.array([posterior[tuple(v)] for v in few["votes"]]))
-    shared = docs.sparkSession.sparkContext.broadcast(w.astype(np.float32))
+    @F.pandas_udf("array<int>")
+    def voted(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(votes(texts).astype(np.int32)))
 
-    @F.pandas_udf("struct<posterior:double,score:double>")
-    def rate(votes: pd.Series, f: pd.Series) -> pd.DataFrame:
-        z = _mean(shared.value.astype(np.float64), list(f)) + b
-        return pd.DataFrame({"posterior": [posterior[tuple(v)] for v in votes], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+    # 3 to the power of the labellers at most
+    counted = told.select(voted("text").alias("votes")).groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
+    patterns = np.array([r.votes for r in counted], np.int64).reshape(len(counted), -1 if counted else 1)
+    model = fit_label_model(patterns, np.array([r.n for r in counted], float))
+    posterior = dict(zip(map(tuple, patterns.tolist()), model.posterior(patterns).tolist()))
 
-    return cast.select("doc_id", "votes", rate(F.col("votes"), features(F.col("text"))).alias("r")).select(
+    @F.pandas_udf("array<int>")
+    def spread(texts: pd.Series) -> pd.Series:
+        return texts.map(features)
+
+    hashed = told.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # only hashes meet in one task
+    first = hashed.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text"))
+    few = settle(first.select("h", voted("text").alias("votes"), spread("text").alias("f"))).toPandas()
+    few = few.sort_values("h")
+    w, b = fit_scorer([np.asarray(f, np.int32) for f in few["f"]], np.array([posterior[tuple(v)] for v in few["votes"]]))
+    shared = docs.sparkSession.sparkContext.broadcast(w)  # half a megabyte
+
+    @F.pandas_udf("struct<votes:array<int>,posterior:double,score:double>")
+    def rate(texts: pd.Series) -> pd.DataFrame:
+        own = votes(texts).astype(np.int32)
+        z = np.concatenate([np.zeros(0), *(_mean(shared.value, [features(t)]) for t in texts)]) + b
+        return pd.DataFrame({"votes": list(own), "posterior": [posterior[tuple(v)] for v in own.tolist()], "score": 1 / (1 + np.exp(-np.clip(z, -30, 30)))})
+
+    return told.select("doc_id", rate("text").alias("r")).select(
         "doc_id",
-        "votes",
+        "r.votes",
         F.round("r.posterior", 6).alias("posterior"),
         F.round("r.score", 6).alias("score"),
         (F.col("r.score") >= keep).alias("keep"),
