@@ -45,12 +45,9 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, the number of ids, and whether decoding gives the text back."""
     blob = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(docs, blob), blob)
-    return (
-        coded.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
-        .withColumn("round_trip", F.col("decoded") == F.col("text"))
-        .drop("decoded")
-    )
+    coded = pieces.encode_checked(docs, blob, out="__coded")
+    n = F.coalesce(F.size("__coded.ids"), F.lit(0)).cast("long")
+    return coded.withColumns({"ids": F.col("__coded.ids"), "n_tokens": n, "round_trip": F.col("__coded.round_trip")}).drop("__coded")
 
 
 STAGES = [

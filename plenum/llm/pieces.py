@@ -12,21 +12,26 @@ The forward state of a prefix is its best segmentation's value and last piece:
 
 from __future__ import annotations
 
+import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Distinct words whose pieces a Python worker remembers; when there are more, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Characters of texts whose words are sorted together.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 1_500_000
+#: Neighbouring pieces of which a worker remembers whether they come apart; when there are more, it starts anew.
+FITS = 300_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNIGRAM, _BPE = 1, 2
@@ -80,15 +85,11 @@ class Model:
             raise ValueError("only unigram and BPE models that keep texts as they are")
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k in (_NORMAL, _USER)}
         self.scores = scores
+        self.score_of = {p: scores[i] for p, i in self.ids.items()}
         self.unknown = kinds.index(_UNKNOWN)
         self.bytes = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, kinds)) if k == _BYTE}
         self.of_byte = {i: b for b, i in self.bytes.items()}
         self.longest = max(map(len, self.ids), default=1)
-        # the lengths of the pieces that end with each character
-        ends: dict[str, set[int]] = {}
-        for p in self.ids:
-            ends.setdefault(p[-1], set()).add(len(p))
-        self.ends = {c: sorted(ls) for c, ls in ends.items()}
         self.least = min((scores[i] for i in self.ids.values()), default=0.0)
         inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         if any(b[1] == MARK and b[0] != MARK for b in inner):
@@ -100,7 +101,21 @@ class Model:
         lone = "" if any("\n" in b for b in inner) else "\n"
         other = f"{MARK}{lone}{_LETTERS}"
         self.words = re.compile(f"\n|{MARK}*[^{other}]*(?:[{_LETTERS}]+[^{other}{safe}][^{other}]*)*[{_LETTERS}]*" if lone else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.fits = cache(self._fits)
+        self.size = [len(p) for p in self.pieces]
+        self.spelling = [bytes((self.of_byte[i],)) if i in self.of_byte else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.spelling[self.unknown] = " ⁇ ".encode()
+        # pieces that can end a segmentation: under BPE those that merging their characters gives
+        lone_chars = {c for p in self.ids for c in p} <= set(self.ids)
+        if self.kind == _BPE and not lone_chars:
+            raise ValueError("a BPE model with characters that are no pieces")
+        self.reach = {p: i for p, i in self.ids.items() if self.kind == _UNIGRAM or len(p) == 1 or self.merge(p) == [p]}
+        # the lengths of the pieces that end with each two characters, or are one character, longest first
+        ends: dict[str, set[int]] = {}
+        for p in self.reach:
+            ends.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {c: tuple(sorted(ls | ({1} if c[-1] in self.reach else set()), reverse=True)) for c, ls in ends.items()}
+
+        self.known_fits: dict[int, bool] = {}
 
     def mark(self, text: str) -> list[str]:
         """The marked words of a text, which joined are the marked text."""
@@ -125,91 +140,105 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fits(self, a: str, b: str) -> bool:
-        return self.merge(a + b) == ([a, b] if b else [a])
-
-    def walk(self, words: list[str]) -> Iterator[list[int]]:
-        """The ids of each of the sorted words: the trie depth-first, forward states kept for common prefixes."""
-        before = ""
-        last: list[str] = [""]  # the last piece of each prefix's segmentation
+    def fits(self, a: int, b: int) -> bool:
+        """Whether two neighbouring pieces, joined and merged, come apart into themselves: whether no merge crosses their border."""
+        if len(self.known_fits) >= FITS:
+            self.known_fits.clear()
+        known = self.known_fits[a << 20 | b] = not self._crosses(self.pieces[a], self.pieces[b])
+        return known
+
+    def _crosses(self, x: str, y: str) -> bool:
+        parts, border, score = list(x + y), len(x) - 1, self.score_of.get
+        found = [score(a + b) for a, b in zip(parts, parts[1:])]  # of each pair of neighbours, null if they don't merge
+        while found[border] is not None or any(f is not None for f in found):
+            at = max((i for i, f in enumerate(found) if f is not None), key=lambda i: (found[i], -i))
+            if at == border:
+                return True
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            border -= at < border
+            if at:
+                found[at - 1] = score(parts[at - 1] + parts[at])
+            if at < len(found):
+                found[at] = score(parts[at] + parts[at + 1])
+        return False
+
+    def walk(self, words: list[str]) -> Iterator[bytes]:
+        """The ids, as 32-bit numbers, of each of the sorted words: the trie depth-first, forward states kept for common prefixes."""
+        before, size = "", self.size
+        last: list[int] = [0]  # the last piece of each prefix's segmentation, -1 for a character that is none
         value = [0.0]
+        step = self._merged if self.kind == _BPE else self._likeliest
         for word in words:
-            n, same = min(len(word), len(before)), 0
-            while same < n and word[same] == before[same]:
+            same = 0
+            for a, b in zip(word, before):
+                if a != b:
+                    break
                 same += 1
             del last[same + 1 :], value[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                self._extend(word, end, last, value)
+            step(word, same + 1, last, value)
             before = word
             out: list[int] = []
             end = len(word)
             while end:
-                piece = last[end]
-                out.extend(reversed(self._id(piece)))
-                end -= len(piece)
+                k = last[end]
+                if k >= 0:
+                    out.append(k)
+                    end -= size[k]
+                else:
+                    end -= 1
+                    out.extend(reversed(self._spelt(word[end])))
             out.reverse()
-            yield out
+            yield array("i", out).tobytes()
 
-    def _id(self, piece: str) -> list[int]:
-        if piece in self.ids:
-            return [self.ids[piece]]
+    def _spelt(self, char: str) -> list[int]:
+        """The ids of a character that is no piece."""
         if self.bytes:
-            return [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
+            return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
-    def _extend(self, word: str, end: int, last: list[str], value: list[float]) -> None:
-        char = word[end - 1]
-        lengths = self.ends.get(char, ())
-        if self.kind == _BPE:
-            for n in reversed(lengths):
+    def _merged(self, word: str, begin: int, last: list[int], value: list[float]) -> None:
+        """The last piece of each further prefix under merging: the longest that comes apart from what is before it."""
+        reach, ends, known = self.reach, self.ends, self.known_fits
+        for end in range(begin, len(word) + 1):
+            found = -1
+            for n in (ends.get(word[end - 2 : end]) if end > 1 else None) or ends.get(word[end - 1], ()):
                 if n > end:
                     continue
-                piece = word[end - n : end]
-                if piece in self.ids and (n == 1 or self._whole(piece)) and (n == end or self.fits(last[end - n], piece)):
-                    last.append(piece)
-                    value.append(0.0)
-                    return
-            last.append(char)
-            value.append(0.0)
-            return
-        best, which = value[end - 1] + self.least - 10.0, char
-        for n in lengths:
-            if n <= end and (k := self.ids.get(word[end - n : end])) is not None and (n == 1 or value[end - n] + self.scores[k] > best):
-                best, which = value[end - n] + self.scores[k], word[end - n : end]
-        last.append(which)
-        value.append(best)
-
-    def _whole(self, piece: str) -> bool:
-        """Whether merging a piece's characters gives the piece."""
-        return self.fits(piece, "")
+                k = reach.get(word[end - n : end])
+                if k is None:
+                    continue
+                if n < end and (a := last[end - n]) >= 0:  # no piece holds a character that is none
+                    fits = known.get(a << 20 | k)
+                    if not (self.fits(a, k) if fits is None else fits):
+                        continue
+                found = k
+                break
+            last.append(found)
+
+    def _likeliest(self, word: str, begin: int, last: list[int], value: list[float]) -> None:
+        """Viterbi: each further prefix's largest sum of scores, and the last piece of it; the first found of equals."""
+        for end in range(begin, len(word) + 1):
+            which, best = -1, value[end - 1] + self.least - 10.0
+            for n in reversed((self.ends.get(word[end - 2 : end]) if end > 1 else None) or self.ends.get(word[end - 1], ())):
+                if n <= end and (k := self.ids.get(word[end - n : end])) is not None and (n == 1 or value[end - n] + self.scores[k] > best):
+                    best, which = value[end - n] + self.scores[k], k
+            last.append(which)
+            value.append(best)
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: marks become spaces, the one put in front goes, runs of byte pieces are read as UTF-8."""
-        out: list[str] = []
-        raw = bytearray()
-        pieces, of_byte = self.pieces, self.of_byte
-        for i in ids:
-            b = of_byte.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(pieces[i] if i != self.unknown else " ⁇ ")
-        if raw:
-            out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
+        """The text of ids: marks become spaces, the one put in front goes, byte pieces are read as UTF-8."""
+        text = b"".join(map(self.spelling.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
 @cache
-def _worker(blob: bytes) -> tuple[Model, dict[str, list[int]]]:
+def _worker(blob: bytes) -> tuple[Model, dict[str, bytes]]:
     """A worker's model and the words that it remembers from batch to batch."""
     return Model(blob), {}
 
 
-def encode_batch(model: Model, memo: dict[str, list[int]], texts: list[str]) -> list[np.ndarray]:
+def encode_batch(model: Model, memo: dict[str, bytes], texts: list[str]) -> list[np.ndarray]:
     marked = [model.mark(t) for t in texts]
     new = set(chain.from_iterable(marked)).difference(memo)
     if len(memo) + len(new) > REMEMBERED:
@@ -217,8 +246,7 @@ def encode_batch(model: Model, memo: dict[str, list[int]], texts: list[str]) ->
         new = set(chain.from_iterable(marked))
     new = sorted(new)
     memo.update(zip(new, model.walk(new)))
-    of = memo.__getitem__
-    return [np.fromiter(chain.from_iterable(map(of, ws)), np.int32) for ws in marked]
+    return [np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.int32) for ws in marked]
 
 
 def read_model(path: str) -> bytes:
@@ -226,6 +254,25 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def _batches(model: Model, memo: dict[str, bytes], col: pa.Array) -> Iterator[tuple[list[str | None], list[np.ndarray]]]:
+    """Texts of a column and their ids, some rows of it at a time; a null text has no ids here."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(col):
+        until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, side="right")))
+        texts = col.slice(at, until - at).to_pylist()
+        yield texts, encode_batch(model, memo, [t or "" for t in texts])
+        at = until
+
+
+def _lists(col: pa.Array, ids: list[np.ndarray]) -> pa.Array:
+    """The ids as an array of lists, null where the text is."""
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    values = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=pc.is_null(col))
+
+
 def encode(docs: DataFrame, blob: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with one more column, an array of piece ids; blob is the model file's content.
 
@@ -234,28 +281,10 @@ def encode(docs: DataFrame, blob: bytes, text: str = "text", ids: str = "ids") -
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(blob)  # half a megabyte
 
-    @F.pandas_udf("array<int>")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, memo = _worker(broadcast.value)
+    @F.arrow_udf("array<int>")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in parts:
-            out: list[np.ndarray | None] = [None] * len(col)
-            group: list[tuple[int, str]] = []
-            size = 0
-
-            def flush(group: list[tuple[int, str]], out: list) -> None:
-                for (k, _), got in zip(group, encode_batch(model, memo, [t for _, t in group])):
-                    out[k] = got
-
-            for k, t in enumerate(col):
-                if t is None:
-                    continue
-                group.append((k, t))
-                size += len(t)
-                if size > BATCH_CHARS:
-                    flush(group, out)
-                    group, size = [], 0
-            flush(group, out)
-            yield pd.Series(out, dtype=object)
+            yield _lists(col, [x for _, got in _batches(*_worker(broadcast.value), col) for x in got])
 
     return docs.withColumn(ids, of(F.col(text).cast("string")))
 
@@ -264,10 +293,40 @@ def decode(rows: DataFrame, blob: bytes, ids: str = "ids", text: str = "decoded"
     """rows with the text that their ids spell. Null ids give null, no ids an empty text."""
     broadcast = rows.sparkSession.sparkContext.broadcast(blob)
 
-    @F.pandas_udf("string")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model, _ = _worker(broadcast.value)
+    @F.arrow_udf("string")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in parts:
-            yield col.map(lambda x: None if x is None else model.decode(x.tolist()))
+            model, _ = _worker(broadcast.value)
+            yield pa.array([model.decode(x.as_py()) if x.is_valid else None for x in col], pa.string())
 
     return rows.withColumn(text, of(F.col(ids)))
+
+
+def encode_checked(docs: DataFrame, blob: bytes, text: str = "text", out: str = "coded") -> DataFrame:
+    """docs with a struct: ids, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_chars, decoded_sha256, round_trip.
+
+    encode() and decode() in one pass through Python, without sending the decoded text back. A null text has null fields.
+    """
+    broadcast = docs.sparkSession.sparkContext.broadcast(blob)
+    fields = ["ids", "ids_sha256", "decoded_chars", "decoded_sha256", "round_trip"]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    @F.arrow_udf("struct<ids:array<int>,ids_sha256:string,decoded_chars:long,decoded_sha256:string,round_trip:boolean>")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for col in parts:
+            model, memo = _worker(broadcast.value)
+            ids: list[np.ndarray] = []
+            told: list[tuple] = []
+            for texts, got in _batches(model, memo, col):
+                ids += got
+                for t, x in zip(texts, got):
+                    if t is None:
+                        told.append((None, None, None, None))
+                        continue
+                    back = model.decode(x.tolist())
+                    told.append((sha(x.astype("<i4").tobytes()), len(back), sha(back.encode("utf-8", "surrogatepass")), back == t))
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_()]
+            rest = [pa.array([r[k] for r in told], kind) for k, kind in enumerate(kinds)]
+            yield pa.StructArray.from_arrays([_lists(col, ids), *rest], names=fields)
+
+    return docs.withColumn(out, of(F.col(text).cast("string")))

@@ -91,18 +91,9 @@ def op8_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     blob = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), blob)
-    back = pieces.decode(coded, blob)
-    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
-    return back.select(
-        "doc_id",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        F.sha2(F.coalesce(listed, F.lit("")), 256).alias("ids_sha256"),
-        F.length("decoded").cast("long").alias("decoded_chars"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-        (F.col("decoded") == F.col("text")).alias("round_trip"),
-        "ids",
-    )
+    coded = pieces.encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), blob)
+    n = F.coalesce(F.size("coded.ids"), F.lit(0)).cast("long")
+    return coded.select("doc_id", n.alias("n_tokens"), "coded.ids_sha256", "coded.decoded_chars", "coded.decoded_sha256", "coded.round_trip", "coded.ids")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
