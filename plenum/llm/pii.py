@@ -1,8 +1,8 @@
 """Personal data replaced by surrogates that are keyed, consistent and of the same type.
 
 find() reports mentions with a canonical form. Each distinct entity, kind and canonical form, gets one surrogate, derived from
-a secret key, wherever it stands; a surrogate that is a real entity or another one's surrogate is derived anew, so that
-distinct entities stay distinct. A mention takes its surrogate in its own format: separators, case and lengths stay, card
+a secret key, wherever it stands; a surrogate that is a real entity or another one's surrogate is derived anew, after
+a few attempts from a wider space, so that distinct entities stay distinct, and each is certain to get one. A mention takes its surrogate in its own format: separators, case and lengths stay, card
 numbers keep their issuer's digit and a valid check digit, addresses their network class, names their gender and script.
 """
 
@@ -19,11 +19,14 @@ from pyspark.sql import functions as F
 
 from plenum.llm.common import settle
 
+#: Attempts in the space of an entity's own shape, and, for addresses, in the wider one of its class; later ones draw from spaces that grow.
+NARROW, CLASS = 4, 8
+
 _KEY = r"(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key|auth(?:orization)?|credential)s?"
 #: Kinds and patterns, in the order in which they claim a stretch of text. The group `v`, if any, is the entity.
 PATTERNS = [
     ("email", r"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![A-Za-z0-9])"),
-    ("secret", rf"(?i:\b{_KEY})\s*(?:=|:|=>)\s*[\"']?(?P<v>[A-Za-z0-9+/_.~-]{{6,}}=*)"),
+    ("secret", rf"(?i:\b{_KEY})\s*(?:=|:|=>)\s*[\"']?(?P<v>(?=[+/_.~-]*[A-Za-z0-9])[A-Za-z0-9+/_.~-]{{6,}}=*)"),
     ("secret", r"(?<![A-Za-z0-9_])(?P<v>AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{5,})"),
     ("secret", r"(?<![A-Za-z0-9])(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])(?P<v>[a-fA-F0-9]{32,})(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -147,25 +150,30 @@ class _Stream:
 
 
 def surrogate(kind: str, key: str, attempt: int, secret: bytes) -> str:
-    """The canonical form that stands for an entity."""
+    """The canonical form that stands for an entity. After NARROW attempts it gets longer with each, so no space stays full."""
     s = _Stream(secret, kind, key, str(attempt))
+    more = "0" * (2 * max(0, attempt - NARROW + 1))
     if kind == "email":
         local, _, domain = key.rpartition("@")
         labels = domain.split(".")
         host = _Stream(secret, "domain", domain)  # the same for all addresses of a domain
-        return f"{s.like(local)}@{'.'.join([*(host.like(x) for x in labels[:-1]), labels[-1]])}"
+        return f"{s.like(local + more)}@{'.'.join([*(host.like(x) for x in labels[:-1]), labels[-1]])}"
     if kind == "card":
-        body = key[0] + s.like(key[1:-1])
+        body = key[0] + s.like(key[1:-1] + more)
         return next(body + c for c in "0123456789" if luhn(body + c))
     if kind == "ip":
+        if attempt >= CLASS:  # all IPv4 forms of its class may be held: a local IPv6 address
+            return "fd" + ":".join(f"{s.below(1 << 16):04x}" for _ in range(8))[2:]
         parts = key.split(".")
         keep = 1 if parts[0] in ("10", "127") else 2 if key.startswith("192.168.") or parts[0] == "172" and 16 <= int(parts[1]) <= 31 else 0
+        if keep == 2 and more:  # the largest private network
+            parts, keep = ["10"], 1
         top = lambda: str(next(x for x in iter(lambda: 1 + s.below(223), None) if x not in (10, 127, 172, 192)))
         return ".".join([*parts[:keep], *([top()] if not keep else []), *(str(s.below(256)) for _ in range(3 if not keep else 4 - keep))])
     if kind == "iban":
-        return key[:2] + s.like(key[2:])
+        return key[:2] + s.like(key[2:] + more)
     if kind == "phone":
-        return (str(2 + s.below(8)) if key[:1] > "1" else key[:1]) + s.like(key[1:])
+        return (str(2 + s.below(8)) if key[:1] > "1" or more else key[:1]) + s.like(key[1:] + more)
     if kind.startswith("name-"):
         _, script, gender = kind.split("-")
         pool, parts = FIRST[script, gender if gender != "n" else ""], re.split(r"([ -])", key)
@@ -177,9 +185,9 @@ def surrogate(kind: str, key: str, attempt: int, secret: bytes) -> str:
                 made.append(pool[s.below(len(pool))])
             else:
                 syl = _SYLLABLES[script]
-                made.append("".join(syl[s.below(len(syl))] for _ in range(3 + s.below(2))))
+                made.append("".join(syl[s.below(len(syl))] for _ in range(3 + s.below(2) + len(more) // 2)))
         return "".join(made).casefold()
-    return s.like(key)
+    return s.like(key + more)
 
 
 def render(kind: str, said: str, new: str) -> str:
@@ -187,7 +195,8 @@ def render(kind: str, said: str, new: str) -> str:
     if kind in ("card", "ssn", "phone", "iban"):
         places = [i for i, c in enumerate(said) if c.isalnum()]
         out = list(said)
-        for i, c in zip(places[len(places) - len(new) :], new):
+        longer = max(0, len(new) - len(places))  # characters beyond the mention's go before its first one
+        for i, c in zip(places[len(places) - len(new) + longer :], [new[: longer + 1], *new[longer + 1 :]]):
             out[i] = c
         return "".join(out)
     if kind in ("email", "ip6"):

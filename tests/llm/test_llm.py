@@ -286,6 +286,25 @@ def test_pii_surrogates_stay_distinct(spark, monkeypatch):
     assert len(set(new)) == 30 and not set(new) & set(keys[:30])
 
 
+def test_pii_full_spaces_still_give_surrogates(spark):
+    for text in ("Password: ________", "token: ......", "secret = ------"):
+        assert pii.find(text) == []
+    assert [k for *_, k in pii.find("token: ...x..")] == ["...x.."]
+    letters = [f"{c}_____" for c in "abcdefghijklmnopqrstuvwxyz"]  # each form is a real entity
+    full = [("secret", k) for k in ["______", *letters]] + [("email", f"{c}@x.org") for c in "abcdefghijklmnopqrstuvwxyz"]
+    e = spark.createDataFrame(full, "kind string, key string").union(spark.range(65_536).selectExpr("'ip'", "concat('192.168.', id div 256, '.', id % 256)"))
+    got = pii.assign(e, "s").collect()
+    real = {(g.kind, g.key) for g in got}
+    assert len(got) == len(full) + 65_536 == len({(g.kind, g.new) for g in got}) and not {(g.kind, g.new) for g in got} & real
+    assert all(g.new.startswith("10.") for g in got if g.kind == "ip")
+
+
+@pytest.mark.parametrize("kind, said", [("card", "4994 2260 2090 0891"), ("ssn", "123-45-6789"), ("phone", "+1 (743) 555-3824"), ("iban", "DE89 3704 0044 0532 0130 00"), ("secret", "sk-abc"), ("ip", "10.1.2.3"), ("name-latin-n", "Smith")])
+def test_pii_late_attempts_widen(kind, said):
+    new = {pii.render(kind, said, pii.surrogate(kind, pii.canonical(kind, said), n, b"s")) for n in range(40)}
+    assert len(new) == 40 and max(map(len, new)) > len(said) + 5
+
+
 # GIF
 
 
