@@ -61,9 +61,10 @@ _BY_FIRST = {n: g for (_, g), ns in FIRST.items() for n in ns}
 _NAME = re.compile(
     r"(?<!\w)(?P<t>" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")\.?[ \u00a0]+(?P<v>[^\W\d_a-z][^\W\d_]+(?:[ -][^\W\d_a-z][^\W\d_]+){0,2})"
 )
-_COMPILED = [(k, re.compile(p)) for k, p in PATTERNS]
-#: Every pattern but a name's needs one of these.
-_SIGNS = re.compile(r"[0-9@=:]")
+#: What each of PATTERNS cannot do without; looked for first, once a text, since most texts have none of them.
+_DIGIT, _COLON = "[0-9]", ":"
+SIGNS = ["@", "[=:]", "AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ", _DIGIT, _DIGIT, _DIGIT, _DIGIT, _COLON, _DIGIT, _DIGIT, _DIGIT]
+_COMPILED = [(k, re.compile(sign), re.compile(p)) for (k, p), sign in zip(PATTERNS, SIGNS, strict=True)]
 
 
 def luhn(digits: str) -> bool:
@@ -98,7 +99,12 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
     out: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
     free = lambda a, b: all(b <= x or y <= a for x, y in taken)
-    for kind, pattern in _COMPILED if _SIGNS.search(text) else []:
+    told: dict[re.Pattern, bool] = {}
+    for kind, sign, pattern in _COMPILED:
+        if sign not in told:
+            told[sign] = sign.search(text) is not None
+        if not told[sign]:
+            continue
         for m in pattern.finditer(text):
             a, b = m.span("v") if "v" in pattern.groupindex else m.span()
             if kind == "card" and not luhn(_digits(m[0])):
