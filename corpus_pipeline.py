@@ -20,20 +20,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity.probabilities(F.col("text"), chain)[chain.categories[-1]] < 0.5)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """docs with a settled key of each row in `__row`: ids may be null or shared by different texts."""
+    return settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of linked fingerprints; rows of one id are one document."""
-    groups = simhash.near_duplicates(docs).select(F.col("doc_id").alias("__id"), "component_id").distinct()
-    first = groups.where(F.col("__id").eqNullSafe(F.col("component_id"))).select("__id")
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])  # which would move the texts once more
+    """The row of the smallest id (null ids last) of each group of linked fingerprints; each row is judged by its own text."""
+    rows = with_rows(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    groups = simhash.near_duplicates(rows.select(key.alias("doc_id"), "text"))
+    first = groups.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("__row"))
+    return rows.join(first, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark's windows don't contaminate."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """Rows that the benchmark's windows don't contaminate; each row is judged by its own text."""
+    rows = with_rows(docs)
+    found = decontaminate.decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -459,6 +459,22 @@ def test_label_model_finds_accuracies():
 # pipeline
 
 
+def test_pipeline_judges_each_row_by_its_own_text(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    r = random.Random(9)
+    a, b, c, d, e = (say(r, 60) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (5, b), (1, c), (1, d), (1, c), (7, d), (None, e), (2, e)]
+    held = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    kept = corpus_pipeline.drop_near_duplicates(spark, held, sf)
+    assert kept.columns == held.columns
+    assert sorted((x.doc_id or 0, x.text) for x in kept.collect()) == sorted([(0, a), (5, b), (1, c), (1, d), (2, e)])
+    item = next(x.text for x in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if len(x.text.split()) >= 13)
+    held = spark.createDataFrame([(None, a), (None, item), (3, b), (3, item), (4, item)], "doc_id long, text string")
+    kept = corpus_pipeline.drop_contaminated(spark, held, sf)
+    assert sorted((x.doc_id or 0, x.text) for x in kept.collect()) == sorted([(0, a), (3, b)])
+
+
 def test_pipeline_stage_by_stage(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
