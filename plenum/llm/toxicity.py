@@ -18,8 +18,8 @@ from plenum.llm.common import settle
 
 #: Labelled documents that are learned from, those of the smallest hashes of their ids; the bound of the training sample.
 SAMPLE = 20_000
-#: Words that the models may use: those that tell the classes apart best. Each has to be in so many documents, and be so sure.
-WORDS, SUPPORT, SURE = 128, 5, 4.0
+#: Words that the models use: all that are in so many documents of the sample and tell the classes apart so surely.
+SUPPORT, SURE = 5, 4.0
 FOLDS = 5
 L2 = 0.1
 
@@ -58,39 +58,104 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     )
 
 
-def choose_words(rows: DataFrame, most: int = WORDS) -> list[int]:
-    """The words that tell toxic rows from others: a test of two proportions; `most` of them reach the driver."""
+def choose_words(rows: DataFrame) -> list[int]:
+    """The words that tell toxic rows from others: a test of two proportions; of the sample's words, those that pass reach the driver."""
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not pos or pos == n:
         return []
     seen = rows.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("p"))
     share = F.col("n") / n
     z = (F.col("p") / pos - (F.col("n") - F.col("p")) / (n - pos)) / F.sqrt(share * (1 - share) * (1 / pos + 1 / (n - pos)))
-    top = seen.where((F.col("n") >= SUPPORT) & (F.col("n") < n)).select("w", F.abs(z).alias("z")).where(F.col("z") >= SURE).orderBy(F.desc("z"), "w").limit(most)
+    top = seen.where((F.col("n") >= SUPPORT) & (F.col("n") < n)).select("w", F.abs(z).alias("z")).where(F.col("z") >= SURE).orderBy(F.desc("z"), "w")
     return [r.w for r in top.collect()]
 
 
-def _fit(x: np.ndarray, y: np.ndarray, l2: float = L2) -> np.ndarray:
-    """Logistic regression by Newton's steps; the last weight is the intercept, which is not held back."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(a.shape[1])
-    hold = np.full(a.shape[1], l2)
+class Presence:
+    """Rows of words, held as the places of the ones, and a few dense columns behind them."""
+
+    def __init__(self, row: np.ndarray, place: np.ndarray, words: int, dense: np.ndarray):
+        self.row, self.place, self.words, self.dense = row, place, words, dense
+
+    @classmethod
+    def of(cls, rows: list[list[int]] | np.ndarray, words: int = 0) -> Presence:
+        """From lists of places of words, or all of it dense."""
+        if isinstance(rows, np.ndarray):
+            return cls(np.zeros(0, np.int64), np.zeros(0, np.int64), 0, rows)
+        row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        return cls(row, np.array([p for r in rows for p in r], np.int64), words, np.zeros((len(rows), 0)))
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    def beside(self, column: np.ndarray) -> Presence:
+        return Presence(self.row, self.place, self.words, np.hstack([self.dense, column[:, None]]))
+
+    def where(self, keep: np.ndarray) -> Presence:
+        ones, new = keep[self.row], np.cumsum(keep) - 1
+        return Presence(new[self.row[ones]], self.place[ones], self.words, self.dense[keep])
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.place], len(self)) + self.dense @ w[self.words :]
+
+    def sums(self, g: np.ndarray, power: int = 1) -> np.ndarray:
+        return np.concatenate([np.bincount(self.place, g[self.row], self.words), (self.dense**power).T @ g])
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _fit(x: Presence, y: np.ndarray, l2: float = L2) -> np.ndarray:
+    """Logistic regression; the last weight is the intercept, which is not held back.
+
+    Newton's steps by conjugate gradients: only products with the sparse rows, no matrix of words by words.
+    """
+    a = x.beside(np.ones(len(x)))
+    w = np.zeros(a.words + a.dense.shape[1])
+    hold = np.full(len(w), l2)
     hold[-1] = 1e-3
     if not len(x):  # nothing learned: nothing is toxic
         w[-1] = -10.0
         return w
-    for _ in range(12):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (p - y) + hold * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(hold), grad)
-        w -= step
+
+    def loss(w: np.ndarray) -> float:
+        z = a.times(w)
+        return float((np.logaddexp(0, z) - y * z).sum() + (hold * w * w).sum() / 2)
+
+    now = loss(w)
+    for _ in range(30):
+        p = _sigmoid(a.times(w))
+        grad = a.sums(p - y) + hold * w
+        curve = p * (1 - p)
+        scale = a.sums(curve, 2) + hold
+        step, left = np.zeros(len(w)), grad.copy()
+        held = left / scale
+        way, size = held.copy(), left @ held
+        goal = size * 1e-6
+        for _ in range(200):
+            if size <= max(goal, 1e-18):
+                break
+            bent = a.sums(curve * a.times(way)) + hold * way
+            far = size / (way @ bent)
+            step += far * way
+            left -= far * bent
+            held = left / scale
+            size, was = left @ held, size
+            way = held + size / was * way
+        part = 1.0
+        while part > 1e-6 and loss(w - part * step) > now:
+            part /= 2
+        if part <= 1e-6:
+            break
+        w -= part * step
+        now = loss(w)
         if np.abs(step).max() < 1e-5:
             break
     return w
 
 
-def _apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+def _apply(w: np.ndarray, x: Presence) -> np.ndarray:
+    return _sigmoid(x.times(w[:-1]) + w[-1])
 
 
 @dataclass
@@ -101,26 +166,23 @@ class Chain:
     categories: list[str]
     weights: list[np.ndarray] = field(default_factory=list)
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
+    def predict(self, x: Presence | np.ndarray) -> np.ndarray:
+        x = Presence.of(x) if isinstance(x, np.ndarray) else x
         for w in self.weights:
-            x = np.hstack([x, _apply(w, x)[:, None]])
-        return x[:, len(self.words) :]
+            x = x.beside(_apply(w, x))
+        return x.dense[:, x.dense.shape[1] - len(self.weights) :]
 
 
-def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, words: list[int], categories: list[str]) -> Chain:
+def fit_chain(x: Presence | np.ndarray, y: np.ndarray, fold: np.ndarray, words: list[int], categories: list[str]) -> Chain:
     chain = Chain(words, categories)
-    # rows with the same words, labels and fold count together
-    both, weight = np.unique(np.hstack([x, y, fold[:, None]]), axis=0, return_counts=True)
-    x, y, fold = both[:, : x.shape[1]], both[:, x.shape[1] : -1], both[:, -1]
-    rows = np.repeat(np.arange(len(both)), weight)
+    x = Presence.of(x) if isinstance(x, np.ndarray) else x
     for k in range(y.shape[1]):
-        chain.weights.append(_fit(x[rows], y[rows, k]))
+        chain.weights.append(_fit(x, y[:, k]))
         out = np.zeros(len(x))
         for f in range(FOLDS):
-            train = rows[fold[rows] != f]
-            if len(train):
-                out[fold == f] = _apply(_fit(x[train], y[train, k]), x[fold == f])
-        x = np.hstack([x, out[:, None]])
+            if (fold != f).any():
+                out[fold == f] = _apply(_fit(x.where(fold != f), y[fold != f, k]), x.where(fold == f))
+        x = x.beside(out)
     return chain
 
 
@@ -130,15 +192,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, categories:
     words = choose_words(rows)
     place = {w: i for i, w in enumerate(words)}
     got = rows.select("h", _chosen(F.col("words"), words).alias("ws"), *categories).toPandas().sort_values("h")
-    x = np.zeros((len(got), len(words)))
-    for i, ws in enumerate(got["ws"]):
-        x[i, [place[w] for w in ws]] = 1
+    x = Presence.of([[place[w] for w in ws] for ws in got["ws"]], len(words))
     y = got[categories].to_numpy(float).reshape(len(got), len(categories))
     return fit_chain(x, y, (got["h"].to_numpy(np.int64) % FOLDS).astype(float), words, categories)
 
 
 def _chosen(hashes: Column, words: list[int]) -> Column:
-    return F.array_intersect(hashes, F.array(*[F.lit(w) for w in words]).cast("array<long>"))
+    known = F.split(F.lit(",".join(map(str, words))), ",") if words else F.array()  # one literal, however many words
+    return F.array_intersect(hashes, known.cast("array<long>"))
 
 
 def probabilities(text: Column, chain: Chain) -> Column:
@@ -147,9 +208,7 @@ def probabilities(text: Column, chain: Chain) -> Column:
 
     @F.pandas_udf("struct<" + ",".join(f"{c}:double" for c in chain.categories) + ">")
     def of(found: pd.Series) -> pd.DataFrame:
-        x = np.zeros((len(found), len(place)))
-        for i, ws in enumerate(found):
-            x[i, [place[w] for w in ws]] = 1
+        x = Presence.of([[place[w] for w in ws] for ws in found], len(place))
         return pd.DataFrame(chain.predict(x), columns=chain.categories)
 
     return of(_chosen(word_hashes(text), chain.words))

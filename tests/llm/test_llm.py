@@ -424,6 +424,18 @@ def test_toxicity_held_out(spark):
     assert [r.toxic_doc for r in toxicity.score(docs(spark, ["idiot"]), none).collect()] == [False]
 
 
+def test_toxicity_uses_every_word_that_passes(spark):
+    letters = "abcdefghijklmno"
+    bad = ["zz" + a + b for a, b in itertools.product(letters, letters[:12])]  # 180, each the only sign of its documents
+    r = random.Random(10)
+    texts = [(f"{w} {say(r, 12)}", 1) for w in bad for _ in range(6)] + [(say(r, 12), 0) for _ in range(10_000)]
+    d = spark.createDataFrame([(i, t, "en", y) for i, (t, y) in enumerate(texts)], DOC + ", toxic int")
+    chain = toxicity.train(d, d)
+    assert len(chain.words) >= len(bad)
+    assert all(x.toxic_doc for x in toxicity.score(docs(spark, bad), chain).collect())
+    assert not any(x.toxic_doc for x in toxicity.score(docs(spark, [say(r, 12) for _ in range(50)]), chain).collect())
+
+
 def test_chain_uses_earlier_categories():
     r = np.random.default_rng(0)
     x = (r.random((600, 2)) < 0.5).astype(float)
