@@ -286,6 +286,29 @@ def test_pii_surrogates_stay_distinct(spark, monkeypatch):
     assert len(set(new)) == 30 and not set(new) & set(keys[:30])
 
 
+def test_pii_names_without_titles_and_across_texts(spark):
+    texts = ["Dr. Alice Smith met Bob Jones. Alice Smith left, then Jones and Smith.", "Dr. Doe spoke", "Mr. Doe left; Doe again", "г-жа Анна Петрова сказала: Анна Петрова ушла", "Dr. Γιώργος Παπαδόπουλος, Dr. კახა ბერიძე, Dr. משה כהן", "Victor Street and March, Maria The"]
+    t = [r.text for r in pii.pseudonymise(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert not re.search("Alice|Smith|Bob|Jones|Doe|Петрова|Παπαδ|ბერიძე|כהן", " ".join(t)) and t[5] == texts[5]
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) met (\w+) (\w+)\. (\w+) (\w+) left, then (\w+) and (\w+)\.", t[0])
+    assert (m[1], m[2]) == (m[5], m[6]) and m[7] == m[4] and m[8] == m[2] and m[4] != m[2]
+    doe = t[1].split()[1]
+    assert t[2] == f"Mr. {doe} left; {doe} again"  # one person, whatever the title
+    assert re.fullmatch(r"г-жа ([а-яА-Я]+ [а-яА-Я]+) сказала: \1 ушла", t[3])
+    assert re.fullmatch(r"Dr\. [Ͱ-Ͽ]+ [Ͱ-Ͽ]+, Dr\. [ა-ჰ]+ [ა-ჰ]+, Dr\. [א-ת]+ [א-ת]+", t[4])
+
+
+def test_pii_short_ip6():
+    text = "2001:db8::1: up, ::1, fe80::1ff:fe23 and 2001:DB8:0:0:0:0:0:1, not std::vec, a::b, 10:20:30 or 12:34"
+    found = pii.find(text)
+    assert [text[a:b] for a, b, *_ in found] == ["2001:db8::1", "::1", "fe80::1ff:fe23", "2001:DB8:0:0:0:0:0:1"]
+    assert found[0][3] == found[3][3]
+    for a, b, kind, key in found:
+        for n in range(12):
+            new = pii.render(kind, text[a:b], pii.surrogate(kind, key, n, b"s"), key)
+            assert __import__("ipaddress").IPv6Address(new).version == 6 and (n >= pii.NARROW or ("::" in new) == ("::" in text[a:b]))
+
+
 #: A text for each of pii.PATTERNS, and each head of a token, with nothing in it but its mention.
 ALONE = [
     ("email", "jane@mail.example.com"), ("secret", "password: abcdefgh"), ("secret", "password=abcdefgh"),
