@@ -39,12 +39,32 @@ FURNITURE = re.compile(
     r"menu|nav|navbar|navigation|masthead|topbar|toolbar|footer|pagination|pager|widget|hidden|skip-link|toc)(?:$|[\s_-])",
     re.I,
 )
+#: Words that may stand beside one of FURNITURE in a class of that sense, and first words that turn it into a page's state.
+HOLDERS = frozenset(
+    "box bar button buttons list item items section area wrapper wrap container block group row inner outer link links icon icons side site page top bottom "
+    "left right primary secondary main global mobile desktop header title form unit slot text post posts article articles entry thread reply user reader "
+    "skip visually is media stories bottombar panel".split()
+)
+STATES = frozenset("no has with without not".split())
+#: The share of its points that text counts in an element that looks like furniture and may hold the article.
+DOUBTED = 0.3
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|dialog|alert|alertdialog|menu|menubar|form)$", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body|text)(?:$|[\s_-])", re.I)
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
+_HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s=/]|$)", re.I)
+_NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+
+
+def _furniture(value: str) -> bool:
+    """Whether one whole class of the value names furniture: all its words, not a part of it."""
+    for name in value.split() if FURNITURE.search(value) else ():
+        words = [w for w in re.split(r"[_-]+", name) if w]
+        if FURNITURE.search(name) and words[0].lower() not in STATES and all(w.lower() in HOLDERS or w[0].isdigit() or FURNITURE.search(w) for w in words):
+            return True
+    return False
 
 
 class _Page:
@@ -52,6 +72,7 @@ class _Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.good, self.dead = ["#page"], [-1], [0.0], [False]
+        self.doubted, self.holds = [False], [False]  # looks like furniture; has an article or main in it
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._stack, self._parts, self._linked, self._links = [0], [], 0, 0
         self._read(html)
@@ -126,17 +147,20 @@ class _Page:
                 continue
             attrs = m[3]
             dead = self.dead[self._stack[-1]] or name in DROPPED
+            doubted = False
             good = 25.0 if name in ("article", "main") else 0.0
             if attrs and not dead:
-                if _HIDDEN.search(attrs):
+                if _HIDDEN.search(_VALUE.sub("=", attrs)):
                     dead = name not in ("html", "body")
                 for key, *values in _ATTR.findall(attrs):
                     value = "".join(values)
                     if key.lower() in ("class", "id"):
-                        if FURNITURE.search(value) and name not in ("html", "body", "article", "main", "h1"):
-                            dead = True
+                        if _furniture(value) and name not in ("html", "body", "article", "main", "h1"):
+                            doubted, dead = name in BLOCK, dead or name not in BLOCK
                         elif GOOD.search(value):
                             good += 25.0
+                    elif key.lower() == "style" and _NOT_SHOWN.search(value) or key.lower() == "aria-hidden" and value.strip().lower() == "true":
+                        dead = name not in ("html", "body")
                     elif key.lower() == "role":
                         dead = dead or bool(ROLES.match(value))
                         good += 25.0 * (value.lower() in ("main", "article"))
@@ -146,6 +170,11 @@ class _Page:
             self.parent.append(self._stack[-1])
             self.good.append(good)
             self.dead.append(dead)
+            self.doubted.append(doubted)
+            self.holds.append(False)
+            if name in ("article", "main") and not dead:
+                for e in self._stack:
+                    self.holds[e] = True
             self._stack.append(len(self.tag) - 1)
             self._links += name == "a"
         self._flush()
@@ -163,9 +192,20 @@ def extract(html: str | None) -> str:
         return ""
     n = len(page.tag)
     score, chars, linked, seen = [0.0] * n, [0] * n, [0] * n, [False] * n
-    for node, text, links in page.blocks:
+    inside = [0] * n
+    for node, text, _ in page.blocks:
+        for e in page.up(node):
+            inside[e] += len(text)
+    # what looks like furniture goes, unless it holds an article, main, or most of the text: there the best element decides
+    gone = [page.doubted[e] and not page.holds[e] and 2 * inside[e] <= inside[0] for e in range(n)]
+    blocks = [b for b in page.blocks if not any(gone[e] for e in page.up(b[0]))]
+    if not blocks:
+        return ""
+    for node, text, links in blocks:
         points = 1.0 + text.count(",") + text.count("，") + min(len(text) / 100.0, 3.0)
         around = [e for e in page.up(node)]
+        if any(page.doubted[e] for e in around):
+            points *= DOUBTED
         # a paragraph's container counts whole, the one around it by half, further ones by less
         own = around if page.tag[node] not in ("p", "pre", "li", "blockquote", "td", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") else around[1:]
         for depth, e in enumerate(own):
@@ -176,6 +216,7 @@ def extract(html: str | None) -> str:
             linked[e] += links
     final = [(s + g) * (1 - l / c) if ok and c else 0.0 for s, g, c, l, ok in zip(score, page.good, chars, linked, seen)]
     best = max(range(n), key=lambda e: (final[e], -e))
+    above = set(page.up(best))
     kept = {best}
     need = max(10.0, 0.2 * final[best])
     for e in range(n):
@@ -183,7 +224,8 @@ def extract(html: str | None) -> str:
             dense = linked[e] / chars[e] if chars[e] else 1.0
             if final[e] >= need and dense < 0.5 or page.tag[e] in ("p", "pre", "blockquote") and chars[e] > 80 and dense < 0.25:
                 kept.add(e)
-    return "\n".join(text for node, text, _ in page.blocks if any(e in kept for e in page.up(node)))
+    shown = lambda node: any(e in kept for e in page.up(node)) and not any(page.doubted[e] and e not in above for e in page.up(node))
+    return "\n".join(text for node, text, _ in blocks if shown(node))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

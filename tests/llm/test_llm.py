@@ -197,6 +197,27 @@ def test_html_cases(spark):
     assert html.extract_pages(rows.limit(0)).collect() == []
 
 
+STORY = "A long, whole, and quite readable paragraph of the story, with commas, that has some length. " * 4
+
+
+@pytest.mark.parametrize("around", ["overflow-hidden", "content no-sidebar", "entry-content has-comments", "with-banner", "sidebar", "widget", "modal", "page-widget main-content"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_wrappers_keep_the_article(around, tag):
+    story = f"<{tag}><h1>Head</h1><p>{STORY}</p><p>{STORY}</p></{tag}>"
+    aside = '<div class="ad-slot-1">Buy this</div><div class="related-posts"><a href=x>More</a></div><div id="comments"><p>A comment, of some length, with commas</p></div>'
+    want = "\n".join(["Head", STORY.strip(), STORY.strip()])
+    assert html.extract(f'<body><div class="{around}">{story}</div>{aside}</body>') == want
+    assert html.extract(f'<body><div class="{around}">{story}{aside}</div></body>') == want
+
+
+def test_html_hidden_is_an_attribute():
+    for attrs, shown in [('title="our hidden gems"', True), ("data-x=' hidden '", True), ('title="display: none"', True), ("hidden", False), ('class="a" hidden=""', False), ('style="color:red;display:none"', False), ("aria-hidden=true", False)]:
+        got = html.extract(f"<body><article><p>{STORY}</p><div {attrs}><p>Second, part, of the story</p></div></article></body>")
+        assert ("Second" in got) == shown, attrs
+    many = "".join(f"<div><p>Comment {i}: {STORY}</p></div>" for i in range(2))
+    assert "Comment" not in html.extract(f'<body><article><p>{STORY}</p><p>{STORY}</p></article><div id="comments">{many * 2}</div></body>')
+
+
 def test_html_on_the_pages_table(spark):
     for row in spark.read.parquet(f"{SF}/pages.parquet").collect():
         body = re.sub(r"<[^>]*$", "", row.html.split("<article>")[1].split("</article>")[0])
