@@ -1,12 +1,14 @@
 """GIF media columns: LZW decoding, palettes, disposal, transparency, timed frames and colour histograms.
 
-encode_gif writes byte payloads losslessly as 8-bit samples over a grey palette; decode_gif reads any GIF89a or
+encode_gif writes byte payloads losslessly as 8-bit samples over a palette of 256 colours; decode_gif reads any GIF89a or
 GIF87a. Both run inside tasks, one value at a time, on columns that Spark partitions.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,10 @@ WIDTH = 64
 #: Rows of one frame; a longer payload goes on in the next frame.
 MAX_ROWS = 65_535
 BINS = 64
+#: Pixels of a frame or canvas; what a file says beyond that is taken for a fault, since it fits no task's memory.
+MAX_PIXELS = 1 << 24
+#: Bytes of files or payloads that a task handles together.
+TOGETHER = 1 << 20
 
 FRAME = (
     "struct<frame:int,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,transparent:int,"
@@ -35,46 +41,41 @@ def _widths(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _W8 = _widths(8)
-#: Entries that a table of 8-bit samples takes until it is full.
-_ENTRIES = 4096 - 258
+
+
+def _runs(data: bytes) -> list[list[int]]:
+    """The codes of 8-bit samples, a list for each table: a new one begins when the last is full. Codes are held times 256."""
+    runs: list[list[int]] = []
+    run: list[int] = []
+    rest = iter(data)
+    p = next(rest, -1) << 8
+    if p < 0:
+        return [run]
+    table: dict[int, int] = {}
+    nxt = 258 << 8
+    for c in rest:
+        if (k := p + c) in table:
+            p = table[k]
+        else:
+            run.append(p)
+            table[k] = nxt
+            nxt += 256
+            p = c << 8
+            if nxt == 4096 << 8:
+                runs.append(run)
+                table, nxt, run = {}, 258 << 8, []
+    run.append(p)
+    return [*runs, run]
 
 
 def lzw_encode(data: bytes) -> bytes:
     """The LZW code stream of 8-bit samples; the table starts anew when it is full."""
-    letters = bytes(sorted(set(data)))
-    n = len(letters)
-    # A code is held as its number times n, counted from the letters in use, so that code + letter is a place in the table.
-    full = (n + _ENTRIES) * n
-    size = min(full, (n + len(data)) * n)
-    runs: list[list[int]] = []
-    if n:
-        rank = bytes(letters.index(c) if c in letters else 0 for c in range(256))
-        table, nxt, run = [0] * size, n * n, []
-        p = -1
-        for c in data.translate(rank):
-            if p < 0:
-                p = c * n
-                continue
-            q = table[p + c]
-            if q:
-                p = q
-            else:
-                run.append(p)
-                table[p + c] = nxt
-                nxt += n
-                p = c * n
-                if nxt == full:
-                    runs.append(run)
-                    table, nxt, run = [0] * size, n * n, []
-        run.append(p)
-        runs.append(run)
-    out = []
-    for run in runs or [[]]:
-        ids = np.array(run, np.int64) // max(n, 1)
-        known = np.frombuffer(letters or b"\0", np.uint8).astype(np.int64)
-        out += [[256], np.where(ids < n, known[np.minimum(ids, max(n - 1, 0))], ids - n + 258)]
-    out.append([257])
-    codes = np.concatenate([np.asarray(x, np.int64) for x in out])
+    out: list[int] = []
+    for run in _runs(data):
+        out.append(256 << 8)
+        out += run
+    out.append(257 << 8)
+    codes = np.array(out, np.int64) >> 8
     clears = np.flatnonzero(codes == 256)
     since = np.arange(len(codes)) - np.repeat(clears, np.diff(np.concatenate([clears, [len(codes)]])))
     width = np.where(since == 0, 0, _W8[0][np.maximum(since - 1, 0)])
@@ -96,57 +97,103 @@ def _pack(codes: np.ndarray, width: np.ndarray) -> bytes:
     return out[:n].astype(np.uint8).tobytes()
 
 
-def lzw_decode(stream: bytes, bits: int) -> bytes:
-    """The samples of an LZW code stream with a table that starts at `bits` bits.
-
-    Entry j of a run of codes is what code j stands for and one byte more, which is a stretch of the output: each byte
-    of a longer code points to an earlier byte, and following the pointers to literals resolves all of them at once.
-    """
+def _read_codes(stream: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of a stream without clear and end codes, and of each the code before the one that made its entry; -1 for literals."""
+    if not 2 <= bits <= 8:
+        raise ValueError(f"a code size of {bits}")
     w, starts = _W8 if bits == 8 else _widths(bits)
     clear, end = 1 << bits, (1 << bits) + 1
     raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.int64)
     total, at, count = 8 * len(stream), 0, 0
-    found, bases = [], []
+    found, parents = [], []
     while at < total:
-        room = total - at
-        n = int(np.searchsorted(starts, room, side="right")) - 1  # whole codes that are left
-        pos = at + starts[:n]
-        byte = pos >> 3
-        word = raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16
-        codes = (word >> (pos & 7)) & ((1 << w[:n]) - 1)
-        stop = np.flatnonzero((codes == clear) | (codes == end))
+        left = int(np.searchsorted(starts, total - at, side="right")) - 1  # whole codes
+        for n in (min(left, 4096), left):  # most tables are cleared when they are full
+            pos = at + starts[:n]
+            byte = pos >> 3
+            word = raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16
+            every = (word >> (pos & 7)) & ((1 << w[:n]) - 1)
+            stop = np.flatnonzero((every == clear) | (every == end))
+            if len(stop):
+                break
         cut = int(stop[0]) if len(stop) else n
-        found.append(codes[:cut])
-        bases.append(np.full(cut, count))
+        codes = every[:cut]
+        parent = np.where(codes < clear, -1, codes - (clear + 2))
+        if (parent >= np.arange(cut)).any():
+            raise ValueError("a code before its entry")
+        found.append(codes)
+        parents.append(np.where(parent < 0, -1, parent + count))
         count += cut
-        if not len(stop):
-            if n == len(w):
-                raise ValueError("a code stream without a clear code")
-            break
-        if codes[cut] == end:
+        if not len(stop) and n == len(w):
+            raise ValueError("a code stream without a clear code")
+        if not len(stop) or every[cut] == end:
             break
         at += int(starts[cut + 1])
-    if not count:
-        return b""
-    codes = np.concatenate(found)
-    literal = codes < clear
-    k = np.arange(count)
-    parent = np.where(literal, k, np.concatenate(bases) + codes - (clear + 2))
-    if (parent > k).any() or (~literal & (parent == k)).any():
-        raise ValueError("a code before its entry")
-    more, jump = (~literal).astype(np.int64), parent.copy()
-    while (step := more[jump]).any():
-        more += step
-        jump = jump[jump]
-    length = more + 1
-    begin = np.cumsum(length) - length
-    offset = np.arange(int(length.sum())) - np.repeat(begin, length)
-    source = np.repeat(begin[parent], length) + offset
-    while ((nxt := source[source]) != source).any():
-        source = nxt
-    value = np.zeros(len(source), np.uint8)
-    value[begin[literal]] = codes[literal]
-    return value[source].tobytes()
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found]), np.concatenate([none, *parents])
+
+
+def lzw_decode_many(streams: list[tuple[bytes, int, int]]) -> list[bytes | ValueError]:
+    """The samples of code streams, each with the bits at which its table starts and the samples that are wanted of it at most.
+
+    What a code stands for is what its parent does and one sample more, the first of the code behind the parent. All streams are
+    spelt together, from the last sample of each code backwards: step i writes the i-th last sample of the codes that have one.
+    """
+    out: list[bytes | ValueError] = []
+    codes, parents, counts, base = [], [], [], 0
+    for stream, bits, _ in streams:
+        try:
+            c, p = _read_codes(stream, bits)
+        except ValueError as e:
+            out.append(e)
+            c = p = np.zeros(0, np.int64)
+        else:
+            out.append(b"")
+        codes.append(c)
+        parents.append(np.where(p < 0, -1, p + base))
+        counts.append(len(c))
+        base += len(c)
+    if not base:
+        return out
+    code, parent = np.concatenate(codes), np.concatenate(parents)
+    literal = parent < 0
+    root = np.where(literal, np.arange(base), parent)
+    length = np.where(literal, 0, 1)  # steps to the root, doubled with each jump
+    while (more := length[root]).any():
+        length += more
+        root = root[root]
+    length += 1
+    # no more than is wanted of a stream: that much memory is known to be bounded
+    cut = []
+    for lo, n, (_, _, most) in zip(np.cumsum(counts) - counts, counts, streams):
+        cut.append(min(n, int(np.searchsorted(np.cumsum(length[lo : lo + n]), most)) + 1))
+    shown = np.concatenate([np.arange(lo, lo + n) for lo, n in zip(np.cumsum(counts) - counts, cut)])
+    ends = np.cumsum(length[shown])
+    first = code[root].astype(np.uint8)
+    made = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    of, place = shown, ends - 1
+    while len(of):
+        up = parent[of]
+        made[place] = np.where(up < 0, code[of], first[np.minimum(up + 1, base - 1)])
+        left = up >= 0
+        of, place = up[left], place[left] - 1
+    whole = made.tobytes()
+    at = done = 0
+    for i, n in enumerate(cut):
+        done += n
+        upto = int(ends[done - 1]) if done else 0
+        if not isinstance(out[i], ValueError):
+            out[i] = whole[at:upto]
+        at = upto
+    return out
+
+
+def lzw_decode(stream: bytes, bits: int) -> bytes:
+    """The samples of an LZW code stream with a table that starts at `bits` bits."""
+    (got,) = lzw_decode_many([(stream, bits, 1 << 40)])
+    if isinstance(got, ValueError):
+        raise got
+    return got
 
 
 def _blocks(data: bytes) -> bytes:
@@ -154,12 +201,14 @@ def _blocks(data: bytes) -> bytes:
 
 
 _GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: Sample i as a colour: its six high bits are the two high bits of red, green and blue, so each histogram bin has four samples.
+SPREAD = bytes(v for i in range(256) for v in ((i >> 6) * 64 + (i & 3) * 16, (i >> 4 & 3) * 64 + (i & 3) * 16, (i >> 2 & 3) * 64 + (i & 3) * 16))
 
 
 def encode_payload(payload: bytes, width: int = WIDTH, delay_ms: int = 100) -> bytes:
     """A GIF whose samples, frame after frame, are the payload; its length has to be a multiple of width."""
     rows = max(1, len(payload) // width)
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, MAX_ROWS), 0xF7, 0, 0), _GREY]
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, MAX_ROWS), 0xF7, 0, 0), SPREAD]
     for top in range(0, rows, MAX_ROWS):
         part = payload[top * width : (top + MAX_ROWS) * width]
         out += [
@@ -179,13 +228,19 @@ def _sub_blocks(b: bytes, i: int) -> tuple[bytes, int]:
     return b"".join(parts), i + 1
 
 
-def decode(b: bytes, rgb: bool = True, bins: int = BINS) -> dict:
-    """Frames of a GIF: samples (palette indices), the composed RGB canvas if asked for, and a histogram.
+def _palette(b: bytes, at: int, flags: int) -> np.ndarray:
+    """256 colours as 0xRRGGBB; those that the file doesn't have are black."""
+    n = 2 << (flags & 7)
+    rgb = np.frombuffer(b, np.uint8, 3 * n, at).reshape(n, 3).astype(np.uint32)
+    return np.concatenate([rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2], np.zeros(256 - n, np.uint32)])
 
-    The histogram counts the frame's own pixels, transparent ones left out, by colour: two bits each of red, green and blue.
-    A truncated or malformed file gives the frames before the fault and an error.
-    """
-    out: dict = {"width": 0, "height": 0, "loops": None, "error": None, "frames": []}
+
+_DEFAULT = _palette(_GREY, 0, 7)
+
+
+def _parse(b: bytes) -> dict:
+    """The blocks of a GIF: sizes, loops, an error if any, and what describes each frame before its code stream is read."""
+    out: dict = {"width": 0, "height": 0, "loops": None, "error": None, "back": 0, "specs": []}
     try:
         if b[:6] not in (b"GIF89a", b"GIF87a"):
             raise ValueError("no GIF header")
@@ -193,12 +248,10 @@ def decode(b: bytes, rgb: bool = True, bins: int = BINS) -> dict:
         out |= {"width": width, "height": height}
         i, palette = 13, None
         if flags & 0x80:
-            n = 2 << (flags & 7)
-            palette = np.frombuffer(b, np.uint8, 3 * n, i).reshape(n, 3)
-            i += 3 * n
-        canvas = np.zeros((height, width, 3), np.uint8) if rgb else None
+            palette = _palette(b, i, flags)
+            i += 3 * (2 << (flags & 7))
+            out["back"] = int(palette[back])
         control = (0, 0, None)
-        undo = None  # what the last frame's disposal asks for
         while b[i] != 0x3B:
             if b[i] == 0x21:
                 label = b[i + 1]
@@ -212,58 +265,80 @@ def decode(b: bytes, rgb: bool = True, bins: int = BINS) -> dict:
                 continue
             if b[i] != 0x2C:
                 raise ValueError(f"unknown block {b[i]:#x}")
-            left, top, w, h, f = struct.unpack_from("<HHHHB", b, i + 1)
+            box = struct.unpack_from("<HHHH", b, i + 1)
+            f = b[i + 9]
             i += 10
             colours = palette
             if f & 0x80:
-                n = 2 << (f & 7)
-                colours = np.frombuffer(b, np.uint8, 3 * n, i).reshape(n, 3)
-                i += 3 * n
+                colours = _palette(b, i, f)
+                i += 3 * (2 << (f & 7))
             bits = b[i]
             data, i = _sub_blocks(b, i + 1)
-            samples = np.frombuffer(lzw_decode(data, bits), np.uint8)
-            if len(samples) < w * h:
-                raise ValueError("too few samples")
-            samples = samples[: w * h].reshape(h, w)
-            if f & 0x40:  # interlaced: rows 0, 8, ...; 4, 12, ...; 2, 6, ...; 1, 3, ...
-                order = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
-                plain = np.empty_like(samples)
-                plain[order] = samples
-                samples = plain
-            if colours is None:
-                colours = np.frombuffer(_GREY, np.uint8).reshape(256, 3)
-            if len(colours) < 256:
-                colours = np.vstack([colours, np.zeros((256 - len(colours), 3), np.uint8)])
-            disposal, delay, clear = control
-            counts = np.bincount(samples.ravel(), minlength=256)
-            if clear is not None:
-                counts[clear] = 0
-            c = colours.astype(np.int64) >> 6
-            hist = np.bincount(c[:, 0] << 4 | c[:, 1] << 2 | c[:, 2], counts, minlength=bins).astype(np.int64)
-            composed = None
-            if rgb:
-                if undo is not None:
-                    canvas = undo
-                undo = canvas.copy() if disposal == 3 else None
-                canvas = canvas.copy()
-                y, x = min(h, max(height - top, 0)), min(w, max(width - left, 0))
-                part, shown = canvas[top : top + y, left : left + x], samples[:y, :x]
-                show = np.ones(shown.shape, bool) if clear is None else shown != clear
-                part[show] = colours[shown[show]]
-                composed = canvas.tobytes()
-                if disposal == 2:
-                    undo = canvas.copy()
-                    undo[top : top + y, left : left + x] = palette[back] if palette is not None and back < len(palette) and clear is None else 0
-            out["frames"].append(
-                {"frame": len(out["frames"]), "delay_ms": delay, "left": left, "top": top, "width": w, "height": h, "disposal": disposal,
-                 "transparent": clear, "samples": samples.tobytes(), "rgb": composed, "histogram": hist.tolist()}
-            )
+            if box[2] * box[3] > MAX_PIXELS:
+                raise ValueError(f"a frame of {box[2]} x {box[3]}")
+            out["specs"].append((box, bool(f & 0x40), _DEFAULT if colours is None else colours, control, bits, data))
             control = (0, 0, None)
     except (ValueError, IndexError, struct.error) as e:
         out["error"] = str(e) or type(e).__name__
     return out
 
 
+def _frames(told: dict, streams: list[bytes | ValueError]) -> dict:
+    """Each frame's samples, histogram and composed canvas; those before a fault, and the fault."""
+    width, height = told["width"], told["height"]
+    out = {"width": width, "height": height, "loops": told["loops"], "error": told["error"], "frames": []}
+    canvas = undo = None  # undo: what the last frame's disposal asks for
+    if told["specs"] and width * height <= MAX_PIXELS:
+        canvas = np.zeros((height, width), np.uint32)
+    elif told["specs"]:
+        out["error"] = f"a canvas of {width} x {height}"
+    for k, (((left, top, w, h), laced, colours, (disposal, delay, clear), _, _), got) in enumerate(zip(told["specs"], streams)):
+        if isinstance(got, ValueError) or len(got) < w * h:
+            out["error"] = str(got) if isinstance(got, ValueError) else "too few samples"
+            break
+        samples = np.frombuffer(got, np.uint8, w * h).reshape(h, w)
+        if laced:  # rows 0, 8, ...; 4, 12, ...; 2, 6, ...; 1, 3, ...
+            plain = np.empty_like(samples)
+            plain[np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])] = samples
+            samples = plain
+        counts = np.bincount(samples.ravel(), minlength=256)
+        if clear is not None:
+            counts[clear] = 0
+        bins = (colours >> 22 & 3) << 4 | (colours >> 14 & 3) << 2 | (colours >> 6 & 3)
+        composed = None
+        if canvas is not None:
+            canvas = canvas if undo is None else undo
+            undo = canvas.copy() if disposal == 3 else None
+            part = canvas[top : top + h, left : left + w]
+            shown = samples[: part.shape[0], : part.shape[1]]
+            part[...] = colours[shown] if clear is None else np.where(shown == clear, part, colours[shown])
+            composed = canvas.astype(">u4").view(np.uint8).reshape(height, width, 4)[:, :, 1:].tobytes()
+            if disposal == 2:
+                undo = canvas.copy()
+                undo[top : top + h, left : left + w] = told["back"] if clear is None else 0
+        out["frames"].append(
+            {"frame": k, "delay_ms": delay, "left": left, "top": top, "width": w, "height": h, "disposal": disposal, "transparent": clear,
+             "samples": samples.tobytes(), "rgb": composed, "histogram": np.bincount(bins, counts, minlength=BINS).astype(np.int64)}
+        )
+    return out
+
+
+def decode_many(files: list[bytes]) -> list[dict]:
+    """Frames of GIFs: samples (palette indices), the composed RGB canvas, and a histogram.
+
+    The histogram counts the frame's own pixels, transparent ones left out, by colour: two bits each of red, green and blue.
+    A truncated or malformed file gives the frames before the fault and an error; so does one with a frame of more than MAX_PIXELS.
+    A canvas of more has an error and frames without rgb.
+    """
+    told = [_parse(b) for b in files]
+    got = iter(lzw_decode_many([(data, bits, box[2] * box[3]) for t in told for box, _, _, _, bits, data in t["specs"]]))
+    return [_frames(t, [next(got) for _ in t["specs"]]) for t in told]
+
+
+def decode(b: bytes) -> dict:
+    return decode_many([b])[0]
+
+
 def payload_of(text: Column, width: int = WIDTH) -> Column:
     """The UTF-8 bytes of a text, zero bytes appended up to a positive multiple of width; null counts as empty."""
     raw = F.encode(F.coalesce(text.cast("string"), F.lit("")), "UTF-8")
@@ -281,51 +356,78 @@ def encode_gif(payload: Column) -> Column:
     return of(payload)
 
 
-def decode_gif(media: Column, rgb: bool = True) -> Column:
-    """GIF bytes as DECODED: size, loops, error and timed frames. Null gives a null; see decode() for faulty files."""
+def _together(values: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Runs of values that hold about TOGETHER bytes."""
+    some, size = [], 0
+    for v in values:
+        some.append(v)
+        size += len(v)
+        if size >= TOGETHER:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def decode_gif(media: Column) -> Column:
+    """GIF bytes as DECODED: size, loops, error and timed frames. Null gives a null; see decode_many() for faulty files."""
 
     @F.pandas_udf(DECODED)
     def of(col: pd.Series) -> pd.DataFrame:
-        rows = [decode(bytes(m), rgb) if m is not None else {"width": None, "height": None, "loops": None, "error": "null", "frames": []} for m in col]
+        read = (row for some in _together(bytes(m) for m in col if m is not None) for row in decode_many(some))
+        none = {"width": None, "height": None, "loops": None, "error": "null", "frames": []}
+        rows = [none if m is None else next(read) for m in col]
         return pd.DataFrame(rows, columns=["width", "height", "loops", "error", "frames"]).astype({"width": "Int32", "height": "Int32", "loops": "Int32"})
 
     return of(media)
 
 
+STORED = "struct<media:binary,payload:binary,rows:array<int>,delays:array<int>,histogram:array<bigint>,rgb_crc32:bigint>"
+
+
+def store(payload: Column) -> Column:
+    """STORED: a payload as GIF bytes, and what its frames hold once these are read back: all samples, rows and delays of each frame, the
+    sum of their histograms, and a checksum of their composed canvases. encode_gif and decode_gif in one pass, without the canvases."""
+
+    @F.pandas_udf(STORED)
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for col in parts:
+            for some in _together(map(bytes, col)):
+                media = [encode_payload(p) for p in some]
+                rows = []
+                for m, told in zip(media, decode_many(media)):
+                    frames = told["frames"]
+                    crc = 0
+                    for f in frames:
+                        crc = crc32(f["rgb"], crc)
+                    hist = sum((f["histogram"] for f in frames), np.zeros(BINS, np.int64))
+                    rows.append((m, b"".join(f["samples"] for f in frames), [f["height"] for f in frames], [f["delay_ms"] for f in frames], hist, crc))
+                yield pd.DataFrame(rows, columns=["media", "payload", "rows", "delays", "histogram", "rgb_crc32"])
+
+    return of(payload)
+
+
 def media_digests(docs: DataFrame) -> DataFrame:
     """Every text stored as a GIF and read back, one row per document.
 
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (number of frames,
-    their rows, and the histogram). Null texts are empty; texts of any length are whole, in as many
-    frames as they need; repeated rows each give a row; an empty table none; other columns are ignored.
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (number of frames, their rows,
+    the checksum of the composed canvases, and the colour histogram). Null texts are empty; texts of any length are whole, in as
+    many frames as they need; repeated rows each give a row; an empty table none; other columns are ignored.
     """
-    stored = docs.select(
+    text = F.col("text").cast("string")
+    stored = docs.select("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), store(payload_of(text)).alias("s"))
+    return stored.select(
         "doc_id",
-        F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
-        encode_gif(payload_of(F.col("text"))).alias("media"),
-    )
-    read = stored.select("doc_id", "n_bytes", "media", decode_gif(F.col("media"), rgb=False).alias("gif"))
-    joined = F.aggregate("gif.frames", F.lit(b""), lambda acc, f: F.concat(acc, f["samples"]))
-    back = F.when(F.size("gif.frames") == 1, F.get("gif.frames", 0)["samples"]).otherwise(joined)
-    hist = F.aggregate(
-        "gif.frames",
-        F.array_repeat(F.lit(0).cast("long"), BINS),
-        lambda acc, f: F.zip_with(acc, f["histogram"], lambda a, b: a + b),
-    )
-    return (
-        read.select("doc_id", "n_bytes", "media", back.alias("payload"), hist.alias("hist"), F.size("gif.frames").alias("n"), F.col("gif.frames.height").alias("rows"))
-        .select(
-            "doc_id",
-            "n_bytes",
-            F.octet_length("payload").cast("long").alias("payload_bytes"),
-            F.sha2("payload", 256).alias("payload_sha256"),
-            F.crc32(F.substring("payload", -WIDTH, WIDTH)).alias("tail_crc32"),
-            F.octet_length("media").cast("long").alias("media_bytes"),
-            F.sha2("media", 256).alias("media_sha256"),
-            F.concat(
-                F.lit("frames="), F.col("n").cast("string"),
-                F.lit(";rows="), F.array_join(F.transform("rows", lambda r: r.cast("string")), ","),
-                F.lit(";hist="), F.array_join(F.transform("hist", lambda h: h.cast("string")), ","),
-            ).alias("feature"),
-        )
+        "n_bytes",
+        F.octet_length("s.payload").cast("long").alias("payload_bytes"),
+        F.sha2("s.payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("s.payload", -WIDTH, WIDTH)).alias("tail_crc32"),
+        F.octet_length("s.media").cast("long").alias("media_bytes"),
+        F.sha2("s.media", 256).alias("media_sha256"),
+        F.concat(
+            F.lit("frames="), F.size("s.rows").cast("string"),
+            F.lit(";rows="), F.array_join(F.transform("s.rows", lambda r: r.cast("string")), ","),
+            F.lit(";rgb="), F.col("s.rgb_crc32").cast("string"),
+            F.lit(";hist="), F.array_join(F.transform("s.histogram", lambda h: h.cast("string")), ","),
+        ).alias("feature"),
     )

@@ -564,3 +564,53 @@ def test_pipeline_stage_by_stage(spark):
             assert set(after) == set(before) and all(r.round_trip or r.text is None or "▁" in r.text for r in after.values())
         held = now
     assert duckdb
+
+
+def test_gif_hostile_files_end_in_an_error(spark):
+    frame = b"\x2c" + struct.pack("<HHHHB", 0, 0, 2, 2, 0)
+    head = lambda w, h: b"GIF89a" + struct.pack("<HHBBB", w, h, 0, 0, 0)
+    good = gif._blocks(gif.lzw_encode(b"abcd"))
+    files = [
+        head(2, 2) + frame + bytes([64]) + good + b"\x3b",  # no such code size
+        head(65_535, 65_535) + frame + b"\x08" + good + b"\x3b",  # no canvas of that size
+        head(2, 2) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65_535, 65_535, 0) + b"\x08" + good + b"\x3b",
+        head(2, 2) + frame + b"\x08" + b"\x02\xff\xff\0\x3b",  # a code before its entry
+        b"", head(2, 2)[:9], gif.encode_payload(b"x" * 64),
+    ]
+    got = gif.decode_many(files)
+    assert [bool(g["error"]) for g in got] == [True] * 6 + [False]
+    assert got[1]["frames"][0]["rgb"] is None and got[1]["frames"][0]["samples"] == b"abcd"
+    df = spark.createDataFrame([(i, bytearray(f)) for i, f in enumerate(files)] + [(7, None)], "i int, media binary")
+    rows = df.select("i", gif.decode_gif(F.col("media")).alias("g")).orderBy("i").collect()
+    assert [r.g.error for r in rows[:7]] == [g["error"] for g in got] and rows[7].g.width is None
+
+
+def test_gif_stored_form_is_read_by_plain_lzw():
+    """Palette, canvas and histogram of a stored payload by a textbook decoder."""
+    payload = bytes(range(256)) * 40 + b"the same words again and again " * 330
+    payload += bytes(-len(payload) % 64)
+    media = gif.encode_payload(payload)
+    at, data, bits = media.index(b"\x2c", 13 + 768) + 11, b"", 0
+    while media[at]:
+        data, at = data + media[at + 1 : at + 1 + media[at]], at + 1 + media[at]
+    number, out, width, table, before = int.from_bytes(data, "little"), b"", 9, {}, None
+    while True:
+        code, bits = number >> bits & (1 << width) - 1, bits + width
+        if code == 257:
+            break
+        if code == 256:
+            table, before, width = {i: bytes((i,)) for i in range(256)} | {256: b"", 257: b""}, None, 9
+            continue
+        said = table[code] if code in table else before + before[:1]
+        if before is not None and len(table) < 4096:
+            table[len(table)] = before + said[:1]
+        before, out = said, out + said
+        width = min(max(9, len(table).bit_length()), 12)
+    assert out == payload
+    pal = [tuple(media[13 + 3 * i : 16 + 3 * i]) for i in range(256)]
+    hist = [0] * 64
+    for c in payload:
+        r, g, b = pal[c]
+        hist[(r >> 6) * 16 + (g >> 6) * 4 + (b >> 6)] += 1
+    f = gif.decode(media)["frames"][0]
+    assert f["histogram"].tolist() == hist and f["rgb"] == bytes(v for c in payload for v in pal[c]) and len(set(pal)) == 256
