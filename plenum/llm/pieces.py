@@ -7,17 +7,21 @@ forward states of their common prefix and computes the rest.
 The forward state of a prefix is its best segmentation's value and last piece:
 - unigram models: the largest sum of scores (Viterbi), unknown characters at the least score less 10;
 - BPE models: a segmentation is the one that merging gives just if each two neighbouring pieces, joined and encoded, come
-  apart into themselves, and each prefix has exactly one; so the state is the last piece of that segmentation.
+  apart into themselves, and each prefix has exactly one; so the state is the last piece of that segmentation. The same
+  walk keeps Viterbi's state of the vocabulary's scores beside it, so both segmentations come out.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Distinct words whose pieces a Python worker remembers; when there are more, it starts anew.
-REMEMBERED = 200_000
-#: Characters of texts whose words are sorted together.
-BATCH_CHARS = 1_500_000
+#: Bytes, about, of the words that a task remembers with their pieces; when there are more, it starts anew.
+REMEMBERED = 64 << 20
+#: Characters of texts whose words are sorted together, and go back to Spark together.
+BATCH_CHARS = 1_000_000
 #: Neighbouring pieces of which a worker remembers whether they come apart; when there are more, it starts anew.
 FITS = 300_000
 
@@ -99,8 +103,8 @@ class Model:
         safe = {chr(c) for c in range(128)} - {b[1] for b in inner if letter(b[0])}
         safe = "".join(re.escape(c) for c in sorted(safe) if not letter(c) and c != "\n")
         lone = "" if any("\n" in b for b in inner) else "\n"
-        other = f"{MARK}{lone}{_LETTERS}"
-        self.words = re.compile(f"\n|{MARK}*[^{other}]*(?:[{_LETTERS}]+[^{other}{safe}][^{other}]*)*[{_LETTERS}]*" if lone else f"{MARK}*[^{MARK}]+|{MARK}+")
+        other = f" {MARK}{lone}{_LETTERS}"
+        self.words = re.compile(f"\n|[ {MARK}]*[^{other}]*(?:[{_LETTERS}]+[^{other}{safe}][^{other}]*)*[{_LETTERS}]*" if lone else f"[ {MARK}]*[^ {MARK}]+|[ {MARK}]+")
         self.size = [len(p) for p in self.pieces]
         self.spelling = [bytes((self.of_byte[i],)) if i in self.of_byte else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.spelling[self.unknown] = " ⁇ ".encode()
@@ -109,23 +113,30 @@ class Model:
         if self.kind == _BPE and not lone_chars:
             raise ValueError("a BPE model with characters that are no pieces")
         self.reach = {p: i for p, i in self.ids.items() if self.kind == _UNIGRAM or len(p) == 1 or self.merge(p) == [p]}
-        # the lengths of the pieces that end with each two characters, or are one character, longest first
+        # the lengths of the pieces that end with each three characters, or are two of them, or one, longest first
         ends: dict[str, set[int]] = {}
         for p in self.reach:
-            ends.setdefault(p[-2:], set()).add(len(p))
-        self.ends = {c: tuple(sorted(ls | ({1} if c[-1] in self.reach else set()), reverse=True)) for c, ls in ends.items()}
+            ends.setdefault(p[-3:], set()).add(len(p))
+        for c, ls in ends.items():
+            ls.update(n for n in (1, 2) if c[-n:] in self.reach)
+        self.ends = {c: tuple(sorted(ls, reverse=True)) for c, ls in ends.items()}
 
         self.known_fits: dict[int, bool] = {}
 
-    def mark(self, text: str) -> list[str]:
-        """The marked words of a text, which joined are the marked text."""
+    def split(self, text: str) -> list[str]:
+        """The words of a text, with their spaces in front, which joined are the text; no piece crosses their borders."""
         if not text:
             return []
-        found = self.words.findall((MARK if self.prefix else "") + text.replace(" ", MARK))
+        found = self.words.findall(" " + text if self.prefix else text)
         if not found[-1]:  # the pattern also matches at the end
             found.pop()
         return found
 
+    def endings(self, word: str, end: int) -> tuple[int, ...]:
+        """The lengths that a piece may have which ends there in a word, longest first."""
+        of = self.ends
+        return (of.get(word[end - 3 : end]) if end > 2 else None) or (of.get(word[end - 2 : end]) if end > 1 else None) or of.get(word[end - 1], ())
+
     def merge(self, s: str) -> list[str]:
         """BPE as defined: the neighbours whose union scores highest are joined, the leftmost of equals first."""
         parts = list(s)
@@ -163,33 +174,46 @@ class Model:
                 found[at] = score(parts[at] + parts[at + 1])
         return False
 
-    def walk(self, words: list[str]) -> Iterator[bytes]:
-        """The ids, as 32-bit numbers, of each of the sorted words: the trie depth-first, forward states kept for common prefixes."""
-        before, size = "", self.size
-        last: list[int] = [0]  # the last piece of each prefix's segmentation, -1 for a character that is none
+    def walk(self, words: list[str]) -> Iterator[Word]:
+        """Each of the sorted words' segmentations: the trie depth-first, forward states kept for common prefixes.
+
+        The states of a prefix: the last piece of its own segmentation, under BPE; the last piece of its likeliest one and that
+        one's sum of scores. A last piece is -1 for a character that is none.
+        """
+        before, bpe = "", self.kind == _BPE
+        last: list[int] = [0]
+        likely: list[int] = [0]
         value = [0.0]
-        step = self._merged if self.kind == _BPE else self._likeliest
         for word in words:
             same = 0
             for a, b in zip(word, before):
                 if a != b:
                     break
                 same += 1
-            del last[same + 1 :], value[same + 1 :]
-            step(word, same + 1, last, value)
+            del last[same + 1 :], likely[same + 1 :], value[same + 1 :]
+            if bpe:
+                self._both(word, same + 1, last, likely, value)
+            else:
+                self._likeliest(word, same + 1, likely, value)
             before = word
-            out: list[int] = []
-            end = len(word)
-            while end:
-                k = last[end]
-                if k >= 0:
-                    out.append(k)
-                    end -= size[k]
-                else:
-                    end -= 1
-                    out.extend(reversed(self._spelt(word[end])))
-            out.reverse()
-            yield array("i", out).tobytes()
+            best = self._back(word, likely)
+            own = self._back(word, last) if bpe and last != likely else best
+            yield own, (own if own == best else best), value[-1]
+
+    def _back(self, word: str, last: list[int]) -> bytes:
+        """The ids, as 32-bit numbers, that a word's last pieces lead back to."""
+        out: list[int] = []
+        end, size = len(word), self.size
+        while end:
+            k = last[end]
+            if k >= 0:
+                out.append(k)
+                end -= size[k]
+            else:
+                end -= 1
+                out.extend(reversed(self._spelt(word[end])))
+        out.reverse()
+        return array("i", out).tobytes()
 
     def _spelt(self, char: str) -> list[int]:
         """The ids of a character that is no piece."""
@@ -197,30 +221,33 @@ class Model:
             return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
-    def _merged(self, word: str, begin: int, last: list[int], value: list[float]) -> None:
-        """The last piece of each further prefix under merging: the longest that comes apart from what is before it."""
-        reach, ends, known = self.reach, self.ends, self.known_fits
+    def _both(self, word: str, begin: int, last: list[int], likely: list[int], value: list[float]) -> None:
+        """Further prefixes' states. Under merging the last piece is the longest that comes apart from what is before it; Viterbi
+        takes the largest sum of scores, the shortest last piece of equals."""
+        reach, ends, known, scores = self.reach, self.ends, self.known_fits, self.scores
         for end in range(begin, len(word) + 1):
-            found = -1
-            for n in (ends.get(word[end - 2 : end]) if end > 1 else None) or ends.get(word[end - 1], ()):
-                if n > end:
-                    continue
-                k = reach.get(word[end - n : end])
-                if k is None:
+            found = which = -1
+            best = 0.0
+            for n in (ends.get(word[end - 3 : end]) if end > 2 else None) or (ends.get(word[end - 2 : end]) if end > 1 else None) or ends.get(word[end - 1], ()):
+                if n > end or (k := reach.get(word[end - n : end])) is None:
                     continue
-                if n < end and (a := last[end - n]) >= 0:  # no piece holds a character that is none
-                    fits = known.get(a << 20 | k)
-                    if not (self.fits(a, k) if fits is None else fits):
-                        continue
-                found = k
-                break
+                if which < 0 or value[end - n] + scores[k] >= best:
+                    best, which = value[end - n] + scores[k], k
+                if found < 0:
+                    if n < end and (a := last[end - n]) >= 0:  # no piece holds a character that is none
+                        fits = known.get(a << 20 | k)
+                        if not (self.fits(a, k) if fits is None else fits):
+                            continue
+                    found = k
             last.append(found)
+            likely.append(which)
+            value.append(best if which >= 0 else value[end - 1] + self.least - 10.0)
 
     def _likeliest(self, word: str, begin: int, last: list[int], value: list[float]) -> None:
         """Viterbi: each further prefix's largest sum of scores, and the last piece of it; the first found of equals."""
         for end in range(begin, len(word) + 1):
             which, best = -1, value[end - 1] + self.least - 10.0
-            for n in reversed((self.ends.get(word[end - 2 : end]) if end > 1 else None) or self.ends.get(word[end - 1], ())):
+            for n in reversed(self.endings(word, end)):
                 if n <= end and (k := self.ids.get(word[end - n : end])) is not None and (n == 1 or value[end - n] + self.scores[k] > best):
                     best, which = value[end - n] + self.scores[k], k
             last.append(which)
@@ -232,21 +259,62 @@ class Model:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+#: Of a marked word: the ids of its segmentation, those of its likeliest one (the same for unigram models), and that one's sum of scores.
+Word = tuple[bytes, bytes, float]
+_IDS, _LIKELY, _SCORE = map(itemgetter, range(3))
+
+
+@contextmanager
+def _no_collector() -> Iterator[None]:
+    """Without the search for reference cycles, which would look through all words again and again and find none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 @cache
-def _worker(blob: bytes) -> tuple[Model, dict[str, bytes]]:
-    """A worker's model and the words that it remembers from batch to batch."""
-    return Model(blob), {}
+def _model(blob: bytes) -> Model:
+    """A worker's model; what it learns of neighbours is bounded by FITS."""
+    return Model(blob)
+
+
+class Memo:
+    """Segmentations of words that a task remembers from batch to batch."""
+
+    def __init__(self, model: Model, limit: int = REMEMBERED):
+        self.model, self.limit, self.held = model, limit, 0
+        self.words: dict[str, Word] = {}
+
+    def forget(self) -> None:
+        self.words.clear()
+        self.held = 0
+
+    def segment(self, texts: list[str]) -> list[list[Word]]:
+        """The segmentations of each text's words, in order."""
+        if self.held > self.limit:
+            self.forget()
+        with _no_collector():
+            return self._segment(texts)
+
+    def _segment(self, texts: list[str]) -> list[list[Word]]:
+        cut = [self.model.split(t) for t in texts]
+        new = sorted((w.replace(" ", MARK), w) for w in set(chain.from_iterable(cut)).difference(self.words))
+        for (_, w), found in zip(new, self.model.walk([marked for marked, _ in new])):
+            self.words[w] = found
+            self.held += len(w) + 2 * len(found[0]) + 320  # with what the objects and the table take
+        return [list(map(self.words.__getitem__, ws)) for ws in cut]
+
+
+def _numbers(ids: Iterator[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(ids), np.int32)
 
 
-def encode_batch(model: Model, memo: dict[str, bytes], texts: list[str]) -> list[np.ndarray]:
-    marked = [model.mark(t) for t in texts]
-    new = set(chain.from_iterable(marked)).difference(memo)
-    if len(memo) + len(new) > REMEMBERED:
-        memo.clear()
-        new = set(chain.from_iterable(marked))
-    new = sorted(new)
-    memo.update(zip(new, model.walk(new)))
-    return [np.frombuffer(b"".join(map(memo.__getitem__, ws)), np.int32) for ws in marked]
+def encode_batch(model: Model, texts: list[str], memo: Memo | None = None) -> list[np.ndarray]:
+    return [_numbers(map(_IDS, ws)) for ws in (memo or Memo(model)).segment(texts)]
 
 
 def read_model(path: str) -> bytes:
@@ -254,14 +322,13 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-def _batches(model: Model, memo: dict[str, bytes], col: pa.Array) -> Iterator[tuple[list[str | None], list[np.ndarray]]]:
-    """Texts of a column and their ids, some rows of it at a time; a null text has no ids here."""
+def _batches(col: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts, some rows at a time."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(col):
         until = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS, side="right")))
-        texts = col.slice(at, until - at).to_pylist()
-        yield texts, encode_batch(model, memo, [t or "" for t in texts])
+        yield col.slice(at, until - at)
         at = until
 
 
@@ -283,8 +350,10 @@ def encode(docs: DataFrame, blob: bytes, text: str = "text", ids: str = "ids") -
 
     @F.arrow_udf("array<int>")
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memo = Memo(_model(broadcast.value))
         for col in parts:
-            yield _lists(col, [x for _, got in _batches(*_worker(broadcast.value), col) for x in got])
+            for some in _batches(col):
+                yield _lists(some, encode_batch(memo.model, [t or "" for t in some.to_pylist()], memo))
 
     return docs.withColumn(ids, of(F.col(text).cast("string")))
 
@@ -296,37 +365,51 @@ def decode(rows: DataFrame, blob: bytes, ids: str = "ids", text: str = "decoded"
     @F.arrow_udf("string")
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for col in parts:
-            model, _ = _worker(broadcast.value)
+            model = _model(broadcast.value)
             yield pa.array([model.decode(x.as_py()) if x.is_valid else None for x in col], pa.string())
 
     return rows.withColumn(text, of(F.col(ids)))
 
 
 def encode_checked(docs: DataFrame, blob: bytes, text: str = "text", out: str = "coded") -> DataFrame:
-    """docs with a struct: ids, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_chars, decoded_sha256, round_trip.
+    """docs with a struct: ids, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_chars, decoded_sha256, round_trip, and of
+    the likeliest segmentation n_likely (its ids), likely_sha256 and likely_score (its sum of scores, 4 places).
 
-    encode() and decode() in one pass through Python, without sending the decoded text back. A null text has null fields.
+    encode() and decode() in one pass through Python, without sending the decoded text back. A null text has null fields; an empty
+    one no ids, which decode to it. Repeated rows stay, an empty table stays empty, and a column of the name `out` is replaced.
     """
     broadcast = docs.sparkSession.sparkContext.broadcast(blob)
-    fields = ["ids", "ids_sha256", "decoded_chars", "decoded_sha256", "round_trip"]
+    kinds = {
+        "ids_sha256": pa.string(), "decoded_chars": pa.int64(), "decoded_sha256": pa.string(), "round_trip": pa.bool_(),
+        "n_likely": pa.int64(), "likely_sha256": pa.string(), "likely_score": pa.float64(),
+    }
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
-    @F.arrow_udf("struct<ids:array<int>,ids_sha256:string,decoded_chars:long,decoded_sha256:string,round_trip:boolean>")
+    @F.arrow_udf(
+        "struct<ids:array<int>,ids_sha256:string,decoded_chars:long,decoded_sha256:string,round_trip:boolean,n_likely:long,likely_sha256:string,likely_score:double>"
+    )
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = _model(broadcast.value)
+        memo = Memo(model)
         for col in parts:
-            model, memo = _worker(broadcast.value)
-            ids: list[np.ndarray] = []
-            told: list[tuple] = []
-            for texts, got in _batches(model, memo, col):
-                ids += got
-                for t, x in zip(texts, got):
+            for some in _batches(col):
+                texts = some.to_pylist()
+                ids: list[np.ndarray] = []
+                told: list[tuple] = []
+                for t, words in zip(texts, memo.segment([t or "" for t in texts])):
+                    x = _numbers(map(_IDS, words))
+                    ids.append(x)
                     if t is None:
-                        told.append((None, None, None, None))
+                        told.append((None,) * len(kinds))
                         continue
+                    likely = b"".join(map(_LIKELY, words))
                     back = model.decode(x.tolist())
-                    told.append((sha(x.astype("<i4").tobytes()), len(back), sha(back.encode("utf-8", "surrogatepass")), back == t))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_()]
-            rest = [pa.array([r[k] for r in told], kind) for k, kind in enumerate(kinds)]
-            yield pa.StructArray.from_arrays([_lists(col, ids), *rest], names=fields)
+                    told.append(
+                        (sha(x), len(back), sha(back.encode("utf-8", "surrogatepass")), back == t, len(likely) // 4, sha(likely), round(sum(map(_SCORE, words)), 4))
+                    )
+                rest = [pa.array([r[k] for r in told], kind) for k, kind in enumerate(kinds.values())]
+                yield pa.StructArray.from_arrays([_lists(some, ids), *rest], names=["ids", *kinds])
+        memo.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.withColumn(out, of(F.col(text).cast("string")))

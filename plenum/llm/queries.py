@@ -93,7 +93,10 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     blob = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
     coded = pieces.encode_checked(table(spark, sf_dir, "documents").select("doc_id", "text"), blob)
     n = F.coalesce(F.size("coded.ids"), F.lit(0)).cast("long")
-    return coded.select("doc_id", n.alias("n_tokens"), "coded.ids_sha256", "coded.decoded_chars", "coded.decoded_sha256", "coded.round_trip", "coded.ids")
+    return coded.select(
+        "doc_id", n.alias("n_tokens"), "coded.ids_sha256", "coded.decoded_chars", "coded.decoded_sha256", "coded.round_trip",
+        "coded.n_likely", "coded.likely_sha256", "coded.likely_score", "coded.ids",
+    )
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -263,11 +263,37 @@ def test_pieces_viterbi_is_the_best_segmentation():
             known = [vocab[s[:n]] + best(s[n:]) for n in range(1, len(s) + 1) if s[:n] in vocab]
             return max([*known, min(vocab.values()) - 10 + best(s[1:])] if s[0] not in vocab else known)
 
-        ids = pieces.encode_batch(model, {}, [text])[0]
+        ids = pieces.encode_batch(model, [text])[0]
         total = sum(vocab.get(model.pieces[i], min(vocab.values()) - 10) for i in ids)
         assert total == pytest.approx(best(word), abs=1e-5), text
 
 
+def test_pieces_likeliest_beside_merging(spark):
+    """The query's Viterbi columns against a plain one over every prefix of the whole marked text."""
+    model = pieces.Model(blob())
+    texts = [*odd_texts()[:-1], *[r.text[:400] for r in spark.read.parquet(f"{SF}/documents.parquet").where("text is not null").limit(60).collect()]]
+    rows = pieces.encode_checked(docs(spark, [*texts, None]), blob()).orderBy("doc_id").collect()
+    for t, row in zip(texts, rows):
+        s = "▁" + t.replace(" ", "▁") if t else ""
+        best = [0.0]
+        for end in range(1, len(s) + 1):
+            known = [best[end - n] + model.scores[model.reach[s[end - n : end]]] for n in range(1, min(end, model.longest) + 1) if s[end - n : end] in model.reach]
+            best.append(max(known) if known else best[-1] + model.least - 10)
+        assert row.coded.likely_score == pytest.approx(best[-1], abs=0.01), t
+        likely = np.frombuffer(b"".join(w[1] for w in pieces.Memo(model).segment([t])[0]), np.int32)
+        assert model.decode(likely.tolist()) == t.replace("▁", " ") and len(likely) == row.coded.n_likely
+    assert rows[-1].coded.ids is None and rows[-1].coded.n_likely is None
+
+
+def test_pieces_memory_of_words_does_not_matter():
+    model = pieces.Model(blob())
+    texts = odd_texts()
+    small, whole = pieces.Memo(model, 1), pieces.Memo(model)
+    for t in texts:
+        assert small.segment([t]) == whole.segment([t])
+    assert len(small.words) < len(whole.words)
+
+
 # personal data
 
 
