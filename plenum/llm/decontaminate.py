@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import maybe_broadcast, settle
+from plenum.llm.common import maybe_broadcast, settle, small_enough
 
 WINDOW = 13
 SHINGLE = 3
@@ -52,7 +52,11 @@ def _windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, n, w): each place (0-based) at which a window of n words, w, occurs in a document."""
+    """(doc_id, start, n, w): each place (0-based) at which a window of n words, w, occurs in a document.
+
+    doc_id may be of any type; rows of one doc_id have to hold one text. Null texts and items have no words, and without words
+    on either side there are no rows.
+    """
     found = settle(_windows(items, window).select("w").distinct())
     size = lambda ws: F.least(F.size(ws), F.lit(SHINGLE))
     told = settle(
@@ -67,32 +71,37 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
         )
     )
     sizes = sorted(r[0] for r in told.select(F.least("n", F.lit(SHINGLE))).distinct().collect())  # three at most
-    keys = maybe_broadcast(told.select("shingle").distinct(), BROADCAST_ROWS)
+    keys = told.select("shingle").distinct()
     listed = docs.select("doc_id", words(F.col("text")).alias("ws"))
 
     def grams(k: int) -> Column:
         return F.transform(
             F.sequence(F.lit(0), F.size("ws") - k),
             lambda i: F.struct(
-                i.alias("pos"), F.concat_ws(" ", *[F.get("ws", i + j) for j in range(k)]).alias("shingle")
+                i.alias("pos"), F.lit(k).alias("k"), F.concat_ws(" ", *[F.get("ws", i + j) for j in range(k)]).alias("shingle")
             ),
         )
 
-    places = F.lit(None)
-    if sizes:
-        places = F.concat(*[F.when(F.size("ws") >= k, grams(k)).otherwise(F.array().cast("array<struct<pos:int,shingle:string>>")) for k in sizes])
-    else:
-        places = F.array().cast("array<struct<pos:int,shingle:string>>")
+    none = F.array().cast("array<struct<pos:int,k:int,shingle:string>>")
+    places = F.concat(none, *[F.when(F.size("ws") >= k, grams(k)).otherwise(none) for k in sizes])
+    if small_enough(keys, BROADCAST_ROWS):
+        each = listed.select("doc_id", "ws", F.explode(places).alias("g")).select("doc_id", "ws", "g.*").join(F.broadcast(keys), "shingle")
+    else:  # only places move; those that the benchmark has come back to their texts, which move once
+        some = listed.select("doc_id", F.explode(places).alias("g")).select("doc_id", "g.*").join(keys, "shingle")
+        at = some.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "k", "shingle")).alias("gs")).withColumnRenamed("doc_id", "of")
+        texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
+        back = texts.join(at, texts.doc_id.eqNullSafe(at.of)).select("doc_id", words(F.col("text")).alias("ws"), "gs")
+        each = back.select("doc_id", "ws", F.explode("gs").alias("g")).select("doc_id", "ws", "g.*")
+    whole = F.col("k") < SHINGLE  # the shingle is the window
     around = settle(
-        listed.select("doc_id", "ws", F.explode(places).alias("g"))
-        .select("doc_id", "ws", F.col("g.pos").alias("pos"), F.col("g.shingle").alias("shingle"))
-        .join(keys, "shingle")
-        .select(
+        each.select(
             "doc_id",
             "pos",
             "shingle",
-            F.least(F.col("pos"), F.lit(window)).alias("before"),
-            F.slice("ws", F.greatest(F.col("pos") - window, F.lit(0)) + 1, F.lit(2 * window + SHINGLE)).alias("near"),
+            F.when(whole, 0).otherwise(F.least(F.col("pos"), F.lit(window))).alias("before"),
+            F.slice(
+                "ws", F.when(whole, F.col("pos")).otherwise(F.greatest(F.col("pos") - window, F.lit(0))) + 1, F.when(whole, F.col("k")).otherwise(2 * window + SHINGLE)
+            ).alias("near"),
         )
     )
     rarity = around.groupBy("shingle").agg(F.count("*").alias("places"))
@@ -118,12 +127,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     A word is hit if it lies in an occurrence of a window: 13 consecutive words of an item, or the whole of a shorter
     item that has words. contaminated: some word is hit, and `share` times the hits are at least the words.
 
-    Nulls: a null text has no words; a null doc_id is a document like any other, a null item_id is left out of the
-    items' list. Repeated document rows each give a row, with what all rows of that doc_id hit; repeated items count once. Items
-    without words never occur. Empty tables give no rows, or no hits. Other columns are ignored.
+    Each row is judged by its own text: rows are told apart by id and text, so null ids and ids that several texts share are
+    documents like any other, and repeated rows each give the same row. A null text has no words; a null item_id is left out of
+    the items' list; repeated items count once. Items without words never occur. Empty tables give no rows, or no hits. Other
+    columns are ignored.
     """
+    told = F.col("text").cast("string")
+    key = F.struct("doc_id", F.xxhash64(told).alias("h"), F.hash(told).alias("g"))
     docs = docs.select("doc_id", "text")
-    hits = settle(find_windows(docs, items, window).distinct())
+    hits = settle(find_windows(docs.select(key.alias("doc_id"), "text"), items, window).distinct())
     covered = hits.groupBy("doc_id").agg(
         F.size(
             F.array_distinct(
@@ -143,11 +155,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
     )
-    sums = covered.join(named, covered.doc_id.eqNullSafe(named.doc_id), "left").select(covered.doc_id.alias("hit_id"), "n_hit", "ids")
-    out = docs.select("doc_id", count_words(F.col("text")).alias("n_words"))
+    sums = covered.join(named, "doc_id", "left").select(F.col("doc_id").alias("hit_key"), "n_hit", "ids")
+    out = docs.select("doc_id", key.alias("key"), count_words(F.col("text")).alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("ids", F.array().cast("array<string>"))
-    return out.join(sums, out.doc_id.eqNullSafe(sums.hit_id), "left").select(
+    return out.join(sums, F.col("key") == F.col("hit_key"), "left").select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),

@@ -55,8 +55,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-with d as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
+with d as materialized (
+  select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
   from documents),
 b as (
   select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as ws
@@ -66,19 +66,19 @@ win as (
   from (select item_id, ws, unnest(generate_series(1, greatest(len(ws) - 12, 1))) as i from b where len(ws) > 0)),
 sizes as (select distinct len(w) as n from win),
 occ as (
-  select doc_id, i, n, list_slice(ws, i, i + n - 1) as w
-  from (select doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as i from d, sizes where len(ws) >= n)),
-hit as (select o.doc_id, o.i, o.n, win.item_id from occ o join win on o.w = win.w),
+  select r, i, n, list_slice(ws, i, i + n - 1) as w
+  from (select r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) as i from d, sizes where len(ws) >= n)),
+hit as (select o.r, o.i, o.n, win.item_id from occ o join win on o.w = win.w),
 cov as (
-  select doc_id, count(distinct p) as n_hit
-  from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from hit) group by doc_id),
+  select r, count(distinct p) as n_hit
+  from (select r, unnest(generate_series(i, i + n - 1)) as p from hit) group by r),
 its as (
-  select doc_id, count(*) as n_items, string_agg(s, ',' order by s) as ids
-  from (select distinct doc_id, item_id::varchar as s from hit where item_id is not null) group by doc_id)
-select d.doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  select r, count(*) as n_items, string_agg(s, ',' order by s) as ids
+  from (select distinct r, item_id::varchar as s from hit where item_id is not null) group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
-from d left join cov on d.doc_id is not distinct from cov.doc_id left join its on d.doc_id is not distinct from its.doc_id
+from d left join cov on d.r = cov.r left join its on d.r = its.r
 """
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

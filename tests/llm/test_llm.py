@@ -179,6 +179,32 @@ def test_decontamination_is_brute_force(spark):
     assert [(x.n_hit, x.contaminated) for x in none] == [(0, False)]
 
 
+def test_decontamination_of_rows_that_share_an_id(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(7, item), (7, "two words"), (7, item), (None, item), (None, "x"), (None, None)]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()
+    assert sorted((x.doc_id or 0, x.n_words, x.n_hit, x.contaminated) for x in got) == [
+        (0, 0, 0, False), (0, 1, 0, False), (0, 20, 20, True), (7, 2, 0, False), (7, 20, 20, True), (7, 20, 20, True)
+    ]
+
+
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    """With more shingles than may be broadcast: the same rows, and no text's words in an exchange."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    plans, settle = [], decontaminate.settle
+    monkeypatch.setattr(decontaminate, "settle", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), settle(df))[1])
+    r = random.Random(8)
+    items = [(i, say(r, n)) for i, n in enumerate([1, 2, 3, 13, 30])]
+    texts = [None, "", *[say(r, 40) + " " + " ".join(t.split()[:14]) + " " + say(r, 60) for _, t in items]]
+    b = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.decontaminate(docs(spark, texts), b).orderBy("doc_id").collect()
+    assert [tuple(x)[1:] for x in got] == brute_decontaminate(texts, items)
+    around = next(p for p in plans if "near" in p and "gs" in p)
+    exchanges = [line for line in around.splitlines() if "Exchange" in line]
+    assert exchanges and not any("ws#" in line for line in exchanges)
+
+
 # HTML
 
 
