@@ -1,7 +1,8 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
-A word w after u, v scores c(uvw) / c(uv) if uvw occurs often enough, else `alpha` times what it scores after v alone; a word by itself
-scores its share of all words. An n-gram has to occur twice: one that occurs once attests nothing but itself.
+A word w after u, v scores c(uvw) / c(uv) if uvw occurs at least min_count times, else `alpha` times what it scores after v alone; a word
+by itself scores its share of all words. Every occurrence counts, the document's own too; n_once says of how many words the longest
+n-gram is attested by itself alone, which a reader who wants other documents' evidence only would discount.
 
 The counts are tables partitioned by the n-grams' hashes. So that exploded n-grams cost little to move, they are summed
 up and packed by chunks of documents first; a chunk's n-grams are joined to the tables by hash, the totals return to the
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 1
 #: Characters of a chunk of documents, and n-grams of one order in a part of its count table, about.
 CHUNK_CHARS, PART_GRAMS = 8_000_000, 1_000_000
 #: Bits of an n-gram's hash.
@@ -66,7 +67,8 @@ def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
-    """One row per document: doc_id, n_words, n_backoff (words that fell back at least once), log_score (natural, 4 places), mean_log.
+    """One row per document: doc_id, n_words, n_backoff (words that fell back at least once), n_once (words whose longest
+    n-gram occurs nowhere else in the corpus), log_score (natural, 4 places), mean_log.
 
     Words are runs of other than ASCII white space, as they are. A null or empty text has no words, log_score 0
     and mean_log null. Null ids and repeated rows stay, and all count; texts are read whole; other columns are ignored; an
@@ -110,7 +112,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
     def total_up(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({"doc_id": [], "n_words": [], "n_backoff": [], "log_score": []})
+            return pd.DataFrame({"doc_id": [], "n_words": [], "n_backoff": [], "n_once": [], "log_score": []})
         size, found = grams(pdf["text"].tolist(), order)
         if not len(got):  # no words in the chunk, and no columns in the frame
             got = pd.DataFrame({"n": [], "part": [], "counts": []})
@@ -126,6 +128,7 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         doc = np.repeat(np.arange(len(pdf)), size)
         place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
         value = np.log(np.maximum(seen[0], 1) / max(words, 1))
+        alone = seen[0] == 1
         back = np.zeros(len(doc), np.int64)  # words that fell back below the longest history there is
         for n in range(2, order + 1):
             context = np.concatenate([[1.0], seen[n - 2][:-1]])[: len(doc)]
@@ -133,22 +136,25 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
             known = there & (seen[n - 1] >= min_count)
             value = np.where(known, np.log(np.maximum(seen[n - 1], 1) / np.maximum(context, 1)), np.where(there, value + np.log(alpha), value))
             back = np.where(there, ~known, back)
+            alone = np.where(there, seen[n - 1] == 1, alone)
         return pd.DataFrame(
             {
                 "doc_id": pdf["doc_id"],
                 "n_words": size,
                 "n_backoff": np.bincount(doc, back, minlength=len(pdf)).astype(np.int64),
+                "n_once": np.bincount(doc, alone, minlength=len(pdf)).astype(np.int64),
                 "log_score": np.bincount(doc, value, minlength=len(pdf)),
             }
         )
 
     scored = dealt.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(
-        total_up, "doc_id long, n_words long, n_backoff long, log_score double"
+        total_up, "doc_id long, n_words long, n_backoff long, n_once long, log_score double"
     )
     return scored.select(
         "doc_id",
         "n_words",
         "n_backoff",
+        "n_once",
         F.round("log_score", 4).alias("log_score"),
         F.when(F.col("n_words") > 0, F.round(F.col("log_score") / F.col("n_words"), 4)).alias("mean_log"),
     )

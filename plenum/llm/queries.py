@@ -129,13 +129,14 @@ c2 as (select v, w, count(*) as c from g where i > 1 group by v, w),
 c3 as (select u, v, w, count(*) as c from g where i > 2 group by u, v, w),
 s as (
   select g.r, g.i,
-    case when i > 2 and c3.c >= 2 then ln(c3.c / uv.c) when i > 2 then ln(0.4) + case when c2.c >= 2 then ln(c2.c / cv.c) else ln(0.4) + ln(c1.c / n.n) end
-      when i = 2 then case when c2.c >= 2 then ln(c2.c / cv.c) else ln(0.4) + ln(c1.c / n.n) end
+    case when i > 2 and c3.c >= 1 then ln(c3.c / uv.c) when i > 2 then ln(0.4) + case when c2.c >= 1 then ln(c2.c / cv.c) else ln(0.4) + ln(c1.c / n.n) end
+      when i = 2 then case when c2.c >= 1 then ln(c2.c / cv.c) else ln(0.4) + ln(c1.c / n.n) end
       else ln(c1.c / n.n) end as value,
-    case when i > 2 then (c3.c < 2)::int when i = 2 then (c2.c < 2)::int else 0 end as back
+    case when i > 2 then (c3.c < 1)::int when i = 2 then (c2.c < 1)::int else 0 end as back,
+    (case when i > 2 then c3.c when i = 2 then c2.c else c1.c end = 1)::int as once
   from g cross join (select count(*) as n from t) n join c1 on g.w = c1.w left join c1 cv on g.v = cv.w left join c2 on g.v = c2.v and g.w = c2.w
     left join c2 uv on g.u = uv.v and g.v = uv.w left join c3 on g.u = c3.u and g.v = c3.v and g.w = c3.w)
-select doc_id, len(ws)::bigint as n_words, coalesce(sum(back), 0)::bigint as n_backoff, round(coalesce(sum(value), 0), 4) as log_score,
+select doc_id, len(ws)::bigint as n_words, coalesce(sum(back), 0)::bigint as n_backoff, coalesce(sum(once), 0)::bigint as n_once, round(coalesce(sum(value), 0), 4) as log_score,
   case when len(ws) > 0 then round(sum(value) / len(ws), 4) end as mean_log
 from d left join s on d.r = s.r group by d.r, doc_id, ws
 """

@@ -465,7 +465,8 @@ def test_lzw_round_trip_and_small_codes():
 # language model
 
 
-def test_backoff_is_brute_force(spark):
+@pytest.mark.parametrize("least", [1, 2])
+def test_backoff_is_brute_force(spark, least):
     r = random.Random(8)
     texts = [None, "", " ", "one", "one", *[" ".join(r.choice("a b c d e A".split()) for _ in range(r.randrange(1, 60))) for _ in range(30)], "z " * 3000]
     ws = [(t or "").split() for t in texts]
@@ -476,14 +477,15 @@ def test_backoff_is_brute_force(spark):
         if n == 1:
             return math.log(c[0][w[i],] / total), 0
         g = tuple(w[i - n + 1 : i + 1])
-        if c[n - 1][g] >= 2:
+        if c[n - 1][g] >= least:
             return math.log(c[n - 1][g] / c[n - 2][g[:-1]]), 0
         return math.log(0.4) + value(w, i, n - 1)[0], 1
 
-    got = lm.score(docs(spark, texts).withColumn("chunk", F.lit(1))).orderBy("doc_id").collect()
+    got = lm.score(docs(spark, texts).withColumn("chunk", F.lit(1)), min_count=least).orderBy("doc_id").collect()
     for w, g in zip(ws, got):
         each = [value(w, i, min(i + 1, 3)) for i in range(len(w))]
         assert (g.n_words, g.n_backoff) == (len(w), sum(b for _, b in each))
+        assert g.n_once == sum(c[min(i, 2)][tuple(w[max(i - 2, 0) : i + 1])] == 1 for i in range(len(w)))
         assert g.log_score == pytest.approx(sum(v for v, _ in each), abs=1e-3)
         assert (g.mean_log is None) == (not w)
     assert lm.score(docs(spark, [])).collect() == []
@@ -496,7 +498,7 @@ def test_backoff_parts_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(lm, "CHUNK_CHARS", 40_000)
     monkeypatch.setattr(lm, "PART_GRAMS", 9_000)
     for a, b in zip(whole, sorted(map(tuple, lm.score(d).collect()))):
-        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3], abs=2e-4)
+        assert a[:4] == b[:4] and a[4] == pytest.approx(b[4], abs=2e-4)
 
 
 # classifiers
