@@ -1,72 +1,13 @@
-"""Reading tables, the shared scratch folder, and connected components."""
+"""Reading tables; the shared scratch folder and connected components are the library's."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; a folder of our own only where none is set (tests, local mode)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-plenum-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
 
+from plenum.functions.graph import connected_components, forget, maybe_broadcast, settle, small_enough
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/plenum-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["connected_components", "forget", "maybe_broadcast", "settle", "small_enough", "table"]
 
 
-def small_enough(df: DataFrame, limit: int) -> bool:
-    """True if df has at most limit rows; it reads no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def maybe_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    """A broadcast hint if df was counted to have at most limit rows; otherwise the join shuffles."""
-    return F.broadcast(df) if small_enough(df, limit) else df
-
-
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component): the smallest node reachable, for each node of the undirected edges.
-
-    Minimum labels with pointer jumping. Each round is two shuffled joins whose hot keys adaptive execution can
-    split, and one aggregation that combines before it shuffles; it ends when no label changes. The round's labels
-    are settled, so a lost executor repeats one round at most. Null ends and loops are left out.
-    """
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
-    links = settle(pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = settle(links.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("node")).alias("component")))
-    while True:
-        # the least label among the neighbours
-        near = (
-            links.join(labels, links.x == labels.node)
-            .groupBy(F.col("y").alias("n"))
-            .agg(F.min("component").alias("seen"))
-        )
-        lower = labels.join(near, labels.node == near.n, "left").select(
-            "node", F.col("component").alias("was"), F.least("component", "seen").alias("c")
-        )
-        # and then the label of that label
-        jump = labels.select(F.col("node").alias("r"), F.col("component").alias("up"))
-        nxt = settle(
-            lower.join(jump, lower.c == jump.r, "left").select(
-                "node", F.least("c", "up").alias("component"), (F.least("c", "up") < F.col("was")).alias("moved")
-            )
-        )
-        labels = nxt.select("node", "component")
-        if nxt.where("moved").isEmpty():
-            return labels
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -16,10 +16,10 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.common import settle
+from plenum.llm.common import forget, settle
 
 #: Attempts in the space of an entity's own shape, and, for addresses, in the wider one of its class; later ones draw from spaces that grow.
 NARROW, CLASS = 4, 8
@@ -97,6 +97,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_digits(country: str, body: str) -> str:
+    """The two check digits of an account number."""
+    return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
+
+
 def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -225,6 +230,8 @@ def find(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             if kind == "phone" and not 8 <= len(_digits(m[0])) <= 15:
                 continue
+            if kind == "iban" and not (n := canonical(kind, m[0]))[2:4] == iban_digits(n[:2], n[4:]):
+                continue
             if kind == "ip6" and not _is_ip6(text[a:b]):
                 continue
             if free(a, b):
@@ -303,7 +310,8 @@ def surrogate(kind: str, key: str, attempt: int, secret: bytes) -> str:
             made.append(new)
         return ipaddress.IPv6Address(":".join(made)).compressed
     if kind == "iban":
-        return key[:2] + s.like(key[2:] + more)
+        body = s.like(key[4:] + more)
+        return key[:2] + iban_digits(key[:2], body) + body
     if kind == "phone":
         return (str(2 + s.below(8)) if key[:1] > "1" or more else key[:1]) + s.like(key[1:] + more)
     if kind.startswith("name-"):
@@ -392,6 +400,7 @@ def assign(entities: DataFrame, secret: str) -> DataFrame:
             "kind", "like", "key", "attempt", "new", (F.col("real").isNotNull() | (F.col("first.key") != F.col("key"))).alias("again")
         )
         judged = settle(judged)
+        forget(held)
         if judged.where("again").isEmpty():
             new = judged.select(F.col("kind").alias("base"), "key", "new")
             return kinds.join(new, ["base", "key"]).select("kind", "key", "new")
@@ -399,7 +408,13 @@ def assign(entities: DataFrame, secret: str) -> DataFrame:
         held = settle(judged.where("not again").select("kind", "like", "key", "attempt", "new").union(once_more))
 
 
-def pseudonymise(docs: DataFrame, secret: str = "plenum") -> DataFrame:
+def secret_of(spark: SparkSession) -> str:
+    """The key of the surrogates: the session's spark.plenum.pii.key. Without one, a public key stands in, so that results of tests and
+    checks can be compared; then anybody who knows an entity can derive its surrogate."""
+    return spark.conf.get("spark.plenum.pii.key", None) or "plenum"
+
+
+def pseudonymise(docs: DataFrame, secret: str | None = None) -> DataFrame:
     """docs with the mentions in `text` replaced, and one more column, n_entities (mentions; 0 for a null text).
 
     Texts without a mention, nulls and empty ones stay as they are; texts of any length are read whole. Repeated rows stay, and say
@@ -411,7 +426,7 @@ def pseudonymise(docs: DataFrame, secret: str = "plenum") -> DataFrame:
     told = with_mentions(docs.select(*[F.col(f"`{c}`") for c in columns]), found)
     some = settle(told.where(F.size(found) > 0).withColumn(row, F.monotonically_increasing_id()))
     each = some.select(row, F.explode(found).alias("m")).select(row, "m.*")
-    new = assign(each, secret)
+    new = assign(each, secret or secret_of(docs.sparkSession))
     swaps = each.join(new, ["kind", "key"]).groupBy(row).agg(F.array_sort(F.collect_list(F.struct("a", "b", "kind", "new", "key"))).alias("swaps"))
 
     @F.pandas_udf("string")

@@ -371,6 +371,21 @@ def test_pii_names_without_titles_and_across_texts(spark):
     assert re.fullmatch(r"Dr\. [Ͱ-Ͽ]+ [Ͱ-Ͽ]+, Dr\. [ა-ჰ]+ [ა-ჰ]+, Dr\. [א-ת]+ [א-ת]+", t[4])
 
 
+def test_pii_iban_digits_and_key_of_the_session(spark):
+    said = "pay DE89 3704 0044 0532 0130 00 or DE88 3704 0044 0532 0130 00"
+    assert [said[a:b] for a, b, kind, _ in pii.find(said) if kind == "iban"] == ["DE89 3704 0044 0532 0130 00"]  # the other has wrong digits
+    new = pii.surrogate("iban", "DE89370400440532013000", 0, b"k")
+    assert new[:2] == "DE" and len(new) == 22 and new[2:4] == pii.iban_digits("DE", new[4:]) and pii.iban_digits("DE", "370400440532013000") == "89"
+    d = docs(spark, ["write to ann.lee@example.org"])
+    before = pii.pseudonymise(d).first().text
+    spark.conf.set("spark.plenum.pii.key", "another")
+    try:
+        assert pii.pseudonymise(d).first().text not in (before, "write to ann.lee@example.org")
+    finally:
+        spark.conf.unset("spark.plenum.pii.key")
+    assert pii.pseudonymise(d).first().text == before
+
+
 def test_pii_short_ip6():
     text = "2001:db8::1: up, ::1, fe80::1ff:fe23 and 2001:DB8:0:0:0:0:0:1, not std::vec, a::b, 10:20:30 or 12:34"
     found = pii.find(text)
