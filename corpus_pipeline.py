@@ -14,8 +14,14 @@ from plenum.llm.common import settle, table
 from plenum.llm.queries import TOKENIZERS
 
 
+def lean(spark: SparkSession) -> None:
+    """Python workers get and give at most 8 MB of rows at a time: stages share their executors, and long texts would fill these."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain, fitted on the labelled ones among docs, doesn't reject. Null texts stay."""
+    lean(spark)
     chain = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.probabilities(F.col("text"), chain)[chain.categories[-1]] < 0.5)
 
@@ -27,6 +33,7 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id (null ids last) of each group of linked fingerprints; each row is judged by its own text."""
+    lean(spark)
     rows = with_rows(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
     groups = simhash.near_duplicates(rows.select(key.alias("doc_id"), "text"))
@@ -44,12 +51,14 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with surrogates for personal data, and n_chars of the new text."""
+    lean(spark)
     done = pii.pseudonymise(docs).drop("n_entities")
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, the number of ids, and whether decoding gives the text back."""
+    lean(spark)
     blob = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
     coded = pieces.encode_checked(docs, blob, out="__coded")
     n = F.coalesce(F.size("__coded.ids"), F.lit(0)).cast("long")
