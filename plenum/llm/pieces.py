@@ -13,6 +13,7 @@ The forward state of a prefix is its best segmentation's value and last piece:
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
 import re
@@ -33,9 +34,9 @@ MARK = "▁"
 #: Bytes, about, of the words that a task remembers with their pieces; when there are more, it starts anew.
 REMEMBERED = 64 << 20
 #: Characters of texts whose words are sorted together, and go back to Spark together.
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 700_000
 #: Neighbouring pieces of which a worker remembers whether they come apart; when there are more, it starts anew.
-FITS = 300_000
+FITS = 200_000
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNIGRAM, _BPE = 1, 2
@@ -174,11 +175,12 @@ class Model:
                 found[at] = score(parts[at] + parts[at + 1])
         return False
 
-    def walk(self, words: list[str]) -> Iterator[Word]:
+    def walk(self, words: list[str], both: bool = True) -> Iterator[Word]:
         """Each of the sorted words' segmentations: the trie depth-first, forward states kept for common prefixes.
 
         The states of a prefix: the last piece of its own segmentation, under BPE; the last piece of its likeliest one and that
-        one's sum of scores. A last piece is -1 for a character that is none.
+        one's sum of scores. A last piece is -1 for a character that is none. Without `both`, BPE models keep the first only, and the
+        likeliest segmentation is told as empty.
         """
         before, bpe = "", self.kind == _BPE
         last: list[int] = [0]
@@ -191,6 +193,11 @@ class Model:
                     break
                 same += 1
             del last[same + 1 :], likely[same + 1 :], value[same + 1 :]
+            if bpe and not both:
+                self._merged(word, same + 1, last)
+                before = word
+                yield self._back(word, last), b"", 0.0
+                continue
             if bpe:
                 self._both(word, same + 1, last, likely, value)
             else:
@@ -221,6 +228,22 @@ class Model:
             return [self.bytes[b] for b in char.encode("utf-8", "surrogatepass")]
         return [self.unknown]
 
+    def _merged(self, word: str, begin: int, last: list[int]) -> None:
+        """Further prefixes' last pieces under merging, as in _both()."""
+        reach, known = self.reach, self.known_fits
+        for end in range(begin, len(word) + 1):
+            found = -1
+            for n in self.endings(word, end):
+                if n > end or (k := reach.get(word[end - n : end])) is None:
+                    continue
+                if n < end and (a := last[end - n]) >= 0:
+                    fits = known.get(a << 20 | k)
+                    if not (self.fits(a, k) if fits is None else fits):
+                        continue
+                found = k
+                break
+            last.append(found)
+
     def _both(self, word: str, begin: int, last: list[int], likely: list[int], value: list[float]) -> None:
         """Further prefixes' states. Under merging the last piece is the longest that comes apart from what is before it; Viterbi
         takes the largest sum of scores, the shortest last piece of equals."""
@@ -276,6 +299,15 @@ def _no_collector() -> Iterator[None]:
             gc.enable()
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: workers live on between tasks, next to the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @cache
 def _model(blob: bytes) -> Model:
     """A worker's model; what it learns of neighbours is bounded by FITS."""
@@ -285,8 +317,8 @@ def _model(blob: bytes) -> Model:
 class Memo:
     """Segmentations of words that a task remembers from batch to batch."""
 
-    def __init__(self, model: Model, limit: int = REMEMBERED):
-        self.model, self.limit, self.held = model, limit, 0
+    def __init__(self, model: Model, limit: int = REMEMBERED, both: bool = True):
+        self.model, self.limit, self.held, self.both = model, limit, 0, both
         self.words: dict[str, Word] = {}
 
     def forget(self) -> None:
@@ -297,13 +329,9 @@ class Memo:
         """The segmentations of each text's words, in order."""
         if self.held > self.limit:
             self.forget()
-        with _no_collector():
-            return self._segment(texts)
-
-    def _segment(self, texts: list[str]) -> list[list[Word]]:
         cut = [self.model.split(t) for t in texts]
         new = sorted((w.replace(" ", MARK), w) for w in set(chain.from_iterable(cut)).difference(self.words))
-        for (_, w), found in zip(new, self.model.walk([marked for marked, _ in new])):
+        for (_, w), found in zip(new, self.model.walk([marked for marked, _ in new], self.both)):
             self.words[w] = found
             self.held += len(w) + 2 * len(found[0]) + 320  # with what the objects and the table take
         return [list(map(self.words.__getitem__, ws)) for ws in cut]
@@ -314,7 +342,7 @@ def _numbers(ids: Iterator[bytes]) -> np.ndarray:
 
 
 def encode_batch(model: Model, texts: list[str], memo: Memo | None = None) -> list[np.ndarray]:
-    return [_numbers(map(_IDS, ws)) for ws in (memo or Memo(model)).segment(texts)]
+    return [_numbers(map(_IDS, ws)) for ws in (memo or Memo(model, both=False)).segment(texts)]
 
 
 def read_model(path: str) -> bytes:
@@ -350,10 +378,13 @@ def encode(docs: DataFrame, blob: bytes, text: str = "text", ids: str = "ids") -
 
     @F.arrow_udf("array<int>")
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo = Memo(_model(broadcast.value))
-        for col in parts:
-            for some in _batches(col):
-                yield _lists(some, encode_batch(memo.model, [t or "" for t in some.to_pylist()], memo))
+        memo = Memo(_model(broadcast.value), both=False)
+        with _no_collector():
+            for col in parts:
+                for some in _batches(col):
+                    yield _lists(some, encode_batch(memo.model, [t or "" for t in some.to_pylist()], memo))
+        memo.forget()
+        _give_back()
 
     return docs.withColumn(ids, of(F.col(text).cast("string")))
 
@@ -371,9 +402,11 @@ def decode(rows: DataFrame, blob: bytes, ids: str = "ids", text: str = "decoded"
     return rows.withColumn(text, of(F.col(ids)))
 
 
-def encode_checked(docs: DataFrame, blob: bytes, text: str = "text", out: str = "coded") -> DataFrame:
+def encode_checked(
+    docs: DataFrame, blob: bytes, text: str = "text", out: str = "coded", likely: bool = True, remembered: int = REMEMBERED
+) -> DataFrame:
     """docs with a struct: ids, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_chars, decoded_sha256, round_trip, and of
-    the likeliest segmentation n_likely (its ids), likely_sha256 and likely_score (its sum of scores, 4 places).
+    the likeliest segmentation n_likely (its ids), likely_sha256 and likely_score (its sum of scores, 4 places); null unless `likely`.
 
     encode() and decode() in one pass through Python, without sending the decoded text back. A null text has null fields; an empty
     one no ids, which decode to it. Repeated rows stay, an empty table stays empty, and a column of the name `out` is replaced.
@@ -390,26 +423,28 @@ def encode_checked(docs: DataFrame, blob: bytes, text: str = "text", out: str =
     )
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _model(broadcast.value)
-        memo = Memo(model)
-        for col in parts:
-            for some in _batches(col):
-                texts = some.to_pylist()
-                ids: list[np.ndarray] = []
-                told: list[tuple] = []
-                for t, words in zip(texts, memo.segment([t or "" for t in texts])):
-                    x = _numbers(map(_IDS, words))
-                    ids.append(x)
-                    if t is None:
-                        told.append((None,) * len(kinds))
-                        continue
-                    likely = b"".join(map(_LIKELY, words))
-                    back = model.decode(x.tolist())
-                    told.append(
-                        (sha(x), len(back), sha(back.encode("utf-8", "surrogatepass")), back == t, len(likely) // 4, sha(likely), round(sum(map(_SCORE, words)), 4))
-                    )
-                rest = [pa.array([r[k] for r in told], kind) for k, kind in enumerate(kinds.values())]
-                yield pa.StructArray.from_arrays([_lists(some, ids), *rest], names=["ids", *kinds])
+        memo = Memo(model, remembered, likely)
+        with _no_collector():
+            for col in parts:
+                for some in _batches(col):
+                    texts = some.to_pylist()
+                    ids: list[np.ndarray] = []
+                    told: list[tuple] = []
+                    for t, words in zip(texts, memo.segment([t or "" for t in texts])):
+                        x = _numbers(map(_IDS, words))
+                        ids.append(x)
+                        if t is None:
+                            told.append((None,) * len(kinds))
+                            continue
+                        best = b"".join(map(_LIKELY, words))
+                        back = model.decode(x.tolist())
+                        told.append(
+                            (sha(x), len(back), sha(back.encode("utf-8", "surrogatepass")), back == t)
+                            + ((len(best) // 4, sha(best), round(sum(map(_SCORE, words)), 4)) if likely else (None, None, None))
+                        )
+                    rest = [pa.array([r[k] for r in told], kind) for k, kind in enumerate(kinds.values())]
+                    yield pa.StructArray.from_arrays([_lists(some, ids), *rest], names=["ids", *kinds])
         memo.forget()
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return docs.withColumn(out, of(F.col(text).cast("string")))
