@@ -60,7 +60,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, the number of ids, and whether decoding gives the text back."""
     lean(spark)
     blob = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    coded = pieces.encode_checked(docs, blob, out="__coded")
+    coded = pieces.encode_checked(docs, blob, out="__coded", likely=False, remembered=24 << 20)
     n = F.coalesce(F.size("__coded.ids"), F.lit(0)).cast("long")
     return coded.withColumns({"ids": F.col("__coded.ids"), "n_tokens": n, "round_trip": F.col("__coded.round_trip")}).drop("__coded")
 
