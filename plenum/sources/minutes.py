@@ -5,17 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SECTION = r"^(10|[1-9])\.\s+(\S.*?)\s*$"
-_ITEM = r"^([A-Z])\.\s+(\S.*?)\s*$"
-_SPONSOR = r"(?i)^Council\s+Sponsors?\s*[-:–—]\s*(.+?)\s*$"
-_FOOTNOTE = r"(?i)^(?:\d+\s*)?https?://\S+"
-_REF = r"\b((?:Appropriation\s+)?(?:Ordinance|Resolution))\s+(\d{4}-\d+)"
+# Fixed values of the printed formats: what a line says of itself, and how votes are called.
+SPONSOR_LABELS = ["council sponsor", "council sponsors"]
+NO_SPONSOR = ["N/A", "NA", "NONE"]
+ACTS = ["Ordinance", "Resolution"]
+QUALIFIER = "Appropriation"
+ROLL_MARK = "[Roll No"
+#: Words of a tally's heading and what the names below it voted; the first that a heading has counts.
+POSITIONS = [("NOT VOTING", "NOT_VOTING"), ("PRESENT", "PRESENT"), ("AYES", "YEA"), ("YEAS", "YEA"), ("NOES", "NAY"), ("NAYS", "NAY")]
+#: What is done with a motion, and whether that carries it.
+CARRIED = {
+    "adopted": True, "agreed to": True, "confirmed": True, "ordered": True, "passed": True, "sustained": True,
+    "failed": False, "lost": False, "rejected": False,
+}
+#: Words of a name at most.
+NAME_WORDS = 6
 
 
 def legislation_ref(title: Column) -> Column:
-    """`Ordinance 2026-1` and the like out of a title; null without one."""
-    kind, number = F.regexp_extract(title, _REF, 1), F.regexp_extract(title, _REF, 2)
-    return F.when(number != "", F.concat(F.regexp_replace(kind, r"\s+", " "), F.lit(" "), number))
+    """`Ordinance 2026-1` and the like out of a title: the first act that a number of a year and a count follows; null without one."""
+    ws = F.split(F.trim(title), r"\s+")
+    number = F.transform(ws, lambda w: F.split(F.regexp_replace(w, r"[^0-9-].*$", ""), "-"))
+    fine = lambda n: (F.size(n) > 1) & (F.length(F.get(n, 0)) == 4) & (F.length(F.get(n, 1)) > 0)
+    act = lambda w: F.regexp_replace(w, r"^\W+", "").isin(ACTS)
+    at = F.filter(F.transform(ws, lambda w, i: F.when(act(w) & fine(F.get(number, i + 1)), i)), lambda i: i.isNotNull())
+    i = F.get(at, 0)
+    n = F.get(number, i + 1)
+    own = F.concat(F.regexp_replace(F.get(ws, i), r"^\W+", ""), F.lit(" "), F.get(n, 0), F.lit("-"), F.get(n, 1))
+    return F.when(F.get(ws, i - 1) == QUALIFIER, F.concat(F.lit(f"{QUALIFIER} "), own)).otherwise(own)
+
+
+def _numbered(line: Column) -> tuple[Column, Column]:
+    """What stands before a line's first full stop, if a space and more follow it, and what follows."""
+    label, rest = F.substring_index(line, ". ", 1), F.trim(F.substring(line, F.instr(line, ". ") + 2, 1 << 20))
+    there = (F.instr(line, ". ") > 0) & (rest != "")
+    return F.when(there, label), F.when(there, rest)
+
+
+def _kind(line: Column) -> Column:
+    """section, item, sponsor, footnote or other."""
+    label, _ = _numbered(line)
+    said = F.lower(F.trim(F.substring_index(F.translate(line, "–—:", "---"), "-", 1)))
+    before_link = F.substring_index(F.lower(line), "http", 1)
+    return (
+        F.when(label.try_cast("int").between(1, 99) & (F.length(label) <= 2), "section")
+        .when((F.length(label) == 1) & label.between("A", "Z"), "item")
+        .when(said.isin(SPONSOR_LABELS) & (F.length(said) < F.length(line)), "sponsor")
+        .when(F.contains(line, F.lit("://")) & (F.trim(F.translate(before_link, "0123456789", "")) == ""), "footnote")
+        .otherwise("other")
+    )
+
+
+def _sponsor(line: Column) -> Column:
+    plain = F.translate(line, "–—:", "---")
+    return F.trim(F.substring(line, F.instr(plain, "-") + 1, 1 << 20))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,14 +71,7 @@ def agenda_items(docs: DataFrame, key: str = "doc", text: str = "text") -> DataF
     Footnotes, addresses and what wraps behind them belong to nothing; a section's header goes on while its brackets are open;
     lines behind an item's sponsor are extra lines. Null and empty texts have no items.
     """
-    kind = (
-        F.when(F.col("line").rlike(_SECTION), "section")
-        .when(F.col("line").rlike(_ITEM), "item")
-        .when(F.col("line").rlike(_SPONSOR), "sponsor")
-        .when(F.col("line").rlike(_FOOTNOTE), "footnote")
-        .otherwise("other")
-    )
-    told = _lines(docs, key, text).where("line <> ''").withColumn("kind", kind)
+    told = _lines(docs, key, text).where("line <> ''").withColumn("kind", _kind(F.col("line")))
     so_far = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     told = told.withColumn("section_id", F.count_if(F.col("kind") == "section").over(so_far)).where("section_id > 0")
     told = told.withColumn("block", F.count_if(F.col("kind").isin("section", "item")).over(so_far))
@@ -50,15 +86,16 @@ def agenda_items(docs: DataFrame, key: str = "doc", text: str = "text") -> DataF
         .withColumn("sponsored", F.coalesce(F.max((F.col("kind") == "sponsor").cast("int")).over(before), F.lit(0)) == 1)
         .withColumn("head", F.first("kind").over(inside))
     )
-    words = F.when(F.col("kind") == "section", F.regexp_extract("line", _SECTION, 2)).when(F.col("kind") == "item", F.regexp_extract("line", _ITEM, 2)).otherwise(F.col("line"))
+    label, rest = _numbered(F.col("line"))
+    words = F.when(F.col("kind").isin("section", "item"), rest).otherwise(F.col("line"))
     title = (F.col("kind") == F.col("head")) | ((F.col("kind") == "other") & F.when(F.col("head") == "section", F.col("open")).otherwise(~F.col("sponsored")))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("n", words.alias("w"))))), lambda x: x["w"])
     blocks = told.groupBy(key, "section_id", "block").agg(
         F.first("head").alias("head"),
-        F.max(F.when(F.col("kind") == "section", F.regexp_extract("line", _SECTION, 1).cast("int"))).alias("number"),
-        F.max(F.when(F.col("kind") == "item", F.regexp_extract("line", _ITEM, 1))).alias("letter"),
+        F.max(F.when(F.col("kind") == "section", label.try_cast("int"))).alias("number"),
+        F.max(F.when(F.col("kind") == "item", label)).alias("letter"),
         F.array_join(ordered(title), " ").alias("title_raw"),
-        F.max_by(F.regexp_extract("line", _SPONSOR, 1), F.when(F.col("kind") == "sponsor", F.col("n"))).alias("sponsor"),
+        F.max_by(_sponsor(F.col("line")), F.when(F.col("kind") == "sponsor", F.col("n"))).alias("sponsor"),
         ordered((F.col("kind") == "other") & F.col("sponsored") & (F.col("head") == "item")).alias("extra_lines"),
     )
     w = Window.partitionBy(key, "section_id")
@@ -76,48 +113,52 @@ def agenda_items(docs: DataFrame, key: str = "doc", text: str = "text") -> DataF
         "section_number",
         "title_raw",
         F.when(F.col("head") == "item", legislation_ref(F.col("title_raw"))).alias("legislation_ref"),
-        F.when((F.col("head") == "item") & ~F.upper(F.trim("sponsor")).isin("N/A", "NA", "NONE"), F.col("sponsor")).alias("sponsor"),
+        F.when((F.col("head") == "item") & ~F.upper(F.trim("sponsor")).isin(NO_SPONSOR), F.col("sponsor")).alias("sponsor"),
         "extra_lines",
     )
 
 
-_ROLL = r"\[Roll No\.?\s*(\d+)\]"
-_TALLY = r"^\s*([A-Z][A-Z '`\"“”]*?)\s*--\s*\d+\s*$"
-_VERBS = "agreed to|rejected|passed|adopted|confirmed|ordered|sustained|failed|lost"
+def _heading(line: Column) -> Column:
+    """The position that a tally's heading (capitals, two hyphens, a count) announces, `-` for one that the table doesn't have; else null."""
+    label, count = F.trim(F.substring_index(line, "--", 1)), F.trim(F.substring_index(line, "--", -1))
+    heading = F.contains(line, F.lit("--")) & count.try_cast("int").isNotNull() & (label != "") & (F.upper(label) == label)
+    position = F.lit("-")
+    for words, means in reversed(POSITIONS):
+        position = F.when(F.contains(label, F.lit(words)), means).otherwise(position)
+    return F.when(heading, position)
 
 
-def _position(label: Column) -> Column:
-    u = F.upper(label)
-    return (
-        F.when(u.contains("NOT VOTING"), "NOT_VOTING").when(u.contains("PRESENT"), "PRESENT").when(u.rlike("^(AYES|YEAS)"), "YEA").when(u.rlike("^(NOES|NAYS)"), "NAY")
-    )
+def _is_name(line: Column) -> Column:
+    """Some capitalised words of letters, with the signs that names have and no others."""
+    return line.rlike(r"^[\p{L}\p{M} .,'’()-]+$") & ~line.rlike(r"(^|[ (])\p{Ll}") & (F.size(F.split(line, " +")) <= NAME_WORDS)
 
 
 def roll_calls(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """One row per member's vote: roll_number, position (YEA, NAY, PRESENT, NOT_VOTING), place in the list, surname.
 
-    A roll's block goes up to the next mark. Names are short lines whose words are all capitalised, without digits, braces and
-    backticks; anything else between them is skipped, and a tally header says what the names after it voted.
+    A roll's block goes up to the next mark. A heading says what the names after it voted; lines that can't be names are skipped.
     """
-    cut = F.split(F.regexp_replace(text, _ROLL, "\u0001$1\u0002"), "\u0001")
-    blocks = docs.select(key, F.posexplode(cut).alias("b", "block")).where("b > 0").select(key, "b", F.substring_index("block", "\u0002", 1).cast("int").alias("roll_number"), F.split(F.col("block"), "\u0002")[1].alias("body"))
-    lines = blocks.select(key, "b", "roll_number", F.posexplode(F.split("body", "\n")).alias("n", "line"))
+    parts = docs.select(key, F.posexplode(F.split(text, F.lit(r"\Q" + ROLL_MARK + r"\E"))).alias("b", "block")).where("b > 0")
+    number = F.regexp_replace(F.substring_index("block", "]", 1), r"\D+", "").try_cast("int")
+    body = F.substring(F.col("block"), F.instr("block", "]") + 1, F.length("block"))
+    lines = parts.select(key, "b", number.alias("roll_number"), F.posexplode(F.split(body, "\n")).alias("n", "raw")).where("roll_number is not null").withColumn("line", F.trim("raw"))
     w = Window.partitionBy(key, "b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.when(F.col("line").rlike(_TALLY), F.coalesce(_position(F.regexp_extract("line", _TALLY, 1)), F.lit("-")))
-    name = F.trim("line")
-    tokens = F.filter(F.transform(F.split(F.replace(name, F.lit(","), F.lit(" ")), r"\s+"), lambda t: F.regexp_replace(t, r"^[().]+|[().]+$", "")), lambda t: t != "")
-    is_name = (name != "") & (F.length(name) <= 45) & ~name.rlike(r"[{}`0-9]") & F.forall(tokens, lambda t: t.rlike(r"^\p{Lu}"))
-    held = lines.withColumn("position", F.last(header, ignorenulls=True).over(w)).where(header.isNull() & is_name & (F.col("position") != "-"))
-    return held.select(key, "roll_number", "position", F.row_number().over(Window.partitionBy(key, "b", "position").orderBy("n")).cast("long").alias("place"), name.alias("surname"))
+    heading = _heading(F.col("line"))
+    held = lines.withColumn("position", F.last(heading, ignorenulls=True).over(w)).where(heading.isNull() & _is_name(F.col("line")) & (F.col("position") != "-"))
+    return held.select(key, "roll_number", "position", F.row_number().over(Window.partitionBy(key, "b", "position").orderBy("n")).cast("long").alias("place"), F.col("line").alias("surname"))
 
 
 def outcome(block: Column) -> Column:
-    """struct<phrase, passed> that a roll's text announces: the first verb behind the last `So` that has one, else the last verb; null without any."""
-    flat = F.regexp_replace(block, r"\s+", " ")
-    said = rf"(?i:\b(?:was|were)\s+(not\s+)?({_VERBS})\b)"
-    after, bare = rf"^.*\bSo\b.*?{said}", rf"^.*{said}"
-    pick = lambda g: F.coalesce(F.nullif(F.regexp_extract(flat, after, g), F.lit("")), F.when(~flat.rlike(after), F.nullif(F.regexp_extract(flat, bare, g), F.lit(""))))
-    verb, negated = F.lower(pick(2)), pick(1).isNotNull()
-    words = F.concat(F.when(negated, "not ").otherwise(""), verb)
-    passed = verb.isin("agreed to", "passed", "adopted", "confirmed", "ordered", "sustained") != negated
-    return F.when(verb.isNotNull(), F.struct(F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 100)).alias("phrase"), passed.alias("passed")))
+    """struct<phrase, passed> that a roll's text announces; null without any.
+
+    Announcements begin with `So`: the last of them that says what was done counts, by the first verb in it. Without one, the last
+    verb of the text does.
+    """
+    verbs = "|".join(v.replace(" ", r"\s+") for v in CARRIED)
+    hits = lambda x: F.regexp_extract_all(F.lower(x), F.lit(rf"\b(?:was|were)\s+((?:not\s+)?(?:{verbs}))\b"), F.lit(1))
+    told = F.filter(F.transform(F.slice(F.split(block, r"\bSo\b"), 2, 1 << 20), lambda part: F.get(hits(part), 0)), lambda h: h.isNotNull())
+    words = F.regexp_replace(F.coalesce(F.try_element_at(told, F.lit(-1)), F.try_element_at(hits(block), F.lit(-1))), r"\s+", " ")
+    negated = words.startswith("not ")
+    verb = F.when(negated, F.substring(words, 5, 100)).otherwise(words)
+    carried = F.element_at(F.create_map(*[F.lit(x) for pair in CARRIED.items() for x in pair]), verb)
+    return F.when(verb.isNotNull(), F.struct(F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 100)).alias("phrase"), (carried != negated).alias("passed")))
