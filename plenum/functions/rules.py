@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plenum.functions.text import HONORIFICS, tokens
+from plenum.functions.text import HONORIFICS, KEY_TITLES, tokens
 
 
 def identity_key(essentials: Column, local: Column, name: Column) -> Column:
-    """The first of a linked slug, a local slug and a normalised name, with its kind in front; null without any."""
+    """The first of a linked slug, a local slug and a normalised name, with its kind in front; null without any. The name loses titles unless it has nothing else."""
     blank = lambda x: F.nullif(F.trim(x), F.lit(""))
-    plain = F.nullif(F.array_join(F.filter(tokens(name), lambda t: ~t.isin(HONORIFICS)), " "), F.lit(""))
+    ws = F.filter(F.split(F.replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), F.lit("."), F.lit("")), r"\s+"), lambda t: t != "")
+    own = F.filter(ws, lambda t: ~t.isin(KEY_TITLES))
+    plain = F.nullif(F.array_join(F.when(F.size(own) > 0, own).otherwise(ws), " "), F.lit(""))
     return F.coalesce(F.concat(F.lit("essentials:"), blank(essentials)), F.concat(F.lit("local:"), blank(local)), F.concat(F.lit("name:"), plain))
 
 

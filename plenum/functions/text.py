@@ -3,13 +3,27 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words in front of or behind a name that are no part of it.
-HONORIFICS = ["mr", "mrs", "ms", "dr", "hon", "honorable", "sen", "senator", "rep", "representative", "jr", "sr", "ii", "iii", "iv"]
+# Words that are no part of a name, for comparing names, for surnames on a roster, and for identity keys.
+HONORIFICS = (
+    "mr mrs ms dr rep sen senator representative president chair chairman chairwoman chairperson councilmember council member mayor the hon honorable "
+    "gov governor speaker"
+).split()
+ROSTER_TITLES = (
+    "councilmember councilwoman councilman alderman alderwoman commissioner mayor vice-mayor president vice-president clerk secretary treasurer "
+    "supervisor representative city council member"
+).split()
+KEY_TITLES = (
+    "councilmember councilwoman councilman alderman alderwoman commissioner mayor vice-mayor president vice-president clerk secretary treasurer "
+    "supervisor representative chair chairman chairwoman dr mr mrs ms"
+).split()
 
 
 def normalise(x: Column) -> Column:
@@ -27,8 +41,9 @@ def significant_tokens(x: Column) -> Column:
 
 
 def surname(x: Column) -> Column:
-    """The last token that is no honorific, else the whole name; normalised."""
-    return F.coalesce(F.try_element_at(F.filter(tokens(x), lambda t: ~t.isin(HONORIFICS)), F.lit(-1)), normalise(x))
+    """The last word that is no title, else the whole name; lower case."""
+    ws = F.filter(F.split(F.trim(F.lower(F.coalesce(x, F.lit("")))), r"\s+"), lambda w: ~w.isin(ROSTER_TITLES))
+    return F.coalesce(F.nullif(F.try_element_at(ws, F.lit(-1)), F.lit("")), F.lower(F.coalesce(x, F.lit(""))))
 
 
 def slug(x: Column, most: int = 100) -> Column:
@@ -87,28 +102,85 @@ def parse_clock(x: Column) -> Column:
     return F.when(fine, F.coalesce(F.when(n == 3, part(1)), F.lit(0.0)) * 3600 + F.coalesce(F.when(n >= 2, part(-2)), F.lit(0.0)) * 60 + part(-1))
 
 
-#: Query parameters that say where a link came from, not what it shows.
-TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "ref", "si", "feature"]
+# Query parameters that say where a link came from, hosts of one video service, and its paths that an id follows.
+TRACKING = ["t", "feature", "utm_source", "utm_medium", "utm_campaign", "si", "pp"]
+VIDEO_HOSTS = ["youtube.com", "www.youtube.com", "m.youtube.com", "music.youtube.com"]
+SHORT_HOST = "youtu.be"
+VIDEO_PATHS = ["shorts", "embed", "live", "v"]
+
+
+def _url(url: Column) -> tuple[Column, Column, Column]:
+    """Host, path and query of a web address; empty for others."""
+    part = lambda g: F.regexp_extract(F.trim(url), r"^(?i:https?)://([^/?#]*)([^?#]*)\??([^#]*)", g)
+    return F.lower(part(1)), part(2), part(3)
 
 
 def source_key(url: Column) -> Column:
-    """`url:` host and path without www., trailing slash and fragment, and the sorted query without tracking; `youtube:` id for its links."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1)), r"^(www|m)\.", "")
-    path = F.regexp_replace(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]+([^?#]*)", 1), "/+$", "")
-    asked = F.regexp_extract(url, r"\?([^#]*)", 1)
-    kept = F.array_sort(F.filter(F.split(asked, "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(TRACKING)))
-    rest = F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
-    video = youtube_id(url)
-    return F.when(video.isNotNull(), F.concat(F.lit("youtube:"), video)).when(host == "", F.concat(F.lit("file:"), url)).otherwise(F.concat(F.lit("url:"), rest))
+    """One key for one recording: `youtube:` and its id, or `url:` host, path without trailing slashes and the sorted query without
+    tracking and empty values; `file:` for what is no web address; empty for blank ones."""
+    host, path, asked = _url(url)
+    name = lambda p: F.lower(F.substring_index(p, "=", 1))
+    kept = F.array_sort(F.filter(F.split(asked, "&"), lambda p: F.contains(p, F.lit("=")) & ~F.endswith(p, F.lit("=")) & ~name(p).isin(TRACKING)))
+    rest = F.concat(host, F.rtrim(path, F.lit("/")), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    video, raw = youtube_id(url), F.trim(F.coalesce(url, F.lit("")))
+    return F.when(raw == "", "").when(video.isNotNull(), F.concat(F.lit("youtube:"), video)).when(raw.rlike("^(?i:https?)://"), F.concat(F.lit("url:"), rest)).otherwise(F.concat(F.lit("file:"), raw))
 
 
 def youtube_id(url: Column) -> Column:
-    """The 11-character id of a watch, short, live, embed or youtu.be link; null for any other address."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#]+)", 1)), r"^(www|m)\.", "")
-    short = F.regexp_extract(url, r"^[a-zA-Z]+://[^/]+/([A-Za-z0-9_-]{11})(?:[/?#]|$)", 1)
-    watch = F.regexp_extract(url, r"[?&]v=([A-Za-z0-9_-]{11})(?:[&#]|$)", 1)
-    path = F.regexp_extract(url, r"^[a-zA-Z]+://[^/]+/(?:shorts|live|embed|v)/([A-Za-z0-9_-]{11})(?:[/?#]|$)", 1)
-    return F.nullif(F.when(host == "youtu.be", short).when(host == "youtube.com", F.coalesce(F.nullif(watch, F.lit("")), path)), F.lit(""))
+    """The id of a watch, short, live, embed or short-host link; null for any other address."""
+    host, path, asked = _url(url)
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    watch = F.get(F.filter(F.transform(F.filter(F.split(asked, "&"), lambda p: p.startswith("v=")), lambda p: F.substring(p, 3, 1000)), lambda v: v != ""), 0)
+    behind = F.when(F.get(parts, 0).isin(VIDEO_PATHS), F.get(parts, 1))
+    return F.when(host == SHORT_HOST, F.nullif(F.get(F.split(F.ltrim(path, F.lit("/")), "/"), 0), F.lit(""))).when(host.isin(VIDEO_HOSTS), F.coalesce(watch, behind))
+
+
+# Words that announce an event, limits in seconds between clips and whole events, and days after which an item is old.
+EVENT_TERMS = ["debate", "forum", "town hall", "townhall", "town-hall", "interview", "q&a", "one-on-one", "sits down", "candidates"]
+SHORT_CLIP, FULL_EVENT, MAX_AGE = 480, 1500, 630
+#: Letters with marks and what they are without, by decomposition.
+_MARKED = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := [x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)]) == 1 and d[0] != chr(c)]
+
+
+def plain(x: str) -> str:
+    """fold() of a constant."""
+    kept = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+    return " ".join(re.sub(r"[^a-z0-9\s]", " ", kept.lower()).split())
+
+
+def fold(x: Column) -> Column:
+    """Lower case without accents, anything but a-z, 0-9 and white space as a space, white space collapsed; empty for null."""
+    bare = F.translate(F.coalesce(x, F.lit("")), "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+    bare = F.regexp_replace(bare, "[\u0300-\u036f]", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), r"[^a-z0-9\s]", " "), r"\s+", " "))
+
+
+def match_names(title: Column, description: Column, names: Column) -> Column:
+    """The names of two words and more that stand whole in a title or description."""
+    hay = F.concat(F.lit(" "), fold(title), F.lit(" "), fold(description), F.lit(" "))
+    return F.filter(names, lambda n: F.contains(fold(n), F.lit(" ")) & F.contains(hay, F.concat(F.lit(" "), fold(n), F.lit(" "))))
+
+
+def has_event_term(title: Column, description: Column) -> Column:
+    hay = F.concat(fold(title), F.lit(" "), fold(description))
+    return functools.reduce(lambda a, b: a | b, [F.contains(hay, F.lit(plain(t))) for t in EVENT_TERMS])
+
+
+def duration_signal(seconds: Column) -> Column:
+    return F.when(seconds.isNull(), "unknown").when(seconds < SHORT_CLIP, "short").when(seconds >= FULL_EVENT, "long").otherwise("neutral")
+
+
+def prefilter(title: Column, description: Column, seconds: Column, names: Column) -> Column:
+    """struct<passes, matched, duration_signal, reason> of a found item: it passes with a name, if it is no short clip without an event term."""
+    matched, signal = match_names(title, description, names), duration_signal(seconds)
+    none, short = F.size(matched) == 0, (signal == "short") & ~has_event_term(title, description)
+    reason = F.when(none, "no tracked candidate name").when(short, "short clip without event term").otherwise("name match")
+    return F.struct((~none & ~short).alias("passes"), matched.alias("matched"), signal.alias("duration_signal"), reason.alias("reason"))
+
+
+def is_stale(published: Column, today: Column) -> Column:
+    """Whether an item is older than MAX_AGE days; those without a readable date are not."""
+    return F.coalesce(F.datediff(today, F.try_to_date(F.substring(published, 1, 10), "yyyy-MM-dd")) > MAX_AGE, F.lit(False))
 
 
 def strip_html(html: Column) -> Column:

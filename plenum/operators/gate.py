@@ -5,43 +5,64 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Speech seconds below which a label doesn't count, unless all labels are below.
+# Methods of identification by trust, what the verdicts need by kind of event, the speech seconds below which a label
+# doesn't count unless all are below, and what probable attribution counts for.
+TRUSTED = ["human_review", "human_confirmed", "voice_profile", "roll_call", "self_identification", "chair_recognition"]
+UNVERIFIED = ["llm", "name_addressing", "title_context"]
+THRESHOLDS = {
+    "default": (0.90, 0.50), "council": (0.90, 0.50), "school_board": (0.90, 0.50), "debate": (0.95, 0.60), "forum": (0.90, 0.55),
+    "community_meeting": (0.70, 0.40), "floor": (0.70, 0.40), "news_clip": (0.90, 0.50), "press_conference": (0.90, 0.50),
+    "podcast": (0.90, 0.50), "other": (0.90, 0.50),
+}
 FLOOR = 60.0
-#: What pending attribution counts for in coverage.
 DISCOUNT = 0.5
+TIERS = ["trusted", "probable", "unverified", "unknown"]
 
 
 def tier(method: Column) -> Column:
-    """The trust in a method of identification: first rule first."""
-    m = F.lower(F.coalesce(method, F.lit("")))
+    """The trust in a method: a voice match of a returning speaker is probable, any other voice match is trusted."""
+    voice = method.startswith("voice_profile")
     return (
-        F.when(m.startswith("human") | m.isin("purchase"), "trusted")
-        .when(m.startswith("crec") | m.isin("signup", "roll_call", "chair"), "trusted")
-        .when(m.isin("click", "voice_profile", "pattern", "llm"), "pending")
+        F.when(voice & F.contains(method, F.lit("returning_")), "probable")
+        .when(voice | method.isin(TRUSTED), "trusted")
+        .when(method.isin(UNVERIFIED), "unverified")
         .otherwise("unknown")
     )
 
 
-def seconds_by_label(turns: DataFrame) -> DataFrame:
-    """Speech seconds of each (meeting, label, tier); negative lengths and nulls count 0."""
+def seconds_by_label(turns: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(meeting, label, tier, status, seconds): speech of each label; negative lengths and nulls count 0. A label without a name is unknown.
+
+    speakers has at most one row for each meeting and label: name, id_method, status.
+    """
     length = F.greatest(F.lit(0.0), F.coalesce("end_time", F.lit(0.0)) - F.coalesce("start_time", F.lit(0.0)))
-    return turns.groupBy("meeting", "label", tier(F.col("id_method")).alias("tier")).agg(F.sum(length).alias("seconds"))
-
-
-def evaluate(turns: DataFrame, passes: float, reviews: float, floor: float = FLOOR, discount: float = DISCOUNT) -> DataFrame:
-    """Per meeting: seconds by tier among labels of at least `floor` seconds (all labels if none has that), coverage and verdict."""
-    by_label = seconds_by_label(turns)
-    total = F.sum("seconds").over(Window.partitionBy("meeting", "label"))
-    eligible = by_label.withColumn("long", total >= floor).withColumn("any", F.max("long").over(Window.partitionBy("meeting"))).where("long or not any")
-    of = lambda t: F.coalesce(F.sum(F.when(F.col("tier") == t, F.col("seconds"))), F.lit(0.0))
-    sums = eligible.groupBy("meeting").agg(F.sum("seconds").alias("total"), of("trusted").alias("trusted"), of("pending").alias("pending"), F.count_distinct("label").alias("n_labels"))
-    coverage = F.when(F.col("total") > 0, (F.col("trusted") + discount * F.col("pending")) / F.col("total")).otherwise(0.0)
-    return sums.select(
-        "meeting",
-        "n_labels",
-        F.round("total", 3).alias("total"),
-        F.round("trusted", 3).alias("trusted"),
-        F.round("pending", 3).alias("pending"),
-        F.round(coverage, 5).alias("coverage"),
-        F.when(coverage >= passes, "pass").when(coverage >= reviews, "review").otherwise("fail").alias("verdict"),
+    summed = turns.groupBy("meeting", "label").agg(F.sum(length).alias("seconds"))
+    named = F.coalesce(F.col("name"), F.lit("")) != ""
+    return summed.join(speakers.select("meeting", "label", "name", "id_method", "status"), ["meeting", "label"], "left").select(
+        "meeting", "label", F.when(named, tier(F.col("id_method"))).otherwise("unknown").alias("tier"), "status", "seconds"
     )
+
+
+def evaluate(
+    turns: DataFrame, speakers: DataFrame, kinds: DataFrame, thresholds: dict[str, tuple[float, float]] = THRESHOLDS, floor: float = FLOOR, discount: float = DISCOUNT
+) -> DataFrame:
+    """Per meeting: eligible labels, the coverage of each tier among them, the effective coverage and the verdict (pass, review, failed).
+
+    Eligible are labels of at least `floor` seconds that are no non_speaker; if there are none, all that are no non_speaker. A meeting
+    without speech fails. kinds: meeting, event_kind, which picks the thresholds.
+    """
+    by_label = seconds_by_label(turns, speakers).withColumn("speaks", ~F.col("status").eqNullSafe(F.lit("non_speaker")))
+    w = Window.partitionBy("meeting")
+    long = F.col("speaks") & (F.col("seconds") >= floor)
+    told = by_label.withColumn("any_long", F.max(long).over(w)).withColumn("eligible", F.when(F.col("any_long"), long).otherwise(F.col("speaks")))
+    of = lambda t: F.coalesce(F.sum(F.when(F.col("eligible") & (F.col("tier") == t), F.col("seconds"))), F.lit(0.0))
+    sums = told.groupBy("meeting").agg(F.sum("seconds").alias("speech"), F.count_if("eligible").alias("n_eligible"), F.coalesce(F.sum(F.when(F.col("eligible"), F.col("seconds"))), F.lit(0.0)).alias("base"), *[of(t).alias(t) for t in TIERS])
+    share = lambda x: F.when(F.col("base") > 0, x / F.col("base")).otherwise(0.0)
+    effective = share(F.col("trusted") + discount * F.col("probable"))
+    table = F.create_map(*[x for k, (high, low) in thresholds.items() for x in (F.lit(k), F.struct(F.lit(high).alias("high"), F.lit(low).alias("low")))])
+    limits = F.coalesce(F.try_element_at(table, F.coalesce("event_kind", F.lit("default"))), F.element_at(table, F.lit("default")))
+    verdict = F.when(F.col("speech") <= 0, "failed").when(effective >= limits["high"], "pass").when(effective >= limits["low"], "review").otherwise("failed")
+    return sums.join(kinds, "meeting", "left").select(
+        "meeting", "n_eligible", F.round("speech", 3).alias("speech"), *[F.round(share(F.col(t)), 4).alias(f"{t}_coverage") for t in TIERS],
+        F.round(effective, 4).alias("effective_coverage"), verdict.alias("verdict"),
+    )

@@ -5,16 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How sure each family of patterns is.
-CONFIDENCE = {"roll_call": 0.95, "chair": 0.92, "self": 0.90, "address": 0.80, "title": 0.75}
-_NAME = r"([A-Z][A-Za-z'-]+(?: [A-Z][A-Za-z'-]+){0,2})"
-_PATTERNS = {
-    "self": rf"(?:[Mm]y name is|I am|I'm) {_NAME}",
-    "chair": rf"(?:[Tt]he [Cc]hair recognizes|[Cc]hair recognizes) {_NAME}",
-    "roll_call": rf"^(?:Council ?[Mm]ember|Commissioner|Supervisor) {_NAME}[?.]?$",
-    "address": rf"(?:[Tt]hank you,?|[Gg]o ahead,?) (?:Council ?[Mm]ember |Commissioner |Mayor )?{_NAME}",
-    "title": rf"(?:Mayor|Clerk|President) {_NAME}",
+# Titles that announce a name, what stands before and behind them in each family, how sure a family is, offices, and words
+# that begin no name.
+TITLES = [
+    "Councilmember", r"Council\s*Member", "Councilwoman", "Councilman", "Alderman", "Alderwoman", "Commissioner", "Mayor", r"Vice[\s-]?Mayor",
+    "President", r"Vice[\s-]?President", "Clerk", "Secretary", "Treasurer", "Supervisor", "Representative",
+]
+FAMILIES = {
+    "roll_call": ("", r"\s*\?", 0.95),
+    "chair_recognition": (r"chair\s+recognizes\s+", "", 0.92),
+    "self_identification": (r"(?:this\s+is|I\s+am|I'm)\s+", "", 0.90),
+    "name_addressing": ("", r"\s*,", 0.80),
 }
+OFFICES = ["attorney", "clerk", "mayor", "treasurer", "manager", "administrator", "auditor", "comptroller"]
+OFFICE_CONFIDENCE = 0.75
+NO_NAMES = ["here", "present", "yes", "no", "thank", "thanks", "okay", "the", "this", "that", "what", "how", "who", "where", "when"]
+
+_NAME = r"((?-i:\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+){0,2}))"
+_PATTERNS = {f: rf"(?i){before}(?:{'|'.join(TITLES)})\s+{_NAME}{behind}" for f, (before, behind, _) in FAMILIES.items()}
+
+
+def plausible_name(name: Column) -> Column:
+    """One to three words, 40 characters at most, and the first of them one that may begin a name."""
+    ws = F.split(F.trim(name), r"\s+")
+    return (F.trim(name) != "") & (F.size(ws) <= 3) & (F.length(name) <= 40) & ~F.lower(F.get(ws, 0)).isin(NO_NAMES)
 
 
 def first_rule(rows: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
@@ -38,9 +52,25 @@ def anchors(items: DataFrame, segments: DataFrame, pattern: str) -> DataFrame:
 
 
 def spoken_names(segments: DataFrame) -> DataFrame:
-    """Candidates that a segment's text gives: segment_id, family, name, confidence; a family gives its first hit."""
-    found = F.array(*[F.struct(F.lit(k).alias("family"), F.regexp_extract("text", p, 1).alias("name"), F.lit(CONFIDENCE[k]).alias("confidence")) for k, p in _PATTERNS.items()])
-    return segments.select("segment_id", F.explode(F.filter(found, lambda x: x["name"] != "")).alias("f")).select("segment_id", "f.*")
+    """Candidates that a segment's text gives: segment_id, family, name, confidence; a family gives its first hit, if it is plausible.
+
+    title_context gives an office in place of a name. Whom a candidate is about is next_speaker()'s and roll_call_responder()'s part.
+    """
+    each = [F.struct(F.lit(f).alias("family"), F.regexp_extract("text", p, 1).alias("name"), F.lit(FAMILIES[f][2]).alias("confidence")) for f, p in _PATTERNS.items()]
+    office = F.initcap(F.regexp_extract("text", rf"(?i)as\s+(?:the\s+)?(?:city\s+)?({'|'.join(OFFICES)})", 1))
+    each.append(F.struct(F.lit("title_context").alias("family"), office.alias("name"), F.lit(OFFICE_CONFIDENCE).alias("confidence")))
+    return segments.select("segment_id", F.explode(F.filter(F.array(*each), lambda x: plausible_name(x["name"]))).alias("f")).select("segment_id", "f.*")
+
+
+def roll_call_responder(segments: DataFrame, within: int = 4) -> DataFrame:
+    """For each segment the label of the first of the next `within` segments that another speaks and that answers a roll call; null without.
+
+    Needs meeting, segment_id (in order), label, text.
+    """
+    w = Window.partitionBy("meeting").orderBy("segment_id")
+    answers = F.col("text").rlike(r"(?i)\b(?:present|here|aye|yes)\b")
+    later = F.array(*[F.when((F.lead("label", k).over(w) != F.col("label")) & F.lead(answers, k).over(w), F.lead("label", k).over(w)) for k in range(1, within + 1)])
+    return segments.withColumn("__later", later).select("meeting", "segment_id", F.get(F.filter("__later", lambda x: x.isNotNull()), 0).alias("responder"))
 
 
 def tiered_lookup(asked: DataFrame, entries: DataFrame) -> DataFrame:

@@ -164,14 +164,14 @@ def stitch(chunks: DataFrame, threshold: float = 0.75, least_speech: float = 3.0
 
 
 def match_in_order(rolls: Column, announced: Column, tolerance: int = 3) -> Column:
-    """For each roll the place (1, 2, ...) of the next announcement after the last matched one whose counts are both near, else null.
+    """For each roll the place (1, 2, ...) of the next announcement after the last matched one whose counts differ by `tolerance` in sum at most, else null.
 
     Both are ordered arrays of structs with yeas and nays.
     """
     start = F.struct(F.lit(0).alias("last"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, r: Column) -> Column:
-        near = F.transform(announced, lambda a, i: (i >= acc["last"]) & (F.abs(a["yeas"] - r["yeas"]) <= tolerance) & (F.abs(a["nays"] - r["nays"]) <= tolerance))
+        near = F.transform(announced, lambda a, i: (i >= acc["last"]) & (F.abs(a["yeas"] - r["yeas"]) + F.abs(a["nays"] - r["nays"]) <= tolerance))
         place = F.nullif(F.array_position(near, True), F.lit(0)).cast("int")
         return F.struct(F.coalesce(place, acc["last"]).alias("last"), F.concat(acc["out"], F.array(place)).alias("out"))
 

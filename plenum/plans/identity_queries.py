@@ -12,51 +12,51 @@ from plenum.operators import gate
 from plenum.operators import identity as D
 from plenum.plans import views as V
 from plenum.plans.registry import registry
-from plenum.plans.views import TURNS, VECTORS
+from plenum.plans.views import SPEAKERS, TURNS, VECTORS
 
 QUERIES, ORACLES, query = registry()
 
-_TIER = "case when id_method in ('purchase', 'signup') then 'trusted' when id_method = 'click' then 'pending' else 'unknown' end"
-_LABELS = f"with {TURNS}, b as (select meeting, label, {_TIER} as tier, sum(greatest(0.0, end_time - start_time)) as seconds from turns group by all)"
+_TIER = """case when coalesce(name, '') = '' then 'unknown' when id_method in ('human_review', 'human_confirmed', 'roll_call', 'self_identification', 'chair_recognition') then 'trusted'
+when id_method like 'voice_profile%returning\\_%' escape '\\' then 'probable' when id_method like 'voice_profile%' then 'trusted' when id_method in ('llm', 'name_addressing', 'title_context') then 'unverified' else 'unknown' end"""
+_LABELS = f"""with {TURNS}, {SPEAKERS}, b as (select meeting, label, {_TIER} as tier, status, seconds
+  from (select meeting, label, sum(greatest(0.0, end_time - start_time)) as seconds from turns group by all) join speakers using (meeting, label))"""
 
 
 @query(f"{_LABELS} select meeting, label, tier, round(seconds, 3) as seconds from b")
 def gate_tier_seconds(spark, sf_dir):
-    return gate.seconds_by_label(V.turns(spark, sf_dir)).withColumn("seconds", F.round("seconds", 3))
+    return gate.seconds_by_label(V.turns(spark, sf_dir), V.speakers(spark, sf_dir)).select("meeting", "label", "tier", F.round("seconds", 3).alias("seconds"))
 
 
-@query(f"""{_LABELS}, t as (select *, sum(seconds) over (partition by meeting, label) >= 3000 as long from b),
-e as (select * from (select *, bool_or(long) over (partition by meeting) as any_long from t) where long or not any_long),
-s as (select meeting, sum(seconds) as total, coalesce(sum(seconds) filter (tier = 'trusted'), 0) as trusted, coalesce(sum(seconds) filter (tier = 'pending'), 0) as pending, count(distinct label) as n_labels from e group by meeting)
-select meeting, n_labels, round(total, 3) as total, round(trusted, 3) as trusted, round(pending, 3) as pending, round((trusted + 0.5 * pending) / total, 5) as coverage,
-  case when (trusted + 0.5 * pending) / total >= 0.5 then 'pass' when (trusted + 0.5 * pending) / total >= 0.45 then 'review' else 'fail' end as verdict from s""")
+@query(f"""{_LABELS}, q as (select *, status is distinct from 'non_speaker' as speaks from b),
+e as (select *, case when bool_or(speaks and seconds >= 60) over (partition by meeting) then speaks and seconds >= 60 else speaks end as eligible from q),
+s as (select meeting, sum(seconds) as speech, count(*) filter (eligible) as n_eligible, coalesce(sum(seconds) filter (eligible), 0) as base, {", ".join(f"coalesce(sum(seconds) filter (eligible and tier = '{t}'), 0) as {t}" for t in gate.TIERS)} from e group by meeting),
+c as (select *, case when base > 0 then (trusted + 0.5 * probable) / base else 0 end as eff, case day(meeting) % 4 when 1 then 0.95 when 2 then 0.70 else 0.90 end as high, case day(meeting) % 4 when 1 then 0.60 when 2 then 0.40 else 0.50 end as low from s)
+select meeting, n_eligible, round(speech, 3) as speech, {", ".join(f"round(case when base > 0 then {t} / base else 0 end, 4) as {t}_coverage" for t in gate.TIERS)}, round(eff, 4) as effective_coverage,
+  case when speech <= 0 then 'failed' when eff >= high then 'pass' when eff >= low then 'review' else 'failed' end as verdict from c""")
 def gate_verdict(spark, sf_dir):
-    return gate.evaluate(V.turns(spark, sf_dir), 0.5, 0.45, floor=3000.0)
+    return gate.evaluate(V.turns(spark, sf_dir), V.speakers(spark, sf_dir), V.kinds(spark, sf_dir))
 
 
 _CENTROIDS = """cen as (
   select profile, list(m order by i) as centroid from (select profile, i, avg(vector[i]) as m from (select profile, vector, unnest(range(1, 65)) as i from vectors) group by profile, i) group by profile)"""
 
 
-@query(f"with {VECTORS}, {_CENTROIDS} select profile, round(centroid[1], 5) as first, round(centroid[64], 5) as last, len(centroid)::bigint as size from cen")
+@query(f"with {VECTORS}, {_CENTROIDS} select profile, list_transform(centroid, lambda x: round(x, 5)) as centroid from cen")
 def centroids(spark, sf_dir):
-    c = D.centroids(V.vectors(spark, sf_dir), ["profile"])
-    return c.select("profile", F.round(F.get("centroid", 0), 5).alias("first"), F.round(F.get("centroid", 63), 5).alias("last"), F.size("centroid").cast("long").alias("size"))
+    return D.centroids(V.vectors(spark, sf_dir), ["profile"]).select("profile", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
 
 
-@query(f"""with {VECTORS}, s as (select profile, i, sum(vector[i]) as s, count(*) as n from (select profile, vector, unnest([1, 64]) as i from vectors) group by profile, i),
-m as (select profile, meeting, i, sum(vector[i]) as s, count(*) as n from (select profile, meeting, vector, unnest([1, 64]) as i from vectors) group by profile, meeting, i)
-select m.profile, m.meeting, round(max((s.s - m.s) / (s.n - m.n)) filter (m.i = 1), 5) as first, round(max((s.s - m.s) / (s.n - m.n)) filter (m.i = 64), 5) as last
-from m join s on m.profile = s.profile and m.i = s.i where s.n > m.n group by m.profile, m.meeting""")
+@query(f"""with {VECTORS}, s as (select profile, i, sum(vector[i]) as s, count(*) as n from (select profile, vector, unnest(range(1, 65)) as i from vectors) group by profile, i),
+m as (select profile, meeting, i, sum(vector[i]) as s, count(*) as n from (select profile, meeting, vector, unnest(range(1, 65)) as i from vectors) group by profile, meeting, i)
+select m.profile, m.meeting, list(round((s.s - m.s) / (s.n - m.n), 5) order by m.i) as centroid from m join s on m.profile = s.profile and m.i = s.i where s.n > m.n group by m.profile, m.meeting""")
 def centroids_leave_one_out(spark, sf_dir):
     """Each profile's mean vector without one meeting's part: sums of all less the sums of that meeting."""
     each = V.vectors(spark, sf_dir).select("profile", "meeting", F.posexplode("vector").alias("i", "x"))
     part = each.groupBy("profile", "meeting", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     whole = part.groupBy("profile", "i").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
     left = part.join(whole, ["profile", "i"]).where("all_n > n").withColumn("m", (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")))
-    return left.groupBy("profile", "meeting").agg(
-        F.round(F.max(F.when(F.col("i") == 0, F.col("m"))), 5).alias("first"), F.round(F.max(F.when(F.col("i") == 63, F.col("m"))), 5).alias("last")
-    )
+    ordered = F.array_sort(F.collect_list(F.struct("i", F.round("m", 5).alias("m"))))
+    return left.groupBy("profile", "meeting").agg(F.transform(ordered, lambda x: x["m"]).alias("centroid"))
 
 
 @query(f"""with {VECTORS}, w as (select profile, i, sum(vector[i] * (vec_id % 7 - 1)) / sum(vec_id % 7 - 1) as m from (select *, unnest([1, 64]) as i from vectors where vec_id % 7 - 1 > 0) group by profile, i)
@@ -179,16 +179,16 @@ def duplicate_names(spark, sf_dir):
 
 
 @query("""with r as (select s_suppkey as ordinal, s_name as canonical, 'S' || s_suppkey::varchar as alias from supplier),
-n as (select c_name as name from customer union select lower(s_name) from supplier union select 'S' || s_suppkey::varchar from supplier),
-k as (select name, lower(trim(name)) as k, list_last(string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ')) as sn from n),
-s as (select sn, min(ordinal) as ordinal, min(canonical) as canonical from (select *, list_last(string_split(trim(regexp_replace(lower(canonical), '[^a-z0-9]+', ' ', 'g')), ' ')) as sn from r) group by sn having count(*) = 1),
+n as (select 'Mayor  ' || replace(c_name, 'Customer', 'Supplier') as name from customer union select lower(s_name) from supplier union select 'S' || s_suppkey::varchar from supplier),
+k as (select name, lower(trim(name)) as k, list_last(string_split(lower(name), ' ')) as sn from n),
+s as (select sn, min(ordinal) as ordinal, min(canonical) as canonical from (select *, lower(canonical) as sn from r) group by sn having count(*) = 1),
 m as (select name, 1 as tier, ordinal, canonical from k join r on k.k = lower(canonical) union all select name, 2, ordinal, canonical from k join r on k.k = lower(alias) union all select name, 3, ordinal, canonical from k join s on k.sn = s.sn)
 select k.name, arg_min(canonical, (tier, ordinal)) as canonical, arg_min(tier, (tier, ordinal))::bigint as tier from k left join m on k.name = m.name group by k.name""")
 def roster_exact_alias(spark, sf_dir):
     s = V.table(spark, sf_dir, "supplier")
     alias = F.concat(F.lit("S"), F.col("s_suppkey").cast("string"))
     roster = s.select(F.col("s_suppkey").alias("ordinal"), F.col("s_name").alias("canonical"), F.array(alias).alias("aliases"))
-    names = V.table(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).union(s.select(F.lower("s_name"))).union(s.select(alias))
+    names = V.table(spark, sf_dir, "customer").select(F.concat(F.lit("Mayor  "), F.replace("c_name", F.lit("Customer"), F.lit("Supplier"))).alias("name")).union(s.select(F.lower("s_name"))).union(s.select(alias))
     return D.roster_match(names, roster)
 
 

@@ -30,15 +30,34 @@ def reference_anchors(spark, sf_dir):
     return got.select("item_id", F.array_join(F.transform("segments", lambda x: x.cast("string")), ",").alias("segments"))
 
 
-@query("""select c_custkey as segment_id, case c_custkey % 4 when 0 then 'self' when 1 then 'chair' when 2 then 'roll_call' end as family, 'Jo ' || case c_mktsegment when 'BUILDING' then 'Build' else 'Other' end as name,
-case c_custkey % 4 when 0 then 0.90 when 1 then 0.92 when 2 then 0.95 end::double as confidence from customer where c_custkey % 4 < 3""")
+@query("""with c as (select c_custkey, 'Jo ' || upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) as name, c_custkey % 7 as k from customer)
+select c_custkey as segment_id, case k when 0 then 'self_identification' when 1 then 'chair_recognition' when 2 then 'roll_call' when 3 then 'name_addressing' else 'title_context' end as family,
+case when k = 4 then 'Attorney' else name end as name, case k when 0 then 0.90 when 1 then 0.92 when 2 then 0.95 when 3 then 0.80 else 0.75 end::double as confidence from c where k < 5""")
 def spoken_names(spark, sf_dir):
-    name = F.concat(F.lit("Jo "), F.when(F.col("c_mktsegment") == "BUILDING", "Build").otherwise("Other"))
-    k = F.col("c_custkey") % 4
-    said = F.when(k == 0, F.concat(F.lit("Good evening, my name is "), name, F.lit(". I live here."))).when(k == 1, F.concat(F.lit("the chair recognizes "), name, F.lit(" now"))).when(k == 2, F.concat(F.lit("Councilmember "), name, F.lit("?"))).otherwise("nothing to see")
+    """Names that five families of sentences tell; the sixth names without a title, the seventh nobody."""
+    name = F.concat(F.lit("Jo "), F.initcap("c_mktsegment"))
+    k = F.col("c_custkey") % 7
+    said = (
+        F.when(k == 0, F.concat(F.lit("Good evening, I am Council Member "), name, F.lit(". I live here.")))
+        .when(k == 1, F.concat(F.lit("the Chair recognizes vice mayor "), name, F.lit(" now")))
+        .when(k == 2, F.concat(F.lit("Councilmember "), name, F.lit(" ?")))
+        .when(k == 3, F.concat(F.lit("Clerk "), name, F.lit(", would you")))
+        .when(k == 4, "Speaking as the city attorney. Clerk Here?")
+        .when(k == 5, F.concat(F.lit("I am "), name, F.lit(".")))
+        .otherwise("nothing to see")
+    )
     return M.spoken_names(T(spark, sf_dir, "customer").select(F.col("c_custkey").alias("segment_id"), said.alias("text")))
 
 
+@query("""with s as (select *, [case when lead(user_id % 5, 1) over w <> user_id % 5 and lead(event_type, 1) over w in ('click', 'view') then lead(user_id % 5, 1) over w end, case when lead(user_id % 5, 2) over w <> user_id % 5 and lead(event_type, 2) over w in ('click', 'view') then lead(user_id % 5, 2) over w end,
+case when lead(user_id % 5, 3) over w <> user_id % 5 and lead(event_type, 3) over w in ('click', 'view') then lead(user_id % 5, 3) over w end, case when lead(user_id % 5, 4) over w <> user_id % 5 and lead(event_type, 4) over w in ('click', 'view') then lead(user_id % 5, 4) over w end] as l
+from events window w as (partition by cast(ts as date) order by event_id)) select cast(ts as date) as meeting, event_id as segment_id, list_filter(l, lambda x: x is not null)[1]::varchar as responder from s""")
+def roll_call_responder(spark, sf_dir):
+    e = T(spark, sf_dir, "events")
+    said = F.when(F.col("event_type") == "click", "Yes.").when(F.col("event_type") == "view", "I'm here").otherwise("heresy")
+    return M.roll_call_responder(e.select(F.to_date("ts").alias("meeting"), F.col("event_id").alias("segment_id"), (F.col("user_id") % 5).cast("string").alias("label"), said.alias("text")))
+
+
 @query("""with e as (select o_orderkey as position, 'l' || (o_custkey % 900)::varchar as link, case when o_orderkey % 2 = 0 then 's' else '' end || (o_custkey % 1300)::varchar as slug, o_orderpriority as value from orders),
 a as (select c_custkey as ask_id, 'l' || (c_custkey + 400)::varchar as link, case when c_custkey % 3 > 0 then 's' else '' end || c_custkey::varchar as slug from customer)
 select ask_id, coalesce(l.v, s.v) as value, case when l.v is not null then 1 when s.v is not null then 2 end::bigint as tier from a
@@ -68,14 +87,14 @@ def chunk_sections(spark, sf_dir):
     return M.chunk_sections(li, "grp", 2)
 
 
-@query("""with s as (select o_orderkey as id, o_custkey as slug, o_orderstatus as status, o_totalprice as price from orders where o_orderkey % 2 = 0), x as (select o_orderkey as id, o_custkey + 1 as slug, 'N' as status, o_totalprice + 1 as price from orders where o_orderkey % 3 = 0)
+@query("""with s as (select o_orderkey as id, o_custkey as slug, o_orderstatus as status from orders where o_custkey % 3 > 0), x as (select o_orderkey as id, o_custkey + 1 as slug, 'N' as status from orders where o_custkey % 3 < 2)
 select coalesce(s.id, x.id) as id, case when s.status = 'F' or x.id is null then s.slug else x.slug end as slug, case when s.status = 'F' or x.id is null then s.status else x.status end as status,
 case when s.id is null then 'inserted' when x.id is null then 'kept' when s.status = 'F' then 'skipped' else 'updated' end as action from s full join x on s.id = x.id""")
 def conditional_upsert(spark, sf_dir):
-    """Scheduled rows replace stored ones unless these are final."""
+    """Scheduled rows replace stored ones unless these are final; a third of the orders is stored only, a third scheduled only, a third both."""
     o = T(spark, sf_dir, "orders")
-    s = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("slug"), F.col("o_orderstatus").alias("status")).alias("old"))
-    x = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), F.struct((F.col("o_custkey") + 1).alias("slug"), F.lit("N").alias("status")).alias("new"))
+    s = o.where("o_custkey % 3 > 0").select(F.col("o_orderkey").alias("id"), F.struct(F.col("o_custkey").alias("slug"), F.col("o_orderstatus").alias("status")).alias("old"))
+    x = o.where("o_custkey % 3 < 2").select(F.col("o_orderkey").alias("id"), F.struct((F.col("o_custkey") + 1).alias("slug"), F.lit("N").alias("status")).alias("new"))
     action = F.when(F.col("old").isNull(), "inserted").when(F.col("new").isNull(), "kept").when(F.col("old.status") == "F", "skipped").otherwise("updated")
     j = s.join(x, "id", "full_outer").withColumn("action", action)
     chosen = F.when(F.col("action").isin("kept", "skipped"), F.col("old")).otherwise(F.col("new"))

@@ -16,7 +16,7 @@ T = V.table
 
 
 @query("""select c_custkey, case when c_custkey % 3 = 0 then 'essentials:p-' || c_custkey::varchar when c_custkey % 3 = 1 and c_custkey % 2 = 0 then 'local:l-' || c_custkey::varchar
-else 'name:' || trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) end as key from customer""")
+else 'name:' || lower(c_name) end as key from customer""")
 def identity_keys(spark, sf_dir):
     c = T(spark, sf_dir, "customer")
     k = F.col("c_custkey")
@@ -111,14 +111,16 @@ def speech_spread(spark, sf_dir):
     return s.groupBy("meeting").agg(F.round(F.min("s"), 3).alias("least"), F.round(F.max("s"), 3).alias("most"), F.round(F.percentile("s", 0.75), 3).alias("p75"), F.round(F.percentile("s", 0.5), 3).alias("middle"))
 
 
-@query("""with m as (select l_orderkey % 800 as ref, l_orderkey as memo from lineitem where l_linenumber = 1), a as (select o_orderkey % 900 as ref, o_orderkey as item from orders where o_orderkey % 5 = 0),
+@query("""with n as (select max(o_orderkey) as n from orders), m as (select distinct l_orderkey % (n // 2 + 1) as ref, l_orderkey as memo from lineitem, n), a as (select o_orderkey % (n // 2 + 9) as ref, o_orderkey as item from orders, n),
 mc as (select *, count(*) over (partition by ref) as mn from m), ac as (select *, count(*) over (partition by ref) as an from a)
 select memo, item from mc join ac on mc.ref = ac.ref where mn = 1 and an = 1
 union all select memo, null from mc where mn > 1 or not exists (select 1 from ac where ac.ref = mc.ref and an = 1)""")
 def reconcile_plan(spark, sf_dir):
     """Minutes joined to agenda items by reference where that is unique on both sides; the rest stays unmatched."""
-    m = T(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") % 800).alias("ref"), F.col("l_orderkey").alias("memo"))
-    a = T(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_orderkey") % 900).alias("ref"), F.col("o_orderkey").alias("item"))
+    o = T(spark, sf_dir, "orders")
+    n = F.broadcast(o.agg(F.floor(F.max("o_orderkey") / 2).alias("half")))  # one row
+    m = T(spark, sf_dir, "lineitem").select("l_orderkey").distinct().join(n).select((F.col("l_orderkey") % (F.col("half") + 1)).alias("ref"), F.col("l_orderkey").alias("memo"))
+    a = o.join(n).select((F.col("o_orderkey") % (F.col("half") + 9)).alias("ref"), F.col("o_orderkey").alias("item"))
     one = lambda df, c: df.groupBy("ref").agg(F.count("*").alias("n"), F.min(c).alias(c)).where("n = 1").select("ref", c)
     pairs = one(m, "memo").join(one(a, "item"), "ref").select("memo", "item")
     return m.join(pairs, "memo", "left").select("memo", "item")

@@ -38,12 +38,13 @@ def stream_upsert(spark, sf_dir):
     sink = polls.UpsertSink(f"{base}/latest-{uuid.uuid4().hex}", ["user_id"], ["ts", "event_id"])
     run = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(sink.version).select("user_id", "event_id", "event_type")
+    return spark.read.parquet(sink.newest(spark)).select("user_id", "event_id", "event_type")
 
 
-@query("select user_id::varchar as key, count(*) as n_changes from (select distinct user_id, user_id % 7 as m from events) group by 1")
+@query("""with m as (select user_id, event_type as m, lag(event_type) over (partition by user_id order by ts, event_type) as was from events)
+select user_id::varchar as key, coalesce(was, '') as old, m as new, count(*) as n from m where m is distinct from was group by all""")
 def marker_changes(spark, sf_dir):
-    """A marker that stays the same changes once: from none."""
+    """How often each user's kind of event changes from what to what."""
     stream, base = _stream(spark, sf_dir)
-    told = stream.select("user_id", (F.col("user_id") % 7).alias("m"))
-    return _run(polls.marker_changes(told, "user_id", "m"), base).groupBy("key").agg(F.count("*").alias("n_changes"))
+    done = _run(polls.marker_changes(stream, "user_id", "event_type", "ts"), base)
+    return done.groupBy("key", F.coalesce("old", F.lit("")).alias("old"), "new").agg(F.count("*").alias("n"))

@@ -18,14 +18,21 @@ STOP = ["the", "and", "that", "for", "with", "are", "was", "this", "from", "les"
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 
 
-@query("""select c_custkey, trim(regexp_replace(lower(' Hon. ' || c_name || '  Jr.'), '[^a-z0-9]+', ' ', 'g')) as normal,
-array_to_string(list_filter(string_split(trim(regexp_replace(lower('Dr. ' || c_name || ' ' || c_mktsegment || ' Sr.'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= 2 and t not in ('mr','mrs','ms','dr','hon','honorable','sen','senator','rep','representative','jr','sr','ii','iii','iv')), ' ') as significant from customer""")
+_HONORIFICS = ", ".join(f"'{w}'" for w in X.HONORIFICS)
+_TITLES = ", ".join(f"'{w}'" for w in X.ROSTER_TITLES)
+
+
+@query(f"""select c_custkey, trim(regexp_replace(lower(' Hon. ' || c_name || '  Jr.'), '[^a-z0-9]+', ' ', 'g')) as normal,
+array_to_string(list_filter(string_split(trim(regexp_replace(lower('Council President ' || c_name || ' ' || c_mktsegment || ' x'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda t: length(t) >= 2 and t not in ({_HONORIFICS})), ' ') as significant,
+case when c_custkey % 2 = 0 then lower(c_name) else lower(c_mktsegment) end as surname from customer""")
 def normalize_name(spark, sf_dir):
     c = T(spark, sf_dir, "customer")
+    said = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Council President "), "c_name")).otherwise(F.concat("c_name", F.lit(" "), "c_mktsegment", F.lit("  Clerk")))
     return c.select(
         "c_custkey",
         X.normalise(F.concat(F.lit(" Hon. "), "c_name", F.lit("  Jr."))).alias("normal"),
-        F.array_join(X.significant_tokens(F.concat(F.lit("Dr. "), "c_name", F.lit(" "), "c_mktsegment", F.lit(" Sr."))), " ").alias("significant"),
+        F.array_join(X.significant_tokens(F.concat(F.lit("Council President "), "c_name", F.lit(" "), "c_mktsegment", F.lit(" x"))), " ").alias("significant"),
+        X.surname(said).alias("surname"),
     )
 
 
@@ -34,17 +41,24 @@ def slugify(spark, sf_dir):
     return T(spark, sf_dir, "part").select("p_partkey", X.slug(F.concat("p_brand", F.lit(" / "), "p_name", F.lit("!")), 20).alias("slug"))
 
 
-@query("""with u as (select page_id, url from pages union all select page_id + 1000000, 'https://www.youtube.com/watch?v=abcdEFGH_' || lpad((page_id % 100)::varchar, 2, '0') || '&t=3' from pages union all select page_id + 2000000, 'https://youtu.be/abcdEFGH-' || lpad((page_id % 100)::varchar, 2, '0') || '?si=x' from pages),
-p as (select page_id, url, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)), '^(www|m)\\.', '') as host, regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') as path,
-  list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '' and lower(split_part(x, '=', 1)) not in ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','fbclid','gclid','ref','si','feature'))) as q,
-  case when url like '%youtube.com%' then regexp_extract(url, '[?&]v=([A-Za-z0-9_-]{11})', 1) when url like '%youtu.be/%' then regexp_extract(url, 'youtu\\.be/([A-Za-z0-9_-]{11})', 1) end as yt from u)
-select page_id, case when yt is not null then 'youtube:' || yt else 'url:' || host || path || case when len(q) > 0 then '?' || array_to_string(q, '&') else '' end end as key from p""")
+@query("""with u as (select page_id, 'url:' || lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || rtrim(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') as key from pages)
+select page_id, key from u union all select page_id + 1000000, 'youtube:abc-' || page_id::varchar from pages union all select page_id + 2000000, 'youtube:x_' || page_id::varchar from pages
+union all select page_id + 3000000, 'youtube:s' || page_id::varchar from pages union all select page_id + 4000000, key || '?a=1&ref=z' from u
+union all select page_id + 5000000, case when page_id % 2 = 0 then '' else 'file:/tmp/' || page_id::varchar end from pages""")
 def source_key_urls(spark, sf_dir):
-    p = T(spark, sf_dir, "pages").select("page_id", "url")
-    two = F.lpad((F.col("page_id") % 100).cast("string"), 2, "0")
-    a = p.select((F.col("page_id") + 1000000).alias("page_id"), F.concat(F.lit("https://www.youtube.com/watch?v=abcdEFGH_"), two, F.lit("&t=3")).alias("url"))
-    b = p.select((F.col("page_id") + 2000000).alias("page_id"), F.concat(F.lit("https://youtu.be/abcdEFGH-"), two, F.lit("?si=x")).alias("url"))
-    return p.unionByName(a).unionByName(b).select("page_id", X.source_key(F.col("url")).alias("key"))
+    """Keys of each page's address, of video links in four forms, of the address with tracking, and of what is no address."""
+    p, k = F.col("url"), F.col("page_id").cast("string")
+    bare = F.regexp_extract(p, r"^([^?#]*)", 1)
+    forms = [
+        bare,
+        F.concat(F.lit("https://www.youtube.com/watch?t=3&v=abc-"), k, F.lit("&pp=q")),
+        F.concat(F.lit(" https://youtu.be/x_"), k, F.lit("/more?si=x")),
+        F.concat(F.lit("http://music.youtube.com/shorts/s"), k, F.lit("?feature=share")),
+        F.concat(bare, F.lit("?utm_source=y&ref=z&t=9&a=1&empty=#top")),
+        F.when(F.col("page_id") % 2 == 0, "  ").otherwise(F.concat(F.lit("/tmp/"), k)),
+    ]
+    told = T(spark, sf_dir, "pages").select("page_id", F.posexplode(F.array(*forms)).alias("form", "u"))
+    return told.select((F.col("page_id") + F.col("form") * 1000000).alias("page_id"), X.source_key(F.col("u")).alias("key"))
 
 
 def _strip_sql() -> str:
@@ -103,14 +117,14 @@ def verdict_json(spark, sf_dir):
     return T(spark, sf_dir, "events").select("event_id", k.alias("k"), F.least(F.greatest(k.cast("double") / 10, F.lit(0.0)), F.lit(1.0)).alias("confidence"), kind.alias("kind"))
 
 
-@query(f"""with d as (select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: length(w) >= 6)) as word, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: length(w) >= 6)) as n from documents),
+@query(f"""with d as (select doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: length(w) >= 3 and w not in ({_STOP}))) as word, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: length(w) >= 3 and w not in ({_STOP}))) as n from documents),
 i as (select doc_id, word, count(*) as tf, max(n) as length from d group by 1, 2),
-q as (select distinct item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: length(w) >= 6)) as word from benchmark),
+q as (select distinct item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9'']+'), lambda w: length(w) >= 3 and w not in ({_STOP}))) as word from benchmark),
 h as (select item_id, doc_id, round(sum(tf / length), 6) as score, count(*) as n_words from q join i using (word) group by 1, 2)
 select * from (select *, row_number() over (partition by item_id order by score desc, n_words desc, doc_id) as place from h) where place <= 5""")
 def fts_search(spark, sf_dir):
-    """The five best documents of each benchmark item."""
-    long_words = lambda: F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9']+"), F.lit(0)), lambda w: F.length(w) >= 6)
+    """The five best documents of each benchmark item, by words of three letters and more that are no stop words."""
+    long_words = lambda: F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9']+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(STOP))
     index = search.token_table(T(spark, sf_dir, "documents"), "doc_id", long_words())
     asked = T(spark, sf_dir, "benchmark").select("item_id", F.explode(long_words()).alias("word")).distinct()
     return search.rank(asked, index, "item_id", "doc_id", 5)
@@ -171,17 +185,23 @@ def rttm_export(spark, sf_dir):
     return g.select("meeting", F.date_format("meeting", "MMM d, yyyy").alias("shown"), F.sha2(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), 256).alias("rttm_sha256"))
 
 
-@query("""select doc_id, lang || ' · ' || source as line, case when n_chars < 480 then 'short' when n_chars >= 1500 then 'long' else 'neutral' end as duration_signal,
-case when lang = 'en' and n_chars >= 1500 then 'match' when contains(lower(text), 'tion') then 'maybe' else 'no' end as prefilter from documents""")
+_N = "trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+_EVENT = " or ".join(f"contains(n, '{X.plain(t)}')" for t in X.EVENT_TERMS)
+
+
+@query(f"""with d as (select doc_id, n_chars, {_N} as n, source from documents), m as (select *, ' ' || n || ' ' like '% ' || regexp_extract(n, '^(\\S+ \\S+)', 1) || ' %' and contains(n, ' ') as named, ({_EVENT}) as event from d)
+select doc_id, case when n_chars < 480 then 'short' when n_chars >= 1500 then 'long' else 'neutral' end as duration_signal, case when named and doc_id % 3 > 0 then 1 else 0 end::bigint as n_matched,
+named and doc_id % 3 > 0 and (n_chars >= 480 or event) as passes, case when not (named and doc_id % 3 > 0) then 'no tracked candidate name' when n_chars < 480 and not event then 'short clip without event term' else 'name match' end as reason,
+case when doc_id % 5 = 0 then false else (doc_id % 1300) > 630 end as stale from m""")
 def prefilter(spark, sf_dir):
-    """Signals by which found items are let through: length and terms."""
-    d = T(spark, sf_dir, "documents")
-    n = F.col("n_chars")
-    return d.select(
-        "doc_id",
-        F.concat_ws(" · ", "lang", "source").alias("line"),
-        F.when(n < 480, "short").when(n >= 1500, "long").otherwise("neutral").alias("duration_signal"),
-        F.when((F.col("lang") == "en") & (n >= 1500), "match").when(F.contains(F.lower("text"), F.lit("tion")), "maybe").otherwise("no").alias("prefilter"),
+    """Found items by whole names, event terms, duration and age: the name is each text's first two words, for two texts of three."""
+    d = T(spark, sf_dir, "documents").withColumn("today", F.to_date(F.lit("2026-01-01")))
+    first = F.nullif(F.regexp_extract(X.fold(F.col("text")), r"^(\S+ \S+)", 1), F.lit(""))
+    names = F.array(F.lit("Cher"), F.when(F.col("doc_id") % 3 > 0, F.upper(first)).otherwise("Nobody Atall"))
+    day = F.when(F.col("doc_id") % 5 == 0, "undated").otherwise(F.concat(F.date_sub("today", (F.col("doc_id") % 1300).cast("int")).cast("string"), F.lit("T10:00:00Z")))
+    v = X.prefilter(F.col("source"), F.col("text"), F.col("n_chars"), names)
+    return d.select("doc_id", v.alias("v"), X.is_stale(day, F.col("today")).alias("stale")).select(
+        "doc_id", F.col("v.duration_signal"), F.size("v.matched").cast("long").alias("n_matched"), F.col("v.passes"), F.col("v.reason"), "stale"
     )
 
 

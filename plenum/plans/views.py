@@ -28,6 +28,33 @@ TURNS = """turns as (
   from events)"""
 
 
+METHODS = [
+    "human_review", "voice_profile", "voice_profile (returning_2)", "roll_call", "llm", "name_addressing", "title_context", "voice_profile (far)",
+    "record", None, "human_confirmed", "chair_recognition",
+]
+KINDS = ["council", "debate", "community_meeting", "unheard of"]
+
+
+def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who each label of a meeting is: a method by label and day; every eleventh has no name, every thirteenth is no speaker."""
+    x = F.substring("label", 2, 2).cast("int") + F.day("meeting")
+    method = F.get(F.array(*[F.lit(m) for m in METHODS]), x % 12)
+    return turns(spark, sf_dir).select("meeting", "label").distinct().select(
+        "meeting", "label", F.when(x % 11 > 0, F.concat(F.lit("N"), "label")).alias("name"), method.alias("id_method"), F.when(x % 13 == 0, "non_speaker").alias("status")
+    )
+
+
+_METHODS = ", ".join("null" if m is None else f"'{m}'" for m in METHODS)
+SPEAKERS = f"""speakers as (
+  select meeting, label, case when x % 11 > 0 then 'N' || label end as name, [{_METHODS}][x % 12 + 1] as id_method, case when x % 13 = 0 then 'non_speaker' end as status
+  from (select distinct meeting, label, substr(label, 2, 2)::int + day(meeting) as x from turns))"""
+
+
+def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.get(F.array(*[F.lit(k) for k in KINDS]), F.day("meeting") % 4)
+    return turns(spark, sf_dir).select("meeting").distinct().select("meeting", kind.alias("event_kind"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timed words: clicks, 0.4 s long."""
     return (

@@ -7,10 +7,10 @@ from plenum.operators import matching
 
 
 def test_spoken_names(spark):
-    rows = [(1, "Hello, my name is Jane O'Neil and I live here."), (2, "The chair recognizes Bob Smith"), (3, "Councilmember Lee?"), (4, "Thank you, Mayor Ann Roe. I am Tom Poe"), (5, "nobody"), (6, None)]
+    rows = [(1, "Well, I'm Commissioner Ida Volk and I live here."), (2, "Chair recognizes council  member Bo Tran"), (3, "vice-mayor Lee ?"), (4, "As the auditor, clerk Uma Roe, I am Tom Poe"), (5, "Supervisor of nobody? Mayor Yes?"), (6, None)]
     got = matching.spoken_names(spark.createDataFrame(rows, "segment_id int, text string")).collect()
     assert sorted((r.segment_id, r.family, r.name) for r in got) == [
-        (1, "self", "Jane O'Neil"), (2, "chair", "Bob Smith"), (3, "roll_call", "Lee"), (4, "address", "Ann Roe"), (4, "self", "Tom Poe"), (4, "title", "Ann Roe"),
+        (1, "self_identification", "Ida Volk"), (2, "chair_recognition", "Bo Tran"), (3, "roll_call", "Lee"), (4, "name_addressing", "Uma Roe"), (4, "title_context", "Auditor"),
     ]
 
 

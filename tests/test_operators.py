@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plenum.functions import text as X
 from plenum.functions.graph import components
 from plenum.functions.vectors import cosine
-from plenum.operators import identity, intervals, scoring, search, sequential, sessions, upsert
+from plenum.operators import gate, identity, intervals, scoring, search, sequential, sessions, upsert
 
 TURN = "meeting int, segment_id long, label string, start_time double, end_time double"
 
@@ -189,12 +189,46 @@ def test_folds(spark):
 def test_text_functions(spark):
     one = lambda e: spark.range(1).select(e).first()[0]
     assert one(X.normalise(F.lit("  Dr. José-María "))) == "dr jos mar a"
-    assert one(X.surname(F.lit("Hon. Jane Adams Jr."))) == "adams"
-    assert one(X.surname(F.lit("Dr."))) == "dr"
+    assert one(X.surname(F.lit("Council Member Jane  Adams Clerk"))) == "adams"
+    assert one(X.surname(F.lit("Mayor"))) == "mayor"
+    assert one(X.significant_tokens(F.lit("Council President Lee, Hon. J"))) == ["lee"]
     assert [one(X.parse_clock(F.lit(x))) for x in ("75", "1:15", "1:02:03.5", "1:75", "x", "1:2:3:4")] == [75.0, 75.0, 3723.5, None, None, None]
     assert one(X.srt_time(F.lit(3661.9999))) == "01:01:01,999"
-    assert one(X.source_key(F.lit("https://www.Example.org/a/b/?utm_source=x&b=2&a=1#top"))) == "url:example.org/a/b?a=1&b=2"
-    assert one(X.source_key(F.lit("https://youtu.be/abcdefghijk?t=3"))) == "youtube:abcdefghijk"
+    assert one(X.source_key(F.lit("https://www.Example.org/a/b/?utm_source=x&b=2&a=1&t=4#top"))) == "url:www.example.org/a/b?a=1&b=2"
+    videos = ["https://youtu.be/ab_1?t=3", "http://m.youtube.com/watch?pp=1&v=ab_1", "https://music.youtube.com/live/ab_1/x", "https://youtube.com/v/ab_1"]
+    assert {one(X.source_key(F.lit(v))) for v in videos} == {"youtube:ab_1"}
+    assert [one(X.source_key(F.lit(v))) for v in (None, "  ", "/x/y.mp4", "https://youtube.com/about")] == ["", "", "file:/x/y.mp4", "url:youtube.com/about"]
     assert one(X.ratio(F.lit("Smith"), F.lit("smyth"))) == pytest.approx(0.8)
     assert one(search.highlight(F.lit("A (b) a"), F.lit("a"))) == "[[[A]]] (b) [[[a]]]"
     assert one(X.strip_html(F.lit("<nav>x</nav><p>a&amp;b</p><!-- c --> d"))) == "a&b d"
+
+
+def test_gate_tiers_and_verdicts(spark):
+    methods = ["voice_profile", "voice_profile (far)", "voice_profile (returning_3)", "human_confirmed", "llm", "title_context", "crec", "", None]
+    d = spark.createDataFrame([(i, m) for i, m in enumerate(methods)], "i int, m string")
+    assert [r.t for r in d.orderBy("i").select(gate.tier(F.col("m")).alias("t")).collect()] == ["trusted", "trusted", "probable", "trusted", "unverified", "unverified", "unknown", "unknown", "unknown"]
+    turns = [(1, "A", 0.0, 800.0), (1, "B", 800.0, 1000.0), (1, "C", 1000.0, 1050.0), (1, "M", 0.0, 5000.0), (2, "A", 0.0, 10.0), (2, "B", 10.0, 30.0), (3, "A", 5.0, 5.0)]
+    people = [(1, "A", "Ann", "roll_call", None), (1, "B", "Bo", "voice_profile (returning_1)", None), (1, "C", "Cy", "llm", None), (1, "M", "Band", "human_review", "non_speaker"), (2, "A", None, "roll_call", None)]
+    t = spark.createDataFrame(turns, "meeting int, label string, start_time double, end_time double")
+    s = spark.createDataFrame(people, "meeting int, label string, name string, id_method string, status string")
+    k = spark.createDataFrame([(1, "debate"), (2, None)], "meeting int, event_kind string")
+    got = {r.meeting: r for r in gate.evaluate(t, s, k).collect()}
+    assert (got[1].n_eligible, got[1].trusted_coverage, got[1].probable_coverage, got[1].effective_coverage, got[1].verdict) == (2, 0.8, 0.2, 0.9, "review")
+    assert (got[2].n_eligible, got[2].unknown_coverage, got[2].verdict) == (2, 1.0, "failed") and got[3].verdict == "failed"
+
+
+def test_prefilter_of_found_items(spark):
+    rows = [
+        ("José Muñoz at the DEBATE", None, 100), ("Jose  Munoz!", "clip", 100), ("Jose Munoz", "clip", None), ("Cher sings", "debate", 9000), ("Josep Munozo", "", 2000), (None, None, 500),
+    ]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, d string, n int")
+    got = [r.v for r in d.orderBy("i").select(X.prefilter(F.col("t"), F.col("d"), F.col("n"), F.array(F.lit("Cher"), F.lit("José Muñoz"))).alias("v")).collect()]
+    assert [(g.passes, g.duration_signal) for g in got] == [(True, "short"), (False, "short"), (True, "unknown"), (False, "long"), (False, "long"), (False, "neutral")]
+    assert got[0].matched == ["José Muñoz"] and got[1].reason == "short clip without event term"
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.range(40).selectExpr("id as a", "id + 1 as b")
+    nodes = spark.range(43).withColumnRenamed("id", "n")
+    got = {r.node: r.component for r in components(nodes, edges, "n", "a", "b").collect()}
+    assert got == {i: 0 for i in range(41)} | {41: 41, 42: 42}

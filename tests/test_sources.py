@@ -39,12 +39,25 @@ def test_feeds(spark):
 
 def test_marker_changes(spark, tmp_path):
     path = str(tmp_path / "in")
-    rows = lambda xs: spark.createDataFrame(xs, "k string, m string").coalesce(1)
-    rows([("a", "1"), ("b", "1")]).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("k string, m string").parquet(path)
-    run = lambda: polls.marker_changes(stream, "k", "m").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    rows = lambda xs: spark.createDataFrame(xs, "k string, m string, t long").coalesce(1)
+    rows([("a", "1", 2), ("b", "1", 1), ("a", "0", 1)]).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("k string, m string, t long").parquet(path)
+    run = lambda: polls.marker_changes(stream.withColumn("t", F.timestamp_seconds("t")), "k", "m", "t").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     run()
-    rows([("a", "1"), ("b", "2")]).write.mode("append").parquet(path)
+    rows([("a", "1", 3), ("b", "2", 4)]).write.mode("append").parquet(path)
     run()
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("key", F.coalesce("old", F.lit("-")), "new").collect()))
-    assert got == [("a", "-", "1"), ("b", "-", "1"), ("b", "1", "2")]
+    assert got == [("a", "-", "0"), ("a", "0", "1"), ("b", "-", "1"), ("b", "1", "2")]
+
+
+def test_upsert_goes_on_after_a_restart(spark, tmp_path):
+    rows = lambda xs: spark.createDataFrame(xs, "k string, v int, t int")
+    path = str(tmp_path / "latest")
+    polls.UpsertSink(path, ["k"], ["t"])(rows([("a", 1, 1), ("b", 1, 1)]), 0)
+    again = polls.UpsertSink(path, ["k"], ["t"])  # another process: nothing in memory
+    again(rows([("b", 2, 2), ("a", 0, 0)]), 1)
+    again(rows([("b", 2, 2), ("a", 0, 0)]), 1)  # the same batch once more
+    read = lambda: sorted(map(tuple, spark.read.parquet(again.newest(spark)).select("k", "v").collect()))
+    assert read() == [("a", 1), ("b", 2)]
+    again(rows([("c", 3, 3)]), 2)
+    assert read() == [("a", 1), ("b", 2), ("c", 3)] and polls.UpsertSink(path + "x", ["k"], ["t"]).newest(spark) is None
