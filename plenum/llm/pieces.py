@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Bytes, about, of the words that a task remembers with their pieces; when there are more, it starts anew.
-REMEMBERED = 64 << 20
+REMEMBERED = 160 << 20
 #: Characters of texts whose words are sorted together, and go back to Spark together.
 BATCH_CHARS = 700_000
 #: Neighbouring pieces of which a worker remembers whether they come apart; when there are more, it starts anew.
