@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, decontaminate, gif, html, lm, pieces, pii, quality, simhash, toxicity
+from plenum.llm import chat, decontaminate, divergence, gif, html, lm, negatives, pieces, pii, quality, repeats, simhash, toxicity
 from plenum.llm.common import table
 
 
@@ -141,6 +141,74 @@ select doc_id, len(ws)::bigint as n_words, coalesce(sum(back), 0)::bigint as n_b
 from d left join s on d.r = s.r group by d.r, doc_id, ws
 """
 
+
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = r"""
+with e as materialized (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (
+  select a.r as ar, a.vec_id as anchor_id, b.r as br, b.vec_id, a.label = b.label as same, list_dot_product(a.v, b.v)::bigint as score
+  from e a join e b on a.vec_id % 100 = 0 and a.r <> b.r),
+p as (
+  select ar, anchor_id, br, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by ar order by score desc, vec_id, br) <= 5),
+n as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+    (row_number() over (partition by p.ar, p.br order by s.score desc, s.vec_id, s.br))::int as rank
+  from p join s on s.ar = p.ar and not s.same and 80 * p.positive_score <= 100 * s.score and s.score <= p.positive_score)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5
+"""
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+with d as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+w as (select r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+c as (select lang, source, term, count(*) as n, count(distinct r) as docs from w group by lang, source, term),
+kept as (select lang, term, sum(n) as lang_n from c group by lang, term having sum(docs) >= 30),
+g as (select distinct lang, source from d),
+v as (select lang, count(*) as v, sum(lang_n) as lang_total from kept group by lang),
+own as (select c.lang, c.source, c.term, c.n from c join kept using (lang, term)),
+tot as (
+  select g.lang, g.source, v.v, v.lang_total, coalesce(sum(own.n), 0) as total
+  from g join v on g.lang = v.lang left join own on own.lang = g.lang and own.source = g.source
+  group by g.lang, g.source, v.v, v.lang_total),
+p as (
+  select t.lang, t.source, k.term, coalesce(o.n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(o.n, 0) + 5)::hugeint) // (t.total + 5 * t.v)::hugeint as p,
+    1 + (1000000000::hugeint * (k.lang_n + 5)::hugeint) // (t.lang_total + 5 * t.v)::hugeint as q
+  from tot t join kept k on k.lang = t.lang left join own o on o.lang = t.lang and o.source = t.source and o.term = k.term),
+s as (
+  select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+  from p x join p y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by x.lang, x.source, y.source),
+r as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source left join s on s.lang = a.lang and s.source = a.source and s.item = b.source
+  union all
+  select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q)
+select lang, source, part, item, value, rank from (
+  select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from r)
+where part = 'pair' or rank <= 50
+"""
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_simhash": op2_simhash,
@@ -152,5 +220,8 @@ QUERIES = {
     "op8_gif": op8_gif,
     "op9_backoff": op9_backoff,
     "op10_toxicity": op10_toxicity,
+    "op11_negatives": op11_negatives,
+    "op12_repeats": op12_repeats,
+    "op13_divergence": op13_divergence,
 }
-ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op9_backoff": OP9_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op4_decontaminate": OP4_SQL, "op9_backoff": OP9_SQL, "op11_negatives": OP11_SQL, "op13_divergence": OP13_SQL}
