@@ -1,13 +1,16 @@
 """Main text of web pages by tree scoring.
 
-Blocks of text give points for their length and commas to the elements around them, less the further out; an element's
-points are discounted by the share of its text that is in links. The best element is the article, with siblings that score
-well enough; what it holds of menus, forms, notices and the like is left out.
+Blocks of text give points for their length and commas to the elements around them, half as many at each step outwards; an element's
+points are discounted by the share of its text that is in links. The best element, or the article or the common parent of its equals
+around it, is the container; siblings that score well enough stay with what stands between them. All that the container holds stays,
+however short, but for menus, forms, notices, reader comments and the like. Sums over elements are single passes from the last element
+to the first, so a page takes time in proportion to its length, however deep it is.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pandas as pd
@@ -45,9 +48,15 @@ HOLDERS = frozenset(
     "left right primary secondary main global mobile desktop header title form unit slot text post posts article articles entry thread reply user reader "
     "skip visually is media stories bottombar panel".split()
 )
+#: First words of a class that names readers' comments, whatever follows.
+COMMENTS = frozenset("comment comments commentlist commenters disqus respond responses replies".split())
 STATES = frozenset("no has with without not".split())
 #: The share of its points that text counts in an element that looks like furniture and may hold the article.
 DOUBTED = 0.3
+#: The share of its parent's text outside links from which an element is the container by itself.
+MOST = 0.75
+#: Text of one block passes its points on to what holds it.
+PARAGRAPH = frozenset("p pre li blockquote td h1 h2 h3 h4 h5 h6 dd dt".split())
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|dialog|alert|alertdialog|menu|menubar|form)$", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body|text)(?:$|[\s_-])", re.I)
 
@@ -60,19 +69,27 @@ _NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 
 def _furniture(value: str) -> bool:
     """Whether one whole class of the value names furniture: all its words, not a part of it."""
-    for name in value.split() if FURNITURE.search(value) else ():
+    for name in value.split():
         words = [w for w in re.split(r"[_-]+", name) if w]
+        if words and words[0].lower() in COMMENTS:
+            return True
         if FURNITURE.search(name) and words[0].lower() not in STATES and all(w.lower() in HOLDERS or w[0].isdigit() or FURNITURE.search(w) for w in words):
             return True
     return False
 
 
+def _comments(value: str) -> bool:
+    return any(re.split(r"[_-]+", name.strip("_-"))[0].lower() in COMMENTS for name in value.split())
+
+
 class _Page:
     """The elements of a page and its blocks of text, in page order."""
 
     def __init__(self, html: str):
         self.tag, self.parent, self.good, self.dead = ["#page"], [-1], [0.0], [False]
-        self.doubted, self.holds = [False], [False]  # looks like furniture; has an article or main in it
+        self.doubted, self.comments = [False], [False]  # looks like furniture; is readers' comments
+        self.block = [0]  # the nearest element around that is a block
+        self._open: Counter[str] = Counter()
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
         self._stack, self._parts, self._linked, self._links = [0], [], 0, 0
         self._read(html)
@@ -81,19 +98,21 @@ class _Page:
         if self._parts:
             text = " ".join(unescape("".join(self._parts)).split())
             top = self._stack[-1]
-            while self.tag[top] not in BLOCK and top:
-                top = self.parent[top]
-            if text and not self.dead[self._stack[-1]]:
-                self.blocks.append((top, text, min(self._linked, len(text))))
+            if text and not self.dead[top]:
+                self.blocks.append((self.block[top], text, min(self._linked, len(text))))
         self._parts, self._linked = [], 0
 
     def _pop_to(self, k: int) -> None:
         if any(self.tag[n] in BLOCK for n in self._stack[k:]):
             self._flush()
-        self._links -= sum(self.tag[n] == "a" for n in self._stack[k:])
+        gone = [self.tag[n] for n in self._stack[k:]]
+        self._links -= gone.count("a")
+        self._open.subtract(gone)
         del self._stack[k:]
 
     def _close(self, names: set[str], until: set[str]) -> None:
+        if not any(self._open[name] for name in names):
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             name = self.tag[self._stack[k]]
             if name in names:
@@ -123,13 +142,10 @@ class _Page:
                 continue
             name = name.lower()
             if m[1]:
-                for k in range(len(self._stack) - 1, 0, -1):
-                    if self.tag[self._stack[k]] == name:
-                        self._pop_to(k)
-                        break
-                else:
-                    if name in BLOCK:
-                        self._flush()
+                if self._open[name]:
+                    self._pop_to(next(k for k in range(len(self._stack) - 1, 0, -1) if self.tag[self._stack[k]] == name))
+                elif name in BLOCK:
+                    self._flush()
                 continue
             if name in RAW:  # up to its end tag, without regard to markup inside
                 found = re.compile(f"</{name}", re.I).search(html, at)
@@ -147,7 +163,7 @@ class _Page:
                 continue
             attrs = m[3]
             dead = self.dead[self._stack[-1]] or name in DROPPED
-            doubted = False
+            doubted = comments = False
             good = 25.0 if name in ("article", "main") else 0.0
             if attrs and not dead:
                 if _HIDDEN.search(_VALUE.sub("=", attrs)):
@@ -155,7 +171,9 @@ class _Page:
                 for key, *values in _ATTR.findall(attrs):
                     value = "".join(values)
                     if key.lower() in ("class", "id"):
-                        if _furniture(value) and name not in ("html", "body", "article", "main", "h1"):
+                        if _comments(value) and name not in ("html", "body", "main", "h1"):
+                            doubted = comments = True
+                        elif _furniture(value) and name not in ("html", "body", "article", "main", "h1"):
                             doubted, dead = name in BLOCK, dead or name not in BLOCK
                         elif GOOD.search(value):
                             good += 25.0
@@ -165,24 +183,32 @@ class _Page:
                         dead = dead or bool(ROLES.match(value))
                         good += 25.0 * (value.lower() in ("main", "article"))
             if name == "header":  # a page's header, not an article's
-                dead = dead or not any(self.tag[n] in ("article", "main", "section") for n in self._stack)
+                dead = dead or not any(self._open[x] for x in ("article", "main", "section"))
             self.tag.append(name)
             self.parent.append(self._stack[-1])
             self.good.append(good)
             self.dead.append(dead)
             self.doubted.append(doubted)
-            self.holds.append(False)
-            if name in ("article", "main") and not dead:
-                for e in self._stack:
-                    self.holds[e] = True
+            self.comments.append(comments)
+            self.block.append(len(self.tag) - 1 if name in BLOCK else self.block[self._stack[-1]])
+            self._open[name] += 1
             self._stack.append(len(self.tag) - 1)
             self._links += name == "a"
         self._flush()
 
-    def up(self, n: int):
-        while n >= 0:
-            yield n
-            n = self.parent[n]
+    def sums(self, own: list, keep: float = 1.0) -> list:
+        """Each element's own value and keep times what its children come to. Parents stand before their children."""
+        out = list(own)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += keep * out[e]
+        return out
+
+    def within(self, own: list[bool]) -> list[bool]:
+        """Whether an element or one around it is so."""
+        out = list(own)
+        for e in range(1, len(out)):
+            out[e] = out[e] or out[self.parent[e]]
+        return out
 
 
 def extract(html: str | None) -> str:
@@ -190,42 +216,51 @@ def extract(html: str | None) -> str:
     page = _Page(html or "")
     if not page.blocks:
         return ""
-    n = len(page.tag)
-    score, chars, linked, seen = [0.0] * n, [0] * n, [0] * n, [False] * n
-    inside = [0] * n
+    n, parent, tag = len(page.tag), page.parent, page.tag
+    size = [0] * n
     for node, text, _ in page.blocks:
-        for e in page.up(node):
-            inside[e] += len(text)
-    # what looks like furniture goes, unless it holds an article, main, or most of the text: there the best element decides
-    gone = [page.doubted[e] and not page.holds[e] and 2 * inside[e] <= inside[0] for e in range(n)]
-    blocks = [b for b in page.blocks if not any(gone[e] for e in page.up(b[0]))]
+        size[node] += len(text)
+    size = page.sums(size)
+    article = [tag[e] in ("article", "main") and not page.comments[e] and not page.dead[e] for e in range(n)]
+    holds = page.sums([int(x) for x in article])
+    # what looks like furniture goes, unless it holds an article, main, or most of the text: there the best element decides;
+    # comments go, unless both are so
+    large = [2 * size[e] > size[0] for e in range(n)]
+    gone = page.within([page.doubted[e] and not (holds[e] and large[e] if page.comments[e] else holds[e] or large[e]) for e in range(n)])
+    blocks = [b for b in page.blocks if not gone[b[0]]]
     if not blocks:
         return ""
+    doubt = page.within(page.doubted)
+    score, chars, linked = [0.0] * n, [0] * n, [0] * n
     for node, text, links in blocks:
         points = 1.0 + text.count(",") + text.count("，") + min(len(text) / 100.0, 3.0)
-        around = [e for e in page.up(node)]
-        if any(page.doubted[e] for e in around):
-            points *= DOUBTED
-        # a paragraph's container counts whole, the one around it by half, further ones by less
-        own = around if page.tag[node] not in ("p", "pre", "li", "blockquote", "td", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") else around[1:]
-        for depth, e in enumerate(own):
-            score[e] += points / (1 if depth == 0 else 2 if depth == 1 else 3 * depth)
-            seen[e] = True
-        for e in around:
-            chars[e] += len(text)
-            linked[e] += links
-    final = [(s + g) * (1 - l / c) if ok and c else 0.0 for s, g, c, l, ok in zip(score, page.good, chars, linked, seen)]
+        score[max(0, parent[node]) if tag[node] in PARAGRAPH else node] += points * (DOUBTED if doubt[node] else 1.0)
+        chars[node] += len(text)
+        linked[node] += links
+    score, chars, linked = page.sums(score, 0.5), page.sums(chars), page.sums(linked)
+    final = [(s + g) * (1 - l / c) if s and c else 0.0 for s, g, c, l in zip(score, page.good, chars, linked)]
     best = max(range(n), key=lambda e: (final[e], -e))
-    above = set(page.up(best))
-    kept = {best}
-    need = max(10.0, 0.2 * final[best])
-    for e in range(n):
-        if e != best and page.parent[e] == page.parent[best] and not page.dead[e]:
-            dense = linked[e] / chars[e] if chars[e] else 1.0
-            if final[e] >= need and dense < 0.5 or page.tag[e] in ("p", "pre", "blockquote") and chars[e] > 80 and dense < 0.25:
-                kept.add(e)
-    shown = lambda node: any(e in kept for e in page.up(node)) and not any(page.doubted[e] and e not in above for e in page.up(node))
-    return "\n".join(text for node, text, _ in blocks if shown(node))
+    plain = [c - l for c, l in zip(chars, linked)]
+    around = [best]
+    while parent[around[-1]] >= 0:
+        around.append(parent[around[-1]])
+    top = next((e for e in around if article[e]), None)
+    if top is None:
+        top = best
+        for e in around[1:]:
+            if tag[e] in ("#page", "html", "body") or page.doubted[e] or plain[top] < plain[e] and plain[top] >= MOST * plain[e]:
+                break
+            top = e
+    above = {top, *around[around.index(top) :]}
+    dense = [linked[e] / chars[e] if chars[e] else 1.0 for e in range(n)]
+    beside = [e for e in range(n) if parent[e] == parent[top] and not page.dead[e] and not gone[e] and not page.doubted[e]]
+    alike = lambda e: final[e] >= max(10.0, 0.2 * final[best]) and dense[e] < 0.5 or plain[e] > 80 and dense[e] < 0.25 and tag[e] in ("p", "pre", "blockquote", tag[top]) and not article[top]
+    kept = {e for e in beside if e == top or alike(e)}
+    # what stands between kept siblings belongs to them
+    kept |= {e for e in beside if min(kept) < e < max(kept) and dense[e] < 0.5} | {top}
+    inside = page.within([e in kept for e in range(n)])
+    bad = page.within([page.doubted[e] and e not in above for e in range(n)])
+    return "\n".join(text for node, text, _ in blocks if inside[node] and not bad[node])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
