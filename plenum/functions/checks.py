@@ -32,8 +32,7 @@ NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve".
 NO_PERSON = "councilmember council president vice mayor clerk the of common city member district association office".split()
 NO_PERSON_SLUG = "h j s the of".split()
 
-_COUNT, _WORD = r"\d{1,2}", f"(?:{'|'.join(NUMBERS)})"
-_TALLY = rf"\b(?:{_COUNT}\s*(?:[-–]|to)\s*{_COUNT}|{_WORD}\s+to\s+{_WORD})\b"
+#: What may stand between the words of a reference.
 _PAUSE = r"[\s\-–—]+"
 
 
@@ -82,11 +81,21 @@ def entities_fault(kind: Column, chamber: Column, race: Column) -> Column:
     )
 
 
+def tally_said(text: Column) -> Column:
+    """Whether a text has a count on both sides of `to` or, in figures, of a dash: two figures at most, or numbers up to twelve as words."""
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"\w+|[^\w\s]"), F.lit(0))
+    at = lambda i: F.get(tokens, i)
+    figures = lambda i: F.coalesce(at(i).rlike(r"^\d{1,2}$"), F.lit(False))
+    word = lambda i: F.coalesce(at(i).isin(NUMBERS), F.lit(False))
+    between = lambda i: figures(i - 1) & figures(i + 1) & at(i).isin("to", "-", "–") | word(i - 1) & word(i + 1) & (at(i) == "to")
+    return F.exists(F.sequence(F.lit(0), F.size(tokens)), lambda i: F.coalesce(between(i), F.lit(False)))
+
+
 def outcome_said(outcome: Column, text: Column) -> Column:
     """Whether a text has words for an outcome, or for passed and failed a tally; false for null texts and unknown outcomes."""
     low = F.lower(text)
     words = F.exists(_by_key(OUTCOMES, outcome), lambda p: F.contains(low, p))
-    return F.coalesce(words, F.lit(False)) | F.coalesce(outcome.isin("passed", "failed") & low.rlike(_TALLY), F.lit(False))
+    return F.coalesce(words, F.lit(False)) | F.coalesce(outcome.isin("passed", "failed") & tally_said(text), F.lit(False))
 
 
 def title_said(title: Column, text: Column, least: int = 2) -> Column:

@@ -142,12 +142,6 @@ SHORT_CLIP, FULL_EVENT, MAX_AGE = 480, 1500, 630
 _MARKED = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := [x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)]) == 1 and d[0] != chr(c)]
 
 
-def plain(x: str) -> str:
-    """fold() of a constant."""
-    kept = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
-    return " ".join(re.sub(r"[^a-z0-9\s]", " ", kept.lower()).split())
-
-
 def fold(x: Column) -> Column:
     """Lower case without accents, anything but a-z, 0-9 and white space as a space, white space collapsed; empty for null."""
     bare = F.translate(F.coalesce(x, F.lit("")), "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
@@ -163,7 +157,7 @@ def match_names(title: Column, description: Column, names: Column) -> Column:
 
 def has_event_term(title: Column, description: Column) -> Column:
     hay = F.concat(fold(title), F.lit(" "), fold(description))
-    return functools.reduce(lambda a, b: a | b, [F.contains(hay, F.lit(plain(t))) for t in EVENT_TERMS])
+    return functools.reduce(lambda a, b: a | b, [F.contains(hay, fold(F.lit(t))) for t in EVENT_TERMS])
 
 
 def duration_signal(seconds: Column) -> Column:

@@ -5,30 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Titles that announce a name, what stands before and behind them in each family, how sure a family is, offices, and words
-# that begin no name.
+# Titles that announce a name, how sure each way of telling one is, offices, and words that begin no name.
 TITLES = [
-    "Councilmember", r"Council\s*Member", "Councilwoman", "Councilman", "Alderman", "Alderwoman", "Commissioner", "Mayor", r"Vice[\s-]?Mayor",
-    "President", r"Vice[\s-]?President", "Clerk", "Secretary", "Treasurer", "Supervisor", "Representative",
+    "councilmember", "council member", "councilwoman", "councilman", "alderman", "alderwoman", "commissioner", "mayor", "vice mayor", "vicemayor",
+    "president", "vice president", "vicepresident", "clerk", "secretary", "treasurer", "supervisor", "representative",
 ]
-FAMILIES = {
-    "roll_call": ("", r"\s*\?", 0.95),
-    "chair_recognition": (r"chair\s+recognizes\s+", "", 0.92),
-    "self_identification": (r"(?:this\s+is|I\s+am|I'm)\s+", "", 0.90),
-    "name_addressing": ("", r"\s*,", 0.80),
-}
+CONFIDENCE = {"roll_call": 0.95, "chair_recognition": 0.92, "self_identification": 0.90, "name_addressing": 0.80, "title_context": 0.75}
 OFFICES = ["attorney", "clerk", "mayor", "treasurer", "manager", "administrator", "auditor", "comptroller"]
-OFFICE_CONFIDENCE = 0.75
 NO_NAMES = ["here", "present", "yes", "no", "thank", "thanks", "okay", "the", "this", "that", "what", "how", "who", "where", "when"]
-
-_NAME = r"((?-i:\p{Lu}[\p{L}'’-]+(?:\s+\p{Lu}[\p{L}'’-]+){0,2}))"
-_PATTERNS = {f: rf"(?i){before}(?:{'|'.join(TITLES)})\s+{_NAME}{behind}" for f, (before, behind, _) in FAMILIES.items()}
-
-
-def plausible_name(name: Column) -> Column:
-    """One to three words, 40 characters at most, and the first of them one that may begin a name."""
-    ws = F.split(F.trim(name), r"\s+")
-    return (F.trim(name) != "") & (F.size(ws) <= 3) & (F.length(name) <= 40) & ~F.lower(F.get(ws, 0)).isin(NO_NAMES)
+#: Letters of a name at most.
+LONGEST = 40
+
+#: A token's class, one letter: of two words that are a title together the first has 1 and the second 2; T a title by itself.
+_CLASSES = {
+    **{w: "1" for w in ("council", "vice")}, "member": "2", "chair": "h", "recognizes": "r", "this": "t", "is": "i", "i": "e", "am": "m", "i'm": "s", "i’m": "s",
+    ",": "k", "?": "q", **{t: "T" for t in TITLES if " " not in t},
+}
+#: Tokens that tell a name, by their classes. Each token is two letters: its class, and A if it is capitalised like a name, else z.
+_TITLE, _NAME = "(?:T.|1.[2T].)", "((?:.A){1,3})"
+_WAYS = {
+    "roll_call": f"{_TITLE}{_NAME}q.",
+    "chair_recognition": f"h.r.{_TITLE}{_NAME}",
+    "self_identification": f"(?:t.i.|e.m.|s.){_TITLE}{_NAME}",
+    "name_addressing": f"{_TITLE}{_NAME}k.",
+}
 
 
 def first_rule(rows: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:
@@ -52,14 +52,30 @@ def anchors(items: DataFrame, segments: DataFrame, pattern: str) -> DataFrame:
 
 
 def spoken_names(segments: DataFrame) -> DataFrame:
-    """Candidates that a segment's text gives: segment_id, family, name, confidence; a family gives its first hit, if it is plausible.
+    """Candidates that a segment's text gives: segment_id, family, name, confidence; a family gives its first hit, if that can be a name.
 
-    title_context gives an office in place of a name. Whom a candidate is about is next_speaker()'s and roll_call_responder()'s part.
+    A text is cut into words and signs, and each gets a class (title, cue, comma, question mark, capitalised or not); a name is told by the
+    classes before and behind it. title_context gives an office in place of a name. Whom a candidate is about is next_speaker()'s and
+    roll_call_responder()'s part. Null and empty texts give none.
     """
-    each = [F.struct(F.lit(f).alias("family"), F.regexp_extract("text", p, 1).alias("name"), F.lit(FAMILIES[f][2]).alias("confidence")) for f, p in _PATTERNS.items()]
-    office = F.initcap(F.regexp_extract("text", rf"(?i)as\s+(?:the\s+)?(?:city\s+)?({'|'.join(OFFICES)})", 1))
-    each.append(F.struct(F.lit("title_context").alias("family"), office.alias("name"), F.lit(OFFICE_CONFIDENCE).alias("confidence")))
-    return segments.select("segment_id", F.explode(F.filter(F.array(*each), lambda x: plausible_name(x["name"]))).alias("f")).select("segment_id", "f.*")
+    tokens = F.regexp_extract_all("text", F.lit(r"[\p{L}'’-]+|[^\s\p{L}]"), F.lit(0))
+    table = F.create_map(*[F.lit(x) for kv in _CLASSES.items() for x in kv])
+    bare = lambda t: F.replace(F.lower(t), F.lit("-"), F.lit(""))
+    code = lambda t: F.concat(F.coalesce(F.try_element_at(table, bare(t)), F.lit("o")), F.when(t.rlike(r"^\p{Lu}[\p{L}'’-]+$"), "A").otherwise("z"))
+    cut = segments.select("segment_id", tokens.alias("tokens")).withColumn("classes", F.array_join(F.transform("tokens", code), ""))
+
+    def told(way: str) -> Column:
+        found = lambda g: F.regexp_extract("classes", f"^((?:..)*?{way.split(_NAME)[0]}){_NAME}{way.split(_NAME)[1]}", g)
+        return F.array_join(F.slice("tokens", (F.length(found(1)) / 2).cast("int") + 1, (F.length(found(2)) / 2).cast("int")), " ")
+
+    words = F.transform("tokens", lambda t: F.lower(t))
+    # `as`, then `the` and `city` or not, then an office
+    office = F.transform("tokens", lambda t, i: F.when(F.get(words, i) == "as", F.get(F.filter(F.slice(words, i + 2, 3), lambda w: ~w.isin("the", "city")), F.lit(0))))
+    first = F.get(F.filter(office, lambda w: w.isin(OFFICES)), F.lit(0))
+    each = [F.struct(F.lit(f).alias("family"), told(way).alias("name"), F.lit(CONFIDENCE[f]).alias("confidence")) for f, way in _WAYS.items()]
+    each.append(F.struct(F.lit("title_context").alias("family"), F.coalesce(F.initcap(first), F.lit("")).alias("name"), F.lit(CONFIDENCE["title_context"]).alias("confidence")))
+    can_be = lambda x: F.length(x["name"]).between(1, LONGEST) & ~F.lower(F.substring_index(x["name"], " ", 1)).isin(NO_NAMES)
+    return cut.select("segment_id", F.explode(F.filter(F.array(*each), can_be)).alias("f")).select("segment_id", "f.*")
 
 
 def roll_call_responder(segments: DataFrame, within: int = 4) -> DataFrame:

@@ -22,17 +22,17 @@ def _designation(k, name):
     return F.when(k == 0, F.concat(F.lit("Mr. "), name)).when(k == 1, F.concat(F.lit("Ms. "), name, F.lit(" of New York"))).otherwise(office)
 
 
-@query(f"""with c as (select c_nationkey, c_custkey, 'Q' || {_LETTERS.format('c_custkey')} as name from customer)
-select c_nationkey, row_number() over (partition by c_nationkey order by c_custkey) - 1 as position, case c_custkey % 4 when 0 then 'Mr. ' || name when 1 then 'Ms. ' || name || ' of New York'
+@query(f"""with c as (select c_custkey // 40 as granule, c_custkey, 'Q' || {_LETTERS.format('c_custkey')} as name from customer)
+select granule, row_number() over (partition by granule order by c_custkey) - 1 as position, case c_custkey % 4 when 0 then 'Mr. ' || name when 1 then 'Ms. ' || name || ' of New York'
 when 2 then 'The PRESIDING OFFICER (Mrs. ' || name || ')' else 'The SPEAKER pro tempore' end as designation, 'I rise on ' || c_custkey::varchar || ' and yield. The clerk read on.' as text from c""")
 def record_turns(spark, sf_dir):
-    """Granules with headings, wrapped lines and page lines between the turns of a nation's customers."""
+    """Granules with headings, wrapped lines and page lines between the turns of forty customer numbers."""
     k = F.col("c_custkey")
     turn = F.concat(
         F.lit("  "), _designation(k % 4, _name(k)), F.lit(". I rise on "), k.cast("string"), F.lit("\nand yield.\n[Page H1]\n\n          A HEADING\n\n  The clerk\nread on.\n"),
     )
-    granules = T(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", turn.alias("t")))), lambda x: x["t"]), "").alias("text"))
-    return R.turns(granules.withColumn("text", F.concat(F.lit("The House met at noon.\n\n"), "text")), "c_nationkey", "text")
+    granules = T(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 40).alias("granule")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", turn.alias("t")))), lambda x: x["t"]), "").alias("text"))
+    return R.turns(granules.withColumn("text", F.concat(F.lit("The House met at noon.\n\n"), "text")), "granule", "text")
 
 
 @query("""with r as (select s_suppkey as member, s_suppkey % 70 as sur, s_suppkey % 4 < 2 as ny from supplier), a as (select sur, count(*) as n, min(member) as m from r group by 1), h as (select sur, count(*) as n, min(member) as m from r where ny group by 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -186,7 +188,7 @@ def rttm_export(spark, sf_dir):
 
 
 _N = "trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_EVENT = " or ".join(f"contains(n, '{X.plain(t)}')" for t in X.EVENT_TERMS)
+_EVENT = " or ".join(f"contains(n, '{re.sub('[^a-z]+', ' ', t)}')" for t in X.EVENT_TERMS)
 
 
 @query(f"""with d as (select doc_id, n_chars, {_N} as n, source from documents), m as (select *, ' ' || n || ' ' like '% ' || regexp_extract(n, '^(\\S+ \\S+)', 1) || ' %' and contains(n, ' ') as named, ({_EVENT}) as event from d)

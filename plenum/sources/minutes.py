@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values of the printed formats: what a line says of itself, and how votes are called.
-SPONSOR_LABELS = ["council sponsor", "council sponsors"]
+FORMS = {
+    "section": r"^(\d{1,2})\. +(\S.*)$",
+    "item": r"^([A-Z])\. +(\S.*)$",
+    "sponsor": r"(?i)^council sponsors? *[-–—:] *(.+)$",
+    "footnote": r"(?i)^\d* *https?://",
+}
 NO_SPONSOR = ["N/A", "NA", "NONE"]
-ACTS = ["Ordinance", "Resolution"]
-QUALIFIER = "Appropriation"
+ACT = r"\b(?:Appropriation\s+)?(?:Ordinance|Resolution)\s+\d{4}-\d+"
 ROLL_MARK = "[Roll No"
 #: Words of a tally's heading and what the names below it voted; the first that a heading has counts.
 POSITIONS = [("NOT VOTING", "NOT_VOTING"), ("PRESENT", "PRESENT"), ("AYES", "YEA"), ("YEAS", "YEA"), ("NOES", "NAY"), ("NAYS", "NAY")]
@@ -23,42 +27,20 @@ NAME_WORDS = 6
 
 
 def legislation_ref(title: Column) -> Column:
-    """`Ordinance 2026-1` and the like out of a title: the first act that a number of a year and a count follows; null without one."""
-    ws = F.split(F.trim(title), r"\s+")
-    number = F.transform(ws, lambda w: F.split(F.regexp_replace(w, r"[^0-9-].*$", ""), "-"))
-    fine = lambda n: (F.size(n) > 1) & (F.length(F.get(n, 0)) == 4) & (F.length(F.get(n, 1)) > 0)
-    act = lambda w: F.regexp_replace(w, r"^\W+", "").isin(ACTS)
-    at = F.filter(F.transform(ws, lambda w, i: F.when(act(w) & fine(F.get(number, i + 1)), i)), lambda i: i.isNotNull())
-    i = F.get(at, 0)
-    n = F.get(number, i + 1)
-    own = F.concat(F.regexp_replace(F.get(ws, i), r"^\W+", ""), F.lit(" "), F.get(n, 0), F.lit("-"), F.get(n, 1))
-    return F.when(F.get(ws, i - 1) == QUALIFIER, F.concat(F.lit(f"{QUALIFIER} "), own)).otherwise(own)
-
-
-def _numbered(line: Column) -> tuple[Column, Column]:
-    """What stands before a line's first full stop, if a space and more follow it, and what follows."""
-    label, rest = F.substring_index(line, ". ", 1), F.trim(F.substring(line, F.instr(line, ". ") + 2, 1 << 20))
-    there = (F.instr(line, ". ") > 0) & (rest != "")
-    return F.when(there, label), F.when(there, rest)
-
-
-def _kind(line: Column) -> Column:
-    """section, item, sponsor, footnote or other."""
-    label, _ = _numbered(line)
-    said = F.lower(F.trim(F.substring_index(F.translate(line, "–—:", "---"), "-", 1)))
-    before_link = F.substring_index(F.lower(line), "http", 1)
-    return (
-        F.when(label.try_cast("int").between(1, 99) & (F.length(label) <= 2), "section")
-        .when((F.length(label) == 1) & label.between("A", "Z"), "item")
-        .when(said.isin(SPONSOR_LABELS) & (F.length(said) < F.length(line)), "sponsor")
-        .when(F.contains(line, F.lit("://")) & (F.trim(F.translate(before_link, "0123456789", "")) == ""), "footnote")
-        .otherwise("other")
-    )
+    """The first act with its number in a title, `Ordinance 2026-1` and the like, with one space between words; null without one."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(title, ACT, 0), r"\s+", " "), F.lit(""))
+
 
+def kind(line: Column) -> Column:
+    """Which of FORMS a line has, or other."""
+    out = F.when(F.lit(False), "")
+    for name, form in FORMS.items():
+        out = out.when(line.rlike(form), name)
+    return out.otherwise("other")
 
-def _sponsor(line: Column) -> Column:
-    plain = F.translate(line, "–—:", "---")
-    return F.trim(F.substring(line, F.instr(plain, "-") + 1, 1 << 20))
+
+def _part(line: Column, form: str, group: int) -> Column:
+    return F.nullif(F.regexp_extract(line, FORMS[form], group), F.lit(""))
 
 
 def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -71,7 +53,7 @@ def agenda_items(docs: DataFrame, key: str = "doc", text: str = "text") -> DataF
     Footnotes, addresses and what wraps behind them belong to nothing; a section's header goes on while its brackets are open;
     lines behind an item's sponsor are extra lines. Null and empty texts have no items.
     """
-    told = _lines(docs, key, text).where("line <> ''").withColumn("kind", _kind(F.col("line")))
+    told = _lines(docs, key, text).where("line <> ''").withColumn("kind", kind(F.col("line")))
     so_far = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     told = told.withColumn("section_id", F.count_if(F.col("kind") == "section").over(so_far)).where("section_id > 0")
     told = told.withColumn("block", F.count_if(F.col("kind").isin("section", "item")).over(so_far))
@@ -86,16 +68,16 @@ def agenda_items(docs: DataFrame, key: str = "doc", text: str = "text") -> DataF
         .withColumn("sponsored", F.coalesce(F.max((F.col("kind") == "sponsor").cast("int")).over(before), F.lit(0)) == 1)
         .withColumn("head", F.first("kind").over(inside))
     )
-    label, rest = _numbered(F.col("line"))
-    words = F.when(F.col("kind").isin("section", "item"), rest).otherwise(F.col("line"))
+    section, item, sponsor = (lambda g, f=f: _part(F.col("line"), f, g) for f in ("section", "item", "sponsor"))
+    words = F.coalesce(F.when(F.col("kind") == "section", section(2)).when(F.col("kind") == "item", item(2)), F.col("line"))
     title = (F.col("kind") == F.col("head")) | ((F.col("kind") == "other") & F.when(F.col("head") == "section", F.col("open")).otherwise(~F.col("sponsored")))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("n", words.alias("w"))))), lambda x: x["w"])
     blocks = told.groupBy(key, "section_id", "block").agg(
         F.first("head").alias("head"),
-        F.max(F.when(F.col("kind") == "section", label.try_cast("int"))).alias("number"),
-        F.max(F.when(F.col("kind") == "item", label)).alias("letter"),
+        F.max(F.when(F.col("kind") == "section", section(1).cast("int"))).alias("number"),
+        F.max(F.when(F.col("kind") == "item", item(1))).alias("letter"),
         F.array_join(ordered(title), " ").alias("title_raw"),
-        F.max_by(_sponsor(F.col("line")), F.when(F.col("kind") == "sponsor", F.col("n"))).alias("sponsor"),
+        F.max_by(F.trim(sponsor(1)), F.when(F.col("kind") == "sponsor", F.col("n"))).alias("sponsor"),
         ordered((F.col("kind") == "other") & F.col("sponsored") & (F.col("head") == "item")).alias("extra_lines"),
     )
     w = Window.partitionBy(key, "section_id")
@@ -148,17 +130,29 @@ def roll_calls(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFra
     return held.select(key, "roll_number", "position", F.row_number().over(Window.partitionBy(key, "b", "position").orderBy("n")).cast("long").alias("place"), F.col("line").alias("surname"))
 
 
+def _done(text: Column) -> Column:
+    """For each `was` or `were` of a text what it says was done, if CARRIED has it: struct<phrase, passed>, in order."""
+    carried = F.create_map(*[F.lit(x) for pair in CARRIED.items() for x in pair])
+
+    def of(clause: Column) -> Column:
+        words = F.split(clause, "[^a-z]+")
+        no = F.get(words, F.lit(0)) == "not"
+        one = F.get(words, F.when(no, 1).otherwise(0))
+        two = F.concat_ws(" ", one, F.get(words, F.when(no, 2).otherwise(1)))
+        verb = F.when(F.map_contains_key(carried, two), two).when(F.map_contains_key(carried, one), one)
+        phrase = F.concat(F.when(no, "not ").otherwise(""), verb)
+        told = F.concat(F.upper(F.substring(phrase, 1, 1)), F.substring(phrase, 2, 100))
+        return F.when(verb.isNotNull(), F.struct(told.alias("phrase"), (F.try_element_at(carried, verb) != no).alias("passed")))
+
+    clauses = F.slice(F.split(F.lower(text), r"\b(?:was|were)\s+"), 2, 1 << 20)
+    return F.filter(F.transform(clauses, of), lambda x: x.isNotNull())
+
+
 def outcome(block: Column) -> Column:
     """struct<phrase, passed> that a roll's text announces; null without any.
 
-    Announcements begin with `So`: the last of them that says what was done counts, by the first verb in it. Without one, the last
-    verb of the text does.
+    Announcements begin with `So`: the last of them that says what was done counts, by the first that it says. Without one, the last of
+    the text does.
     """
-    verbs = "|".join(v.replace(" ", r"\s+") for v in CARRIED)
-    hits = lambda x: F.regexp_extract_all(F.lower(x), F.lit(rf"\b(?:was|were)\s+((?:not\s+)?(?:{verbs}))\b"), F.lit(1))
-    told = F.filter(F.transform(F.slice(F.split(block, r"\bSo\b"), 2, 1 << 20), lambda part: F.get(hits(part), 0)), lambda h: h.isNotNull())
-    words = F.regexp_replace(F.coalesce(F.try_element_at(told, F.lit(-1)), F.try_element_at(hits(block), F.lit(-1))), r"\s+", " ")
-    negated = words.startswith("not ")
-    verb = F.when(negated, F.substring(words, 5, 100)).otherwise(words)
-    carried = F.element_at(F.create_map(*[F.lit(x) for pair in CARRIED.items() for x in pair]), verb)
-    return F.when(verb.isNotNull(), F.struct(F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 100)).alias("phrase"), (carried != negated).alias("passed")))
+    told = F.filter(F.transform(F.slice(F.split(block, r"\bSo\b"), 2, 1 << 20), lambda part: F.get(_done(part), F.lit(0))), lambda x: x.isNotNull())
+    return F.coalesce(F.try_element_at(told, F.lit(-1)), F.try_element_at(_done(block), F.lit(-1)))

@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.sources.minutes import legislation_ref
+
 # Fixed values of the printed format.
-ACTS = ["Ordinance", "Resolution"]
-QUALIFIER = "Appropriation"
 END = "memorandum prepared by"
 MOVES, RESULT, VOTED = "seconded", "The motion", "received a roll call vote"
 SIDES = ["ayes", "nays", "abstain"]
@@ -54,12 +54,6 @@ def kind_of(clause: Column, result: bool = False) -> Column:
     return out.otherwise("unknown")
 
 
-def reference(title: Column) -> Column:
-    """The first act with its number in a title: `Ordinance 2026-1`, with its qualifier if it has one; null without."""
-    found = F.regexp_extract(title, rf"\b(?:{QUALIFIER}\s+)?(?:{'|'.join(ACTS)})\s+\d{{4}}-\d{{1,3}}\b", 0)
-    return F.when(found != "", F.regexp_replace(found, r"\s+", " "))
-
-
 def items(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """One row per numbered item that names an act: key, position, item_number, legislation_ref, wallclock, body (its lines, joined).
 
@@ -81,7 +75,7 @@ def items(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     rest = F.sort_array(F.collect_list(F.when(~F.col("opens"), F.struct("n", "line"))))
     blocks = told.groupBy(key, "block").agg(
         F.max(F.when(F.col("opens"), F.col("sub"))).alias("item_number"),
-        F.max(F.when(F.col("opens") & (F.col("sub") != ""), reference(F.regexp_replace("line", r"^\d+\.\d+\.", "")))).alias("legislation_ref"),
+        F.max(F.when(F.col("opens") & (F.col("sub") != ""), legislation_ref(F.regexp_replace("line", r"^\d+\.\d+\.", "")))).alias("legislation_ref"),
         F.min_by("wallclock", "n").alias("wallclock"),
         F.array_join(F.transform(rest, lambda x: x["line"]), " ").alias("body"),
     ).where("legislation_ref is not null")

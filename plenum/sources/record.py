@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values, as the record prints them: titles of members, offices of who presides, the slug of each office (the first whose words a
 # designation has), and states with their codes.
-TITLES = ["Mr", "Mrs", "Ms", "Miss"]
+TITLES = ["Mr.", "Mrs.", "Ms.", "Miss", "Mr", "Mrs", "Ms"]
 OFFICES = ["presiding officer", "speaker", "vice president", "president", "chief justice", "chair", "clerk"]
 OFFICE_SLUGS = {
     "presiding": "presiding_officer", "speaker": "speaker", "president pro tempore": "president_pro_tempore", "vice president": "vice_president",
@@ -22,37 +22,58 @@ STATES = (
     "Puerto Rico PR, Guam GU, American Samoa AS, Virgin Islands VI, Northern Mariana Islands MP"
 )
 
-_T = "(?:" + "|".join(TITLES) + ")"
-_MEMBER = rf"{_T}\.?\s+\p{{Lu}}[\p{{L}}.'-]+(?: of \p{{Lu}}[\p{{L}} ]+?)?"
-_OFFICE = "The (?i:(?:acting )?(?:" + "|".join(OFFICES) + rf")(?: pro tempore)?)(?: \({_T}\. \p{{L}}+\))?"
-_SAYS = rf"^({_MEMBER}|{_OFFICE})\.\s+(.+)$"
 #: Lines that belong to the page: in brackets, the source's note, rules.
-_PAGE = r"(?m)^[ \t]*(?:\[.*\]|From the Congressional Record Online.*|_{5,})[ \t]*$"
+PAGE = r"(?m)^[ \t]*(?:\[.*\]|From the Congressional Record Online.*|_{5,})[ \t]*$"
 
 
 def paragraphs(text: Column) -> Column:
     """A text's paragraphs, each in one line. One begins after a blank line or a line of the page, and where a line is set in by two spaces."""
-    cut = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), _PAGE, ""), r"\n[ \t]*(?=\n)|\n(?=  +\S)")
+    cut = F.split(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), PAGE, ""), r"\n[ \t]*(?=\n)|\n(?=  +\S)")
     return F.filter(F.transform(cut, lambda p: F.trim(F.regexp_replace(p, r"\s*\n\s*", " "))), lambda p: p != "")
 
 
+def _office(words: Column) -> Column:
+    """The office that words name in small letters, `acting` before it and `pro tempore` behind it included; null if they name none."""
+    said = F.lower(F.array_join(words, " "))
+    bare = F.when(said.startswith("acting "), F.substring(said, 8, 1 << 10)).otherwise(said)
+    bare = F.when(F.endswith(bare, F.lit(" pro tempore")), F.substring_index(bare, " pro tempore", 1)).otherwise(bare)
+    return F.when(bare.isin(OFFICES), said)
+
+
+def designation(paragraph: Column) -> Column:
+    """struct<designation, text> of a paragraph that begins with who speaks; null for others.
+
+    Its first words up to one that ends in a full stop (a title's own stop is none) are read one by one: a title, a capitalised name and,
+    with `of`, a capitalised place; or `The`, an office and, in brackets, who holds it.
+    """
+    words = F.split(paragraph, " ")
+    title = lambda w: F.ltrim(w, F.lit("(")).isin(TITLES)
+    n = F.array_position(F.transform(words, lambda w: F.endswith(w, F.lit(".")) & ~title(w)), True).cast("int")
+    last = F.get(words, n - 1)
+    head = F.concat(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.substring(last, F.lit(1), F.length(last) - 1)))
+    at = lambda i: F.get(head, F.lit(i))
+    capital = lambda w, least=1: w.rlike(rf"^\p{{Lu}}[\p{{L}}.'-]{{{least},}}$")
+    place = (at(2) == "of") & (n > 3) & capital(at(3)) & F.forall(F.slice(head, 4, 1 << 10), lambda w: w.rlike(r"^\p{L}+$"))
+    member = title(at(0)) & ~at(0).startswith("(") & capital(at(1)) & ((n == 2) | F.coalesce(place, F.lit(False)))
+    held = F.endswith(F.get(head, n - 1), F.lit(")")) & F.get(head, n - 2).startswith("(") & title(F.get(head, n - 2)) & F.get(head, n - 1).rlike(r"^\p{L}+\)$")
+    office = (at(0) == "The") & _office(F.slice(head, F.lit(2), F.greatest(F.when(held, n - 3).otherwise(n - 1), F.lit(0)))).isNotNull()
+    text = F.trim(F.array_join(F.slice(words, n + 1, 1 << 20), " "))
+    fine = (n > 1) & (text != "") & (F.coalesce(member, F.lit(False)) | F.coalesce(office, F.lit(False)))
+    return F.when(fine, F.struct(F.array_join(head, " ").alias("designation"), text.alias("text")))
+
+
 def turns(granules: DataFrame, key: str, text: str) -> DataFrame:
     """Speakers' turns of each granule: key, position (0, 1, ...), designation, text.
 
     A paragraph that begins with a designation begins a turn; others with small letters in them go on with it; headings, and what is before
-    the first designation, are left out. One fold over a granule's own paragraphs, without a shuffle; null texts have no turns.
+    the first designation, are left out. Paragraphs are rows, and a running count of designations numbers the turns; null texts have none.
     """
-    none = F.array().cast("array<struct<designation:string,text:string>>")
-
-    def fold(said: Column, p: Column) -> Column:
-        last = F.get(said, F.size(said) - 1)
-        new = F.struct(F.regexp_extract(p, _SAYS, 1).alias("designation"), F.trim(F.regexp_extract(p, _SAYS, 2)).alias("text"))
-        more = F.struct(last["designation"].alias("designation"), F.concat_ws(" ", last["text"], p).alias("text"))
-        goes_on = (F.size(said) > 0) & p.rlike(r"\p{Ll}")
-        return F.when(p.rlike(_SAYS), F.concat(said, F.array(new))).when(goes_on, F.concat(F.slice(said, 1, F.size(said) - 1), F.array(more))).otherwise(said)
-
-    each = granules.select(key, F.posexplode(F.aggregate(paragraphs(F.col(text)), none, fold)).alias("position", "t"))
-    return each.select(key, F.col("position").cast("long").alias("position"), "t.designation", "t.text")
+    told = granules.select(key, F.posexplode(paragraphs(F.col(text))).alias("n", "p")).withColumn("d", designation(F.col("p")))
+    upto = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    told = told.withColumn("turn", F.count("d").over(upto)).where((F.col("turn") > 0) & (F.col("d").isNotNull() | F.col("p").rlike(r"\p{Ll}")))
+    part = F.struct("n", F.coalesce("d.text", "p").alias("p"))
+    each = told.groupBy(key, "turn").agg(F.max("d.designation").alias("designation"), F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["p"]), " ").alias("text"))
+    return each.select(key, (F.col("turn") - 1).alias("position"), "designation", "text")
 
 
 def resolve(spoken: DataFrame, roster: DataFrame) -> DataFrame:
@@ -63,14 +84,17 @@ def resolve(spoken: DataFrame, roster: DataFrame) -> DataFrame:
     and by state before it is joined, so a common surname is one row.
     """
     what = F.trim(F.coalesce("designation", F.lit("")))
-    presides = rf"^(?i:The presiding officer) \({_T}\. (.+)\)$"
-    office = rf"^The (?i:((?:acting )?(?:{'|'.join(OFFICES)})(?: pro tempore)?))$"
-    member = rf"^{_T}\.?\s+(.+?)(?: of ([A-Za-z .]+))?$"
-    in_brackets = what.rlike(presides)
-    name = F.lower(F.when(in_brackets, F.regexp_extract(what, presides, 1)).when(what.rlike(member), F.regexp_extract(what, member, 1)))
+    # who presides stands in brackets; else a title, a name and perhaps a place; else an office
+    opening = "the presiding officer ("
+    in_brackets = F.lower(what).startswith(opening) & F.endswith(what, F.lit(")"))
+    person = F.when(in_brackets, F.substring(what, F.lit(len(opening) + 1), F.length(what) - len(opening) - 1)).otherwise(what)
+    titled = F.substring_index(person, " ", 1).isin(TITLES) & F.contains(person, F.lit(" "))
+    named = F.when(titled, F.trim(F.substring(person, F.instr(person, " ") + 1, 1 << 10)))
+    name = F.lower(F.when(in_brackets, named).otherwise(F.trim(F.substring_index(named, " of ", 1))))
     codes = F.create_map(*[F.lit(x) for s in STATES.split(", ") for x in (s[:-3].lower(), s[-2:])])
-    state = F.when(~in_brackets, F.try_element_at(codes, F.lower(F.trim(F.regexp_extract(what, member, 2)))))
-    said = F.lower(F.when(in_brackets, "presiding officer").when(what.rlike(office), F.regexp_extract(what, office, 1)))
+    state = F.when(~in_brackets & F.contains(named, F.lit(" of ")), F.try_element_at(codes, F.lower(F.trim(F.substring(named, F.instr(named, " of ") + 4, 1 << 10)))))
+    words = F.split(what, " ")
+    said = F.when(in_brackets & titled, "presiding officer").when(F.get(words, F.lit(0)) == "The", _office(F.slice(words, 2, 1 << 10)))
     slug = F.when(F.lit(False), "")
     for words, s in OFFICE_SLUGS.items():
         slug = slug.when(F.contains(said, F.lit(words)), s)

@@ -43,7 +43,7 @@ def test_agenda(spark):
 def test_lines_that_only_look_like_others(spark):
     lines = ["100. too far", "AB. two letters", "3.no space", "a. small", "Council Sponsor", "see http://x.example", "4 http://x.example", "9. Nine", "Z. Last"]
     d = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
-    assert [r.k for r in d.orderBy("i").select(minutes._kind(F.col("line")).alias("k")).collect()] == ["other"] * 6 + ["footnote", "section", "item"]
+    assert [r.k for r in d.orderBy("i").select(minutes.kind(F.col("line")).alias("k")).collect()] == ["other"] * 6 + ["footnote", "section", "item"]
     refs = ["On Ordinance 2031-4x", "Ordinance of 1999", "Resolution 31-4", "(Resolution 2031-9)", None]
     t = spark.createDataFrame([(i, x) for i, x in enumerate(refs)], "i int, t string")
     assert [r.r for r in t.orderBy("i").select(minutes.legislation_ref(F.col("t")).alias("r")).collect()] == ["Ordinance 2031-4", None, None, "Resolution 2031-9", None]

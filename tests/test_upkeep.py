@@ -53,24 +53,39 @@ def turn(text, start, gap=0.0):
     return [(w, start + 0.4 * i + (gap if i else 0.0), start + 0.4 * i + (gap if i else 0.0) + 0.4, start * 100 + i) for i, w in enumerate(text.split())]
 
 
-def snapped(*turns):
-    turns = [list(t) for t in turns]
-    words.snap_meeting(turns)
-    return [" ".join(w[0] for w in t) for t in turns]
-
-
-def test_strayed_words_go_back():
-    assert snapped(turn("we shall go", 0), turn("on now. >> Thank you", 10)) == ["we shall go on now.", ">> Thank you"]
-    assert snapped(turn("we shall go", 0), turn("and so it goes on. >> Thanks all", 10))[0] == "we shall go"
-    assert snapped(turn("that is all. >> Yes sir", 0), turn("I agree", 10)) == ["that is all.", ">> Yes sir I agree"]
-    assert snapped(turn(">> one >> two >> three", 0), turn("four", 10)) == [">> one >> two >> three", "four"]
-    assert snapped(turn("the end is", 0), turn("near. Now to us", 1.25, 0.5)) == ["the end is near.", "Now to us"]
-    assert snapped(turn("the end is", 0), turn("Here. Now to us", 3.0, 0.5))[1] == "Here. Now to us"
-    assert snapped(turn("the end is", 0), turn("Yes.", 1.25)) == ["the end is", "Yes."]
-    assert snapped(turn("a b. >> c", 0), [], turn("d e", 9)) == ["a b.", ">> c", "d e"]
+def snapped(spark, *cases):
+    """The turns of each case, a meeting, after words went back."""
+    turns = [(m, t, 100.0 * t) for m, case in enumerate(cases) for t in range(len(case))]
+    rows = [(m, t, 100 * t + i, *w[:3]) for m, case in enumerate(cases) for t, said in enumerate(case) for i, w in enumerate(said)]
+    w = spark.createDataFrame(rows, "meeting int, turn_id int, word_id int, word string, word_start double, word_end double")
+    told = {(r.meeting, r.word_id): r.turn_id for r in words.snap(w, spark.createDataFrame(turns, "meeting int, turn_id int, start_time double")).collect()}
+    return [[" ".join(r[3] for r in sorted(rows, key=lambda r: r[4]) if r[0] == m and told[m, r[2]] == t) for t in range(len(case))] for m, case in enumerate(cases)]
+
+
+def test_strayed_words_go_back(spark):
+    got = snapped(
+        spark,
+        [turn("we shall go", 0), turn("on now. >> Thank you", 10)],
+        [turn("we shall go", 0), turn("and so it goes on. >> Thanks all", 10)],
+        [turn("that is all. >> Yes sir", 0), turn("I agree", 10)],
+        [turn(">> one >> two >> three", 0), turn("four", 10)],
+        [turn("the end is", 0), turn("near. Now to us", 1.25, 0.5)],
+        [turn("the end is", 0), turn("Here. Now to us", 3.0, 0.5)],
+        [turn("the end is", 0), turn("Yes.", 1.25)],
+        [turn("a b. >> c", 0), [], turn("d e", 9)],
+    )
+    assert got[0] == ["we shall go on now.", ">> Thank you"]
+    assert got[1][0] == "we shall go"
+    assert got[2] == ["that is all.", ">> Yes sir I agree"]
+    assert got[3] == [">> one >> two >> three", "four"]
+    assert got[4] == ["the end is near.", "Now to us"]
+    assert got[5][1] == "Here. Now to us"
+    assert got[6] == ["the end is", "Yes."]
+    assert got[7] == ["a b.", ">> c", "d e"]
 
 
 def test_snapping_keeps_every_word(spark):
+    """A second time nothing moves, and each word has one turn."""
     rnd = random.Random(3)
     rows, turns = [], []
     for m in range(6):
@@ -78,16 +93,11 @@ def test_snapping_keeps_every_word(spark):
             turns.append((m, t, t * 10.0))
             said = rnd.choices(["so", "yes.", ">>", "well", "go?"], k=rnd.randrange(7))
             rows += [(m, t, t * 100 + i, w, t * 10 + i * 0.4, t * 10 + i * 0.4 + 0.3) for i, w in enumerate(said)]
-    w = spark.createDataFrame(rows, "meeting int, turn_id int, word_id int, word string, word_start double, word_end double")
-    t = spark.createDataFrame(turns, "meeting int, turn_id int, start_time double")
-    got = {(r.meeting, r.word_id): r.turn_id for r in words.snap(w, t).collect()}
-    want = {}
-    for m in range(6):
-        held = [[(r[3], r[4], r[5], r[2]) for r in rows if r[:2] == (m, k)] for k in range(8)]
-        words.snap_meeting(held)
-        again = [list(h) for h in held]
-        words.snap_meeting(again)
-        assert again == held
-        want |= {(m, x[-1]): k for k, h in enumerate(held) for x in h}
-    assert got == want and len(got) == len(rows)
+    schema = "meeting int, turn_id int, word_id int, word string, word_start double, word_end double"
+    w, t = spark.createDataFrame(rows, schema), spark.createDataFrame(turns, "meeting int, turn_id int, start_time double")
+    once = words.snap(w, t)
+    got = {(r.meeting, r.word_id): r.turn_id for r in once.collect()}
+    assert len(got) == len(rows) == once.count()
+    again = words.snap(w.drop("turn_id").join(once, ["meeting", "word_id"]), t)
+    assert {(r.meeting, r.word_id): r.turn_id for r in again.collect()} == got
     assert words.snap(w.limit(0), t.limit(0)).count() == 0
