@@ -36,12 +36,10 @@ def in_vocabulary(keys: Column, vocabulary: Column) -> Column:
 
 
 def distinct_ignoring_case(items: Column) -> Column:
-    """The first of the items that differ in case only, in their order."""
-
-    def fold(acc: Column, x: Column) -> Column:
-        return F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(items, F.array().cast("array<string>"), fold)
+    """The first of the items that differ in case only, in their order: sorted by lower case and place, and cut where that changes."""
+    placed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
+    first = F.filter(placed, lambda p, i: (i == 0) | (p["low"] != F.get(placed, i - 1)["low"]))
+    return F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x")))), lambda p: p["x"])
 
 
 def ungrounded(generated: Column, source: Column) -> Column:

@@ -116,11 +116,15 @@ def _url(url: Column) -> tuple[Column, Column, Column]:
 
 
 def source_key(url: Column) -> Column:
-    """One key for one recording: `youtube:` and its id, or `url:` host, path without trailing slashes and the sorted query without
-    tracking and empty values; `file:` for what is no web address; empty for blank ones."""
+    """One key for one recording: `youtube:` and its id, or `url:` host, path without trailing slashes and the query, its names and
+    values decoded, sorted as pairs without tracking and empty values, and encoded anew; `file:` for what is no web address; empty for blank ones."""
     host, path, asked = _url(url)
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    kept = F.array_sort(F.filter(F.split(asked, "&"), lambda p: F.contains(p, F.lit("=")) & ~F.endswith(p, F.lit("=")) & ~name(p).isin(TRACKING)))
+    text = lambda x: F.coalesce(F.try_url_decode(x), x)
+    safe = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pair = lambda p: F.struct(text(F.substring_index(p, "=", 1)).alias("name"), text(F.substring(p, F.instr(p, "=") + 1, 1 << 20)).alias("value"))
+    pairs = F.transform(F.filter(F.split(asked, "&"), lambda p: F.contains(p, F.lit("=")) & ~F.endswith(p, F.lit("="))), pair)
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["name"]).isin(TRACKING)))
+    kept = F.transform(kept, lambda p: F.concat(safe(p["name"]), F.lit("="), safe(p["value"])))
     rest = F.concat(host, F.rtrim(path, F.lit("/")), F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
     video, raw = youtube_id(url), F.trim(F.coalesce(url, F.lit("")))
     return F.when(raw == "", "").when(video.isNotNull(), F.concat(F.lit("youtube:"), video)).when(raw.rlike("^(?i:https?)://"), F.concat(F.lit("url:"), rest)).otherwise(F.concat(F.lit("file:"), raw))

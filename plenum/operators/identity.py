@@ -124,17 +124,21 @@ def roster_match(names: DataFrame, roster: DataFrame) -> DataFrame:
 def resolve_unique(asked: DataFrame, known: DataFrame, on: list[str], narrow: str, value: str) -> DataFrame:
     """Rows of `asked` with the one `known` value of equal keys; `narrow` counts only where it leaves some.
 
-    status: resolved, ambiguous (with the number of choices) or unknown. asked needs ask_id.
+    status: resolved, ambiguous (with the number of choices) or unknown. asked needs ask_id. `known` is counted by its keys, with `narrow`
+    and without, before it is joined, so a key that many share is one row.
     """
+    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(on)]
+    found = F.struct(F.count(value).alias("n"), F.min(value).alias("v"), F.count(F.lit(1)).alias("rows"))
+    every = known.groupBy(*keys).agg(found.alias("__all"))
+    near = known.where(F.col(narrow).isNotNull()).groupBy(*keys, F.col(narrow).alias("__narrow")).agg(found.alias("__near"))
     a = asked.select("ask_id", *on, F.col(narrow).alias("__n"))
-    pairs = a.join(known.select(*on, F.col(narrow).alias("__k"), value), on, "left")
-    w = Window.partitionBy("ask_id")
-    near = F.coalesce(F.col("__n") == F.col("__k"), F.lit(False))
-    kept = pairs.withColumn("__near", near).withColumn("__any", F.max("__near").over(w)).where("__near or not __any")
-    counted = kept.groupBy("ask_id").agg(F.count(value).alias("choices"), F.min(value).alias(value))
-    return counted.select(
+    same = lambda df: [a[c] == df[f"__k{i}"] for i, c in enumerate(on)]
+    joined = a.join(every, same(every), "left").join(near, [*same(near), a["__n"] == near["__narrow"]], "left")
+    f = F.coalesce("__near", "__all")
+    choices = F.coalesce(f["n"], F.lit(0))
+    return joined.select(
         "ask_id",
-        F.when(F.col("choices") == 1, "resolved").when(F.col("choices") > 1, "ambiguous").otherwise("unknown").alias("status"),
-        F.when(F.col("choices") == 1, F.col(value)).alias(value),
-        "choices",
+        F.when(choices == 1, "resolved").when(choices > 1, "ambiguous").otherwise("unknown").alias("status"),
+        F.when(choices == 1, f["v"]).alias(value),
+        choices.alias("choices"),
     )

@@ -136,19 +136,20 @@ def resolve_time(points: DataFrame, turns: DataFrame, at: str, width: float = 60
     )
 
 
-def activity_strip(turns: DataFrame, second: Column, seconds: int) -> DataFrame:
-    """A character for each of a meeting's first `seconds` seconds: `.` silence, `*` several labels, else the label's last letter.
+def activity_strips(turns: DataFrame, second: Column, seconds: int) -> DataFrame:
+    """meeting, window, strip: a character for each second of each window of `seconds` seconds, from a meeting's begin to its last turn's end.
 
-    `second` is a turn's offset column from the meeting's begin; a turn is active in each second that it touches.
+    `.` is silence, `*` several labels, else the label's last letter. `second` is a turn's offset column from the meeting's begin; a turn is
+    active in each second that it touches. One row of the shuffle is a second of a window, so a meeting of any length is spread.
     """
     length = F.col("end_time") - F.col("start_time")
-    touched = turns.where((length > 0) & (second < seconds)).select(
-        "meeting", "label", F.explode(F.sequence(F.floor(second).cast("long"), F.least(F.ceil(second + length) - 1, F.lit(seconds - 1)).cast("long"))).alias("s")
-    )
+    touched = turns.where(length > 0).select("meeting", "label", F.explode(F.sequence(F.floor(second).cast("long"), (F.ceil(second + length) - 1).cast("long"))).alias("s"))
     each = touched.groupBy("meeting", "s").agg(F.count_distinct("label").alias("n"), F.min("label").alias("label"))
-    chars = each.select("meeting", "s", F.when(F.col("n") > 1, "*").otherwise(F.substring("label", -1, 1)).alias("c"))
-    held = chars.groupBy("meeting").agg(F.map_from_entries(F.collect_list(F.struct("s", "c"))).alias("m"))
-    return held.select(
-        "meeting",
-        F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(seconds - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("."))), "").alias("strip"),
-    )
+    window = F.floor(F.col("s") / seconds).cast("long").alias("window")
+    chars = each.select("meeting", window, (F.col("s") % seconds).alias("s"), F.when(F.col("n") > 1, "*").otherwise(F.substring("label", -1, 1)).alias("c"))
+    since = F.col("s") - F.coalesce(F.lag("s").over(Window.partitionBy("meeting", "window").orderBy("s")), F.lit(-1)) - 1
+    piece = F.concat(F.repeat(F.lit("."), since.cast("int")), "c")
+    held = chars.withColumn("piece", piece).groupBy("meeting", "window").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "piece"))), lambda x: x["piece"]), "").alias("said"))
+    every = chars.groupBy("meeting").agg(F.max("window").alias("last")).select("meeting", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("window"))
+    strip = F.rpad(F.coalesce("said", F.lit("")), F.lit(seconds), F.lit("."))
+    return every.join(held, ["meeting", "window"], "left").select("meeting", "window", strip.alias("strip"))

@@ -59,12 +59,13 @@ def centroids_leave_one_out(spark, sf_dir):
     return left.groupBy("profile", "meeting").agg(F.transform(ordered, lambda x: x["m"]).alias("centroid"))
 
 
-@query(f"""with {VECTORS}, w as (select profile, i, sum(vector[i] * (vec_id % 7 - 1)) / sum(vec_id % 7 - 1) as m from (select *, unnest([1, 64]) as i from vectors where vec_id % 7 - 1 > 0) group by profile, i)
-select profile, round(max(m) filter (i = 1), 5) as first, round(max(m) filter (i = 64), 5) as last from w group by profile""")
+@query(f"""with {VECTORS}, w as (select profile, i, sum(vector[i] * (vec_id % 7 - 1)) / sum(vec_id % 7 - 1) as m from (select *, unnest(range(1, len(vector) + 1)) as i from vectors where vec_id % 7 - 1 > 0) group by profile, i)
+select profile, i as place, round(m, 5) as value from w""")
 def weighted_centroid_merge(spark, sf_dir):
+    """Every place of each profile's weighted mean."""
     v = V.vectors(spark, sf_dir).withColumn("weight", (F.col("vec_id") % 7 - 1).cast("double"))
     c = D.centroids(v, ["profile"], weight="weight")
-    return c.select("profile", F.round(F.get("centroid", 0), 5).alias("first"), F.round(F.get("centroid", 63), 5).alias("last"))
+    return c.select("profile", F.posexplode("centroid").alias("i", "m")).select("profile", (F.col("i") + 1).cast("long").alias("place"), F.round("m", 5).alias("value"))
 
 
 _MATCH = f"""with {VECTORS}, {_CENTROIDS}, sim as (select v.vec_id, c.profile, list_cosine_similarity(v.vector, c.centroid) as similarity from vectors v, cen c where v.vec_id % 20 = 0)"""

@@ -230,10 +230,11 @@ def silence_fraction(spark, sf_dir):
 
 
 @query(f"""with {TURNS}, z as (select meeting, label, start_time - min(start_time) over (partition by meeting) as s, end_time - start_time as d from turns),
-x as (select meeting, label, unnest(range(floor(s)::bigint, least(ceil(s + d) - 1, 3599)::bigint + 1)) as sec from z where d > 0 and s < 3600),
+x as (select meeting, label, unnest(range(floor(s)::bigint, ceil(s + d)::bigint)) as sec from z where d > 0),
 e as (select meeting, sec, case when count(distinct label) > 1 then '*' else right(min(label), 1) end as c from x group by meeting, sec),
-g as (select meeting, unnest(range(3600)) as sec from (select distinct meeting from e))
-select g.meeting, string_agg(coalesce(c, '.'), '' order by g.sec) as strip from g left join e on g.meeting = e.meeting and g.sec = e.sec group by g.meeting""")
+g as (select meeting, unnest(range((max(sec) // 3600 + 1) * 3600)) as sec from e group by meeting)
+select g.meeting, g.sec // 3600 as "window", string_agg(coalesce(c, '.'), '' order by g.sec) as strip from g left join e on g.meeting = e.meeting and g.sec = e.sec group by 1, 2""")
 def label_strip(spark, sf_dir):
+    """A strip for every hour of every meeting."""
     t = V.turns(spark, sf_dir).withColumn("offset", F.col("start_time") - F.min("start_time").over(Window.partitionBy("meeting")))
-    return I.activity_strip(t, F.col("offset"), 3600)
+    return I.activity_strips(t, F.col("offset"), 3600)
