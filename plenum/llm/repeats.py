@@ -27,15 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plenum.llm.common import maybe_broadcast, settle
+from plenum.llm.common import settle, small_enough
 
 LENGTH = 200
 #: Bytes of a k-gram.
 GRAM = 64
 #: Occurrences of a k-gram from which its windows are counted as rows.
 HOT = 10_000
-#: k-grams that are broadcast at most; more are joined by shuffling.
-FEW = 100_000
+#: Hot k-grams that tasks are told by a list at most; more are joined by shuffling.
+FEW = 10_000
 #: Window starts of a text that are looked at together, and bytes of contexts that are ordered together.
 PIECE = 1 << 20
 TOGETHER = 4 << 20
@@ -95,32 +95,19 @@ def context_numbers(body: bytes, first: np.ndarray, last: np.ndarray, length: in
     return np.array([xxhash.xxh3_64_intdigest(body[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)], dtype=np.uint64).view(np.int64)
 
 
-def gram_counts(length: int, k: int) -> Callable:
-    """A task: (h, n) of the anchors of its texts."""
-
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            told = [h for body in frame["body"] for h, *_ in anchors(body, length, k)]
-            if told:
-                h, n = np.unique(np.concatenate(told), return_counts=True)
-                yield pd.DataFrame({"h": h, "n": n})
-
-    return task
-
-
 def context_rows(length: int, k: int) -> Callable:
-    """A task: (key, h, c, n), the number of times that each context c of k-gram h is in a text."""
+    """A task: (key, h, c) for each context c of k-gram h in its texts."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
+            keys, grams, contexts = [], [], []
             for key, body in zip(frame["key"], frame["body"], strict=True):
-                told = [(h, context_numbers(body, first, last, length)) for h, _, first, last in anchors(body, length, k)]
-                pairs = np.stack([np.concatenate(x) for x in zip(*told, strict=True)], axis=1)
-                pairs, n = np.unique(pairs, axis=0, return_counts=True) if len(pairs) > 1 else (pairs, np.ones(len(pairs), dtype=np.int64))
-                out.append(pd.DataFrame({"key": key, "h": pairs[:, 0], "c": pairs[:, 1], "n": n}))
-            if out:
-                yield pd.concat(out)
+                for h, _, first, last in anchors(body, length, k):
+                    keys.append(np.full(len(h), key, dtype=np.int64))
+                    grams.append(h)
+                    contexts.append(context_numbers(body, first, last, length))
+            if keys:
+                yield pd.DataFrame({"key": np.concatenate(keys), "h": np.concatenate(grams), "c": np.concatenate(contexts)})
 
     return task
 
@@ -156,8 +143,9 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, pa.schema([(name, kinds[kind]) for name, kind in map(str.split, _DECIDED.split(", "))]))
 
 
-def second_reading(length: int, k: int, with_text: bool) -> Callable:
+def second_reading(length: int, k: int, with_text: bool, listed: list[int]) -> Callable:
     """A task: finished texts, texts that wait for looked-up windows, and the contexts and windows to look up."""
+    hot = frozenset(listed)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
@@ -178,7 +166,7 @@ def second_reading(length: int, k: int, with_text: bool) -> Callable:
                     for h, place, first, last in anchors(body, length, k):
                         c = context_numbers(body, first, last, length)
                         for hi, pi, a, b, ci in zip(h.tolist(), place.tolist(), first.tolist(), last.tolist(), c.tolist(), strict=True):
-                            code = codes.get(ci, 0)
+                            code = codes.get(ci, REPEATED if hi in hot else 0)
                             if code in (REPEATED, TOLD, HOT_TOLD):
                                 spans += (a, b + length)
                             elif code in (OPEN, HOT_OPEN):
@@ -217,7 +205,8 @@ def second_reading(length: int, k: int, with_text: bool) -> Callable:
 def order_windows(contexts: list[bytes], groups: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(context, start) of the windows that also start elsewhere, among contexts that hold their k-gram at places.
 
-    The first digit is the group and the window's place around its k-gram; then eight bytes a pass, through `length` bytes.
+    The first digit is the group and the window's place around its k-gram; then eight bytes a pass, through `length` bytes. A pass
+    sorts only the groups that the digit tells apart.
     """
     sizes = np.array([len(x) for x in contexts])
     flat = np.frombuffer(b"".join(contexts) + bytes(8), dtype=np.uint8).astype(np.uint64)
@@ -229,21 +218,43 @@ def order_windows(contexts: list[bytes], groups: np.ndarray, places: np.ndarray,
     which = np.repeat(np.arange(len(contexts)), many)
     start = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
     at = start + np.repeat(np.cumsum(sizes) - sizes, many)
-    _, group = np.unique(np.stack([groups[which], places[which] - start], axis=1), axis=0, return_inverse=True)
-    group = group.ravel()
-    alive = np.bincount(group)[group] > 1
-    which, start, at, group = which[alive], start[alive], at[alive], group[alive]
+    _, group = np.unique(groups, return_inverse=True)
+    around = places[which] - start
+    group = group[which] * (int(around.max(initial=0)) + 1) + around
+    order = np.argsort(group, kind="stable")
+    head, tail = _edges(group[order])
+    order, head, tail = _several(order, head, tail)
     for depth in range(0, length, 8):
-        if not len(at):
+        if not len(order):
             break
-        word = digit[at + depth] >> np.uint64(8 * max(0, depth + 8 - length))
-        order = np.lexsort((word, group))
-        word, group = word[order], group[order]
-        group = np.cumsum(np.concatenate([[0], (word[1:] != word[:-1]) | (group[1:] != group[:-1])]))
-        alive = np.bincount(group)[group] > 1
-        group, order = group[alive], order[alive]
-        which, start, at = which[order], start[order], at[order]
-    return which, start
+        word = digit[at[order] + depth] >> np.uint64(8 * max(0, depth + 8 - length))
+        change = np.concatenate([[False], word[1:] != word[:-1]])
+        change[head] = False
+        split = np.add.reduceat(change, head) > 0
+        if not split.any():
+            continue
+        mixed = np.repeat(split, tail - head)
+        group = np.repeat(np.arange(len(head)), tail - head)
+        inner = np.lexsort((word[mixed], group[mixed]))
+        order[mixed], word[mixed] = order[mixed][inner], word[mixed][inner]
+        change = np.concatenate([[True], (word[1:] != word[:-1]) | (group[1:] != group[:-1])])
+        head = np.flatnonzero(change)
+        order, head, tail = _several(order, head, np.append(head[1:], len(order)))
+    return which[order], start[order]
+
+
+def _edges(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch of equal values starts and ends."""
+    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, dtype=np.int64)
+    return head, np.append(head[1:], len(group)).astype(np.int64)[: len(head)]
+
+
+def _several(order: np.ndarray, head: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Without the groups of one window."""
+    size = tail - head
+    order = order[np.repeat(size > 1, size)]
+    tail = np.cumsum(size[size > 1])
+    return order, tail - size[size > 1], tail
 
 
 def look_up(length: int) -> Callable:
@@ -295,29 +306,35 @@ def last_step(length: int, with_text: bool) -> Callable:
     return task
 
 
-def known(texts: DataFrame, length: int, k: int, hot_from: int) -> DataFrame:
-    """(key, flags): for each text its contexts (c) of which something is known or must be looked up, with a code."""
+def known(texts: DataFrame, length: int, k: int, hot_from: int, few_hot: int) -> tuple[DataFrame, list[int]]:
+    """(key, flags): for each text its contexts (c) of which something is known or must be looked up, with a code; and the hot k-grams, if few."""
     bodies = texts.where(F.length("body") >= length).select("key", "body")
-    counts = bodies.select("body").mapInPandas(gram_counts(length, k), "h long, n long")
-    hot = settle(counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > hot_from).select("h"))
-    rows = bodies.mapInPandas(context_rows(length, k), "key long, h long, c long, n long")
-    any_hot = not hot.isEmpty()
-    cold = (rows.join(maybe_broadcast(hot, FEW), "h", "left_anti") if any_hot else rows).repartition("h")
+    rows = settle(bodies.mapInPandas(context_rows(length, k), "key long, h long, c long"))
+    hot = settle(rows.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_from).select("h"))
+    few = small_enough(hot, few_hot)
+    listed = [r["h"] for r in hot.collect()] if few else []
+    is_hot = F.col("h").isin(listed) if listed else F.lit(False)
+    cold = (rows.where(~is_hot) if few else rows.join(hot, "h", "left_anti")).repartition("h")
     same, gram = Window.partitionBy("h", "c"), Window.partitionBy("h")
-    cold = cold.withColumns({"times": F.sum("n").over(same), "nth": F.row_number().over(same.orderBy("key"))})
+    cold = cold.withColumns({"times": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("key"))})
     cold = cold.withColumn("contexts", F.count(F.when(F.col("nth") == 1, 1)).over(gram))
     several = F.col("contexts") > 1
     code = F.when((F.col("times") > 1) & several & (F.col("nth") == 1), TOLD).when(F.col("times") > 1, REPEATED).when(several, OPEN)
     flags = cold.select("key", "c", code.alias("code")).where("code is not null")
-    if any_hot:
-        often = rows.join(maybe_broadcast(hot, FEW), "h", "left_semi")
-        times = often.groupBy("h", "c").agg(F.sum("n").alias("times"), F.min("key").alias("teller")).where("times > 1")
-        code = F.when(F.col("times").isNull(), HOT_OPEN).when(F.col("key") == F.col("teller"), HOT_TOLD).otherwise(REPEATED)
-        flags = flags.unionByName(often.join(times, ["h", "c"], "left").select("key", "c", code.alias("code")))
-    return flags.groupBy("key").agg(F.collect_set(F.struct("c", "code")).alias("flags"))
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, hot_from: int = HOT, with_text: bool = False) -> DataFrame:
+    if listed or not few:
+        often = rows.where(is_hot) if few else rows.join(hot, "h", "left_semi")
+        # the text of a context that occurs once, or one of those that hold it
+        by_context = often.groupBy("h", "c").agg(F.count("*").alias("times"), F.min("key").alias("key"))
+        flags = flags.unionByName(by_context.select("key", "c", F.when(F.col("times") > 1, HOT_TOLD).otherwise(HOT_OPEN).alias("code")))
+        if few:  # what is not told of a listed k-gram's context is that it is repeated
+            flags = flags.unionByName(often.select("key", F.lit(0).cast("long").alias("c"), F.lit(0).alias("code")))
+        else:
+            again = by_context.where("times > 1").select("h", "c")
+            flags = flags.unionByName(often.join(again, ["h", "c"], "left_semi").select("key", "c", F.lit(REPEATED).alias("code")))
+    return flags.groupBy("key").agg(F.collect_set(F.struct("c", "code")).alias("flags")), listed
+
+
+def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, hot_from: int = HOT, few_hot: int = FEW, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256[, kept]) of docs (doc_id, text): the removed stretches, as byte places [start, end), and what is left.
 
     A null text counts as empty; texts of fewer than `length` bytes keep all. Repeated rows repeat each other's windows, whatever their
@@ -326,8 +343,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, hot_from: int
     Contexts are told apart by two 64-bit numbers, hot windows by 128 bits; open contexts are compared byte by byte.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body")).withColumn("key", F.xxhash64("body"))
-    flagged = texts.join(known(texts, length, k, hot_from), "key", "left")
-    decided = settle(flagged.select("doc_id", "key", "body", "flags").mapInArrow(second_reading(length, k, with_text), _DECIDED))
+    flags, listed = known(texts, length, k, hot_from, few_hot)
+    flagged = texts.join(flags, "key", "left").select("doc_id", "key", "body", "flags")
+    decided = settle(flagged.mapInArrow(second_reading(length, k, with_text, listed), _DECIDED))
     contexts = decided.where(F.col("kind") == CONTEXT).select("h", "c", "key", "code", "place", "body")
     found = contexts.repartition("h").sortWithinPartitions("h").mapInPandas(look_up(length), "key long, c long, starts array<int>")
     windows = decided.where(F.col("kind") == WINDOW).select("key", "c", "code", "place", "d1", "d2")

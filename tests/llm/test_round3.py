@@ -46,13 +46,13 @@ def passages(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 10_000), (2, 3), (3, 1)])
-def test_repeats_against_all_windows(spark, monkeypatch, seed, hot):
+@pytest.mark.parametrize(("seed", "hot", "few"), [(1, 10_000, 10), (2, 3, 10_000), (3, 1, 0)])
+def test_repeats_against_all_windows(spark, seed, hot, few):
     texts = passages(seed)
     rows = [(i, t, i, "k") for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, h long, key string").repartition(3)
     got = {}
-    for r in repeats.repeats(docs, length=12, k=5, hot_from=hot, with_text=True).collect():
+    for r in repeats.repeats(docs, length=12, k=5, hot_from=hot, few_hot=few, with_text=True).collect():
         spans = [(s["start"], s["end"]) for s in r["spans"]]
         got[r["doc_id"]] = (r["n_bytes"], sum(b - a for a, b in spans), len(spans), r["kept_sha256"])
         assert hashlib.sha256(bytes(r["kept"])).hexdigest() == r["kept_sha256"]
