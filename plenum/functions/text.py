@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
 import functools
-import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -190,13 +187,3 @@ def strip_html(html: Column) -> Column:
     for ref, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         x = F.replace(x, F.lit(ref), F.lit(char))
     return F.trim(F.regexp_replace(x, r"[ \t\n\r\f]+", " "))
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of two lower-cased strings; null counts as empty. Levenshtein distance is another measure."""
-
-    @F.pandas_udf("double")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, (p or "").lower(), (q or "").lower()).ratio() for p, q in zip(x, y)], dtype=float)
-
-    return of(a, b)

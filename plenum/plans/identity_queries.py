@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plenum.functions.graph import components
-from plenum.functions.text import ratio, surname
 from plenum.functions.vectors import cosine
 from plenum.operators import gate
 from plenum.operators import identity as D
+from plenum.operators.similar import correct_names, similar_names
 from plenum.plans import views as V
 from plenum.plans.registry import registry
 from plenum.plans.views import SPEAKERS, TURNS, VECTORS
@@ -224,9 +224,48 @@ def enrollment_warnings(spark, sf_dir):
     return kind("low_confidence", m.where("confidence < 0.2")).unionByName(kind("unlinked", m.where("person is null and confidence >= 0.5"))).unionByName(kind("same_name", same))
 
 
-@query(None)
+#: Surnames of customers and suppliers by their keys, and how alike each two of them are: stretches that are still to be compared are kept in a list.
+_ALIKE = """recursive c as (select c_custkey, translate(lpad(((c_custkey % 400) * 2503 % 1000000)::varchar, 6, '0'), '0123456789', 'abdeiklnor') as a from customer),
+s as (select s_suppkey, translate(lpad((s_suppkey * 2503 % 1000000 + s_suppkey % 3)::varchar, (6 + s_suppkey % 2)::int, '0'), '0123456789', 'abdeiklnor') as b from supplier),
+f as (
+  select a, b, 0 as n, [{'x': a, 'y': b}] as todo from (select a from c union select a || 'q' from c), (select distinct b from s)
+  union all
+  select a, b, n + coalesce(h.k, 0), case when h is null then rest else list_concat(rest, list_filter([
+      {'x': left(p.x, h.i - 1), 'y': left(p.y, instr(p.y, substr(p.x, h.i, h.k)) - 1)},
+      {'x': substr(p.x, h.i + h.k), 'y': substr(p.y, instr(p.y, substr(p.x, h.i, h.k)) + h.k)}], lambda q: q.x <> '' and q.y <> '')) end
+  from (select *, todo[-1] as p, todo[:-2] as rest, list_filter(flatten(list_transform(range(least(len(todo[-1].x), len(todo[-1].y)), 0, -1), lambda k: list_transform(range(1, len(todo[-1].x) - k + 2), lambda i: {'k': k, 'i': i}))),
+      lambda q: contains(todo[-1].y, substr(todo[-1].x, q.i, q.k)))[1] as h from f where len(todo) > 0)),
+alike as (select a, b, 2.0 * n / (len(a) + len(b)) as score from f where len(todo) = 0 and 2.0 * n / (len(a) + len(b)) >= 0.8)"""
+
+
+def _letters(x, n):
+    return F.translate(F.lpad(x.cast("string"), n, F.lit("0")), "0123456789", "abdeiklnor")
+
+
+def _surnames(spark, sf_dir):
+    k = F.col("s_suppkey")
+    c = V.table(spark, sf_dir, "customer").select("c_custkey", _letters((F.col("c_custkey") % 400) * 2503 % 1000000, F.lit(6)).alias("a"))
+    return c, V.table(spark, sf_dir, "supplier").select("s_suppkey", _letters(k * 2503 % 1000000 + k % 3, (6 + k % 2).cast("int")).alias("b"))
+
+
+@query(f"with {_ALIKE} select c_custkey, s_suppkey, round(score, 4) as score from c join alike using (a) join s using (b)")
 def surname_ratio(spark, sf_dir):
-    """Customers and suppliers of one nation whose surnames are alike: ratio of 0.8 or more. SQL has no such ratio."""
-    c = V.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), surname(F.col("c_name")).alias("a"))
-    s = V.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), surname(F.col("s_name")).alias("b"))
-    return c.join(s, "n").select("c_custkey", "s_suppkey", F.round(ratio(F.col("a"), F.col("b")), 4).alias("score")).where("score >= 0.8")
+    """All customers and suppliers whose surnames are alike."""
+    c, s = _surnames(spark, sf_dir)
+    return similar_names(c, s, "a", "b").join(c, "a").join(s, "b").select("c_custkey", "s_suppkey", F.round("score", 4).alias("score"))
+
+
+@query(f"""with {_ALIKE}, n as (select c_custkey, case c_custkey % 4 when 0 then ' Member ' || a || ' ' when 1 then 'Bo ' || upper(a) when 2 then 'Ann ' || a else 'xbo ' || a || 'q' end as name, a || case when c_custkey % 4 = 3 then 'q' else '' end as sn from c),
+m as (select s_suppkey, 'Bo ' || b as canonical, b from s),
+t as (select n.name, 1 as tier, 0.0 as rank, s_suppkey, canonical from n join m on lower(trim(n.name)) = lower(canonical)
+  union all select n.name, 3, 0.0, s_suppkey, canonical from n join m on list_contains(string_split(lower(trim(n.name)), ' '), b) or contains(lower(trim(n.name)), 'bo ' || b)
+  union all select n.name, 4, -score, s_suppkey, canonical from n join alike on alike.a = n.sn join m using (b)),
+best as (select name, arg_min({{'tier': tier, 'canonical': canonical}}, {{'tier': tier, 'rank': rank, 'ordinal': s_suppkey}}) as e from t group by name)
+select distinct n.name, coalesce(e.canonical, trim(n.name)) as corrected, e.tier::bigint as tier from n left join best using (name)""")
+def roster_corrections(spark, sf_dir):
+    """Customers' names in four forms, by a roster of the suppliers."""
+    c, s = _surnames(spark, sf_dir)
+    k, a = F.col("c_custkey") % 4, F.col("a")
+    name = F.when(k == 0, F.concat(F.lit(" Member "), a, F.lit(" "))).when(k == 1, F.concat(F.lit("Bo "), F.upper(a))).when(k == 2, F.concat(F.lit("Ann "), a)).otherwise(F.concat(F.lit("xbo "), a, F.lit("q")))
+    roster = s.select(F.col("s_suppkey").alias("ordinal"), F.concat(F.lit("Bo "), "b").alias("canonical"), F.array("b", F.concat(F.lit("bo "), "b")).alias("aliases"))
+    return correct_names(c.select(name.alias("name")), roster)
