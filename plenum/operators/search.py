@@ -1,4 +1,4 @@
-"""Full-text search over a token table, and marking of hits."""
+"""Full-text search: a token table, a positional index with phrases, alternatives and exclusions, ranks, pages, snippets and marks."""
 
 from __future__ import annotations
 
@@ -34,3 +34,108 @@ def segments_of_snippet(snippet: Column) -> Column:
     """array<struct<text, hit>>: what stands between and inside the marks, empty pieces left out."""
     parts = F.transform(F.split(snippet, r"\[\[\[|\]\]\]"), lambda t, i: F.struct(t.alias("text"), (i % 2 == 1).alias("hit")))
     return F.filter(parts, lambda p: p["text"] != "")
+
+
+#: What a word is: letters, figures and apostrophes of small letters.
+WORD = r"[a-z0-9']+"
+#: Endings and what stands for them, tried in this order, each once: plurals, `ed`, `ing`, doubled letters behind these, and `y`.
+ENDINGS = [
+    (r"'s?$", ""), (r"sses$", "ss"), (r"(x|ch|sh|z)es$", r"\1"), (r"ies$", "i"), (r"([^su])s$", r"\1"),
+    (r"([aeiouy].*)(?:ed|ing)$", r"\1<"), (r"(at|bl|iz)<$", r"\1e"), (r"([bdfgmnprt])([bdfgmnprt])<$", r"\1\2<"), ("<$", ""), (r"([^aeiou])y$", r"\1i"),
+]
+#: Words of a snippet on either side of what was found.
+AROUND = 10
+
+
+def stem(word: Column) -> Column:
+    """A word without common English endings; a word and its plural, or its forms in ed and ing, come out alike."""
+    for end, instead in ENDINGS:
+        word = F.regexp_replace(word, end, instead.replace("\\", "$"))
+    return word
+
+
+def positions(docs: DataFrame, key: str, text: str, stop: list[str]) -> DataFrame:
+    """The index: (key, word, places): where each stem of a document stands, from 1. Stop words have places but aren't indexed.
+
+    A document's words are summed up in the task that reads it before they are shuffled; null and empty texts have none.
+    """
+    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
+    each = docs.select(key, F.posexplode(words).alias("i", "w")).where(~F.col("w").isin(stop)).select(key, stem(F.col("w")).alias("word"), (F.col("i") + 1).alias("place"))
+    return each.groupBy(key, "word").agg(F.array_sort(F.collect_list("place")).alias("places"))
+
+
+def asked(queries: DataFrame, query: str, text: str, stop: list[str]) -> DataFrame:
+    """Queries cut up: (query, alternative, part, negated, word, offset), a row for each word that counts.
+
+    Words must all be there; `or` begins an alternative; `-` before a word or phrase excludes it; words in double quotes stand together, and
+    stop words in them keep their places. Any text is a query; one without words that count finds nothing.
+    """
+    parts = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r'-?"[^"]*"|\S+'), F.lit(0))
+    each = queries.select(query, F.posexplode(parts).alias("part", "p"))
+    upto = Window.partitionBy(query).orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("alternative", F.count_if(F.col("p") == "or").over(upto)).where("p <> 'or'")
+    words = F.posexplode(F.regexp_extract_all("p", F.lit(WORD), F.lit(0)))
+    told = each.select(query, "alternative", "part", F.startswith("p", F.lit("-")).alias("negated"), words.alias("offset", "w"))
+    return told.where(~F.col("w").isin(stop)).select(query, "alternative", "part", "negated", stem(F.col("w")).alias("word"), "offset")
+
+
+def matches(parts: DataFrame, index: DataFrame, query: str, key: str) -> DataFrame:
+    """(query, alternative, key, n_parts, places): the documents that an alternative finds, with (place, part) of all that it asks for.
+
+    An alternative of exclusions only finds nothing. Words are met by joining the index; a phrase is where all of its words give one start.
+    """
+    need = parts.groupBy(query, "alternative", "part").agg(F.count("*").alias("n_words"))
+    wanted = parts.where("not negated").groupBy(query, "alternative").agg(F.count_distinct("part").alias("n_parts"))
+    starts = parts.join(index, "word").select(query, "alternative", "part", "negated", key, F.explode("places").alias("place"), "offset")
+    starts = starts.groupBy(query, "alternative", "part", "negated", key, (F.col("place") - F.col("offset")).alias("start")).agg(F.count_distinct("offset").alias("n"))
+    whole = starts.join(need, [query, "alternative", "part"]).where("n = n_words")
+    found = whole.groupBy(query, "alternative", key).agg(
+        F.count_distinct(F.when(~F.col("negated"), F.col("part"))).alias("n"), F.max("negated").alias("excluded"),
+        F.array_sort(F.collect_list(F.struct(F.col("start").alias("place"), "part"))).alias("places"),
+    )
+    return found.join(wanted, [query, "alternative"]).where("not excluded and n = n_parts").select(query, "alternative", key, "n_parts", "places")
+
+
+def covers(places: Column, n_parts: Column) -> Column:
+    """The shortest stretches that hold all parts, as (first, last): at each place the last one of every part; the shortest of one begin."""
+
+    def step(state: Column, x: Column) -> Column:
+        last = F.concat(F.filter(state["last"], lambda y: y["part"] != x["part"]), F.array(x))
+        first = F.array_min(F.transform(last, lambda y: y["place"]))
+        new = (F.size(last) == n_parts) & F.coalesce(F.try_element_at(state["found"], F.lit(-1))["first"] < first, F.lit(True))
+        one = F.array(F.struct(first.alias("first"), x["place"].alias("last")))
+        return F.struct(last.alias("last"), F.when(new, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+
+    start = F.struct(F.slice(places, 1, 0).alias("last"), F.array().cast("array<struct<first: int, last: int>>").alias("found"))
+    # parts at one place are seen one after the other: the last of covers with one end is the shortest
+    return F.aggregate(places, start, step, lambda s: F.filter(s["found"], lambda c, i: F.coalesce(F.get(s["found"], i + 1)["last"] != c["last"], F.lit(True))))
+
+
+def hits(found: DataFrame, query: str, key: str) -> DataFrame:
+    """(query, key, score, first, last): each document once, by its best alternative, with its shortest cover.
+
+    The score is the sum of one over the words of each cover: near parts count more, and more covers count more.
+    """
+    each = found.withColumn("covers", covers(F.col("places"), F.col("n_parts")))
+    size = lambda c: c["last"] - c["first"] + 1
+    score = F.round(F.aggregate("covers", F.lit(0.0), lambda s, c: s + 1.0 / size(c)), 6)
+    best = F.array_min(F.transform("covers", lambda c: F.struct(size(c).alias("size"), c["first"].alias("first"), c["last"].alias("last"))))
+    return each.groupBy(query, key).agg(F.max(score).alias("score"), F.min(best).alias("b")).select(query, key, "score", "b.first", "b.last")
+
+
+def page(found: DataFrame, query: str, key: str, size: int, after: DataFrame | None = None) -> DataFrame:
+    """The next `size` documents of each query, best first, ties by key, with their place on the page; after: (query, score, key) of the last seen."""
+    if after is not None:
+        seen = after.select(query, F.col("score").alias("__s"), F.col(key).alias("__k"))
+        past = F.col("__s").isNull() | (F.col("score") < F.col("__s")) | ((F.col("score") == F.col("__s")) & (F.col(key) > F.col("__k")))
+        found = found.join(seen, query, "left").where(past).drop("__s", "__k")
+    w = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    return found.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= size)
+
+
+def snippet(text: Column, words: Column, first: Column, last: Column, left: str = "[[[", right: str = "]]]") -> Column:
+    """The words of a text around places first to last, those whose stem is among words between marks."""
+    said = F.regexp_extract_all(text, F.lit(r"(?i)" + WORD), F.lit(0))
+    begin = F.greatest(first - AROUND, F.lit(1))
+    some = F.slice(said, begin, last + AROUND - begin + 1)
+    return F.array_join(F.transform(some, lambda w: F.when(F.array_contains(words, stem(F.lower(w))), F.concat(F.lit(left), w, F.lit(right))).otherwise(w)), " ")

@@ -132,6 +132,66 @@ def fts_search(spark, sf_dir):
     return search.rank(asked, index, "item_id", "doc_id", 5)
 
 
+def _stem_sql(word):
+    for end, instead in search.ENDINGS:
+        word = f"regexp_replace({word}, '{end.replace(chr(39), chr(39) * 2)}', '{instead}')"
+    return word
+
+
+_INDEX = f"""with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9'']+') as ws from documents),
+t as (select doc_id, unnest(ws) as w, unnest(range(1, len(ws) + 1)) as place from d),
+x as (select doc_id, {_stem_sql('w')} as word, place from t where w not in ({_STOP})),
+b as (select item_id, regexp_extract_all(lower(text), '[a-z0-9'']+') as ws from benchmark),
+parts as (
+  select item_id, 0 as alt, 0 as part, false as neg, [ws[1], ws[2]] as said from b where item_id % 3 = 0
+  union all select item_id, 0, 1, false, [ws[5]] from b where item_id % 3 = 0
+  union all select item_id, 0, 0, false, [ws[1]] from b where item_id % 3 = 1
+  union all select item_id, 0, 1, true, [ws[2]] from b where item_id % 3 = 1
+  union all select item_id, 1, 2, false, [ws[3], ws[4], ws[5]] from b where item_id % 3 = 1
+  union all select item_id, 0, 0, false, [ws[1]] from b where item_id % 3 = 2
+  union all select item_id, 1, 1, false, [ws[2]] from b where item_id % 3 = 2
+  union all select item_id, 1, 2, false, [ws[3]] from b where item_id % 3 = 2),
+w as (select item_id, alt, part, neg, said[i + 1] as raw, i from (select *, unnest(range(len(said))) as i from parts)),
+q as (select item_id, alt, part, neg, {_stem_sql('raw')} as word, i from w where raw not in ({_STOP})),
+need as (select item_id, alt, part, neg, count(*) as n from q group by all),
+wanted as (select item_id, alt, count(*) as n_parts from need where not neg group by all),
+st as (select item_id, alt, part, doc_id, place - i as start from q join x using (word) group by all having count(distinct i) = any_value((select n from need where need.item_id = q.item_id and need.alt = q.alt and need.part = q.part))),
+ok as (select st.item_id, st.alt, doc_id from st join need using (item_id, alt, part) join wanted using (item_id, alt) group by all having count(distinct part) filter (not neg) = any_value(n_parts) and not bool_or(neg)),
+o as (select st.* from st join ok using (item_id, alt, doc_id)),
+c as (select o.item_id, o.alt, o.doc_id, o.start as last, p.part, max(p.start) as latest from o join o p on o.item_id = p.item_id and o.alt = p.alt and o.doc_id = p.doc_id and p.start <= o.start group by all),
+cov as (select item_id, alt, doc_id, last, min(latest) as first from c join wanted using (item_id, alt) group by item_id, alt, doc_id, last having count(*) = any_value(n_parts)),
+short as (select item_id, alt, doc_id, first, min(last) as last from cov group by all),
+s as (select item_id, alt, doc_id, round(sum(1.0::double / (last - first + 1)), 6) as score from short group by all),
+h as (select item_id, doc_id, max(score) as score from s group by all)"""
+
+
+@query(f"""{_INDEX} select item_id, doc_id, score, place from (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from h) where place <= 10""")
+def fts_phrases(spark, sf_dir):
+    """The ten best documents of each benchmark item's query: a phrase and a word, a word without another or a phrase, a word or two others."""
+    return search.page(_found(spark, sf_dir), "item_id", "doc_id", 10)
+
+
+@query(f"""{_INDEX}, p as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from h) select item_id, doc_id, score, place - 10 as place from p where place between 11 and 20""")
+def fts_next_page(spark, sf_dir):
+    """The next ten, by what the first page ended with."""
+    found = _found(spark, sf_dir)
+    ended = search.page(found, "item_id", "doc_id", 10).where("place = 10")
+    return search.page(found.join(ended.select("item_id"), "item_id", "left_semi"), "item_id", "doc_id", 10, ended)
+
+
+def _found(spark, sf_dir):
+    word = lambda i: F.get(F.regexp_extract_all("text", F.lit(r"(?i)[a-z0-9']+"), F.lit(0)), F.lit(i))
+    k = F.col("item_id") % 3
+    said = (
+        F.when(k == 0, F.format_string('"%s %s" %s', word(0), word(1), word(4)))
+        .when(k == 1, F.format_string('%s -%s or "%s, %s %s"', word(0), word(1), word(2), word(3), word(4)))
+        .otherwise(F.format_string("%s OR %s %s", word(0), word(1), word(2)))
+    )
+    parts = search.asked(T(spark, sf_dir, "benchmark").select("item_id", said.alias("q")), "item_id", "q", STOP)
+    index = search.positions(T(spark, sf_dir, "documents"), "doc_id", "text", STOP)
+    return search.hits(search.matches(parts, index, "item_id", "doc_id"), "item_id", "doc_id").select("item_id", "doc_id", "score")
+
+
 @query("""with d(bucket) as (values ('for'), ('against'), ('abstain'), ('other')), o as (select o_custkey % 50 as vote, case o_orderstatus when 'F' then 'for' when 'O' then 'against' else case when o_orderkey % 2 = 0 then 'abstain' else 'other' end end as bucket from orders),
 c as (select vote, bucket, count(*) as n from o group by 1, 2), v as (select distinct vote from o)
 select v.vote, d.bucket, coalesce(n, 0) as n from v cross join d left join c on c.vote = v.vote and c.bucket = d.bucket where n > 0 or d.bucket in ('for', 'against')""")
