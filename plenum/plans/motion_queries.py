@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plenum.operators import reconcile as R
 from plenum.plans import views as V
 from plenum.plans.registry import registry
 from plenum.sources import motions as M
@@ -69,3 +70,51 @@ select l_orderkey, '7:01pm' as wallclock, 'Resolution 2026-' || (l_orderkey % 10
 from e join done using (l_orderkey) group by l_orderkey, n""")
 def minutes_dispositions(spark, sf_dir):
     return _order(M.dispositions(_minutes(spark, sf_dir))).select("l_orderkey", "wallclock", "legislation_ref", "n_motions", "disposition", "decided_by", "dropped")
+
+
+#: Agendas of the orders, some without an item, with another kind of act, or with a number that is not theirs; and the speakers of each document.
+_AGENDA = """g as (select o_orderkey // 64 as doc, o_orderkey as item_id, case when o_custkey % 5 = 0 then 'Ordinance' else 'Resolution' end as act, '2026-' || ((o_orderkey - (o_custkey % 11 = 0)::int) % 1000)::varchar as num from orders where o_custkey % 7 > 0),
+gr as (select doc, act, num, count(*) as n, min(item_id) as id from g group by all), gn as (select doc, num, count(*) as n, min(item_id) as id from g group by all),
+i as (select distinct l_orderkey // 64 as doc, l_orderkey, '2026-' || (l_orderkey % 1000)::varchar as num from lineitem), ni as (select doc, num, count(*) as times from i group by all),
+match as (
+  select i.doc, i.l_orderkey, case when gr.n = 1 then gr.id when gr.n is null and gn.n = 1 and times = 1 then gn.id end as item_id,
+    case when gr.n = 1 then 'exact' when gr.n > 1 then 'duplicate' when gn.n = 1 and times = 1 then 'number' when gn.n is not null then 'ambiguous' else 'none' end as matched_by
+  from i join ni using (doc, num) left join gr on gr.doc = i.doc and gr.num = i.num and act = 'Resolution' left join gn on gn.doc = i.doc and gn.num = i.num)"""
+
+
+def _agenda(spark, sf_dir):
+    o, k = V.table(spark, sf_dir, "orders").where("o_custkey % 7 > 0"), F.col("o_orderkey")
+    number = ((k - F.when(F.col("o_custkey") % 11 == 0, 1).otherwise(0)) % 1000).cast("string")
+    act = F.when(F.col("o_custkey") % 5 == 0, "Ordinance 2026-").otherwise("Resolution 2026-")
+    return o.select(F.floor(k / 64).alias("doc"), k.alias("item_id"), F.concat(act, number).alias("legislation_ref"), F.when(k % 2 == 0, "passed").alias("outcome"))
+
+
+def _speakers(spark, sf_dir):
+    """Zoe Ann and Bo in every document, Al Bo in each third."""
+    who = F.explode(F.array(*[F.struct(F.lit(i).alias("speaker_id"), F.lit(n).alias("display_name")) for i, n in enumerate(["Zoe Ann", "Bo", "Al Bo"], 1)])).alias("s")
+    docs = V.table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 64).alias("doc")).distinct()
+    return docs.select("doc", who).select("doc", "s.*").where("speaker_id < 3 or doc % 3 = 0")
+
+
+@query(f"""with {_FOLD}, {_AGENDA}, e as (select l_orderkey, k, case when kind = 'adopt' and tag = 'FAILED' then 'failed' when carried then case kind when 'adopt' then 'passed' when 'continue' then 'continued' when 'pull' then 'pulled' end end as how from m),
+x as (select l_orderkey, arg_max(how, k) filter (how is not null) as outcome from e group by 1)
+select doc, l_orderkey, item_id, matched_by, case when item_id is not null then outcome end as outcome, case when item_id % 2 = 0 and outcome is not null then 'passed' end as was from match join x using (l_orderkey)""")
+def minutes_matches(spark, sf_dir):
+    """The agenda item of each order in the minutes, and the outcome it gets."""
+    ended = M.dispositions(_minutes(spark, sf_dir))
+    agenda = _agenda(spark, sf_dir)
+    matched = R.match_items(ended, agenda, "doc")
+    updates = R.outcome_updates(ended, matched, agenda, "doc")
+    return _order(matched.join(updates, ["doc", "item_id"], "left")).select("doc", "l_orderkey", "item_id", "matched_by", "outcome", "was")
+
+
+@query(f"""with {_FOLD}, {_AGENDA} select doc, l_orderkey, k as motion, case when carried then case kind when 'continue' then 'Continued ' when 'pull' then 'Pulled ' else 'Passed ' end when tag = 'FAILED' or ayes < nays then 'Failed ' else '' end || ayes::varchar || '–' || nays::varchar as result, item_id,
+  case when named = 0 then 0 when doc % 3 = 0 then 1 else 2 end as n_records, case when named = 2 and doc % 3 = 0 then 1 else 0 end::bigint as skipped
+from m join match using (l_orderkey) where kind <> 'procedural' and ayes is not null""")
+def minutes_votes(spark, sf_dir):
+    """The votes to write, with the records of the members whom one speaker's name stands for."""
+    told = M.parsed(_minutes(spark, sf_dir))
+    items = M.dispositions_of(told)
+    matched = R.match_items(items, _agenda(spark, sf_dir), "doc")
+    votes = R.planned_votes(M.motions_of(told), matched, _speakers(spark, sf_dir), "doc").join(items.select("doc", "position", "item_number"), ["doc", "position"])
+    return _order(votes).select("doc", "l_orderkey", "motion", "result", "item_id", F.size("records").alias("n_records"), "skipped")

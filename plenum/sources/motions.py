@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plenum.functions.graph import settle
 from plenum.sources.minutes import legislation_ref
 
 # Fixed values of the printed format.
@@ -161,12 +162,26 @@ def _carried(r: Column) -> Column:
     return r.isNotNull() & F.coalesce(r["tag"] != "FAILED", F.lit(True)) & (r["ayes"] > r["nays"])
 
 
+def parsed(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
+    """Items with their motions, results and who took which, settled: motions_of() and dispositions_of() read it as often as they like."""
+    return settle(_voted(_described(items(docs, key, text))))
+
+
 def motions(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
+    """motions_of() texts of minutes."""
+    return motions_of(parsed(docs, key, text), key)
+
+
+def dispositions(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
+    """dispositions_of() texts of minutes."""
+    return dispositions_of(parsed(docs, key, text), key)
+
+
+def motions_of(told: DataFrame, key: str = "doc") -> DataFrame:
     """One row per motion: key, position (of the item), legislation_ref, motion (from 1), mover, seconder, kind, votes, names, tag, carried, continued_to.
 
     A motion without a recorded vote has null counts and isn't carried. Names that don't agree with their count are dropped, the count stays.
     """
-    told = _voted(_described(items(docs, key, text)))
     each = told.select("*", F.posexplode("motions").alias("i", "m"))
     r = F.get("results", (F.array_position("settled", F.col("i")) - 1).cast("int"))
     votes = [r[c].alias(c) for s in SIDES for c in (s, f"{s}_names")]
@@ -175,13 +190,12 @@ def motions(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     )
 
 
-def dispositions(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
+def dispositions_of(told: DataFrame, key: str = "doc") -> DataFrame:
     """One row per item: key, position, item_number, legislation_ref, wallclock, n_motions, disposition, decided_by (motion, from 1), dropped, unexplained.
 
     The last motion that decides: one to adopt that carried or is tagged FAILED, one to continue or withdraw that carried. dropped counts
     results that no motion could take, unexplained texts of roll calls that aren't results of the known form.
     """
-    told = _voted(_described(items(docs, key, text)))
     vote = lambda i: F.get("results", (F.array_position("settled", i) - 1).cast("int"))
 
     def end(m: Column, i: Column) -> Column:

@@ -2,6 +2,7 @@
 
 import random
 
+from plenum.operators import reconcile as R
 from plenum.sources import motions as M
 
 MINUTES = """Meeting of July 1
@@ -87,3 +88,26 @@ def test_results_against_plain_rules(spark):
             want[doc, i + 1] = (kind, by.index(i) + 1 if i in by else None)
     got = {(x["doc"], x["motion"]): (x["kind"], x["ayes"]) for x in M.motions(spark.createDataFrame(rows, "doc int, text string")).collect()}
     assert got == want
+
+
+def test_reconciliation(spark):
+    """Acts by reference, by number, shared or missing; speakers by the ends of their names; results, outcomes and drift."""
+    docs = spark.createDataFrame([(1, MINUTES)], "doc int, text string")
+    agenda = spark.createDataFrame(
+        [(1, 10, "Ordinance 2026-13", "passed"), (1, 11, "Resolution 2026-14", None), (1, 12, "Resolution 2026-15", None), (1, 13, "Resolution 2026-15", None), (1, 14, None, None), (2, 15, "Ordinance 2026-13", None)],
+        "doc int, item_id int, legislation_ref string, outcome string",
+    )
+    ended, motions = M.dispositions(docs), M.motions(docs)
+    matched = R.match_items(ended, agenda, "doc")
+    assert [(r.legislation_ref, r.item_id, r.matched_by) for r in matched.orderBy("position").collect()] == [("Ordinance 2026-13", 10, "exact"), ("Appropriation Ordinance 2026-14", 11, "number"), ("Resolution 2026-15", None, "duplicate")]
+    others = spark.createDataFrame([(1, 1, "Resolution 2026-13"), (1, 2, "Resolution 2026-14"), (1, 3, "Ordinance 2026-14"), (1, 4, "Resolution 2026-99"), (1, 5, "Ordinance 2026-15")], "doc int, position int, legislation_ref string")
+    assert [r.matched_by for r in R.match_items(others, agenda, "doc").orderBy("position").collect()] == ["number", "exact", "ambiguous", "none", "ambiguous"]
+    assert sorted(map(tuple, R.outcome_updates(ended, matched, agenda, "doc").collect())) == [(1, 10, "failed", "passed"), (1, 11, "continued", None)]
+    speakers = spark.createDataFrame([(1, 1, "Ann A"), (1, 2, "b"), (1, 3, "Cy C"), (1, 4, "Di C"), (1, 5, "XD"), (1, 6, None), (1, 7, "Jo Ruff"), (2, 8, "E")], "doc int, speaker_id int, display_name string")
+    votes = R.planned_votes(motions, matched, speakers, "doc").orderBy("position", "motion").collect()
+    assert [(v.position, v.motion, v.result, v.item_id, [tuple(r) for r in v.records], v.skipped) for v in votes] == [
+        (1, 2, "Failed 2–7", 10, [], 0), (1, 3, "Passed 5–4", 10, [(1, "aye"), (2, "aye")], 3), (2, 1, "Continued 8–1", 11, [(7, "nay")], 0),
+    ]
+    planned = spark.createDataFrame([("r", 1), ("r", 1), ("s", 2)], "resolution string, result int")
+    stored = spark.createDataFrame([("r", 1), ("s", 2), ("t", 3)], "resolution string, result int")
+    assert sorted(map(tuple, R.vote_drift(planned, stored, ["resolution", "result"]).collect())) == [("r", 1, 1), ("t", 3, -1)]
