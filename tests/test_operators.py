@@ -12,6 +12,7 @@ from plenum.functions import text as X
 from plenum.functions.graph import components
 from plenum.functions.vectors import cosine
 from plenum.operators import gate, identity, intervals, scoring, search, sequential, sessions, upsert
+from plenum.operators.similar import alike
 
 TURN = "meeting int, segment_id long, label string, start_time double, end_time double"
 
@@ -198,7 +199,7 @@ def test_text_functions(spark):
     videos = ["https://youtu.be/ab_1?t=3", "http://m.youtube.com/watch?pp=1&v=ab_1", "https://music.youtube.com/live/ab_1/x", "https://youtube.com/v/ab_1"]
     assert {one(X.source_key(F.lit(v))) for v in videos} == {"youtube:ab_1"}
     assert [one(X.source_key(F.lit(v))) for v in (None, "  ", "/x/y.mp4", "https://youtube.com/about")] == ["", "", "file:/x/y.mp4", "url:youtube.com/about"]
-    assert one(X.ratio(F.lit("Smith"), F.lit("smyth"))) == pytest.approx(0.8)
+    assert one(alike(F.lit("Smith"), F.lit("smyth"))) == pytest.approx(0.8)
     assert one(search.highlight(F.lit("A (b) a"), F.lit("a"))) == "[[[A]]] (b) [[[a]]]"
     assert one(X.strip_html(F.lit("<nav>x</nav><p>a&amp;b</p><!-- c --> d"))) == "a&b d"
 
