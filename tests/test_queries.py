@@ -51,4 +51,5 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
 def test_query_without_statement_runs(spark, name):
-    assert catalogue.QUERIES[name](spark, SF).count() >= 0
+    rows = catalogue.QUERIES[name](spark, SF).collect()
+    assert rows and not any(all(v is None for v in r) for r in rows)
