@@ -7,6 +7,7 @@ motions: each takes the motion that the rules give it, and a motion that has its
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,9 +47,17 @@ def _says(text: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, parts)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once however often use needs it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def kind_of(clause: Column, result: bool = False) -> Column:
     """What a motion's clause, or a result's description, is about; `unknown` where no phrase tells."""
-    text = F.lower(clause)
+    return _once(F.lower(clause), lambda text: _kind(text, result))
+
+
+def _kind(text: Column, result: bool) -> Column:
     out = reduce(lambda c, kv: c.when(_says(text, kv[1]), kv[0]), list(KINDS.items())[1:], F.when(_says(text, KINDS["procedural"]), "procedural"))
     for kind, phrases in RESULT_KINDS.items() if result else ():
         out = out.when(_says(text, phrases), kind)
@@ -95,12 +104,16 @@ def _result(said: Column, owner: Column) -> Column:
     """A result out of what follows `The motion`; null if it is none."""
     side = lambda name: rf"{name}:\s*(\d+)\s*(?:\(([^)]*)\))?\s*[;,.]?\s*"
     whole = rf"(?is)^([^.]*?)\s*{VOTED.replace(' ', chr(92) + 's+')}(?:\s+of|:)?\s*{''.join(side(s) for s in SIDES)}({'|'.join(TAGS)})?"
-    part = lambda i: F.regexp_extract(said, whole, i)
-    count = lambda i: part(i).try_cast("int")
-    desc = F.trim(part(1))
-    votes = {x: y for i, s in enumerate(SIDES) for x, y in ((s, count(2 + 2 * i)), (f"{s}_names", _names(part(3 + 2 * i), count(2 + 2 * i))))}
-    fields = [owner.alias("owner"), F.when(desc != "", kind_of(desc, True)).alias("kind"), *[v.alias(k) for k, v in votes.items()], F.nullif(F.upper(part(8)), F.lit("")).alias("tag")]
-    return F.when(said.rlike(whole), F.struct(*fields))
+
+    def read(parts: Column) -> Column:
+        part = lambda i: F.get(parts, F.lit(i - 1))
+        count = lambda i: part(i).try_cast("int")
+        desc = F.trim(part(1))
+        votes = {x: y for i, s in enumerate(SIDES) for x, y in ((s, count(2 + 2 * i)), (f"{s}_names", _names(part(3 + 2 * i), count(2 + 2 * i))))}
+        fields = [owner.alias("owner"), F.when(desc != "", kind_of(desc, True)).alias("kind"), *[v.alias(k) for k, v in votes.items()], F.nullif(F.upper(part(8)), F.lit("")).alias("tag")]
+        return F.struct(*fields)
+
+    return F.when(said.rlike(whole), _once(F.array(*[F.regexp_extract(said, whole, i) for i in range(1, 9)]), read))
 
 
 def _owner(motions: Column, free: Column, r: Column) -> Column:
@@ -141,7 +154,9 @@ def _described(found: DataFrame) -> DataFrame:
     blocks = F.slice(F.split(marked, "\u0001"), 2, 1 << 20)
 
     def motion(block: Column) -> Column:
-        clause = F.regexp_replace(F.substring_index(block, RESULT, 1), rf"^{_MOVED}", "")
+        return _once(F.regexp_replace(F.substring_index(block, RESULT, 1), rf"^{_MOVED}", ""), lambda clause: described(block, clause))
+
+    def described(block: Column, clause: Column) -> Column:
         date = F.regexp_extract(clause, rf"\b(?:{'|'.join(DATE_SIGNS)})\b.*?\b(\p{{Lu}}[a-z]+ \d{{1,2}}, \d{{4}})", 1)
         kind = kind_of(clause)
         return F.struct(
