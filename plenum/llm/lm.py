@@ -1,8 +1,9 @@
 """Stupid-backoff scores of documents under the n-gram counts of the whole corpus.
 
-A word w after u, v scores c(uvw) / c(uv) if uvw occurs at least min_count times, else `alpha` times what it scores after v alone; a word
-by itself scores its share of all words. Every occurrence counts, the document's own too; n_once says of how many words the longest
-n-gram is attested by itself alone, which a reader who wants other documents' evidence only would discount.
+A document is scored by the evidence of the others: c is an n-gram's count in the whole corpus less its count in the document itself
+(a copy of the document is another one). A word w after u, v scores c(uvw) / c(uv) if c(uvw) is at least min_count, else `alpha` times
+what it scores after v alone; a word by itself scores its share of the others' words, where one that no other document holds counts
+as if it occurred once.
 
 The counts are tables partitioned by the n-grams' hashes. So that exploded n-grams cost little to move, they are summed
 up and packed by chunks of documents first; a chunk's n-grams are joined to the tables by hash, the totals return to the
@@ -67,8 +68,8 @@ def _parts(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT) -> DataFrame:
-    """One row per document: doc_id, n_words, n_backoff (words that fell back at least once), n_once (words whose longest
-    n-gram occurs nowhere else in the corpus), log_score (natural, 4 places), mean_log.
+    """One row per document: doc_id, n_words, n_backoff (words whose longest n-gram the other documents hold fewer than min_count
+    times), n_once (words whose longest n-gram occurs nowhere else, this document included), log_score (natural, 4 places), mean_log.
 
     Words are runs of other than ASCII white space, as they are. A null or empty text has no words, log_score 0
     and mean_log null. Null ids and repeated rows stay, and all count; texts are read whole; other columns are ignored; an
@@ -117,18 +118,21 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         if not len(got):  # no words in the chunk, and no columns in the frame
             got = pd.DataFrame({"n": [], "part": [], "counts": []})
         got = got.sort_values(["n", "part"])
-        seen = []
+        doc = np.repeat(np.arange(len(pdf)), size)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+        seen, alone = [], np.zeros(len(doc), bool)
         for n, x in enumerate(found, 1):
-            keys, at = np.unique(x[x > 0], return_inverse=True)
+            there = x > 0
+            keys, at = np.unique(x[there], return_inverse=True)
             own = got.loc[got["n"] == n, "counts"]
             c = np.concatenate([unpack(b) for b in own]).astype(np.float64) if len(own) else np.zeros(0)
+            # less what the document itself holds of them
+            _, which, held = np.unique(doc[there] * max(len(keys), 1) + at, return_inverse=True, return_counts=True)
             full = np.zeros(len(x))
-            full[x > 0] = c[at]
+            full[there] = c[at] - held[which]
             seen.append(full)
-        doc = np.repeat(np.arange(len(pdf)), size)
-        place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
-        value = np.log(np.maximum(seen[0], 1) / max(words, 1))
-        alone = seen[0] == 1
+            alone[there] = c[at] == 1
+        value = np.log(np.maximum(seen[0], 1) / np.maximum(words - size[doc], 1))
         back = np.zeros(len(doc), np.int64)  # words that fell back below the longest history there is
         for n in range(2, order + 1):
             context = np.concatenate([[1.0], seen[n - 2][:-1]])[: len(doc)]
@@ -136,7 +140,6 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
             known = there & (seen[n - 1] >= min_count)
             value = np.where(known, np.log(np.maximum(seen[n - 1], 1) / np.maximum(context, 1)), np.where(there, value + np.log(alpha), value))
             back = np.where(there, ~known, back)
-            alone = np.where(there, seen[n - 1] == 1, alone)
         return pd.DataFrame(
             {
                 "doc_id": pdf["doc_id"],

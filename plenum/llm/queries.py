@@ -124,20 +124,25 @@ OP9_SQL = r"""
 with d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws from documents),
 t as (select r, unnest(generate_series(1, len(ws))) as i, unnest(ws) as w from d),
 g as (select r, i, w, lag(w) over (partition by r order by i) as v, lag(w, 2) over (partition by r order by i) as u from t),
-c1 as (select w, count(*) as c from t group by w),
-c2 as (select v, w, count(*) as c from g where i > 1 group by v, w),
-c3 as (select u, v, w, count(*) as c from g where i > 2 group by u, v, w),
+-- each document's own counts, and the totals over all documents less these
+o1 as (select r, w, count(*) as own from t group by r, w),
+o2 as (select r, v, w, count(*) as own from g where i > 1 group by r, v, w),
+o3 as (select r, u, v, w, count(*) as own from g where i > 2 group by r, u, v, w),
+c1 as (select *, sum(own) over (partition by w) as total, total - own as c from o1),
+c2 as (select *, sum(own) over (partition by v, w) as total, total - own as c from o2),
+c3 as (select *, sum(own) over (partition by u, v, w) as total, total - own as c from o3),
 s as (
-  select g.r, g.i,
-    case when i > 2 and c3.c >= 1 then ln(c3.c / uv.c) when i > 2 then ln(0.4) + case when c2.c >= 1 then ln(c2.c / cv.c) else ln(0.4) + ln(c1.c / n.n) end
-      when i = 2 then case when c2.c >= 1 then ln(c2.c / cv.c) else ln(0.4) + ln(c1.c / n.n) end
-      else ln(c1.c / n.n) end as value,
+  select g.r, g.i, ln(greatest(c1.c, 1) / greatest(n.n - d.n, 1)) as one,
+    case when i > 1 then case when c2.c >= 1 then ln(c2.c / cv.c) else ln(0.4) + one end end as two,
+    case when i > 2 then case when c3.c >= 1 then ln(c3.c / uv.c) else ln(0.4) + two end end as three,
     case when i > 2 then (c3.c < 1)::int when i = 2 then (c2.c < 1)::int else 0 end as back,
-    (case when i > 2 then c3.c when i = 2 then c2.c else c1.c end = 1)::int as once
-  from g cross join (select count(*) as n from t) n join c1 on g.w = c1.w left join c1 cv on g.v = cv.w left join c2 on g.v = c2.v and g.w = c2.w
-    left join c2 uv on g.u = uv.v and g.v = uv.w left join c3 on g.u = c3.u and g.v = c3.v and g.w = c3.w)
-select doc_id, len(ws)::bigint as n_words, coalesce(sum(back), 0)::bigint as n_backoff, coalesce(sum(once), 0)::bigint as n_once, round(coalesce(sum(value), 0), 4) as log_score,
-  case when len(ws) > 0 then round(sum(value) / len(ws), 4) end as mean_log
+    (case when i > 2 then c3.total when i = 2 then c2.total else c1.total end = 1)::int as once
+  from g cross join (select count(*) as n from t) n join (select r, len(ws) as n from d) d on g.r = d.r
+    join c1 on g.r = c1.r and g.w = c1.w left join c1 cv on g.r = cv.r and g.v = cv.w
+    left join c2 on g.r = c2.r and g.v = c2.v and g.w = c2.w left join c2 uv on g.r = uv.r and g.u = uv.v and g.v = uv.w
+    left join c3 on g.r = c3.r and g.u = c3.u and g.v = c3.v and g.w = c3.w)
+select doc_id, len(ws)::bigint as n_words, coalesce(sum(back), 0)::bigint as n_backoff, coalesce(sum(once), 0)::bigint as n_once,
+  round(coalesce(sum(coalesce(three, two, one)), 0), 4) as log_score, case when len(ws) > 0 then round(sum(coalesce(three, two, one)) / len(ws), 4) end as mean_log
 from d left join s on d.r = s.r group by d.r, doc_id, ws
 """
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out accuracy, and their edge cases."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -488,17 +489,21 @@ def test_backoff_is_brute_force(spark, least):
     c = [collections.Counter(tuple(w[i : i + n]) for w in ws for i in range(len(w) - n + 1)) for n in (1, 2, 3)]
     total = sum(c[0].values())
 
-    def value(w, i, n):
-        if n == 1:
-            return math.log(c[0][w[i],] / total), 0
-        g = tuple(w[i - n + 1 : i + 1])
-        if c[n - 1][g] >= least:
-            return math.log(c[n - 1][g] / c[n - 2][g[:-1]]), 0
-        return math.log(0.4) + value(w, i, n - 1)[0], 1
+    def others(w, g):
+        return c[len(g) - 1][g] - sum(tuple(w[i : i + len(g)]) == g for i in range(len(w)))
+
+    @functools.cache
+    def after(w, g):
+        """What the last word of g scores in the text w, and whether it falls back."""
+        if len(g) == 1:
+            return math.log(max(others(w, g), 1) / max(total - len(w), 1)), 0
+        if others(w, g) >= least:
+            return math.log(others(w, g) / others(w, g[:-1])), 0
+        return math.log(0.4) + after(w, g[1:])[0], 1
 
     got = lm.score(docs(spark, texts).withColumn("chunk", F.lit(1)), min_count=least).orderBy("doc_id").collect()
     for w, g in zip(ws, got):
-        each = [value(w, i, min(i + 1, 3)) for i in range(len(w))]
+        each = [after(tuple(w), tuple(w[max(i - 2, 0) : i + 1])) for i in range(len(w))]
         assert (g.n_words, g.n_backoff) == (len(w), sum(b for _, b in each))
         assert g.n_once == sum(c[min(i, 2)][tuple(w[max(i - 2, 0) : i + 1])] == 1 for i in range(len(w)))
         assert g.log_score == pytest.approx(sum(v for v, _ in each), abs=1e-3)
@@ -510,6 +515,7 @@ def test_backoff_is_brute_force(spark, least):
 def test_backoff_parts_do_not_matter(spark, monkeypatch):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     whole = sorted(map(tuple, lm.score(d).collect()))
+    assert 0 < sum(x[2] for x in whole) < sum(x[1] for x in whole)
     monkeypatch.setattr(lm, "CHUNK_CHARS", 40_000)
     monkeypatch.setattr(lm, "PART_GRAMS", 9_000)
     for a, b in zip(whole, sorted(map(tuple, lm.score(d).collect()))):
