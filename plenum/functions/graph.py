@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Frames that settle() wrote inside the innermost passing().
+_PASSING: ContextVar[list[DataFrame] | None] = ContextVar("passing", default=None)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all machines share, spark.checkpoint.dir; a folder of our own only where none is set and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +32,30 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/plenum-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    if (noted := _PASSING.get()) is not None:
+        noted.append(done)
+    return done
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A step of a longer job: what settle() writes inside is deleted at its end, but for frames that were given to the yielded function."""
+    noted: list[DataFrame] = []
+    kept: set[int] = set()
+
+    def keep(settled: DataFrame) -> DataFrame:
+        kept.add(id(settled))
+        return settled
+
+    before = _PASSING.set(noted)
+    try:
+        yield keep
+    finally:
+        _PASSING.reset(before)
+        for done in noted:
+            if id(done) not in kept:
+                forget(done)
 
 
 def forget(settled: DataFrame) -> None:

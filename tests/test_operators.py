@@ -233,3 +233,17 @@ def test_components_of_a_chain(spark):
     nodes = spark.range(43).withColumnRenamed("id", "n")
     got = {r.node: r.component for r in components(nodes, edges, "n", "a", "b").collect()}
     assert got == {i: 0 for i in range(41)} | {41: 41, 42: 42}
+
+
+def test_what_a_step_settles_goes_with_it(spark):
+    from plenum.functions.graph import forget, passing, settle
+
+    with passing() as keep:
+        a = settle(spark.range(5))
+        b = keep(settle(a.where("id > 1")))
+    where = spark._jvm.org.apache.hadoop.fs.Path
+    there = [where(f).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where(f)) for d in (a, b) for f in d.inputFiles()[:1]]
+    assert there == [False, True] and sorted(r.id for r in b.collect()) == [2, 3, 4]
+    outside = settle(spark.range(2))
+    assert outside.count() == 2
+    forget(outside)
