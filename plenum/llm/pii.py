@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm.common import forget, settle
+from plenum.llm.common import forget, fresh, settle
 
 #: Attempts in the space of an entity's own shape, and, for addresses, in the wider one of its class; later ones draw from spaces that grow.
 NARROW, CLASS = 4, 8
@@ -155,20 +155,23 @@ def _names(text: str, free) -> list[tuple[int, int, str, str]]:
     A part, also with a title that doesn't tell another gender, is a mention of the one full name in the text that has it.
     """
     told: list[tuple[int, int, str]] = []  # start, end, gender
+    taken = bytearray(len(text))  # places in a name
     for m in _NAME.finditer(text):
         a = m.start("v")
         said = _cut(m["v"])
         if said and free(a, a + len(said)):
             parts = _parts(said)
             told.append((a, a + len(said), _GENDER[m["t"]] or (_BY_FIRST.get(parts[0], "") if len(parts) > 1 else "")))
+            taken[a : a + len(said)] = b"\1" * len(said)
     if not _BY_FIRST.keys().isdisjoint(_WORD.findall(text)):
         held = {a for a, _, _ in told}
         for m in _WORD.finditer(text):
             rest = m[0] in _BY_FIRST and m.start() not in held and not re.match(r"\w", text[m.start() - 1 : m.start()]) and _LAST.match(text, m.end())
             if rest:
-                said = _cut(text[m.start() : rest.end()], _NOT_LAST)
-                if len(said) > len(m[0]) and free(m.start(), m.start() + len(said)) and not any(x < m.start() + len(said) and m.start() < y for x, y, _ in told):
-                    told.append((m.start(), m.start() + len(said), _BY_FIRST[m[0]]))
+                a, said = m.start(), _cut(text[m.start() : rest.end()], _NOT_LAST)
+                if len(said) > len(m[0]) and free(a, a + len(said)) and taken.find(1, a, a + len(said)) < 0:
+                    told.append((a, a + len(said), _BY_FIRST[m[0]]))
+                    taken[a : a + len(said)] = b"\1" * len(said)
     if not told:
         return []
     genders: dict[str, set[str]] = {}
@@ -177,7 +180,7 @@ def _names(text: str, free) -> list[tuple[int, int, str, str]]:
     one = lambda key: next(iter(genders[key])) if len(genders[key]) == 1 else ""
     owners: dict[str, set[str]] = {}
     for key in genders:
-        parts = _parts(key)
+        parts = key.split(" ")  # a hyphenated name is one part: Smith is not Smith-Jones
         for part in {parts[0], parts[-1]} if len(parts) > 1 else ():
             owners.setdefault(part, set()).add(key)
 
@@ -191,10 +194,8 @@ def _names(text: str, free) -> list[tuple[int, int, str, str]]:
         return f"name-{_script(said)}-{(one(key) if key in genders else gender) or 'n'}", key
 
     out = [(a, b, *entity(text[a:b], g)) for a, b, g in told]
-    taken = bytearray(len(text))
     starts: dict[str, set[str]] = {}
     for a, b, _ in told:
-        taken[a:b] = b"\1" * (b - a)
         said = text[a:b]
         words = [m[0] for m in _WORD.finditer(said)]
         for form in {said, words[0], words[-1]}:
@@ -352,8 +353,8 @@ def render(kind: str, said: str, new: str, key: str | None = None) -> str:
             return "".join(c.upper() if o.isupper() else c for o, c in zip(said, new))
         return new
     if kind.startswith("name-"):
-        if key is not None and _key(said) != key and _key(said) in _parts(key):
-            new = _parts(new)[_parts(key).index(_key(said))]
+        if key is not None and _key(said) != key and _key(said) in key.split(" "):
+            new = new.split(" ")[key.split(" ").index(_key(said))]
         new = re.sub(r"(?<=\w)σ(?!\w)", "ς", new)  # lost where case is folded
         if said.isupper() and said != said.lower() and len(said) > 1:
             return new.upper()
@@ -421,13 +422,13 @@ def pseudonymise(docs: DataFrame, secret: str | None = None) -> DataFrame:
     the same; all other columns stay, whatever their names (a column n_entities is replaced). An empty table stays empty.
     Only texts with mentions are moved: their mentions are joined to the surrogates and gathered by row.
     """
-    found, row = "__mentions", "__row"
+    found, row, theirs = fresh(docs, "mentions"), fresh(docs, "row"), fresh(docs, "swaps")
     columns = [c for c in docs.columns if c != "n_entities"]
     told = with_mentions(docs.select(*[F.col(f"`{c}`") for c in columns]), found)
     some = settle(told.where(F.size(found) > 0).withColumn(row, F.monotonically_increasing_id()))
     each = some.select(row, F.explode(found).alias("m")).select(row, "m.*")
     new = assign(each, secret or secret_of(docs.sparkSession))
-    swaps = each.join(new, ["kind", "key"]).groupBy(row).agg(F.array_sort(F.collect_list(F.struct("a", "b", "kind", "new", "key"))).alias("swaps"))
+    swaps = each.join(new, ["kind", "key"]).groupBy(row).agg(F.array_sort(F.collect_list(F.struct("a", "b", "kind", "new", "key"))).alias(theirs))
 
     @F.pandas_udf("string")
     def replaced(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -442,6 +443,6 @@ def pseudonymise(docs: DataFrame, secret: str | None = None) -> DataFrame:
             yield pd.Series(done, dtype=object)
 
     here = [F.col(f"`{c}`") for c in columns]
-    done = some.join(swaps, row).withColumn("text", replaced(F.col("text").cast("string"), F.col("swaps"))).select(*here, F.size(found).cast("long").alias("n_entities"))
+    done = some.join(swaps, row).withColumn("text", replaced(F.col("text").cast("string"), F.col(theirs))).select(*here, F.size(found).cast("long").alias("n_entities"))
     plain = told.where(F.col(found).isNull() | (F.size(found) == 0)).select(*here, F.lit(0).cast("long").alias("n_entities"))
     return plain.unionByName(done)

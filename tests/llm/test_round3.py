@@ -1,14 +1,17 @@
 """Hard negatives, repeated passages and source divergence against brute force."""
 
 import hashlib
+import os
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from plenum.llm import divergence, negatives, repeats
+from plenum.functions.graph import scratch_dir
+from plenum.llm import divergence, negatives, pii, repeats
 
 # repeated passages
 
@@ -197,3 +200,40 @@ def test_audit_against_brute_force(spark, monkeypatch):
 
 def test_audit_of_nothing(spark):
     assert divergence.audit(spark.createDataFrame([], "text string, lang string, source string")).count() == 0
+
+
+def test_names_in_linear_time_and_apart():
+    found = pii.find("Dr. Smith and Dr. Smith-Jones met Smith")
+    assert len({x[3] for x in found}) == 2 and found[0][3] == found[-1][3]
+    text = " ".join(f"Dr. {a}{b}son saw Maria {b.upper()}{a.lower()}ez." for a in "BCDFGHKLMN" for b in "aeiou") + " "
+    began = time.process_time()
+    assert len(pii.find(text * 80)) >= 8_000
+    assert time.process_time() - began < 2
+
+
+def test_surrogates_leave_columns_of_any_name(spark):
+    d = spark.createDataFrame([(1, "Dr. Smith wrote", 7, 8, 9), (2, None, 1, 2, 3)], "doc_id long, text string, `Row` int, mentions int, swaps int")
+    got = {r.doc_id: r for r in pii.pseudonymise(d).collect()}
+    assert (got[1].Row, got[1].mentions, got[1].swaps, got[1].n_entities) == (7, 8, 9, 1) and "Smith" not in got[1].text
+    assert (got[2].Row, got[2].mentions, got[2].swaps, got[2].text) == (1, 2, 3, None)
+
+
+def test_stages_take_columns_of_any_name_and_empty_tables(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    d = spark.createDataFrame([(1, "one two three", 7, 8), (None, None, 1, 2), (1, "one two three", 7, 8)], "doc_id long, text string, ROW int, coded int")
+    for held, left in ((d, 2), (d.limit(0), 0)):
+        for _, stage in corpus_pipeline.STAGES:
+            held = corpus_pipeline.settle(stage(spark, held, sf))
+            assert held.columns[:4] == ["doc_id", "text", "ROW", "coded"]
+            assert all((r.ROW, r.coded) in ((7, 8), (1, 2)) for r in held.collect())
+        assert held.count() == left
+
+
+def test_pipeline_leaves_settings_and_no_scratch(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    before, folder = spark.conf.get(corpus_pipeline.BYTES), scratch_dir(spark).removeprefix("file://")
+    there = set(os.listdir(folder))
+    done = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert spark.conf.get(corpus_pipeline.BYTES) == before and done.count() > 0
+    assert len({f for f in os.listdir(folder) if f.startswith("plenum-")} - there) == 1
