@@ -1,7 +1,10 @@
 """A training corpus from raw documents, in five stages over all that the stage before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each one's result to the shared scratch folder and reads
-it again as the next one's docs. All but the last return the columns of docs.
+it again as the next one's docs, and deletes it when that is written. All but the last return the columns of docs.
+
+Empty tables stay empty in every stage. Other columns may have any name but those that the last stage adds (ids, n_tokens, round_trip),
+which it replaces; repeated rows are near-duplicates of each other, so one of them stays.
 """
 
 from __future__ import annotations
@@ -10,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.llm import decontaminate, pieces, pii, simhash, toxicity
-from plenum.llm.common import settle, table
+from plenum.llm.common import forget, fresh, passing, settle, table
 from plenum.llm.queries import TOKENIZERS
 
+BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def lean(spark: SparkSession) -> None:
-    """Python workers get and give at most 8 MB of rows at a time: stages share their executors, and long texts would fill these."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    """Python workers get and give at most 8 MB of rows at a time: stages share their executors, and long texts would fill these.
+    The setting must hold until a stage's result is written, so run() resets it, not the stage."""
+    spark.conf.set(BYTES, "8m")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,27 +32,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(toxicity.probabilities(F.col("text"), chain)[chain.categories[-1]] < 0.5)
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """docs with a settled key of each row in `__row`: ids may be null or shared by different texts."""
-    return settle(docs.withColumn("__row", F.monotonically_increasing_id()))
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a settled key of each row, and the key's name: ids may be null or shared by different texts."""
+    row = fresh(docs, "row")
+    return settle(docs.withColumn(row, F.monotonically_increasing_id())), row
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest id (null ids last) of each group of linked fingerprints; each row is judged by its own text."""
     lean(spark)
-    rows = with_rows(docs)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    rows, row = with_rows(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     groups = simhash.near_duplicates(rows.select(key.alias("doc_id"), "text"))
-    first = groups.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias("__row"))
-    return rows.join(first, "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = groups.where(F.col("doc_id.row") == F.col("component_id.row")).select(F.col("doc_id.row").alias(row))
+    return rows.join(first, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the benchmark's windows don't contaminate; each row is judged by its own text."""
-    rows = with_rows(docs)
-    found = decontaminate.decontaminate(rows.select(F.col("__row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__row"))
-    return rows.join(bad, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, row = with_rows(docs)
+    found = decontaminate.decontaminate(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = found.where("contaminated").select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,9 +67,10 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids, the number of ids, and whether decoding gives the text back."""
     lean(spark)
     blob = pieces.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    coded = pieces.encode_checked(docs, blob, out="__coded", likely=False, remembered=24 << 20)
-    n = F.coalesce(F.size("__coded.ids"), F.lit(0)).cast("long")
-    return coded.withColumns({"ids": F.col("__coded.ids"), "n_tokens": n, "round_trip": F.col("__coded.round_trip")}).drop("__coded")
+    out = fresh(docs, "pieces_of_text")
+    coded = pieces.encode_checked(docs, blob, out=out, likely=False, remembered=24 << 20)
+    n = F.coalesce(F.size(f"{out}.ids"), F.lit(0)).cast("long")
+    return coded.withColumns({"ids": F.col(f"{out}.ids"), "n_tokens": n, "round_trip": F.col(f"{out}.round_trip")}).drop(out)
 
 
 STAGES = [
@@ -78,7 +86,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages' result over the whole documents. Settings are as before afterwards, and only the last result is left in the scratch folder."""
+    before = spark.conf.get(BYTES)
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+    try:
+        for _, stage in STAGES:
+            with passing() as keep:
+                done = keep(settle(stage(spark, docs, sf_dir)))
+            forget(docs)
+            docs = done
+    finally:
+        spark.conf.set(BYTES, before)
     return docs
