@@ -150,6 +150,12 @@ def fold(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), r"[^a-z0-9\s]", " "), r"\s+", " "))
 
 
+def unmarked(x: Column) -> Column:
+    """x without its accents, and without what is then not ASCII; ligatures and letters beyond U+024F count as not ASCII."""
+    bare = F.translate(x, "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
+    return F.regexp_replace(bare, r"[^\x00-\x7F]", "")
+
+
 def match_names(title: Column, description: Column, names: Column) -> Column:
     """The names of two words and more that stand whole in a title or description."""
     hay = F.concat(F.lit(" "), fold(title), F.lit(" "), fold(description), F.lit(" "))

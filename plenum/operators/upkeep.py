@@ -65,7 +65,8 @@ def fold_profiles(profiles: DataFrame, moves: DataFrame) -> DataFrame:
     """Profiles after moves (source, target, display_name): a source's records go to its target, which is made if there is none.
 
     profiles: profile, display_name, slug, meetings (array), segments. A target that is there keeps its name; its link is its own, else the
-    first of its sources in order that has one. One step: a target that moves itself takes along only what it had. Moves of unknown
+    first of its sources in order that has one. One step: a target that moves itself takes along only what it had
+    (roster.settle_moves follows chains first). Moves of unknown
     profiles and onto themselves do nothing; of several moves of a source the least target counts.
     """
     to = moves.where("source <> target").groupBy(F.col("source").alias("profile")).agg(F.min(F.struct("target", "display_name")).alias("__to"))
