@@ -39,16 +39,16 @@ def match_entries(pages: DataFrame, entries: DataFrame, address: str = "address"
     any slug. A slug is looked up once for all pages that share it: by its gram that the fewest entries of the show hold, then in the
     whole text of these entries, so no page meets all entries. Slugs shorter than a gram are looked up by grams of their own length.
     """
-    keyed = pages.withColumn("__key", address_key(F.col(address))).withColumn("__slug", slug(F.col(address)))
+    keyed = pages.select("show", F.struct("*").alias("page"), address_key(F.col(address)).alias("key"), slug(F.col(address)).alias("slug"))
     by_key = (
-        entries.select("show", "place", F.explode(F.array(address_key(F.col("link")), address_key(F.col("guid")))).alias("__key"))
-        .where("__key is not null")
-        .groupBy("show", "__key")
-        .agg(F.min("place").alias("__link"))
+        entries.select("show", "place", F.explode(F.array(address_key(F.col("link")), address_key(F.col("guid")))).alias("key"))
+        .where("key is not null")
+        .groupBy("show", "key")
+        .agg(F.min("place").alias("linked"))
     )
     # a key that no entry has can't be found by an equal join; only its slug goes on
-    exact = keyed.join(by_key, ["show", "__key"], "left")
-    slugs = exact.where("__link is null and __slug is not null").select("show", F.col("__slug").alias("slug")).distinct()
+    exact = keyed.join(by_key, ["show", "key"], "left")
+    slugs = exact.where("linked is null and slug is not null").select("show", "slug").distinct()
     text = F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in ("audio_url", "guid", "link")]))
     hay = entries.select("show", "place", text.alias("hay"))
     short = [r.n for r in slugs.where(F.length("slug") < GRAM).select(F.length("slug").alias("n")).distinct().collect()]  # at most GRAM - 1 rows
@@ -62,6 +62,6 @@ def match_entries(pages: DataFrame, entries: DataFrame, address: str = "address"
         .groupBy("show", "slug")
         .agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
     )
-    found = rare.join(held, ["show", "gram"]).where(F.contains("hay", F.col("slug"))).groupBy("show", F.col("slug").alias("__slug")).agg(F.min("place").alias("__held"))
-    tier = F.when(F.col("__link").isNotNull(), "link").when(F.col("__held").isNotNull(), "slug")
-    return exact.join(found, ["show", "__slug"], "left").select(*pages.columns, tier.alias("tier"), F.coalesce("__link", "__held").alias("place"))
+    found = rare.join(held, ["show", "gram"]).where(F.contains("hay", F.col("slug"))).groupBy("show", "slug").agg(F.min("place").alias("held"))
+    tier = F.when(F.col("linked").isNotNull(), "link").when(F.col("held").isNotNull(), "slug")
+    return exact.join(found, ["show", "slug"], "left").select("page.*", tier.alias("tier"), F.coalesce("linked", "held").alias("place"))

@@ -51,9 +51,10 @@ def poll_plan(listing: DataFrame, state: DataFrame, facts: DataFrame, key: str)
 
     listing and state: key and marker, one row a key; facts: rows by key, of which only whether there are any matters.
     """
-    there = facts.select(key).distinct().withColumn("__there", F.lit(True))
-    known = state.select(key, F.col("marker").alias("__known"))
-    posted = F.coalesce(F.col("marker"), F.lit("")) != ""
-    same = F.coalesce(F.col("marker") == F.col("__known"), F.lit(False))
-    action = F.when(~posted, "wait").when(~same, "run").when(F.col("__there").isNull(), "heal").otherwise("skip")
-    return listing.join(known, key, "left").join(there, key, "left").select(*listing.columns, action.alias("action"))
+    there = facts.select(F.col(key).alias("key")).distinct().withColumn("there", F.lit(True))
+    known = state.select(F.col(key).alias("key"), F.col("marker").alias("known"))
+    marker = F.col("row.marker")
+    same = F.coalesce(marker == F.col("known"), F.lit(False))
+    action = F.when(F.coalesce(marker, F.lit("")) == "", "wait").when(~same, "run").when(F.col("there").isNull(), "heal").otherwise("skip")
+    listed = listing.select(F.col(key).alias("key"), F.struct("*").alias("row"))
+    return listed.join(known, "key", "left").join(there, "key", "left").select("row.*", action.alias("action"))

@@ -49,7 +49,7 @@ def linked_data(html: Column) -> Column:
 
 
 def page_meta(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with meta: struct of date, title, outlet, image, description.
+    """pages with meta (in place of such a column): struct of date, title, outlet, image, description.
 
     The title is the first name of an episode block, else the first headline of an article block; the date the first ten characters of
     an article's. A block may have one kind or several. Null where a page says nothing; null html says nothing.
@@ -64,15 +64,16 @@ def page_meta(pages: DataFrame, html: str = "html") -> DataFrame:
             F.when(F.array_contains(kinds(o), ARTICLE) & (F.length(said(o, "$.datePublished")) >= 10), F.substring(said(o, "$.datePublished"), 1, 10)).alias("date"),
         ),
     )
-    first = lambda field: F.get(F.filter(F.transform("__told", lambda o: o[field]), lambda x: x.isNotNull()), 0)
+    first = lambda field: F.get(F.filter(F.transform("told", lambda o: o[field]), lambda x: x.isNotNull()), 0)
     meta = F.struct(
         first("date").alias("date"),
         F.coalesce(first("name"), first("headline")).alias("title"),
-        card(F.col(html), "site_name").alias("outlet"),
-        card(F.col(html), "image").alias("image"),
-        card(F.col(html), "description").alias("description"),
+        card(F.col("page")[html], "site_name").alias("outlet"),
+        card(F.col("page")[html], "image").alias("image"),
+        card(F.col("page")[html], "description").alias("description"),
     )
-    return pages.withColumn("__told", told).withColumn("meta", meta).drop("__told")
+    kept = [F.col("page")[c].alias(c) for c in pages.columns if c != "meta"]
+    return pages.select(F.struct("*").alias("page"), told.alias("told")).select(*kept, meta.alias("meta"))
 
 
 def episode_audio(html: Column, headline: Column, host: str) -> Column:

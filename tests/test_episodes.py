@@ -22,7 +22,7 @@ def test_matches_equal_a_plain_search(spark):
     pages = [(i, r.choice([0, 1, 2, 7]), r.choice([f"https://h.example.org/{word()}/", f"http://h.example.org/e/{word()}{word()}?a=b#c", f"{word()}"]), i) for i in range(200)]
     pages += [(900, None, "https://h.example.org/a", 0), (901, 0, None, 0), (902, 0, "  ", 0), (903, 0, "https://h.example.org/", 0), (904, 0, "https://h.example.org/12345", 0), (200, 1, pages[0][2], 0)]
     e = spark.createDataFrame(entries, ENTRY)
-    p = spark.createDataFrame(pages, "page int, show int, address string, gram int")
+    p = spark.createDataFrame(pages, "page int, show int, address string, slug int")
 
     def key(x):
         x = (x or "").strip()
@@ -63,7 +63,7 @@ def test_pages(spark):
         "<p>outside this article, long enough</p><article class=a><p>short</p><p class='x'>One  <b>two</b>&nbsp;three\nfour five six</p><p>Never closed but quite long enough<p>And here is the next one of them</article><p>outside, long enough to be kept</p>",
         "<body><p>A page without any article at all</p></body>",
     ]
-    d = spark.createDataFrame([(i, x, "own") for i, x in enumerate(rows)], "id int, html string, __other string")
+    d = spark.createDataFrame([(i, x, "own") for i, x in enumerate(rows)], "id int, html string, told string")
     got = {x.id: x for x in source.page_meta(d).withColumn("said", source.spoken_paragraphs(F.col("html"))).collect()}
     assert got[0].meta.title == "First" and got[0].meta.image == "a&lt;bA&#0;&nope;é" and got[0].meta.date is None
     assert got[1].meta.asDict() == {"date": "2024-05-06", "title": "Head", "outlet": None, "image": None, "description": "after"}
@@ -134,7 +134,7 @@ def test_stages(spark):
 
 
 def test_polls(spark):
-    listing = spark.createDataFrame([(1, "a", 0), (2, "a", 0), (3, "b", 0), (4, None, 0), (5, "", 0), (6, "a", 0)], "k int, marker string, __known int").drop("__known")
+    listing = spark.createDataFrame([(1, "a", 0), (2, "a", 0), (3, "b", 0), (4, None, 0), (5, "", 0), (6, "a", 0)], "k int, marker string, known int")
     state = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, None), (6, None)], "k int, marker string")
     facts = spark.createDataFrame([(1,), (1,), (3,)], "k int")
     got = {x.k: x.action for x in stages.poll_plan(listing, state, facts, "k").collect()}
