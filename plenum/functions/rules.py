@@ -38,7 +38,8 @@ def in_vocabulary(keys: Column, vocabulary: Column) -> Column:
 def distinct_ignoring_case(items: Column) -> Column:
     """The first of the items that differ in case only, in their order: sorted by lower case and place, and cut where that changes."""
     placed = F.array_sort(F.transform(items, lambda x, i: F.struct(F.lower(x).alias("low"), i.alias("i"), x.alias("x"))))
-    first = F.filter(placed, lambda p, i: (i == 0) | (p["low"] != F.get(placed, i - 1)["low"]))
+    # the sorted list is bound by a lambda, so that it is sorted once and not for each item
+    first = F.get(F.transform(F.array(placed), lambda ps: F.filter(ps, lambda p, i: (i == 0) | (p["low"] != F.get(ps, i - 1)["low"]))), F.lit(0))
     return F.transform(F.array_sort(F.transform(first, lambda p: F.struct(p["i"].alias("i"), p["x"].alias("x")))), lambda p: p["x"])
 
 
