@@ -180,12 +180,13 @@ def fts_next_page(spark, sf_dir):
 
 
 def _found(spark, sf_dir):
-    word = lambda i: F.get(F.regexp_extract_all("text", F.lit(r"(?i)[a-z0-9']+"), F.lit(0)), F.lit(i))
+    # a text's own `or` is a word like others, so words are quoted
+    word = lambda i: F.coalesce(F.get(F.regexp_extract_all("text", F.lit(r"(?i)[a-z0-9']+"), F.lit(0)), F.lit(i)), F.lit(""))
     k = F.col("item_id") % 3
     said = (
-        F.when(k == 0, F.format_string('"%s %s" %s', word(0), word(1), word(4)))
-        .when(k == 1, F.format_string('%s -%s or "%s, %s %s"', word(0), word(1), word(2), word(3), word(4)))
-        .otherwise(F.format_string("%s OR %s %s", word(0), word(1), word(2)))
+        F.when(k == 0, F.format_string('"%s %s" "%s"', word(0), word(1), word(4)))
+        .when(k == 1, F.format_string('"%s" -"%s" or "%s, %s %s"', word(0), word(1), word(2), word(3), word(4)))
+        .otherwise(F.format_string('"%s" OR "%s" "%s"', word(0), word(1), word(2)))
     )
     parts = search.asked(T(spark, sf_dir, "benchmark").select("item_id", said.alias("q")), "item_id", "q", STOP)
     index = search.positions(T(spark, sf_dir, "documents"), "doc_id", "text", STOP)
