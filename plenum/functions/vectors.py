@@ -10,6 +10,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x rounded, half away from zero; what is below zero and comes to nought is -0.0, which Spark's own round makes 0.0."""
+    return F.signum(x) * F.round(F.abs(x), places)
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 

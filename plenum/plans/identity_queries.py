@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plenum.functions.graph import components
-from plenum.functions.vectors import cosine
+from plenum.functions.vectors import cosine, rounded
 from plenum.operators import gate
 from plenum.operators import identity as D
 from plenum.operators.similar import correct_names, similar_names
@@ -43,7 +43,7 @@ _CENTROIDS = """cen as (
 
 @query(f"with {VECTORS}, {_CENTROIDS} select profile, list_transform(centroid, lambda x: round(x, 5)) as centroid from cen")
 def centroids(spark, sf_dir):
-    return D.centroids(V.vectors(spark, sf_dir), ["profile"]).select("profile", F.transform("centroid", lambda x: F.round(x, 5)).alias("centroid"))
+    return D.centroids(V.vectors(spark, sf_dir), ["profile"]).select("profile", F.transform("centroid", lambda x: rounded(x, 5)).alias("centroid"))
 
 
 @query(f"""with {VECTORS}, s as (select profile, i, sum(vector[i]) as s, count(*) as n from (select profile, vector, unnest(range(1, 65)) as i from vectors) group by profile, i),
@@ -55,7 +55,7 @@ def centroids_leave_one_out(spark, sf_dir):
     part = each.groupBy("profile", "meeting", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     whole = part.groupBy("profile", "i").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
     left = part.join(whole, ["profile", "i"]).where("all_n > n").withColumn("m", (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")))
-    ordered = F.array_sort(F.collect_list(F.struct("i", F.round("m", 5).alias("m"))))
+    ordered = F.array_sort(F.collect_list(F.struct("i", rounded(F.col("m"), 5).alias("m"))))
     return left.groupBy("profile", "meeting").agg(F.transform(ordered, lambda x: x["m"]).alias("centroid"))
 
 
@@ -65,7 +65,7 @@ def weighted_centroid_merge(spark, sf_dir):
     """Every place of each profile's weighted mean."""
     v = V.vectors(spark, sf_dir).withColumn("weight", (F.col("vec_id") % 7 - 1).cast("double"))
     c = D.centroids(v, ["profile"], weight="weight")
-    return c.select("profile", F.posexplode("centroid").alias("i", "m")).select("profile", (F.col("i") + 1).cast("long").alias("place"), F.round("m", 5).alias("value"))
+    return c.select("profile", F.posexplode("centroid").alias("i", "m")).select("profile", (F.col("i") + 1).cast("long").alias("place"), rounded(F.col("m"), 5).alias("value"))
 
 
 _MATCH = f"""with {VECTORS}, {_CENTROIDS}, sim as (select v.vec_id, c.profile, list_cosine_similarity(v.vector, c.centroid) as similarity from vectors v, cen c where v.vec_id % 20 = 0)"""
