@@ -131,8 +131,9 @@ def reconcile_plan(spark, sf_dir):
 @query(f"""with {TURNS}, {SECTIONS}, x as (select s.meeting, section_id, topic, label, segment_id from turns t join sections s on t.meeting = s.meeting and section_start <= start_time and start_time < section_end)
 select meeting, topic, count(distinct section_id) as n_sections, count(distinct label) as n_speakers, count(*) as n_turns from x group by 1, 2""")
 def section_topics(spark, sf_dir):
-    x = I.point_in_interval(V.turns(spark, sf_dir), V.sections(spark, sf_dir), ["meeting"], "start_time", "section_start", "section_end", 900.0)
-    return x.groupBy("meeting", "topic").agg(F.count_distinct("section_id").alias("n_sections"), F.count_distinct("label").alias("n_speakers"), F.count("*").alias("n_turns"))
+    sections = V.sections(spark, sf_dir).withColumn("section", F.struct("section_id", "topic"))
+    x = I.labels_inside(V.turns(spark, sf_dir), sections, "meeting", "section", "start_time", "section_start", "section_end")
+    return x.groupBy("meeting", F.col("section.topic").alias("topic")).agg(F.count_distinct("section.section_id").alias("n_sections"), F.count_distinct("label").alias("n_speakers"), F.sum("n").alias("n_turns"))
 
 
 @query("""with g as (select t / 10.0 as threshold, doc_id, quality, n_chars from (select unnest(range(1, 10)) as t) cross join labels join documents using (doc_id)),

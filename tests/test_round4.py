@@ -27,3 +27,38 @@ def test_or_as_a_word_of_a_text(spark, tmp_path):
     spark.createDataFrame([(2, "Or apple pear x y")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     for q, want in ((text_queries.fts_phrases, [(2, 1, 1.0, 1), (2, 2, 0.5, 2)]), (text_queries.fts_next_page, [])):
         assert sorted(tuple(r) for r in q(spark, str(tmp_path)).select("item_id", "doc_id", "score", "place").collect()) == want
+
+
+def test_first_holding_and_labels_inside_are_the_pairs_summed_up(spark):
+    from plenum.operators import intervals as I
+
+    p = spark.createDataFrame([(m, i, "AB"[i % 2], float(i * 7 % 23)) for m in (1, 2) for i in range(40)], "m int, i int, label string, t double")
+    s = spark.createDataFrame([(m, k, float(k * 5 % 17), float(k * 5 % 17 + k * 3 % 8)) for m in (1, 3) for k in range(12)], "m int, k int, s double, e double")
+    pairs = I.point_in_interval(p, s, ["m"], "t", "s", "e", 4.0)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(I.first_holding(p, s, ["m"], "t", "s", "e", "k", "k").select("m", "i", "k")) == rows(pairs.groupBy("m", "i").agg(F.min_by("k", F.struct("s", "k"))))
+    assert rows(I.labels_inside(p, s, "m", "k", "t", "s", "e")) == rows(pairs.groupBy("m", "k", "label").agg(F.count("*"), F.min("t")))
+
+
+def test_intervals_over_one_another_move_each_point_once(spark):
+    from plenum.operators import intervals as I
+
+    p = spark.range(20_000).select(F.lit(1).alias("m"), F.col("id").alias("i"), F.lit("A").alias("label"), (F.col("id") / 100).alias("t"))
+    s = spark.range(20_000).select(F.lit(1).alias("m"), F.col("id").alias("k"), F.lit(0.0).alias("s"), F.lit(1000.0).alias("e"))
+    began = time.time()
+    assert I.first_holding(p, s, ["m"], "t", "s", "e", "k", "k").where("k = 0").count() == 20_000
+    assert I.labels_inside(p, s, "m", "k", "t", "s", "e").agg(F.sum("n")).collect()[0][0] == 400_000_000
+    assert time.time() - began < 40
+
+
+def test_names_of_a_small_alphabet_meet_few_others(spark):
+    from plenum.operators import similar
+
+    digits = lambda n, step: spark.range(n).select(F.translate(F.lpad((F.col("id") * step % 1000000).cast("string"), 6, "0"), "0123456789", "abdeiklnor").alias("x"))
+    a, b = digits(200, 2503).withColumnRenamed("x", "a"), digits(20_000, 7919).withColumnRenamed("x", "b")
+    began = time.time()
+    got = {(r.a, r.b) for r in similar.similar_names(a, b, "a", "b").collect()}
+    assert time.time() - began < 60
+    import difflib
+    some = [r.a for r in a.orderBy("a").limit(5).collect()]
+    assert {p for p in got if p[0] in some} == {(x, r.b) for x in some for r in b.collect() if difflib.SequenceMatcher(None, x, r.b).ratio() >= 0.8}
