@@ -2,12 +2,12 @@
 
 The measure is the share of letters in matching stretches: the longest common stretch, and again what is left and right of it. It can't
 exceed the share of letters that two names have in common at all, so names are joined by their rarest letters: two names that are alike
-share one of each one's first few letters in order of rarity, and their lengths are near.
+share some of each one's first few letters in order of rarity, and their lengths are near.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions import text as T
@@ -17,6 +17,8 @@ from plenum.functions.graph import maybe_broadcast
 LEAST = 0.80
 #: Letters with their number in a name (the second `e`, say) that are counted and sent to all tasks at most.
 LETTERS = 100_000
+#: Letters together by which names are looked up.
+KEY = 3
 
 
 def matching_letters(a: Column, b: Column) -> Column:
@@ -27,7 +29,9 @@ def matching_letters(a: Column, b: Column) -> Column:
         lengths = F.sequence(F.least(n, F.length(p["y"])), F.lit(1), F.lit(-1))
         pieces = F.flatten(F.transform(lengths, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.struct(k.alias("k"), i.alias("i")))))
         first = F.get(F.filter(pieces, lambda q: F.contains(p["y"], F.substring(p["x"], q["i"], q["k"]))), F.lit(0))
-        return F.struct(first["k"].alias("k"), first["i"].alias("i"), F.instr(p["y"], F.substring(p["x"], first["i"], first["k"])).alias("j"))
+        # bound by a lambda, so that it is looked for once
+        placed = F.transform(F.array(first), lambda f: F.struct(f["k"].alias("k"), f["i"].alias("i"), F.instr(p["y"], F.substring(p["x"], f["i"], f["k"])).alias("j")))
+        return F.get(placed, F.lit(0))
 
     def split(p: Column, h: Column) -> Column:
         before = F.struct(F.substring(p["x"], F.lit(1), h["i"] - 1).alias("x"), F.substring(p["y"], F.lit(1), h["j"] - 1).alias("y"))
@@ -55,31 +59,50 @@ def alike(a: Column, b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(2.0 * matching_letters(a, b) / n)
 
 
+def _parts(df: DataFrame) -> int:
+    """Parts for rows that are few bytes but much work: given, as adaptive execution would choose one part by their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _lettered(names: DataFrame, name: str) -> DataFrame:
     """(name, n, letters): each distinct name with its letters, of which equal ones are numbered."""
     letters = F.split(F.lower(F.col(name)), "")
     numbered = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, F.lit(1), i), lambda d: d == c)).cast("string")))
-    return names.select(name).where(F.col(name).isNotNull() & (F.col(name) != "")).distinct().select(name, F.length(name).alias("n"), numbered.alias("letters"))
+    each = names.select(name).where(F.col(name).isNotNull() & (F.col(name) != "")).distinct().repartition(_parts(names), name)
+    return each.select(name, F.length(name).alias("n"), numbered.alias("letters"))
+
+
+def _keys(prefix: Column, k: Column) -> Column:
+    """All choices of k letters of a short list, as texts."""
+    more = lambda acc, x: F.concat(acc, F.transform(F.filter(acc, lambda c: c["k"] < k), lambda c: F.struct((c["k"] + 1).alias("k"), F.concat(c["key"], F.lit("|"), x).alias("key"))))
+    every = F.aggregate(prefix, F.array(F.struct(F.lit(0).alias("k"), F.lit("").alias("key"))), more)
+    return F.transform(F.filter(every, lambda c: c["k"] == k), lambda c: c["key"])
 
 
 def similar_names(a: DataFrame, b: DataFrame, name_a: str, name_b: str, least: float = LEAST) -> DataFrame:
     """(name_a, name_b, score): all pairs of distinct names of the two tables whose score is `least` or more; least is over 0.
 
-    Null and empty names take no part. Names that could be alike have a rare letter in common: of a name of n letters all but
-    ceil(least * n / (2 - least)) - 1, the rarest first, are looked up, with the lengths that a partner may have.
+    Null and empty names take no part. Names of n and m letters that are alike have at least o = ceil(least * (n + m) / 2) letters in
+    common, so k of them are among the n - o + k rarest of the one and the m - o + k rarest of the other. Names are looked up by both
+    lengths and each choice of k such letters, k being KEY or o; one letter alone would leave most pairs where an alphabet is small.
     """
     x, y = _lettered(a, name_a), _lettered(b, name_b)
     often = maybe_broadcast(x.select(F.explode("letters").alias("letter")).union(y.select(F.explode("letters").alias("letter"))).groupBy("letter").agg(F.count("*").alias("c")), LETTERS)
 
-    def rare(df: DataFrame, name: str) -> DataFrame:
+    def rare(df: DataFrame, name: str, own: str, other: str) -> DataFrame:
         each = df.select(name, "n", F.explode("letters").alias("letter")).join(often, "letter")
-        nth = F.row_number().over(Window.partitionBy(name).orderBy("c", "letter"))
-        return each.withColumn("nth", nth).where(F.col("nth") <= F.col("n") - F.ceil(F.lit(least / (2 - least)) * F.col("n") - 1e-9) + 1).select(name, "n", "letter")
-
-    shortest, most = F.ceil(F.lit(least / (2 - least)) * F.col("n") - 1e-9), F.floor(F.lit((2 - least) / least) * F.col("n") + 1e-9)
-    asks = rare(x, name_a).select(name_a, "letter", F.explode(F.sequence(shortest, most)).alias("n"))
-    pairs = asks.join(rare(y, name_b).withColumn("n", F.col("n").cast("long")), ["letter", "n"]).select(name_a, name_b).distinct()
-    return pairs.withColumn("score", alike(F.col(name_a), F.col(name_b))).where(F.col("score") >= least)
+        held = each.repartition(_parts(df), name).groupBy(name, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "letter"))), lambda s: s["letter"]).alias("letters"))
+        shortest, most = F.ceil(F.lit(least / (2 - least)) * F.col("n") - 1e-9), F.floor(F.lit((2 - least) / least) * F.col("n") + 1e-9)
+        met = held.select(name, F.col("n").cast("int").alias(own), "letters", F.explode(F.sequence(F.greatest(shortest, F.lit(1)).cast("int"), most.cast("int"))).alias(other))
+        common = F.ceil(F.lit(least / 2) * (F.col(own) + F.col(other)) - 1e-9).cast("int")
+        k = F.least(common, F.lit(KEY))
+        return met.select(name, own, other, F.col("letters").alias(f"letters_{own}"), F.explode(_keys(F.slice("letters", F.lit(1), F.col(own) - common + k), k)).alias("key"))
+
+    keys = ["n_a", "n_b", "key"]
+    enough = F.size(F.array_intersect("letters_n_a", "letters_n_b")) >= F.lit(least / 2) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = rare(x, name_a, "n_a", "n_b").join(rare(y, name_b, "n_b", "n_a"), keys).where(enough).select(name_a, name_b).repartition(_parts(a), name_a, name_b).distinct()
+    score = F.filter(F.array(alike(F.col(name_a), F.col(name_b))), lambda s: s >= least)
+    return pairs.select(name_a, name_b, F.explode(score).alias("score"))
 
 
 def surnames_on_roster(names: DataFrame, roster: DataFrame, least: float) -> DataFrame:
