@@ -62,3 +62,18 @@ def test_names_of_a_small_alphabet_meet_few_others(spark):
     import difflib
     some = [r.a for r in a.orderBy("a").limit(5).collect()]
     assert {p for p in got if p[0] in some} == {(x, r.b) for x in some for r in b.collect() if difflib.SequenceMatcher(None, x, r.b).ratio() >= 0.8}
+
+
+def test_shared_seconds_are_the_sum_over_all_pairs():
+    import numpy as np
+
+    from plenum.operators.sequential import shared_seconds
+
+    r = np.random.default_rng(1)
+    for n in (1, 7, 40):
+        a, b = (np.stack([s, s + np.round(r.random(n) * 30, 3)], 1) for s in np.round(r.random((2, n)) * 300, 3))
+        pairs = np.maximum(0, np.minimum(a[:, None, 1], b[None, :, 1]) - np.maximum(a[:, None, 0], b[None, :, 0])).sum()
+        assert abs(shared_seconds(a, b) - pairs) < 1e-6
+    assert shared_seconds(np.array([[0.0, 1.0]]), np.array([[1.0, 2.0]])) == 0.0 == shared_seconds(a[:0], a)
+    many = np.stack([np.arange(100_000.0), np.arange(100_000.0) + 50], 1)  # a table of all pairs would take 80 GB
+    assert shared_seconds(many, many) == 50 * 100_000 + 2 * sum((50 - d) * (100_000 - d) for d in range(1, 50))
