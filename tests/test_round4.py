@@ -77,3 +77,11 @@ def test_shared_seconds_are_the_sum_over_all_pairs():
     assert shared_seconds(np.array([[0.0, 1.0]]), np.array([[1.0, 2.0]])) == 0.0 == shared_seconds(a[:0], a)
     many = np.stack([np.arange(100_000.0), np.arange(100_000.0) + 50], 1)  # a table of all pairs would take 80 GB
     assert shared_seconds(many, many) == 50 * 100_000 + 2 * sum((50 - d) * (100_000 - d) for d in range(1, 50))
+
+
+def test_record_turns_reads_whole_nations(spark):
+    from plenum.plans import record_queries
+
+    got = record_queries.record_turns(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    assert {r.c_nationkey: r.n for r in got.groupBy("c_nationkey").agg(F.count("*").alias("n")).collect()} == {r.c_nationkey: r.n for r in n.groupBy("c_nationkey").agg(F.count("*").alias("n")).collect()}
