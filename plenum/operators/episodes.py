@@ -53,8 +53,9 @@ def match_entries(pages: DataFrame, entries: DataFrame, address: str = "address"
     hay = entries.select("show", "place", text.alias("hay"))
     short = [r.n for r in slugs.where(F.length("slug") < GRAM).select(F.length("slug").alias("n")).distinct().collect()]  # at most GRAM - 1 rows
     sizes = [*sorted(short), GRAM]
-    held = hay.select("show", "place", "hay", F.explode(F.concat(*[_grams(F.col("hay"), n) for n in sizes])).alias("gram"))
-    often = held.groupBy("show", "gram").agg(F.count("*").alias("n"))
+    # an address has hundreds of grams and Spark takes exploded rows to be as many as before, so these joins are told to be shuffled
+    held = hay.select("show", "place", F.explode(F.concat(*[_grams(F.col("hay"), n) for n in sizes])).alias("gram")).hint("merge")
+    often = held.groupBy("show", "gram").agg(F.count("*").alias("n")).hint("merge")
     own = F.when(F.length("slug") < GRAM, F.array("slug")).otherwise(_grams(F.col("slug"), GRAM))
     rare = (
         slugs.select("show", "slug", F.explode(own).alias("gram"))
@@ -62,6 +63,7 @@ def match_entries(pages: DataFrame, entries: DataFrame, address: str = "address"
         .groupBy("show", "slug")
         .agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
     )
-    found = rare.join(held, ["show", "gram"]).where(F.contains("hay", F.col("slug"))).groupBy("show", "slug").agg(F.min("place").alias("held"))
+    maybe = rare.join(held, ["show", "gram"]).join(hay.hint("merge"), ["show", "place"])
+    found = maybe.where(F.contains("hay", F.col("slug"))).groupBy("show", "slug").agg(F.min("place").alias("held"))
     tier = F.when(F.col("linked").isNotNull(), "link").when(F.col("held").isNotNull(), "slug")
     return exact.join(found, ["show", "slug"], "left").select("page.*", tier.alias("tier"), F.coalesce("linked", "held").alias("place"))

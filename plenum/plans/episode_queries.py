@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plenum.functions.graph import settle
 from plenum.operators import episodes as E
 from plenum.operators import stages as G
 from plenum.plans import views as V
@@ -41,7 +42,7 @@ def episode_matches(spark, sf_dir):
     )
     items = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))), lambda x: x["item"]), "")
     feeds = p.groupBy("show").agg(F.concat(F.lit("<rss><channel><title>Show</title>"), items, F.lit("</channel></rss>")).alias("xml"))
-    entries = S.podcast_entries(feeds)
+    entries = settle(S.podcast_entries(feeds))
     return E.match_entries(pages, entries).join(entries, ["show", "place"], "left").select("page_id", "tier", "place", "title", "audio_url", "date")
 
 
