@@ -1,6 +1,6 @@
 """Minutes with motions: items, who moved and seconded what, the votes, and how each item ended.
 
-Lines become items by windows over the lines before them. Inside an item the text is cut into motions, and each motion's text into the
+Texts are cut into items where a line opens one. Inside an item the text is cut into motions, and each motion's text into the
 results that stand in it. A result needn't belong to the motion it stands behind, so an item's results are folded in order over its
 motions: each takes the motion that the rules give it, and a motion that has its result takes no other.
 """
@@ -36,9 +36,11 @@ WHOLE = {"discuss", "amendment", "table", "tabled", "adopt", "approve", "introdu
 #: How an item ends when a motion of a kind carries.
 ENDS = {"adopt": "passed", "continue": "continued", "pull": "pulled"}
 DATE_SIGNS = ["until", "to be held on"]
+#: Signs that part a text while it is read; texts lose them.
+CUT, PART = "\u0001", "\u0002"
 
 #: One or two capitalised words; a vote's tag before a name is none of them.
-_PERSON = rf"\b(?!(?:{'|'.join(TAGS)})\b)\p{{Lu}}[\p{{L}}\p{{N}}_'’.-]+(?: \p{{Lu}}[\p{{L}}\p{{N}}_'’.-]+)?"
+_PERSON = rf"(?=\p{{Lu}})\b(?!(?:{'|'.join(TAGS)})\b)\p{{Lu}}[\p{{L}}\p{{N}}_'’.-]+(?: \p{{Lu}}[\p{{L}}\p{{N}}_'’.-]+)?"
 _MOVED = rf"({_PERSON}) moved,? and ({_PERSON}) {MOVES} (?:that|to)\b"
 
 
@@ -70,40 +72,36 @@ def items(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     `7. Title [7:01pm]` opens a section and gives its items their time, `7.2. Title` an item; either ends the item before it. What comes
     after the note of who prepared the minutes is left out. Null and empty texts have no items.
     """
-    lines = docs.select(key, F.posexplode(F.split(text, "\r\n|\r|\n")).alias("n", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", r"\s+", " "))).where("line <> ''")
-    upto = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    number = F.regexp_extract("line", r"^(\d+\.(?:\d+\.)?)(?: |$)", 1)
+    # lines without their white space at the ends, each behind one break; blocks are cut at the breaks before what opens one
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, f"[\r{CUT}{PART}]", "\n"), r" [ \t\x0B\f]+|[\t\x0B\f][ \t\x0B\f]*", " "), r" \n[ \n]*|\n[ \n]+", "\n")
+    kept = F.get(F.split(F.concat(F.lit("\n"), F.ltrim(flat, F.lit(" \n"))), rf"(?i)\n{END}", 2), F.lit(0))
+    blocks = F.split(kept, r"\n(?=\d+\.(?:\d+\.| \S))")
+    each = docs.select(key, F.posexplode(blocks).alias("block", "said")).where("block > 0")
+    each = each.select(key, "block", F.rtrim(F.substring_index("said", "\n", 1)).alias("line"), "said")
     sub = F.regexp_extract("line", r"^(\d+\.\d+)\.", 1)
-    lines = lines.withColumns({"sub": sub, "ended": F.max(F.lower("line").startswith(END)).over(upto)}).where("not ended")
-    opens = (F.col("sub") != "") | ((number != "") & F.col("line").rlike(r"^\d+\. \S"))
     stamp = F.regexp_extract("line", r"\[(\d{1,2}:\d{2} ?[ap]m)\]$", 1)
-    told = lines.withColumns({
-        "opens": opens,
-        "block": F.count_if(opens).over(upto),
-        "wallclock": F.last(F.when(opens & (F.col("sub") == "") & (stamp != ""), F.replace(stamp, F.lit(" "))), ignorenulls=True).over(upto),
-    }).where("block > 0")
-    rest = F.sort_array(F.collect_list(F.when(~F.col("opens"), F.struct("n", "line"))))
-    blocks = told.groupBy(key, "block").agg(
-        F.max(F.when(F.col("opens"), F.col("sub"))).alias("item_number"),
-        F.max(F.when(F.col("opens") & (F.col("sub") != ""), legislation_ref(F.regexp_replace("line", r"^\d+\.\d+\.", "")))).alias("legislation_ref"),
-        F.min_by("wallclock", "n").alias("wallclock"),
-        F.array_join(F.transform(rest, lambda x: x["line"]), " ").alias("body"),
-    ).where("legislation_ref is not null")
-    position = F.row_number().over(Window.partitionBy(key).orderBy("block")).cast("long")
-    return blocks.select(key, position.alias("position"), "item_number", "legislation_ref", "wallclock", "body")
+    ref = F.when(F.col("item_number") != "", legislation_ref(F.regexp_replace("line", r"^\d+\.\d+\.", "")))
+    by = Window.partitionBy(key).orderBy("block")
+    time = F.last(F.when((F.col("item_number") == "") & (F.col("stamp") != ""), F.replace("stamp", F.lit(" "))), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    told = each.select(key, "block", "line", "said", sub.alias("item_number"), stamp.alias("stamp")).withColumn("wallclock", time)
+    told = told.withColumn("legislation_ref", ref).where("legislation_ref is not null")
+    body = F.rtrim(F.replace(F.substring(F.col("said"), F.instr("said", "\n") + 1, F.length("said")), F.lit("\n"), F.lit(" ")))
+    position = F.row_number().over(by).cast("long")
+    return told.select(key, position.alias("position"), "item_number", "legislation_ref", "wallclock", F.when(F.contains("said", F.lit("\n")), body).otherwise("").alias("body"))
 
 
 def _names(raw: Column, count: Column) -> Column:
     """The names on a side of a vote; none where their number isn't the side's count or one of them has another shape (a remark, say)."""
-    names = F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
-    fine = (F.size(names) == count) & F.forall(names, lambda x: x.rlike(r"^\p{Lu}[\p{L}\p{N}_'’.-]*(?: \p{Lu}[\p{L}\p{N}_'’.-]*)?$"))
-    return F.when(fine, names).otherwise(F.array().cast("array<string>"))
+    shape = r"^\p{Lu}[\p{L}\p{N}_'’.-]*(?: \p{Lu}[\p{L}\p{N}_'’.-]*)?$"
+    fine = lambda names: F.when((F.size(names) == count) & F.forall(names, lambda x: x.rlike(shape)), names)
+    told = F.when(raw != "", _once(F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != ""), fine))
+    return F.coalesce(told, F.array().cast("array<string>"))
 
 
 def _result(said: Column, owner: Column) -> Column:
     """A result out of what follows `The motion`; null if it is none."""
     side = lambda name: rf"{name}:\s*(\d+)\s*(?:\(([^)]*)\))?\s*[;,.]?\s*"
-    whole = rf"(?is)^([^.]*?)\s*{VOTED.replace(' ', chr(92) + 's+')}(?:\s+of|:)?\s*{''.join(side(s) for s in SIDES)}({'|'.join(TAGS)})?"
+    whole = rf"(?is)^([^.]*?)\s*{VOTED.replace(' ', chr(92) + 's+')}(?:\s+of|:)?\s*{''.join(side(s) for s in SIDES)}({'|'.join(TAGS)})?.*$"
 
     def read(parts: Column) -> Column:
         part = lambda i: F.get(parts, F.lit(i - 1))
@@ -111,9 +109,10 @@ def _result(said: Column, owner: Column) -> Column:
         desc = F.trim(part(1))
         votes = {x: y for i, s in enumerate(SIDES) for x, y in ((s, count(2 + 2 * i)), (f"{s}_names", _names(part(3 + 2 * i), count(2 + 2 * i))))}
         fields = [owner.alias("owner"), F.when(desc != "", kind_of(desc, True)).alias("kind"), *[v.alias(k) for k, v in votes.items()], F.nullif(F.upper(part(8)), F.lit("")).alias("tag")]
-        return F.struct(*fields)
+        return F.when(F.size(parts) == 8, F.struct(*fields))
 
-    return F.when(said.rlike(whole), _once(F.array(*[F.regexp_extract(said, whole, i) for i in range(1, 9)]), read))
+    # one pass of the pattern: its groups, or the text as it is, which has no PART
+    return _once(F.split(F.regexp_replace(said, whole, PART.join(f"${i}" for i in range(1, 9))), PART), read)
 
 
 def _owner(motions: Column, free: Column, r: Column) -> Column:
@@ -141,36 +140,38 @@ def _voted(described: DataFrame) -> DataFrame:
     start = F.struct(every.alias("free"), none.alias("settled"))
 
     def take(state: Column, r: Column) -> Column:
-        at = _owner(F.col("motions"), state["free"], r).cast("int")
-        left = F.when(at.isNull(), state["free"]).otherwise(F.array_remove(state["free"], at))
-        return F.struct(left.alias("free"), F.concat(state["settled"], F.array(at)).alias("settled"))
+        def with_owner(at: Column) -> Column:
+            left = F.when(at.isNull(), state["free"]).otherwise(F.array_remove(state["free"], at))
+            return F.struct(left.alias("free"), F.concat(state["settled"], F.array(at)).alias("settled"))
+
+        return _once(_owner(F.col("motions"), state["free"], r).cast("int"), with_owner)
 
     return described.withColumn("settled", F.aggregate("results", start, take, lambda s: s["settled"]))
 
 
 def _described(found: DataFrame) -> DataFrame:
     """Items with their motions (mover, seconder, kind, raw_text, continued_to) and results (owner, kind, votes, tag), and text for votes that neither explains."""
-    marked = F.regexp_replace(F.col("body"), _MOVED, "\u0001$0")
-    blocks = F.slice(F.split(marked, "\u0001"), 2, 1 << 20)
+    marked = F.regexp_replace(F.col("body"), _MOVED, f"{CUT}$1{PART}$2{PART}$0{PART}")
+    blocks = F.slice(F.split(marked, CUT), 2, 1 << 20)
 
     def motion(block: Column) -> Column:
-        return _once(F.regexp_replace(F.substring_index(block, RESULT, 1), rf"^{_MOVED}", ""), lambda clause: described(block, clause))
+        # who moved, who seconded, the words that say so, and what is behind them
+        return _once(F.split(block, PART, 4), lambda parts: _once(F.substring_index(F.get(parts, 3), RESULT, 1), lambda clause: _once(kind_of(clause), lambda kind: described(parts, clause, kind))))
 
-    def described(block: Column, clause: Column) -> Column:
+    def described(parts: Column, clause: Column, kind: Column) -> Column:
         date = F.regexp_extract(clause, rf"\b(?:{'|'.join(DATE_SIGNS)})\b.*?\b(\p{{Lu}}[a-z]+ \d{{1,2}}, \d{{4}})", 1)
-        kind = kind_of(clause)
         return F.struct(
-            F.regexp_extract(block, _MOVED, 1).alias("mover"), F.regexp_extract(block, _MOVED, 2).alias("seconder"), kind.alias("kind"), F.trim(block).alias("raw_text"),
+            F.get(parts, 0).alias("mover"), F.get(parts, 1).alias("seconder"), kind.alias("kind"), F.trim(F.concat(F.get(parts, 2), F.get(parts, 3))).alias("raw_text"),
             F.when(kind == "continue", F.date_format(F.try_to_timestamp(date, F.lit("MMMM d, yyyy")), "yyyy-MM-dd")).alias("continued_to"),
         )
 
     def results(block: Column, i: Column) -> Column:
-        return F.filter(F.transform(F.slice(F.split(block, rf"(?i)\b{RESULT}\b"), 2, 1 << 20), lambda said: _result(said, i)), lambda r: r.isNotNull())
+        return F.filter(F.transform(F.slice(F.split(F.substring_index(block, PART, -1), rf"(?i)(?=t)\b{RESULT}\b"), 2, 1 << 20), lambda said: _result(said, i)), lambda r: r.isNotNull())
 
     out = found.withColumn("blocks", blocks)
     out = out.withColumns({"motions": F.transform("blocks", motion), "results": F.flatten(F.transform("blocks", results))})
     votes = F.regexp_count("body", F.lit(rf"(?i){VOTED.split('received a ')[1].replace(' ', chr(92) + 's+')}"))
-    return out.withColumn("unexplained", votes - F.size("results")).drop("blocks")
+    return out.withColumn("unexplained", votes - F.size("results")).drop("blocks", "body")
 
 
 def _carried(r: Column) -> Column:
@@ -184,12 +185,12 @@ def parsed(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
 
 def motions(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """motions_of() texts of minutes."""
-    return motions_of(parsed(docs, key, text), key)
+    return motions_of(_voted(_described(items(docs, key, text))), key)
 
 
 def dispositions(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
-    """dispositions_of() texts of minutes."""
-    return dispositions_of(parsed(docs, key, text), key)
+    """dispositions_of() texts of minutes, settled: what is joined to them again does not read the texts again."""
+    return settle(dispositions_of(_voted(_described(items(docs, key, text))), key))
 
 
 def motions_of(told: DataFrame, key: str = "doc") -> DataFrame:
@@ -197,8 +198,9 @@ def motions_of(told: DataFrame, key: str = "doc") -> DataFrame:
 
     A motion without a recorded vote has null counts and isn't carried. Names that don't agree with their count are dropped, the count stays.
     """
-    each = told.select("*", F.posexplode("motions").alias("i", "m"))
-    r = F.get("results", (F.array_position("settled", F.col("i")) - 1).cast("int"))
+    each = told.select(key, "position", "legislation_ref", "results", "settled", F.posexplode("motions").alias("i", "m"))
+    each = each.withColumn("r", F.get("results", (F.array_position("settled", F.col("i")) - 1).cast("int")))
+    r = F.col("r")
     votes = [r[c].alias(c) for s in SIDES for c in (s, f"{s}_names")]
     return each.where(F.col("i") >= 0).select(
         key, "position", "legislation_ref", (F.col("i") + 1).cast("long").alias("motion"), "m.mover", "m.seconder", "m.kind", *votes, r["tag"].alias("tag"), _carried(r).alias("carried"), "m.continued_to", "m.raw_text"

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from plenum.operators import episodes
+from plenum.sources import motions
 
 
 def final_plan(df):
@@ -19,3 +20,16 @@ def test_grams_of_addresses_are_not_broadcast(spark):
     got = episodes.match_entries(p, e)
     assert got.where("tier = 'slug' and place = own").count() == 2000
     assert not re.search(r"BroadcastHashJoin \[show#\d+L?, gram#", final_plan(got))
+
+
+def test_minutes_are_cut_into_items_without_rows_of_lines(spark):
+    text = "1. Opening [6:30 pm]\r\n \t\r7. Bills [7:01 pm]\n  7.1.  Resolution \t 2026-1\x01\n\nAnn Lee moved, and  Bo seconded that it be\x02 adopted.\rThe  motion received a roll\ncall vote of Ayes: 2 (A, B), Nays: 0, Abstain: 0.\n7.2. Report\n7.3. Resolution 2026-2\n \n8. End\nMEMORANDUM prepared by me\n9.1. Resolution 2026-3"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "7.1. Ordinance 2026-7")], "doc int, text string")
+    got = motions.items(docs)
+    assert [tuple(r) for r in got.orderBy("doc", "position").collect()] == [
+        (1, 1, "7.1", "Resolution 2026-1", "7:01pm", "Ann Lee moved, and Bo seconded that it be adopted. The motion received a roll call vote of Ayes: 2 (A, B), Nays: 0, Abstain: 0."),
+        (1, 2, "7.3", "Resolution 2026-2", "7:01pm", ""),
+        (4, 1, "7.1", "Ordinance 2026-7", None, ""),
+    ]
+    assert "Aggregate" not in final_plan(got)
+    assert [(r.mover, r.seconder, r.kind, r.ayes, r.ayes_names, r.carried) for r in motions.motions(docs).collect()] == [("Ann Lee", "Bo", "adopt", 2, ["A", "B"], True)]
