@@ -1,4 +1,4 @@
-"""Agendas and roll calls as tables: lines are rows, and what a line belongs to comes from windows over the lines before it."""
+"""Agendas and roll calls as tables: texts are cut where a line opens a block, and a block's lines are read in place."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ FORMS = {
     "sponsor": r"(?i)^council sponsors? *[-–—:] *(.+)$",
     "footnote": r"(?i)^\d* *https?://",
 }
+#: A line that opens a block, and a footnote with all lines behind it up to a sponsor, in a text of lines.
+OPENS = r"(?:\d{1,2}|[A-Z])\. +\S.*[\u0085\u2028\u2029]?(?:\n|\z)"
+NOTED = r"(?i)\n\d* *https?://[^\n]*+(?:\n(?!council sponsors? *[-–—:] *.)[^\n]*+)*+"
 NO_SPONSOR = ["N/A", "NA", "NONE"]
 ACT = r"\b(?:Appropriation\s+)?(?:Ordinance|Resolution)\s+\d{4}-\d+"
 ROLL_MARK = "[Roll No"
@@ -43,63 +46,62 @@ def _part(line: Column, form: str, group: int) -> Column:
     return F.nullif(F.regexp_extract(line, FORMS[form], group), F.lit(""))
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.posexplode(F.split(text, "\r\n|\r|\n")).alias("n", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", "[ \t\f]+$", "")))
-
-
 def agenda_items(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """One row per lettered item, and per numbered section without any: position, item_number, section, title_raw, legislation_ref, sponsor, extra_lines.
 
     Footnotes, addresses and what wraps behind them belong to nothing; a section's header goes on while its brackets are open;
     lines behind an item's sponsor are extra lines. Null and empty texts have no items.
     """
-    told = _lines(docs, key, text).where("line <> ''").withColumn("kind", kind(F.col("line")))
-    so_far = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    told = told.withColumn("section_id", F.count_if(F.col("kind") == "section").over(so_far)).where("section_id > 0")
-    told = told.withColumn("block", F.count_if(F.col("kind").isin("section", "item")).over(so_far))
-    inside = Window.partitionBy(key, "block").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(key, "block").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    told = told.withColumn("noted", F.last(F.when(F.col("kind") != "other", F.col("kind")), ignorenulls=True).over(inside) == "footnote")
-    told = told.where("not noted")
-    balance = F.regexp_count("line", F.lit(r"\(")) - F.regexp_count("line", F.lit(r"\)"))
-    told = (
-        told.withColumn("balance", F.sum(balance).over(inside))
-        .withColumn("open", F.coalesce(F.min("balance").over(before) > 0, F.lit(True)))
-        .withColumn("sponsored", F.coalesce(F.max((F.col("kind") == "sponsor").cast("int")).over(before), F.lit(0)) == 1)
-        .withColumn("head", F.first("kind").over(inside))
-    )
-    section, item, sponsor = (lambda g, f=f: _part(F.col("line"), f, g) for f in ("section", "item", "sponsor"))
-    words = F.coalesce(F.when(F.col("kind") == "section", section(2)).when(F.col("kind") == "item", item(2)), F.col("line"))
-    title = (F.col("kind") == F.col("head")) | ((F.col("kind") == "other") & F.when(F.col("head") == "section", F.col("open")).otherwise(~F.col("sponsored")))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("n", words.alias("w"))))), lambda x: x["w"])
-    blocks = told.groupBy(key, "section_id", "block").agg(
-        F.first("head").alias("head"),
-        F.max(F.when(F.col("kind") == "section", section(1).cast("int"))).alias("number"),
-        F.max(F.when(F.col("kind") == "item", item(1))).alias("letter"),
-        F.array_join(ordered(title), " ").alias("title_raw"),
-        F.max_by(F.trim(sponsor(1)), F.when(F.col("kind") == "sponsor", F.col("n"))).alias("sponsor"),
-        ordered((F.col("kind") == "other") & F.col("sponsored") & (F.col("head") == "item")).alias("extra_lines"),
-    )
-    w = Window.partitionBy(key, "section_id")
-    held = (
-        blocks.withColumn("section_number", F.max("number").over(w))
-        .withColumn("section", F.max(F.when(F.col("head") == "section", F.col("title_raw"))).over(w))
-        .withColumn("has_items", F.max((F.col("head") == "item").cast("int")).over(w) == 1)
-        .where("head = 'item' or not has_items")
-    )
+    # lines without white space around, footnotes with what wraps behind them taken out, cut before each line that opens a block
+    flat = F.regexp_replace(F.concat(F.lit("\n"), F.replace(F.col(text), F.lit("\r"), F.lit("\n")), F.lit("\n")), r"(?<![ \t\f])[ \t\f]*+\n(?:[ \t\f]*+\n)*+ *+", "\n")
+    blocks = F.transform(F.split(F.rtrim(flat, F.lit("\n")), rf"\n(?={OPENS})"), lambda b: F.regexp_replace(b, NOTED, ""))
+    each = docs.select(key, F.posexplode(blocks).alias("block", "said")).where("block > 0").withColumn("lines", F.split("said", "\n"))
+    line = F.get("lines", F.lit(0))
+    each = each.select(key, "block", "lines", F.when(line.rlike(FORMS["section"]), "section").otherwise("item").alias("head"), line.alias("line"))
+    part = lambda g: F.when(F.col("head") == "section", _part(F.col("line"), "section", g)).otherwise(_part(F.col("line"), "item", g))
+    is_sponsor = lambda x: x.rlike(FORMS["sponsor"])
+    each = each.withColumns({"mark": part(1), "words": part(2), "sponsors": F.filter("lines", is_sponsor), "at": F.array_position(F.transform("lines", is_sponsor), True).cast("int"), "closed": _closed(F.col("lines"))})
+    section = F.col("head") == "section"
+    last = F.when(section, F.col("closed")).otherwise(F.when(F.col("at") > 0, F.col("at") - 1).otherwise(F.size("lines")))
+    wrapped = F.filter(F.slice("lines", F.lit(2), F.greatest(last - 1, F.lit(0))), lambda x: ~is_sponsor(x))
+    extra = F.filter(F.slice("lines", F.col("at") + 1, F.size("lines")), lambda x: ~is_sponsor(x))
+    none = F.array().cast("array<string>")
+    told = each.select(
+        key, "block", "head", "mark",
+        F.array_join(F.concat(F.array("words"), wrapped), " ").alias("title_raw"),
+        F.trim(_part(F.try_element_at("sponsors", F.lit(-1)), "sponsor", 1)).alias("sponsor"),
+        F.when((F.col("at") > 0) & ~section, extra).otherwise(none).alias("extra_lines"),
+    )
+    by = Window.partitionBy(key).orderBy("block")
+    own = F.when(section, F.struct(F.col("mark").cast("int").alias("number"), "title_raw"))
+    held = told.withColumns({"of": F.last(own, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("head").over(by)})
+    held = held.where(F.col("of").isNotNull() & ((F.col("head") == "item") | ~F.col("next").eqNullSafe("item")))
+    item = F.col("head") == "item"
     return held.select(
         key,
-        F.row_number().over(Window.partitionBy(key).orderBy("block")).cast("long").alias("position"),
-        F.concat(F.col("section_number").cast("string"), F.coalesce("letter", F.lit(""))).alias("item_number"),
-        "section",
-        "section_number",
+        F.row_number().over(by).cast("long").alias("position"),
+        F.concat(F.col("of.number").cast("string"), F.when(item, F.col("mark")).otherwise("")).alias("item_number"),
+        F.col("of.title_raw").alias("section"),
+        F.col("of.number").alias("section_number"),
         "title_raw",
-        F.when(F.col("head") == "item", legislation_ref(F.col("title_raw"))).alias("legislation_ref"),
-        F.when((F.col("head") == "item") & ~F.upper(F.trim("sponsor")).isin(NO_SPONSOR), F.col("sponsor")).alias("sponsor"),
+        F.when(item, legislation_ref(F.col("title_raw"))).alias("legislation_ref"),
+        F.when(item & ~F.upper(F.trim("sponsor")).isin(NO_SPONSOR), F.col("sponsor")).alias("sponsor"),
         "extra_lines",
     )
 
 
+def _closed(lines: Column) -> Column:
+    """The first line (from 1) by whose end no more brackets are opened than closed; the number of lines if there is none."""
+    balance = lambda x: F.length(F.replace(x, F.lit(")"))) - F.length(F.replace(x, F.lit("(")))
+
+    def step(s: Column, x: Column) -> Column:
+        held = s["held"] + balance(x)
+        return F.struct((s["i"] + 1).alias("i"), held.alias("held"), F.when((s["at"] == 0) & (held <= 0), s["i"] + 1).otherwise(s["at"]).alias("at"))
+
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("held"), F.lit(0).alias("at"))
+    return F.aggregate(lines, start, step, lambda s: F.when(s["at"] > 0, s["at"]).otherwise(F.size(lines)))
+
+
 def _heading(line: Column) -> Column:
     """The position that a tally's heading (capitals, two hyphens, a count) announces, `-` for one that the table doesn't have; else null."""
     label, count = F.trim(F.substring_index(line, "--", 1)), F.trim(F.substring_index(line, "--", -1))

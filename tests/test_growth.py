@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from plenum.operators import episodes
-from plenum.sources import motions
+from plenum.sources import minutes, motions
 
 
 def final_plan(df):
@@ -33,3 +33,19 @@ def test_minutes_are_cut_into_items_without_rows_of_lines(spark):
     ]
     assert "Aggregate" not in final_plan(got)
     assert [(r.mover, r.seconder, r.kind, r.ayes, r.ayes_names, r.carried) for r in motions.motions(docs).collect()] == [("Ann Lee", "Bo", "adopt", 2, ["A", "B"], True)]
+
+
+AGENDA = "A. Too early\n1. First (open\n  and )\tclosed here\nlost\n\nA.  Ordinance \t 2026-4 (x\n\thttps in (brackets\nCouncil Sponsors: CM One\n2 https://example.org\nwrapped\nCouncil Sponsor – CM Two \nextra\n  https://example.org/b\nB. Report\nhttp://x\nA lone line\n2. Alone\nCouncil Sponsors: n/a\nmore\r\n3. (Open\nCouncil sponsor: X)\nstill\n12. Last"
+
+
+def test_agendas_are_read_without_rows_of_lines(spark):
+    docs = spark.createDataFrame([(1, AGENDA), (2, None), (3, ""), (4, "B. none")], "doc int, text string")
+    got = minutes.agenda_items(docs)
+    assert [tuple(r) for r in got.orderBy("doc", "position").collect()] == [
+        (1, 1, "1A", "First (open and )\tclosed here", 1, "Ordinance \t 2026-4 (x \thttps in (brackets", "Ordinance 2026-4", "CM Two", ["extra"]),
+        (1, 2, "1B", "First (open and )\tclosed here", 1, "Report", None, None, []),
+        (1, 3, "2", "Alone", 2, "Alone", None, None, []),
+        (1, 4, "3", "(Open", 3, "(Open", None, None, []),
+        (1, 5, "12", "Last", 12, "Last", None, None, []),
+    ]
+    assert "Aggregate" not in final_plan(got)
