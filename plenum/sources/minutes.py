@@ -125,11 +125,16 @@ def roll_calls(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFra
     parts = docs.select(key, F.posexplode(F.split(text, F.lit(r"\Q" + ROLL_MARK + r"\E"))).alias("b", "block")).where("b > 0")
     number = F.regexp_replace(F.substring_index("block", "]", 1), r"\D+", "").try_cast("int")
     body = F.substring(F.col("block"), F.instr("block", "]") + 1, F.length("block"))
-    lines = parts.select(key, "b", number.alias("roll_number"), F.posexplode(F.split(body, "\n")).alias("n", "raw")).where("roll_number is not null").withColumn("line", F.trim("raw"))
-    w = Window.partitionBy(key, "b").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    heading = _heading(F.col("line"))
-    held = lines.withColumn("position", F.last(heading, ignorenulls=True).over(w)).where(heading.isNull() & _is_name(F.col("line")) & (F.col("position") != "-"))
-    return held.select(key, "roll_number", "position", F.row_number().over(Window.partitionBy(key, "b", "position").orderBy("n")).cast("long").alias("place"), F.col("line").alias("surname"))
+    told = parts.select(key, "b", number.alias("roll_number"), F.transform(F.split(body, "\n"), lambda x: F.trim(x)).alias("lines")).where("roll_number is not null")
+    heads = F.filter(F.transform("lines", lambda x, i: F.struct(_heading(x).alias("position"), i.alias("at"))), lambda h: h["position"].isNotNull())
+    told = told.withColumn("heads", heads)
+    # a heading's names stand up to the next one; a position may have several headings
+    below = lambda h, j: F.slice("lines", h["at"] + 2, F.coalesce(F.get("heads", j + 1)["at"], F.size("lines")) - h["at"] - 1)
+    told = told.withColumn("held", F.transform("heads", lambda h, j: F.struct(h["position"].alias("position"), F.filter(below(h, j), _is_name).alias("names"))))
+    of = lambda p: F.flatten(F.transform(F.filter("held", lambda h: h["position"] == p), lambda h: h["names"]))
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("position"), of(p).alias("names")) for p in dict.fromkeys(p for _, p in POSITIONS)]))
+    voted = told.select(key, "roll_number", each.alias("e")).select(key, "roll_number", "e.position", F.posexplode("e.names").alias("i", "surname"))
+    return voted.select(key, "roll_number", "position", (F.col("i") + 1).cast("long").alias("place"), "surname")
 
 
 def _done(text: Column) -> Column:

@@ -49,3 +49,13 @@ def test_agendas_are_read_without_rows_of_lines(spark):
         (1, 5, "12", "Last", 12, "Last", None, None, []),
     ]
     assert "Aggregate" not in final_plan(got)
+
+
+def test_roll_calls_are_read_without_sorts(spark):
+    text = "before\nAYES--9\nNobody\n[Roll No. 7]\nTitle Case\n AYES--2\n Ann Lee \nBo\nnot a name\n NOES--1\nCy\nODD--1\nDi\nYEAS--1\nEd\n[Roll No x]\nAYES--1\nFay\n[Roll No. 8] \nANSWERED PRESENT--1\nGil\nNOT VOTING--1\nHa"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc int, text string")
+    got = minutes.roll_calls(docs)
+    assert {tuple(r) for r in got.collect()} == {
+        (1, 7, "YEA", 1, "Ann Lee"), (1, 7, "YEA", 2, "Bo"), (1, 7, "YEA", 3, "Ed"), (1, 7, "NAY", 1, "Cy"), (1, 8, "PRESENT", 1, "Gil"), (1, 8, "NOT_VOTING", 1, "Ha"),
+    }
+    assert "Sort" not in final_plan(got)
