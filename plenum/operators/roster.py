@@ -40,9 +40,10 @@ def aliases(full: Column, preferred: Column, title: Column) -> Column:
         F.concat(short_title(office), F.lit(" "), last),
     )
     every = F.flatten(F.transform(F.array_compact(forms), spellings))
-    lower = F.transform(every, F.lower)
-    once = F.filter(every, lambda s, i: F.array_position(lower, F.lower(s)) == i + 1)
-    return F.when(name != "", once).otherwise(F.array().cast("array<string>"))
+    keyed = F.transform(every, lambda s: F.struct(s.alias("s"), F.lower(s).alias("key")))
+    # bound to a name, so that spellings are worked out once and not again for each of them
+    once = F.transform(F.array(keyed), lambda ks: F.filter(ks, lambda k, i: F.array_position(F.transform(ks, lambda x: x["key"]), k["key"]) == i + 1))
+    return F.when(name != "", F.transform(F.get(once, 0), lambda k: k["s"])).otherwise(F.array().cast("array<string>"))
 
 
 def alias_index(people: DataFrame) -> DataFrame:
