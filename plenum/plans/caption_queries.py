@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from plenum.functions.graph import settle
 from plenum.plans import views as V
 from plenum.plans.registry import registry
 from plenum.sources import captions as C
@@ -63,7 +64,7 @@ g as (select meeting, segment_id, string_agg(replace(word, ',', ''), ' ' order b
 select t.meeting, t.segment_id, g.text from t left join g using (meeting, segment_id)""")
 def caption_alignment(spark, sf_dir):
     """Captions of each file in turns of five seconds with a second between them."""
-    c = _cues(spark, sf_dir)
+    c = settle(_cues(spark, sf_dir))  # read for the turns and for the words
     i = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.max("cue") / 3))).alias("segment_id")
     t = c.groupBy("meeting").agg(i).withColumns({"start_time": F.col("segment_id") * 6.0, "end_time": F.col("segment_id") * 6.0 + 5})
     return C.align(c, t).withColumn("text", F.replace("text", F.lit(","), F.lit("")))

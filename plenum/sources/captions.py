@@ -26,11 +26,13 @@ def cues(docs: DataFrame, key: str, vtt: str) -> DataFrame:
     at = F.array_position(F.transform(lines, lambda x: F.contains(x, F.lit("-->"))), True).cast("int")
     each = docs.select(key, block.alias("n", "block")).select(key, "n", lines.alias("lines"), at.alias("at")).where("at > 0")
     time = F.get("lines", F.col("at") - 1)
-    part = lambda g: F.coalesce(F.nullif(F.regexp_extract(time, _TIME, g), F.lit("")).cast("double"), F.lit(0.0))
+    each = each.where(F.regexp_like(time, F.lit(_TIME)))
+    # a time line's eight numbers by one match
+    each = each.select(key, "n", "lines", "at", F.split(F.regexp_replace(time, f"(?s){_TIME}.*", " ".join(f"${g}," for g in range(1, 9))), ",").alias("t"))
+    part = lambda g: F.coalesce(F.nullif(F.trim(F.get("t", F.lit(g - 1))), F.lit("")).cast("double"), F.lit(0.0))
     seconds = lambda g: part(g) * 3600 + part(g + 1) * 60 + part(g + 2) + part(g + 3) / 1000
-    fine = F.regexp_like(time, F.lit(_TIME))
     order = F.row_number().over(Window.partitionBy(key).orderBy("n")) - 1
-    return each.where(fine).select(
+    return each.select(
         key, order.cast("long").alias("cue"), F.round(seconds(1), 3).alias("start"), F.round(seconds(5), 3).alias("end"),
         F.filter(F.transform(F.slice("lines", F.col("at") + 1, F.size("lines")), lambda x: F.trim(F.regexp_replace(x, "<[^>]*>", ""))), lambda x: x != "").alias("lines"),
     )
@@ -51,18 +53,18 @@ def plain_line(line: Column) -> Column:
 def merge_rolling(lines: Column) -> Column:
     """Caption lines as one text: of each line, the tokens that repeat the end of what is said so far (the longest such overlap) go.
 
-    Tokens are compared without case and signs. A cue has a few lines of a few words, which are folded in place.
+    Tokens are compared without case and signs. A cue has a few lines of a few words, which are folded in place; each token is read once.
     """
-    words = lambda x: F.filter(F.split(plain_line(x), r"\s+"), lambda w: w != "")
-    keys = lambda ws: F.transform(ws, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")))
+    key = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}_]", ""))
+    token = lambda w: F.struct(w.alias("word"), key(w).alias("key"))
+    words = lambda x: F.transform(F.filter(F.split(plain_line(x), r"\s+"), lambda w: w != ""), token)
 
-    def fold(said: Column, line: Column) -> Column:
-        new = words(line)
+    def fold(said: Column, new: Column) -> Column:
         n = F.size(said)
-        fits = F.filter(F.sequence(F.lit(0), F.least(n, F.size(new))), lambda k: (k == 0) | (keys(F.slice(said, F.greatest(n - k + 1, F.lit(1)), k)) == keys(F.slice(new, F.lit(1), k))))
+        fits = F.filter(F.sequence(F.lit(0), F.least(n, F.size(new))), lambda k: (k == 0) | (F.slice(said, F.greatest(n - k + 1, F.lit(1)), k)["key"] == F.slice(new, F.lit(1), k)["key"]))
         return F.concat(said, F.slice(new, F.array_max(fits) + 1, F.size(new)))
 
-    return F.array_join(F.aggregate(lines, F.array().cast("array<string>"), fold), " ")
+    return F.array_join(F.aggregate(F.transform(lines, words), F.array().cast("array<struct<word: string, key: string>>"), fold)["word"], " ")
 
 
 def overlap(said: list[str], new: list[str]) -> int:
@@ -130,10 +132,10 @@ def align(cues: DataFrame, turns: DataFrame, offset: float = 0.0) -> DataFrame:
     """The turns with what captions say in them: meeting, segment_id, text (null for a turn without words).
 
     cues as cues() gives them, with the key meeting; offset seconds are taken off their times, for turns of a clip. Words go to turns as
-    assign_words() says; words outside all turns are left out.
+    assign_words() says; words outside all turns are left out. Captions are worked through once.
     """
     words = timed_words(cues, "meeting").withColumns({c: F.col(c) - offset for c in ("word_start", "word_end")})
-    told = assign_words(words, turns).join(words, ["meeting", "word_id"])
+    told = assign_words(words, turns, width=60.0, keep=["word"])
     each = F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word"))), lambda x: x["word"])
     texts = told.where("segment_id is not null").groupBy("meeting", "segment_id").agg(F.array_join(each, " ").alias("text"))
     return turns.select("meeting", "segment_id").join(texts, ["meeting", "segment_id"], "left")
