@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -143,11 +144,21 @@ SHORT_CLIP, FULL_EVENT, MAX_AGE = 480, 1500, 630
 _MARKED = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := [x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)]) == 1 and d[0] != chr(c)]
 
 
+#: Combining accents, which go without anything in their place.
+_COMBINING = "".join(chr(c) for c in range(0x300, 0x370))
+
+
 def fold(x: Column) -> Column:
     """Lower case without accents, anything but a-z, 0-9 and white space as a space, white space collapsed; empty for null."""
-    bare = F.translate(F.coalesce(x, F.lit("")), "".join(a for a, _ in _MARKED), "".join(b for _, b in _MARKED))
-    bare = F.regexp_replace(bare, "[\u0300-\u036f]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(bare), r"[^a-z0-9\s]", " "), r"\s+", " "))
+    x = F.coalesce(x, F.lit(""))
+    bare = F.translate(x, "".join(a for a, _ in _MARKED) + _COMBINING, "".join(b for _, b in _MARKED))
+    bare = F.when(F.octet_length(x) == F.length(x), x).otherwise(bare)  # ASCII has no accents
+    return F.trim(F.regexp_replace(F.lower(bare), r"[^a-z0-9]+", " "))
+
+
+def _once(x: Column, f) -> Column:
+    """f of x, where x is worked out once for a row however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def unmarked(x: Column) -> Column:
@@ -156,15 +167,28 @@ def unmarked(x: Column) -> Column:
     return F.regexp_replace(bare, r"[^\x00-\x7F]", "")
 
 
+def _named(title: Column, description: Column, names: Column) -> Column:
+    """The names of two words and more that stand whole in a folded title or description."""
+    hay = F.concat(F.lit(" "), title, F.lit(" "), description, F.lit(" "))
+    return _once(hay, lambda h: F.filter(names, lambda n: _once(fold(n), lambda m: F.contains(m, F.lit(" ")) & F.contains(h, F.concat(F.lit(" "), m, F.lit(" "))))))
+
+
 def match_names(title: Column, description: Column, names: Column) -> Column:
     """The names of two words and more that stand whole in a title or description."""
-    hay = F.concat(F.lit(" "), fold(title), F.lit(" "), fold(description), F.lit(" "))
-    return F.filter(names, lambda n: F.contains(fold(n), F.lit(" ")) & F.contains(hay, F.concat(F.lit(" "), fold(n), F.lit(" "))))
+    return _named(fold(title), fold(description), names)
+
+
+def _plain_term(term: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", term.lower()).strip()
+
+
+def _announced(title: Column, description: Column) -> Column:
+    hay = F.concat(title, F.lit(" "), description)
+    return _once(hay, lambda h: functools.reduce(lambda a, b: a | b, [F.contains(h, F.lit(_plain_term(t))) for t in EVENT_TERMS]))
 
 
 def has_event_term(title: Column, description: Column) -> Column:
-    hay = F.concat(fold(title), F.lit(" "), fold(description))
-    return functools.reduce(lambda a, b: a | b, [F.contains(hay, fold(F.lit(t))) for t in EVENT_TERMS])
+    return _announced(fold(title), fold(description))
 
 
 def duration_signal(seconds: Column) -> Column:
@@ -172,11 +196,22 @@ def duration_signal(seconds: Column) -> Column:
 
 
 def prefilter(title: Column, description: Column, seconds: Column, names: Column) -> Column:
-    """struct<passes, matched, duration_signal, reason> of a found item: it passes with a name, if it is no short clip without an event term."""
-    matched, signal = match_names(title, description, names), duration_signal(seconds)
-    none, short = F.size(matched) == 0, (signal == "short") & ~has_event_term(title, description)
-    reason = F.when(none, "no tracked candidate name").when(short, "short clip without event term").otherwise("name match")
-    return F.struct((~none & ~short).alias("passes"), matched.alias("matched"), signal.alias("duration_signal"), reason.alias("reason"))
+    """struct<passes, matched, duration_signal, reason> of a found item: it passes with a name, if it is no short clip without an event term.
+
+    Title and description are folded once for a row, and searched for names and terms once.
+    """
+    signal = duration_signal(seconds)
+
+    def judged(f: Column) -> Column:
+        none, short = F.size(f["matched"]) == 0, (signal == "short") & ~f["event"]
+        reason = F.when(none, "no tracked candidate name").when(short, "short clip without event term").otherwise("name match")
+        return F.struct((~none & ~short).alias("passes"), f["matched"].alias("matched"), signal.alias("duration_signal"), reason.alias("reason"))
+
+    def found(t: Column) -> Column:
+        return F.struct(_named(t["title"], t["description"], names).alias("matched"), _announced(t["title"], t["description"]).alias("event"))
+
+    folded = F.struct(fold(title).alias("title"), fold(description).alias("description"))
+    return _once(_once(folded, found), judged)
 
 
 def is_stale(published: Column, today: Column) -> Column:

@@ -259,7 +259,7 @@ case when doc_id % 5 = 0 then false else (doc_id % 1300) > 630 end as stale from
 def prefilter(spark, sf_dir):
     """Found items by whole names, event terms, duration and age: the name is each text's first two words, for two texts of three."""
     d = T(spark, sf_dir, "documents").withColumn("today", F.to_date(F.lit("2026-01-01")))
-    first = F.nullif(F.regexp_extract(X.fold(F.col("text")), r"^(\S+ \S+)", 1), F.lit(""))
+    first = F.get(F.regexp_extract_all(X.fold(F.col("text")), F.lit(r"^(\S+ \S+)"), F.lit(1)), F.lit(0))
     names = F.array(F.lit("Cher"), F.when(F.col("doc_id") % 3 > 0, F.upper(first)).otherwise("Nobody Atall"))
     day = F.when(F.col("doc_id") % 5 == 0, "undated").otherwise(F.concat(F.date_sub("today", (F.col("doc_id") % 1300).cast("int")).cast("string"), F.lit("T10:00:00Z")))
     v = X.prefilter(F.col("source"), F.col("text"), F.col("n_chars"), names)

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from plenum.functions import text as X
 from plenum.operators import intervals as I
 from plenum.sources import captions as C
 
@@ -62,3 +63,15 @@ def test_strips_merge_a_labels_turns_before_seconds(spark):
     assert {(r.meeting, r.window): r.strip for r in got.collect()} == want
     below = plan(got)
     assert 0 < below.index("Generate explode(sequence(first") < below.index("Window [max(last")
+
+
+def test_texts_are_folded_once_for_names_and_terms(spark):
+    d = spark.createDataFrame([("Town–Hall", "JOSE\u0301 \t Muñoz's\x0b“talk” İ2", 100), (None, "josé munoz", 100), ("x", None, None), ("jose", "munozs Q & A", 2000)], "t string, d string, n int")
+    got = d.select(X.prefilter(F.col("t"), F.col("d"), F.col("n"), F.array(F.lit("Cher"), F.lit("José Muñoz"), F.lit(None))).alias("v"), X.fold(F.col("d")).alias("f"))
+    assert plan(got.select("v.passes", "v.matched", "v.reason")).count("translate(") <= 3
+    assert [(r.v.passes, r.v.matched, r.v.duration_signal, r.v.reason, r.f) for r in got.collect()] == [
+        (True, ["José Muñoz"], "short", "name match", "jose munoz s talk i2"),
+        (False, ["José Muñoz"], "short", "short clip without event term", "jose munoz"),
+        (False, [], "unknown", "no tracked candidate name", ""),
+        (False, [], "long", "no tracked candidate name", "munozs q a"),
+    ]
