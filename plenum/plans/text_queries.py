@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Window
@@ -15,6 +16,8 @@ from plenum.plans.views import TURNS
 from plenum.sources.rttm import rttm_line
 
 QUERIES, ORACLES, query = registry()
+#: Documents whose words are summed up in one task.
+TOGETHER = 5_000
 T = V.table
 STOP = ["the", "and", "that", "for", "with", "are", "was", "this", "from", "les", "des", "que", "der", "die", "und", "los", "las"]
 _STOP = ", ".join(f"'{w}'" for w in STOP)
@@ -127,8 +130,9 @@ select * from (select *, row_number() over (partition by item_id order by score
 def fts_search(spark, sf_dir):
     """The five best documents of each benchmark item, by words of three letters and more that are no stop words."""
     long_words = lambda: F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9']+"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~w.isin(STOP))
-    index = search.token_table(T(spark, sf_dir, "documents"), "doc_id", long_words())
+    docs = T(spark, sf_dir, "documents")
     asked = T(spark, sf_dir, "benchmark").select("item_id", F.explode(long_words()).alias("word")).distinct()
+    index = search.token_table(docs, "doc_id", long_words(), asked, max(8, math.ceil(docs.count() / TOGETHER)))
     return search.rank(asked, index, "item_id", "doc_id", 5)
 
 

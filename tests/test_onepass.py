@@ -1,11 +1,13 @@
 """Steps that read their input once: captions, words and turns, strips, folded texts, indexed words."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from plenum.functions import text as X
 from plenum.operators import intervals as I
+from plenum.operators import search
 from plenum.sources import captions as C
 
 
@@ -75,3 +77,23 @@ def test_texts_are_folded_once_for_names_and_terms(spark):
         (False, [], "unknown", "no tracked candidate name", ""),
         (False, [], "long", "no tracked candidate name", "munozs q a"),
     ]
+
+
+def test_documents_are_ranked_where_their_words_are_counted(spark):
+    r = random.Random(3)
+    texts = [(i, [r.choice("abcdefgh") for _ in range(r.randint(0, 12))]) for i in range(60)]
+    asked = [(q, w) for q in range(7) for w in r.sample("abcxyz", 3)]
+    docs = spark.createDataFrame(texts, "doc int, ws array<string>")
+    queries = spark.createDataFrame(asked, "q int, word string")
+    index = search.token_table(docs, "doc", F.col("ws"), queries, 3)
+    assert {tuple(x) for x in index.collect()} == {(i, w, ws.count(w), len(ws)) for i, ws in texts for w in set(ws) & {w for _, w in asked}}
+    got = search.rank(queries, index, "q", "doc", 4)
+    want = set()
+    for q in range(7):
+        words = [w for p, w in asked if p == q]
+        hits = [(-round(sum(ws.count(w) / len(ws) for w in words), 6), -len(set(ws) & set(words)), i) for i, ws in texts if set(ws) & set(words)]
+        want |= {(q, i, -s, -n, place) for place, (s, n, i) in enumerate(sorted(hits)[:4], 1)}
+    assert {(x.q, x.doc, x.score, x.n_words, x.place) for x in got.collect()} == want
+    assert "hashpartitioning(q#" in plan(got) and not re.search(r"hashpartitioning\((q#\d+L?, doc#|doc#\d+L?, (q|word)#)", plan(got))
+    whole = search.token_table(docs, "doc", F.col("ws"))
+    assert {tuple(x) for x in search.rank(queries, whole, "q", "doc", 4).select("q", "doc", "score", "n_words", "place").collect()} == want
