@@ -60,10 +60,13 @@ PARAGRAPH = frozenset("p pre li blockquote td h1 h2 h3 h4 h5 h6 dd dt".split())
 ROLES = re.compile(r"^(?:navigation|banner|contentinfo|complementary|search|dialog|alert|alertdialog|menu|menubar|form)$", re.I)
 GOOD = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|main|story|body|text)(?:$|[\s_-])", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*\Z", re.S)
+# attributes are read in one way only and without a way back, so a tag of any length takes no memory
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _VALUE = re.compile(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"']+)")
 _HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s=/]|$)", re.I)
+#: A character's number: noughts before it, and figures beyond those of any character, which int() refuses by the thousand.
+_NUMBER = re.compile(r"&#0*([0-9]{1,8})[0-9]*")
 _NOT_SHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 
 
@@ -96,7 +99,7 @@ class _Page:
 
     def _flush(self) -> None:
         if self._parts:
-            text = " ".join(unescape("".join(self._parts)).split())
+            text = " ".join(unescape(_NUMBER.sub(r"&#\1", "".join(self._parts))).split())
             top = self._stack[-1]
             if text and not self.dead[top]:
                 self.blocks.append((self.block[top], text, min(self._linked, len(text))))
@@ -224,8 +227,9 @@ def extract(html: str | None) -> str:
     article = [tag[e] in ("article", "main") and not page.comments[e] and not page.dead[e] for e in range(n)]
     holds = page.sums([int(x) for x in article])
     # what looks like furniture goes, unless it holds an article, main, or most of the text: there the best element decides;
-    # comments go, unless both are so
-    large = [2 * size[e] > size[0] for e in range(n)]
+    # comments go, unless both are so; beside articles without any text, much text makes no article
+    empty = holds[0] and not any(article[e] and size[e] for e in range(n))
+    large = [2 * size[e] > size[0] and not empty for e in range(n)]
     gone = page.within([page.doubted[e] and not (holds[e] and large[e] if page.comments[e] else holds[e] or large[e]) for e in range(n)])
     blocks = [b for b in page.blocks if not gone[b[0]]]
     if not blocks:
@@ -255,9 +259,9 @@ def extract(html: str | None) -> str:
     dense = [linked[e] / chars[e] if chars[e] else 1.0 for e in range(n)]
     beside = [e for e in range(n) if parent[e] == parent[top] and not page.dead[e] and not gone[e] and not page.doubted[e]]
     alike = lambda e: final[e] >= max(10.0, 0.2 * final[best]) and dense[e] < 0.5 or plain[e] > 80 and dense[e] < 0.25 and tag[e] in ("p", "pre", "blockquote", tag[top]) and not article[top]
-    kept = {e for e in beside if e == top or alike(e)}
+    kept = {top, *(e for e in beside if alike(e))}  # top may look like furniture itself, and none of the others be alike
     # what stands between kept siblings belongs to them
-    kept |= {e for e in beside if min(kept) < e < max(kept) and dense[e] < 0.5} | {top}
+    kept |= {e for e in beside if min(kept) < e < max(kept) and dense[e] < 0.5}
     inside = page.within([e in kept for e in range(n)])
     bad = page.within([page.doubted[e] and e not in above for e in range(n)])
     return "\n".join(text for node, text, _ in blocks if inside[node] and not bad[node])
@@ -266,12 +270,12 @@ def extract(html: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text (empty if none), n_chars (code points).
 
-    A null html is empty; cut-off pages give what they have; pages of any size are read whole. Repeated rows each give a
-    row, an empty table none; null ids and urls stay null; other columns are ignored.
+    A null html is empty; cut-off pages give what they have; pages of any size are read whole; bytes that are no UTF-8 become U+FFFD.
+    Repeated rows each give a row, an empty table none; null ids and urls stay null; other columns are ignored.
     """
 
     @F.pandas_udf("string")
     def of(col: pd.Series) -> pd.Series:
         return col.map(extract)
 
-    return pages.select("page_id", "url", of(F.col("html").cast("string")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    return pages.select("page_id", "url", of(F.make_valid_utf8(F.col("html").cast("string"))).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -39,3 +39,28 @@ def test_time_follows_length_not_depth():
         began = time.process_time()
         assert LONG.strip() in html.extract(open_ * 20000 + f"<p>{LONG}</p>" + close * 20000)
         assert time.process_time() - began < 2
+
+
+def test_page_whose_text_is_all_in_what_looks_like_furniture():
+    ad = '<div class="ad">Buy, now, and save.</div>'
+    assert html.extract(f"<html><body>{ad}<article><h1></h1><p><b><br></article><footer>f</footer></body></html>") == ""
+    assert html.extract(f"<body>{ad}<div><h1>Title</h1></div></body>") != ""
+    assert html.extract(f'<body><div class="sidebar"><p>{LONG * 3}</p></div><div>short</div></body>') == (LONG * 3).strip()
+
+
+def test_numbers_of_characters_of_any_length():
+    assert html.extract("<p>&#" + "9" * 5000 + ";a&#" + "0" * 5000 + "65;&#65;&#0;&#1114112;&#x41;&#;</p>") == "�aAA��A&#;"
+
+
+def test_memory_of_a_long_tag():
+    import subprocess
+    import sys
+
+    code = "import resource; from plenum.llm import html; assert html.extract('<p>b</p><a ' + 'x=y ' * 1_500_000 + '>a</a>').endswith('a'); print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    took = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+    assert int(took.stdout) < 600_000
+
+
+def test_bytes_that_are_no_text(spark):
+    pages = spark.sql("select 1 as page_id, 'u' as url, cast(unhex('3C703E41FF42') as string) as html")
+    assert [(r.text, r.n_chars) for r in html.extract_pages(pages).collect()] == [("A�B", 3)]
