@@ -193,7 +193,8 @@ def _found(spark, sf_dir):
         .otherwise(F.format_string('"%s" OR "%s" "%s"', word(0), word(1), word(2)))
     )
     parts = search.asked(T(spark, sf_dir, "benchmark").select("item_id", said.alias("q")), "item_id", "q", STOP)
-    index = search.positions(T(spark, sf_dir, "documents"), "doc_id", "text", STOP)
+    docs = T(spark, sf_dir, "documents")
+    index = search.positions(docs, "doc_id", "text", STOP, parts, max(8, math.ceil(docs.count() / TOGETHER)))
     return search.hits(search.matches(parts, index, "item_id", "doc_id"), "item_id", "doc_id").select("item_id", "doc_id", "score")
 
 
