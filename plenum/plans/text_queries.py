@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plenum.functions import text as X
+from plenum.functions.graph import settle
 from plenum.operators import search
 from plenum.plans import views as V
 from plenum.plans.registry import registry
@@ -178,7 +179,7 @@ def fts_phrases(spark, sf_dir):
 @query(f"""{_INDEX}, p as (select *, row_number() over (partition by item_id order by score desc, doc_id) as place from h) select item_id, doc_id, score, place - 10 as place from p where place between 11 and 20""")
 def fts_next_page(spark, sf_dir):
     """The next ten, by what the first page ended with."""
-    found = _found(spark, sf_dir)
+    found = settle(_found(spark, sf_dir))  # read for the first page and for the next
     ended = search.page(found, "item_id", "doc_id", 10).where("place = 10")
     return search.page(found.join(ended.select("item_id"), "item_id", "left_semi"), "item_id", "doc_id", 10, ended)
 
