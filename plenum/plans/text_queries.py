@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plenum.functions import text as X
-from plenum.functions.graph import settle
+from plenum.functions.graph import maybe_broadcast, settle
 from plenum.operators import search
 from plenum.plans import views as V
 from plenum.plans.registry import registry
@@ -180,8 +180,9 @@ def fts_phrases(spark, sf_dir):
 def fts_next_page(spark, sf_dir):
     """The next ten, by what the first page ended with."""
     found = settle(_found(spark, sf_dir))  # read for the first page and for the next
-    ended = search.page(found, "item_id", "doc_id", 10).where("place = 10")
-    return search.page(found.join(ended.select("item_id"), "item_id", "left_semi"), "item_id", "doc_id", 10, ended)
+    ended = settle(search.page(found, "item_id", "doc_id", 10).where("place = 10"))
+    more = found.join(maybe_broadcast(ended.select("item_id"), search.ASKED), "item_id", "left_semi")
+    return search.page(more, "item_id", "doc_id", 10, ended)
 
 
 def _found(spark, sf_dir):
